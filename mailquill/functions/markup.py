@@ -16,91 +16,119 @@ from pyspark.sql import functions as F
 # The inside of a tag: plain characters, or "=" with an optional quoted value that may hold ">".
 ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 TAG = rf"<[/!?a-zA-Z]{ATTRIBUTES}>"
-ATTRIBUTE = r"""([^\s=/>"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>]+))?"""
-INVISIBLE = r"(?is)<!--.*?-->|<(script|style)\b[^>]*>.*?</\1\s*>"
+# One attribute with its value, or a stray character between attributes.
+ATTRIBUTE = r"""(?:\s*+[^\s=/>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++))?+|\s*+[=/"'])"""
+INVISIBLE = r"(?s)<(?:!--.*?-->|((?i:script|style))\b[^>]*+>.*?</(?i:\1)\s*+>)"
 
-# Everything that counts as blank at the ends of a text node, control separators included.
-BLANK = r"[\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
-BLANK_ENDS = rf"^{BLANK}++|(?<!{BLANK}){BLANK}++\z"
+# Characters that count as blank at the ends of a text node, control separators included.
+BLANK = (
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 
 # The entities that make up nearly all of real alert mail, tried before the full table.
-COMMON_ENTITIES = {"amp": "&", "lt": "<", "gt": ">", "quot": '"', "apos": "'", "nbsp": "\u00a0", "hellip": "\u2026"}
+COMMON_ENTITIES = {
+    "&lt;": "<",
+    "&gt;": ">",
+    "&quot;": '"',
+    "&#39;": "'",
+    "&apos;": "'",
+    "&nbsp;": "\u00a0",
+    "&hellip;": "\u2026",
+}
+OTHER_ENTITY = r"&(?!amp;)(?:#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,12}|[A-Za-z][A-Za-z0-9]*);"
 
 REPLACEMENT = "\ufffd"
 
-
-@cache
-def _named_entities() -> str:
-    return json.dumps({k[:-1]: v for k, v in html.entities.html5.items() if k.endswith(";")})
+# Spark compiles the pattern of a split anew for every row, but keeps that of a replacement. So text is cut by putting
+# this character, which no mail holds, at the cuts, and splitting there.
+CUT = "\u0000"
 
 
 @cache
-def _c1_controls() -> str:
-    """Numbers 128 to 159 mean Windows-1252 characters in web pages."""
-    table = {}
+def _entity_table() -> str:
+    """Names without the semicolon; numbers 128 to 159, which mean Windows-1252 characters in web pages, as ``#128``."""
+    table = {name[:-1]: value for name, value in html.entities.html5.items() if name.endswith(";")}
     for number in range(128, 160):
-        try:
-            table[str(number)] = bytes([number]).decode("cp1252")
-        except UnicodeDecodeError:
-            continue
+        table[f"#{number}"] = bytes([number]).decode("cp1252", "replace")
     return json.dumps(table)
 
 
-def _lookup(table_json: str, key: Column) -> Column:
-    return F.element_at(F.from_json(F.lit(table_json), "map<string,string>"), key)
+def cut_at(text: Column, pattern: str, keep: str = "") -> Column:
+    """Pieces of ``text`` between the matches of ``pattern``; ``keep`` stays in front of each piece but the first."""
+    return F.split(F.regexp_replace(text, pattern, CUT + keep), CUT)
 
 
-def strip_blank(text: Column) -> Column:
-    return F.regexp_replace(text, BLANK_ENDS, "")
+def _bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once; expressions inside lambdas are not shared otherwise."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _numbered_character(digits: Column, base: int) -> Column:
-    number = F.conv(digits, base, 10).cast("decimal(20,0)")
-    return (
-        F.when((number >= 128) & (number <= 159), F.coalesce(_lookup(_c1_controls(), number.cast("string")), F.lit(REPLACEMENT)))
-        .when(
-            (number < 1) | (number > 0x10FFFF) | ((number >= 0xD800) & (number <= 0xDFFF)),
-            F.lit(REPLACEMENT),
-        )
-        .otherwise(F.decode(F.unhex(F.lpad(F.hex(number.cast("long")), 8, "0")), "UTF-32"))
+def _character(number: Column) -> Column:
+    invalid = (number < 1) | (number > 0x10FFFF) | ((number >= 0xD800) & (number <= 0xDFFF))
+    return F.when(invalid, F.lit(REPLACEMENT)).otherwise(
+        F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     )
 
 
-def _decode_piece(piece: Column) -> Column:
-    """``piece`` is what follows one ``&``."""
-    name = F.regexp_extract(piece, r"^(#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,12}|[A-Za-z][A-Za-z0-9]*);", 1)
-    character = F.when(name == "", F.lit(None).cast("string"))
-    for entity, value in COMMON_ENTITIES.items():
-        character = character.when(name == entity, F.lit(value))
-    character = (
-        character.when(name.rlike("^#[xX]"), _numbered_character(F.substring(name, 3, 12), 16))
-        .when(name.startswith("#"), _numbered_character(F.substring(name, 2, 12), 10))
-        .otherwise(_lookup(_named_entities(), name))
+def _entity(name: Column) -> Column:
+    """Character for the inside of one reference, NULL for an unknown name."""
+    table = F.from_json(F.lit(_entity_table()), "map<string,string>")
+    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 12), 16, 10)).when(
+        name.startswith("#"), F.substring(name, 2, 12)
+    )
+    return _bind(
+        digits.cast("long"),
+        lambda number: F.coalesce(
+            F.element_at(table, F.coalesce(F.concat(F.lit("#"), number.cast("string")), name)), _character(number)
+        ),
     )
-    rest = piece.substr(F.length(name) + F.lit(2), F.length(piece))
-    return F.coalesce(F.concat(character, rest), F.concat(F.lit("&"), piece))
 
 
-def decode_entities(text: Column) -> Column:
-    """Character references to characters, each once: ``&amp;lt;`` gives ``&lt;``. Unknown names stay as written."""
-    pieces = F.split(text, "&")
-    decoded = F.transform(pieces, lambda piece, i: F.when(i == 0, piece).otherwise(_decode_piece(piece)))
-    return F.when(F.contains(text, F.lit("&")), F.array_join(decoded, "")).otherwise(text)
+def _decode_others(text: Column) -> Column:
+    """All references but ``&amp;``. The text is cut before each ``&`` and every piece is looked at once."""
 
+    def piece_text(piece: Column) -> Column:
+        return _bind(
+            F.regexp_extract(piece, rf"^(?:{OTHER_ENTITY})", 0),
+            lambda found: F.when(found == "", piece).otherwise(
+                F.concat(
+                    F.coalesce(_entity(found.substr(F.lit(2), F.length(found) - F.lit(2))), found),
+                    piece.substr(F.length(found) + F.lit(1), F.length(piece)),
+                )
+            ),
+        )
 
-def attribute(attributes: Column, name: str) -> Column:
-    """Value of an attribute, NULL when it is absent. Of repeated attributes the last one counts."""
-    names = F.transform(F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), 1), F.lower)
-    values = F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), 2)
-    at = F.array_position(F.reverse(names), name)
-    raw = F.when(at > 0, F.get(F.reverse(values), at.cast("int") - F.lit(1)))
-    return decode_entities(F.regexp_replace(raw, r"""^(["'])([\s\S]*)\1$""", "$2"))
+    return F.array_join(F.transform(cut_at(text, "&", "&"), piece_text), "")
 
 
-def has_class(attributes: Column, token: str) -> Column:
-    return F.contains(attributes, F.lit(token)) & F.coalesce(
-        F.array_contains(F.split(attribute(attributes, "class"), r"\s+"), token), F.lit(False)
+def decode_entities(text: Column) -> Column:
+    """Character references to characters, each once: ``&amp;lt;`` gives ``&lt;``. Unknown names stay as written.
+
+    ``&amp;`` comes last. Until then an escaped reference cannot be mistaken for a real one.
+    """
+    plain = text
+    for entity, value in COMMON_ENTITIES.items():
+        plain = F.replace(plain, F.lit(entity), F.lit(value))
+    rest = F.when(text.rlike(OTHER_ENTITY), _decode_others(text)).otherwise(plain)
+    return F.when(F.contains(text, F.lit("&")), F.replace(rest, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+
+
+def attribute(attributes: Column, name: str) -> Column:
+    """Value of an attribute as written, ``''`` when it is absent. Of repeated attributes the last one counts."""
+    pattern = rf"""(?s)^{ATTRIBUTE}*\s++(?i:{name})\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)"""
+    raw = F.regexp_extract(F.concat(F.lit(" "), attributes), pattern, 1)
+    quoted = raw.rlike("^[\"']")
+    return F.when(quoted, raw.substr(F.lit(2), F.length(raw) - F.lit(2))).otherwise(raw)
+
+
+def has_class(tag: Column, name: str, token: str) -> Column:
+    """Whether ``tag``, which may go on after its end, is a ``name`` tag with ``token`` among its classes."""
+    pattern = (
+        rf"""(?s)^<(?i:{name})(?=\s){ATTRIBUTE}*?\s++(?i:class)\s*+=\s*+"""
+        rf"""(?:"(?:[^"]*\s)?{token}(?:\s[^"]*)?"|'(?:[^']*\s)?{token}(?:\s[^']*)?'|{token}(?=[\s/>]))"""
     )
+    return F.contains(tag, F.lit(token)) & tag.rlike(pattern)
 
 
 def hide_invisible(markup: Column) -> Column:
@@ -110,8 +138,8 @@ def hide_invisible(markup: Column) -> Column:
 
 def visible_text(markup: Column, separator: str) -> Column:
     """Text nodes, each decoded and stripped, empty ones dropped, joined by ``separator``."""
-    nodes = F.transform(F.split(markup, TAG), lambda node: strip_blank(decode_entities(node)))
-    return F.array_join(F.filter(nodes, lambda node: node != ""), separator)
+    nodes = F.transform(cut_at(markup, TAG), lambda node: F.btrim(decode_entities(node), F.lit(BLANK)))
+    return F.array_join(F.filter(nodes, lambda node: node != "") if separator else nodes, separator)
 
 
 def sibling_div(markup: Column, token: str) -> Column:
@@ -120,30 +148,32 @@ def sibling_div(markup: Column, token: str) -> Column:
     The markup is cut before every ``div`` tag and folded with a depth counter: inner blocks of the wanted ``div`` are
     kept, equally named blocks deeper down are not taken, and the search ends where the parent closes.
     """
-    opening = rf"(?is)^<div({ATTRIBUTES})>"
-    pieces = F.split(markup, r"(?i)(?=</?div[\s>/])")
+    pieces = cut_at(markup, r"<(?=/?[dD][iI][vV][\s>/])", "<")
     # phase 0: looking, 1: inside, 2: done
     start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("phase"), F.lit("").alias("found"))
 
     def step(state: Column, piece: Column) -> Column:
-        opens = piece.rlike(r"(?i)^<div[\s>/]")
-        closes = piece.rlike(r"(?i)^</div[\s>/]")
-        depth = state["depth"] + F.when(opens, 1).when(closes, -1).otherwise(0)
-        wanted = (
-            (state["phase"] == 0)
-            & opens
-            & (state["depth"] == 0)
-            & has_class(F.regexp_extract(piece, opening, 1), token)
+        depth = state["depth"] + (
+            F.when(piece.rlike(r"(?i)^<div[\s>/]"), 1).when(piece.rlike(r"(?i)^</div[\s>/]"), -1).otherwise(0)
         )
-        phase = (
-            F.when(wanted, 1)
-            .when((state["phase"] == 1) & closes & (depth <= 0), 2)
-            .when((state["phase"] == 0) & closes & (depth < 0), 2)
-            .otherwise(state["phase"])
-        )
-        found = F.when(wanted, piece).when((state["phase"] == 1) & (phase == 1), F.concat(state["found"], piece))
-        return F.struct(
-            depth.alias("depth"), phase.alias("phase"), F.coalesce(found, state["found"]).alias("found")
+
+        def moved(depth: Column) -> Column:
+            wanted = (state["phase"] == 0) & (state["depth"] == 0) & has_class(piece, "div", token)
+            phase = (
+                F.when(wanted, 1)
+                .when((state["phase"] == 1) & (depth <= 0), 2)
+                .when((state["phase"] == 0) & (depth < 0), 2)
+                .otherwise(state["phase"])
+            )
+            return F.struct(depth.alias("depth"), phase.alias("phase"))
+
+        return _bind(
+            _bind(depth, moved),
+            lambda now: F.struct(
+                now["depth"].alias("depth"),
+                now["phase"].alias("phase"),
+                F.when(now["phase"] == 1, F.concat(state["found"], piece)).otherwise(state["found"]).alias("found"),
+            ),
         )
 
     folded = F.aggregate(pieces, start, step, lambda state: state["found"])
@@ -153,7 +183,7 @@ def sibling_div(markup: Column, token: str) -> Column:
 def page_text(page_html: Column) -> Column:
     """Readable text of a web page: the main article block, else the whole body; NULL when neither has text."""
     shown = hide_invisible(page_html)
-    main = visible_text(F.regexp_extract(shown, rf"(?is)<article(?=[\s>]){ATTRIBUTES}>(.*?)</article\s*>", 1), " ")
-    body = F.regexp_extract(shown, rf"(?is)<body(?=[\s>]){ATTRIBUTES}>(.*)", 1)
+    main = visible_text(F.regexp_extract(shown, rf"(?s)<(?i:article)(?=[\s>]){ATTRIBUTES}>(.*?)</(?i:article)\s*>", 1), " ")
+    body = F.regexp_extract(shown, rf"(?s)<(?i:body)(?=[\s>]){ATTRIBUTES}>(.*)", 1)
     whole = visible_text(F.when(body != "", body).otherwise(shown), " ")
     return F.coalesce(F.nullif(main, F.lit("")), F.nullif(whole, F.lit("")))

@@ -17,6 +17,9 @@ from mailquill.operators.dedup import only_new
 from mailquill.operators.merge import merge_updates
 from mailquill.schema import ARTICLE_SCHEMA
 
+# A text that no cell holds: Spark tells empty cells from quoted empty ones only when some other text means NULL.
+CSV_NULL = "\\N"
+
 VERSION = T.StructField("version", T.LongType())
 SCORES_SCHEMA = T.StructType([ARTICLE_SCHEMA["hash"], ARTICLE_SCHEMA["score"], ARTICLE_SCHEMA["reason"], VERSION])
 TEXTS_SCHEMA = T.StructType([ARTICLE_SCHEMA["hash"], ARTICLE_SCHEMA["full_text_summary"], VERSION])
@@ -35,14 +38,15 @@ def _empty_if_absent(spark: SparkSession, schema: T.StructType, read) -> DataFra
 def load_store(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
     """Stored articles with all known columns; those that the files lack are NULL.
 
-    CSV columns are matched by the names in the header and read as text, so a title such as ``NA`` stays a title.
+    CSV columns are matched by the names in the header and read as text, so a title such as ``NA`` stays a title. An empty
+    cell is NULL, a quoted empty cell is empty text.
     """
     if fmt == "parquet":
         return _empty_if_absent(spark, ARTICLE_SCHEMA, lambda: spark.read.schema(ARTICLE_SCHEMA).parquet(path))
     stored = _empty_if_absent(
         spark,
         ARTICLE_SCHEMA,
-        lambda: spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', inferSchema=False),
+        lambda: spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=CSV_NULL),
     )
     if "email_date" in stored.columns:
         stored = stored.withColumn("email_date", F.col("email_date").try_cast("double"))
@@ -50,7 +54,9 @@ def load_store(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def write_csv_store(articles: DataFrame, path: str) -> None:
-    articles.write.csv(path, header=True, quote='"', escape='"')
+    articles.write.csv(
+        path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def with_legacy_hash(stored: DataFrame) -> DataFrame:
