@@ -50,11 +50,15 @@ def since_bound(text: Column) -> Column:
     """A start bound typed by a user: float seconds, else an ISO date or date-time; NULL means rejected."""
     value = F.trim(text)
     is_number = value.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
-    is_iso = value.rlike(
-        r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d{1,6})?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
-    )
-    moment = F.unix_micros(value.try_cast("timestamp")) / F.lit(1e6)
-    return F.when(is_number, value.try_cast("double")).when(is_iso, moment)
+    shape = r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2})(?::(\d{2})(?::(\d{2}(?:[.,]\d{1,6})?))?)?(Z|[+-]\d{2}:?\d{2})?)?$"
+    day, hour, minute, second, zone = (F.regexp_extract(value, shape, group) for group in range(1, 6))
+
+    def given(part: Column) -> Column:
+        return F.when(part == "", "00").otherwise(F.replace(part, F.lit(","), F.lit(".")))
+
+    clock = F.concat_ws(":", given(hour), given(minute), given(second))
+    moment = F.unix_micros(F.concat(day, F.lit("T"), clock, zone).try_cast("timestamp")) / F.lit(1e6)
+    return F.when(is_number, value.try_cast("double")).when(value.rlike(shape), moment)
 
 
 def header_date(header: Column) -> Column:
