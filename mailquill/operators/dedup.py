@@ -39,10 +39,11 @@ def only_new_probe(batch: DataFrame, store: DataFrame, key: str = "hash") -> Dat
     """``only_new`` for a store far larger than the batch.
 
     The store is first cut down to the keys that occur in the batch. Where the batch keys are small enough for Spark to
-    broadcast, the store is only scanned, never shuffled; the second join then handles at most batch-many keys.
+    broadcast, the store is only scanned, never shuffled; the second join then handles at most batch-many keys. Hand in
+    a written batch: it is read twice, and only its size on disk lets Spark decide for a broadcast before it starts.
     """
     wanted = batch.select(key).distinct()
-    seen = store.select(key).join(wanted, key, "left_semi").distinct()
+    seen = store.select(key).join(wanted, key, "left_semi")
     return batch.join(seen, key, "left_anti")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mailquill.functions.scoring import HIGH, MEDIUM, WordRules
 from mailquill.operators.align import schema_align, with_hash
 from mailquill.operators.counters import run_counters
-from mailquill.operators.dedup import dedup_first, newest_mail_first, only_new
+from mailquill.operators.dedup import dedup_first, newest_mail_first, only_new, only_new_probe
 from mailquill.operators.enrich import enrich_from_pages, enrichment_candidates
 from mailquill.operators.explode import explode_alerts
 from mailquill.operators.report import articles_for_report, number_report, report_document
@@ -31,11 +31,13 @@ class DigestSettings:
     scorer: object = None
     partitions: int | None = None
     title: str = "Digest Report"
+    large_store: bool = False
+    keep_parsed: bool = False
 
 
 @dataclass(frozen=True)
 class DigestRun:
-    """Frames of one run. ``new`` and ``scored`` are written tables; the others read them."""
+    """Frames of one run. ``new``, ``scored`` and, if kept, ``parsed`` are written tables."""
 
     mails: DataFrame
     parsed: DataFrame
@@ -45,6 +47,7 @@ class DigestRun:
     report: DataFrame
 
     def counters(self) -> DataFrame:
+        """Rows per stage. Run with ``keep_parsed``, else the mails are parsed a second time to be counted."""
         return run_counters(
             mails=self.mails,
             parsed=self.parsed,
@@ -55,12 +58,15 @@ class DigestRun:
         )
 
 
-def new_articles(parsed: DataFrame, store: DataFrame, added_at: str) -> DataFrame:
+def new_articles(parsed: DataFrame, store: DataFrame, added_at: str, large_store: bool = False) -> DataFrame:
     """Parsed articles to stored rows: hashed, first of each title, not stored before.
 
-    One shuffle by hash serves both the dedup and the check against the store.
+    One shuffle by hash serves both the dedup and the check against the store. With ``large_store`` the few first rows
+    are written and the store is probed with them, so it is scanned and not shuffled.
     """
     first = dedup_first(with_hash(parsed), "hash", newest_mail_first())
+    if large_store:
+        return schema_align(only_new_probe(materialize(first, "first"), store), added_at)
     return schema_align(only_new(first, store), added_at)
 
 
@@ -74,7 +80,9 @@ def run_digest(
     """
     mails = scan_mail(mail, settings.sender, settings.since)
     parsed = explode_alerts(mails)
-    new = materialize(new_articles(parsed, store, settings.run_time), "new")
+    if settings.keep_parsed:
+        parsed = materialize(parsed, "parsed")
+    new = materialize(new_articles(parsed, store, settings.run_time, settings.large_store), "new")
     scored = materialize(
         score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions), "scored"
     )

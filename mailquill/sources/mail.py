@@ -17,10 +17,12 @@ DAY = 86400
 def write_mail(mail: DataFrame, path: str) -> None:
     """Append mails to a table partitioned by UTC day, so that an incremental scan skips whole folders.
 
-    Mails without a date stay reachable in the NULL folder. Rows of a day are not gathered into one task.
+    Mails without a date stay reachable in the NULL folder. Rows are rebalanced by day, so that a folder gets few files
+    of a good size; adaptive execution splits a day that is too large for one task.
     """
     day = F.floor(F.col("date") / DAY).cast("int")
-    mail.withColumn("mail_day", day).write.mode("append").partitionBy("mail_day").parquet(path)
+    dated = mail.withColumn("mail_day", day).hint("rebalance", "mail_day")
+    dated.write.mode("append").partitionBy("mail_day").parquet(path)
 
 
 def read_mail(spark: SparkSession, path: str) -> DataFrame:

@@ -28,10 +28,10 @@ def store_batch(mail: DataFrame, batch_id: int, store: str, added_at: str) -> No
     """Store the new articles of one batch in a folder of its own.
 
     A batch that is replayed after a failure looks only at earlier batches and overwrites its own folder, so it stores
-    the same rows again and not twice.
+    the same rows again and not twice. The store is probed with the batch: it grows without end, a batch does not.
     """
     earlier = stored_articles(mail.sparkSession, store).where(F.col("batch_id") < batch_id)
-    new = new_articles(explode_alerts(mail), earlier, added_at)
+    new = new_articles(explode_alerts(mail), earlier, added_at, large_store=True)
     new.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
 

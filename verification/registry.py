@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +17,7 @@ from mailquill.operators.explode import explode_alerts
 from mailquill.operators.merge import merge_updates
 from mailquill.plans import digest
 from mailquill.schema import STATE_SCHEMA
-from mailquill.session import shared_folder
+from mailquill.session import materialize, shared_folder
 from mailquill.sources import mail as mail_source
 from mailquill.sources import state as run_state
 from mailquill.sources import store as article_store
@@ -150,7 +151,7 @@ def new_vs_store_anti(spark, sf_dir):
 
 
 def new_vs_store_probe(spark, sf_dir):
-    first = dedup.dedup_first(v.hashed(spark, sf_dir), "hash", dedup.newest_mail_first())
+    first = materialize(dedup.dedup_first(v.hashed(spark, sf_dir), "hash", dedup.newest_mail_first()))
     return dedup.only_new_probe(first, v.store(spark, sf_dir)).select("hash", "doc_id", "title")
 
 
@@ -190,7 +191,8 @@ def page_enrichment(spark, sf_dir):
 
 
 def run_counters(spark, sf_dir):
-    run = digest.run_digest(v.mail(spark, sf_dir), v.store(spark, sf_dir), SETTINGS, v.crawled_pages(spark, sf_dir))
+    settings = replace(SETTINGS, keep_parsed=True)
+    run = digest.run_digest(v.mail(spark, sf_dir), v.store(spark, sf_dir), settings, v.crawled_pages(spark, sf_dir))
     return run.counters()
 
 

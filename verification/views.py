@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from mailquill.functions.scoring import WordRules
 from mailquill.operators.align import schema_align, with_hash
 from mailquill.operators.dedup import dedup_first, newest_mail_first
-from mailquill.schema import ARTICLE_SCHEMA
 
 SENDER = "alerts@example.org"
 OTHER_SENDER = "newsletter@example.org"
@@ -51,8 +50,9 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.row_number().over(place) - 1).alias("position"),
             F.trim(lines[0]).alias("title"),
             F.coalesce("url", own_link).alias("link"),
-            F.array_join(F.transform(F.slice(lines, 2, F.size(lines)), F.trim), "").alias("summary"),
+            F.transform(F.slice(lines, 2, F.size(lines)), F.trim).alias("parts"),
         )
+        .withColumn("summary", F.array_join("parts", ""))
     )
 
 
@@ -110,11 +110,7 @@ def escaped(text):
 
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert mails of at most twenty articles. Each begins with an empty heading and one inside a comment."""
-    group = F.floor(F.col("doc_id") / 20)
-    documents = table(spark, sf_dir, "documents").select(
-        "doc_id", F.transform(F.split("text", "\n"), F.trim).alias("lines")
-    )
-    summary = F.array_join(F.transform(F.slice("lines", 2, F.size("lines")), escaped), "<br>")
+    summary = F.array_join(F.transform("parts", escaped), "<br>")
     block = F.concat(
         F.lit('\n<h3 style="font-weight:normal">\n<span>[HTML]</span> <a href="'),
         escaped(F.col("link")),
@@ -126,8 +122,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return (
         articles(spark, sf_dir)
-        .join(documents, "doc_id")
-        .groupBy("email_id", "email_date", "lang", group.alias("nth"))
+        .groupBy("email_id", "email_date", "lang")
         .agg(F.array_sort(F.collect_list(F.struct("position", block.alias("block")))).alias("blocks"))
         .select(
             F.col("email_id").alias("id"),
@@ -211,7 +206,3 @@ def typed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("props"))
     )
     return table(spark, sf_dir, "events").select("event_id", text.alias("typed"))
-
-
-def article_columns() -> list[str]:
-    return list(ARTICLE_SCHEMA.names)
