@@ -13,6 +13,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailquill.functions.bind import bind
+
 # The inside of a tag: plain characters, or "=" with an optional quoted value that may hold ">".
 ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
 TAG = rf"<[/!?a-zA-Z]{ATTRIBUTES}>"
@@ -59,11 +61,6 @@ def cut_at(text: Column, pattern: str, keep: str = "") -> Column:
     return F.split(F.regexp_replace(text, pattern, CUT + keep), CUT)
 
 
-def _bind(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` worked out once; expressions inside lambdas are not shared otherwise."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def _character(number: Column) -> Column:
     invalid = (number < 1) | (number > 0x10FFFF) | ((number >= 0xD800) & (number <= 0xDFFF))
     return F.when(invalid, F.lit(REPLACEMENT)).otherwise(
@@ -77,7 +74,7 @@ def _entity(name: Column) -> Column:
     digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 12), 16, 10)).when(
         name.startswith("#"), F.substring(name, 2, 12)
     )
-    return _bind(
+    return bind(
         digits.cast("long"),
         lambda number: F.coalesce(
             F.element_at(table, F.coalesce(F.concat(F.lit("#"), number.cast("string")), name)), _character(number)
@@ -89,7 +86,7 @@ def _decode_others(text: Column) -> Column:
     """All references but ``&amp;``. The text is cut before each ``&`` and every piece is looked at once."""
 
     def piece_text(piece: Column) -> Column:
-        return _bind(
+        return bind(
             F.regexp_extract(piece, rf"^(?:{OTHER_ENTITY})", 0),
             lambda found: F.when(found == "", piece).otherwise(
                 F.concat(
@@ -167,8 +164,8 @@ def sibling_div(markup: Column, token: str) -> Column:
             )
             return F.struct(depth.alias("depth"), phase.alias("phase"))
 
-        return _bind(
-            _bind(depth, moved),
+        return bind(
+            bind(depth, moved),
             lambda now: F.struct(
                 now["depth"].alias("depth"),
                 now["phase"].alias("phase"),
@@ -182,8 +179,13 @@ def sibling_div(markup: Column, token: str) -> Column:
 
 def page_text(page_html: Column) -> Column:
     """Readable text of a web page: the main article block, else the whole body; NULL when neither has text."""
-    shown = hide_invisible(page_html)
-    main = visible_text(F.regexp_extract(shown, rf"(?s)<(?i:article)(?=[\s>]){ATTRIBUTES}>(.*?)</(?i:article)\s*>", 1), " ")
-    body = F.regexp_extract(shown, rf"(?s)<(?i:body)(?=[\s>]){ATTRIBUTES}>(.*)", 1)
-    whole = visible_text(F.when(body != "", body).otherwise(shown), " ")
-    return F.coalesce(F.nullif(main, F.lit("")), F.nullif(whole, F.lit("")))
+
+    def whole(shown: Column) -> Column:
+        body = F.regexp_extract(shown, rf"(?s)<(?i:body)(?=[\s>]){ATTRIBUTES}>(.*)", 1)
+        return F.nullif(visible_text(bind(body, lambda inner: F.when(inner != "", inner).otherwise(shown)), " "), F.lit(""))
+
+    def readable(shown: Column) -> Column:
+        article = F.regexp_extract(shown, rf"(?s)<(?i:article)(?=[\s>]){ATTRIBUTES}>(.*?)</(?i:article)\s*>", 1)
+        return bind(visible_text(article, " "), lambda main: F.when(main != "", main).otherwise(whole(shown)))
+
+    return bind(hide_invisible(page_html), readable)

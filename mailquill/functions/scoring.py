@@ -8,6 +8,8 @@ from string import Formatter
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailquill.functions.bind import bind
+
 # Tiers, word lists and reasons of the built-in rules.
 HIGH, MEDIUM, LOW, ERROR = "High", "Medium", "Low", "Error"
 HIGH_WORDS = ("catalyst", "dft", "single-atom", "co2rr")
@@ -99,26 +101,35 @@ def parse_reply(reply: Column) -> Column:
     What cannot be read, or lacks a field, becomes an ``Error`` row, so a bad reply never stops a run.
     """
     fenced = F.regexp_extract(reply, r"(?s)```(?:json)?(.*)", 1)
-    body = F.regexp_replace(F.when(F.contains(reply, F.lit("```")), fenced).otherwise(reply), r"^[\s`]+|[\s`]+$", "")
-    body = F.when(body.startswith("{"), body)
+    bare = F.regexp_replace(F.when(F.contains(reply, F.lit("```")), fenced).otherwise(reply), r"^[\s`]+|[\s`]+$", "")
 
     def read(text: Column) -> Column:
-        parsed = F.from_json(text, SCORE_FIELDS)
-        return F.when(parsed["score"].isNotNull() | parsed["reason"].isNotNull(), parsed)
-
-    last_pair = F.regexp_extract(body, r'(?s)^(\{.*"[^"]*"\s*:\s*"(?:[^"\\]++|\\.)*+")\s*,', 1)
-    parsed = F.coalesce(
-        read(body),
-        read(F.concat(body, F.lit("}"))),
-        read(F.concat(body, F.lit('"}'))),
-        read(F.concat(last_pair, F.lit("}"))),
-    )
-    problem = (
-        F.when(parsed.isNull(), F.concat(F.lit("Invalid json output: "), F.coalesce(reply, F.lit(""))))
-        .when(parsed["score"].isNull(), F.lit("'score'"))
-        .when(parsed["reason"].isNull(), F.lit("'reason'"))
-    )
-    return F.struct(
-        F.when(problem.isNotNull(), F.lit(ERROR)).otherwise(parsed["score"]).alias("score"),
-        F.coalesce(problem, parsed["reason"]).alias("reason"),
-    )
+        return bind(
+            F.from_json(text, SCORE_FIELDS),
+            lambda parsed: F.when(parsed["score"].isNotNull() | parsed["reason"].isNotNull(), parsed),
+        )
+
+    def closed(body: Column) -> Column:
+        last_pair = F.regexp_extract(body, r'(?s)^(\{.*"[^"]*"\s*:\s*"(?:[^"\\]++|\\.)*+")\s*,', 1)
+        return F.when(
+            body.startswith("{"),
+            F.coalesce(
+                read(body),
+                read(F.concat(body, F.lit("}"))),
+                read(F.concat(body, F.lit('"}'))),
+                read(F.concat(last_pair, F.lit("}"))),
+            ),
+        )
+
+    def judged(parsed: Column) -> Column:
+        problem = (
+            F.when(parsed.isNull(), F.concat(F.lit("Invalid json output: "), F.coalesce(reply, F.lit(""))))
+            .when(parsed["score"].isNull(), F.lit("'score'"))
+            .when(parsed["reason"].isNull(), F.lit("'reason'"))
+        )
+        return F.struct(
+            F.when(parsed["reason"].isNull(), F.lit(ERROR)).otherwise(F.coalesce(parsed["score"], F.lit(ERROR))).alias("score"),
+            F.coalesce(problem, parsed["reason"]).alias("reason"),
+        )
+
+    return bind(bind(bare, closed), judged)

@@ -25,9 +25,13 @@ def with_missing_columns(df: DataFrame) -> DataFrame:
     return df.select(*known, *others)
 
 
+def stamp(hashed: DataFrame, added_at: str) -> DataFrame:
+    """Exactly the stored columns of rows that have their hash, all stamped with the load time."""
+    return with_missing_columns(hashed.withColumn("added_at", F.lit(added_at))).select(*ARTICLE_SCHEMA.names)
+
+
 def schema_align(df: DataFrame, added_at: str) -> DataFrame:
-    """Exactly the stored columns, every row stamped with the load time. A batch without titles gives no rows."""
+    """Exactly the stored columns, with the hash of the title. A batch without titles gives no rows."""
     if "title" not in df.columns:
-        return with_missing_columns(df.where(F.lit(False))).select(*ARTICLE_SCHEMA.names)
-    stamped = with_hash(df).withColumn("added_at", F.lit(added_at))
-    return with_missing_columns(stamped).select(*ARTICLE_SCHEMA.names)
+        return stamp(df.where(F.lit(False)), added_at)
+    return stamp(with_hash(df), added_at)

@@ -51,4 +51,4 @@ def restrict_to(df: DataFrame, hashes: DataFrame | None, key: str = "hash") -> D
     """Rows whose key is among ``hashes``; all rows when ``hashes`` is None."""
     if hashes is None:
         return df
-    return df.join(hashes.select(key), key, "left_semi")
+    return df.join(hashes.select(key).distinct(), key, "left_semi")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailquill.functions.scoring import HIGH, MEDIUM, WordRules
-from mailquill.operators.align import schema_align, with_hash
+from mailquill.operators.align import stamp, with_hash
 from mailquill.operators.counters import run_counters
 from mailquill.operators.dedup import dedup_first, newest_mail_first, only_new, only_new_probe
 from mailquill.operators.enrich import enrich_from_pages, enrichment_candidates
@@ -66,8 +66,8 @@ def new_articles(parsed: DataFrame, store: DataFrame, added_at: str, large_store
     """
     first = dedup_first(with_hash(parsed), "hash", newest_mail_first())
     if large_store:
-        return schema_align(only_new_probe(materialize(first, "first"), store), added_at)
-    return schema_align(only_new(first, store), added_at)
+        return stamp(only_new_probe(materialize(first, "first"), store), added_at)
+    return stamp(only_new(first, store), added_at)
 
 
 def run_digest(
