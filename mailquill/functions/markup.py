@@ -1,7 +1,8 @@
 """HTML as column expressions: attributes, entities, text nodes and balanced ``div`` blocks.
 
-All of it runs in the JVM. Patterns use possessive quantifiers wherever a long run is consumed, so one huge mail
-neither backtracks nor recurses deeply.
+All of it runs in the JVM. Java recurses once per turn of a repeated group unless the repetition is possessive, and an
+overflowing stack ends the executor. So every unbounded group here is possessive, every pattern that looks for an end
+also takes the end of the text, and the work on one mail stays linear in its length however broken the mail is.
 """
 
 from __future__ import annotations
@@ -17,10 +18,9 @@ from mailquill.functions.bind import bind
 
 # The inside of a tag: plain characters, or "=" with an optional quoted value that may hold ">".
 ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+"""
-TAG = rf"<[/!?a-zA-Z]{ATTRIBUTES}>"
-# One attribute with its value, or a stray character between attributes.
-ATTRIBUTE = r"""(?:\s*+[^\s=/>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++))?+|\s*+[=/"'])"""
-INVISIBLE = r"(?s)<(?:!--.*?-->|((?i:script|style))\b[^>]*+>.*?</(?i:\1)\s*+>)"
+TAG = rf"<[/!?a-zA-Z]{ATTRIBUTES}(?:>|\z)"
+ATTRIBUTE = r"""[^\s=/>"']++(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|[^\s>]++))?+"""
+INVISIBLE = r"(?s)<(?:!--(?:.*?-->|.*+\z)|((?i:script|style))(?=[\s>/])[^>]*+(?:>(?:.*?</(?i:\1)\s*+>|.*+\z)|\z))"
 
 # Characters that count as blank at the ends of a text node, control separators included.
 BLANK = (
@@ -111,21 +111,27 @@ def decode_entities(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("&")), F.replace(rest, F.lit("&amp;"), F.lit("&"))).otherwise(text)
 
 
+def _attribute_list(attributes: Column) -> Column:
+    return F.regexp_extract_all(attributes, F.lit(ATTRIBUTE), F.lit(0))
+
+
 def attribute(attributes: Column, name: str) -> Column:
     """Value of an attribute as written, ``''`` when it is absent. Of repeated attributes the last one counts."""
-    pattern = rf"""(?s)^{ATTRIBUTE}*\s++(?i:{name})\s*+=\s*+("[^"]*+"|'[^']*+'|[^\s>]++)"""
-    raw = F.regexp_extract(F.concat(F.lit(" "), attributes), pattern, 1)
-    quoted = raw.rlike("^[\"']")
-    return F.when(quoted, raw.substr(F.lit(2), F.length(raw) - F.lit(2))).otherwise(raw)
+    named = F.filter(_attribute_list(attributes), lambda one: one.rlike(rf"^(?i:{name})\s*+="))
+    raw = F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit(""))
+    return bind(
+        F.regexp_extract(raw, r"(?s)^[^=]*+=\s*+(.*)", 1),
+        lambda value: F.when(value.rlike("^[\"']"), value.substr(F.lit(2), F.length(value) - F.lit(2))).otherwise(value),
+    )
 
 
 def has_class(tag: Column, name: str, token: str) -> Column:
     """Whether ``tag``, which may go on after its end, is a ``name`` tag with ``token`` among its classes."""
-    pattern = (
-        rf"""(?s)^<(?i:{name})(?=\s){ATTRIBUTE}*?\s++(?i:class)\s*+=\s*+"""
-        rf"""(?:"(?:[^"]*\s)?{token}(?:\s[^"]*)?"|'(?:[^']*\s)?{token}(?:\s[^']*)?'|{token}(?=[\s/>]))"""
+    attributes = F.regexp_extract(tag, rf"^<(?i:{name})(?=\s)({ATTRIBUTES})>", 1)
+    listed = (
+        rf"""(?s)^(?i:class)\s*+=\s*+(?:"(?:[^"]*\s)?{token}(?:\s[^"]*)?"|'(?:[^']*\s)?{token}(?:\s[^']*)?'|{token}$)"""
     )
-    return F.contains(tag, F.lit(token)) & tag.rlike(pattern)
+    return F.contains(tag, F.lit(token)) & F.exists(_attribute_list(attributes), lambda one: one.rlike(listed))
 
 
 def hide_invisible(markup: Column) -> Column:
@@ -146,46 +152,51 @@ def sibling_div(markup: Column, token: str) -> Column:
     kept, equally named blocks deeper down are not taken, and the search ends where the parent closes.
     """
     pieces = cut_at(markup, r"<(?=/?[dD][iI][vV][\s>/])", "<")
-    # phase 0: looking, 1: inside, 2: done
-    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("phase"), F.lit("").alias("found"))
+    # phase 0: looking, 1: inside, 2: done; the wanted pieces are first..first + size - 1
+    start = F.struct(*[F.lit(value).alias(name) for name, value in (("depth", 0), ("phase", 0), ("first", 1), ("size", 0))])
 
     def step(state: Column, piece: Column) -> Column:
-        depth = state["depth"] + (
-            F.when(piece.rlike(r"(?i)^<div[\s>/]"), 1).when(piece.rlike(r"(?i)^</div[\s>/]"), -1).otherwise(0)
-        )
+        turn = F.when(piece.rlike(r"(?i)^<div[\s>/]"), 1).when(piece.rlike(r"(?i)^</div[\s>/]"), -1).otherwise(0)
 
         def moved(depth: Column) -> Column:
             wanted = (state["phase"] == 0) & (state["depth"] == 0) & has_class(piece, "div", token)
-            phase = (
+            return F.struct(
+                depth.alias("depth"),
                 F.when(wanted, 1)
                 .when((state["phase"] == 1) & (depth <= 0), 2)
                 .when((state["phase"] == 0) & (depth < 0), 2)
                 .otherwise(state["phase"])
+                .alias("phase"),
             )
-            return F.struct(depth.alias("depth"), phase.alias("phase"))
 
         return bind(
-            bind(depth, moved),
+            bind(state["depth"] + turn, moved),
             lambda now: F.struct(
                 now["depth"].alias("depth"),
                 now["phase"].alias("phase"),
-                F.when(now["phase"] == 1, F.concat(state["found"], piece)).otherwise(state["found"]).alias("found"),
+                (state["first"] + F.when(now["phase"] == 0, 1).otherwise(0)).alias("first"),
+                (state["size"] + F.when(now["phase"] == 1, 1).otherwise(0)).alias("size"),
             ),
         )
 
-    folded = F.aggregate(pieces, start, step, lambda state: state["found"])
-    return F.when(F.contains(markup, F.lit(token)), folded).otherwise(F.lit(""))
+    def found(pieces: Column) -> Column:
+        return bind(
+            F.aggregate(pieces, start, step),
+            lambda state: F.array_join(F.slice(pieces, state["first"], state["size"]), ""),
+        )
+
+    return F.when(F.contains(markup, F.lit(token)), bind(pieces, found)).otherwise(F.lit(""))
 
 
 def page_text(page_html: Column) -> Column:
     """Readable text of a web page: the main article block, else the whole body; NULL when neither has text."""
 
     def whole(shown: Column) -> Column:
-        body = F.regexp_extract(shown, rf"(?s)<(?i:body)(?=[\s>]){ATTRIBUTES}>(.*)", 1)
+        body = F.regexp_extract(shown, rf"(?s)<(?i:body)(?=[\s>]){ATTRIBUTES}(?:>(.*+)|\z)", 1)
         return F.nullif(visible_text(bind(body, lambda inner: F.when(inner != "", inner).otherwise(shown)), " "), F.lit(""))
 
     def readable(shown: Column) -> Column:
-        article = F.regexp_extract(shown, rf"(?s)<(?i:article)(?=[\s>]){ATTRIBUTES}>(.*?)</(?i:article)\s*>", 1)
+        article = F.regexp_extract(shown, rf"(?s)<(?i:article)(?=[\s>]){ATTRIBUTES}(?:>(.*?)(?:</(?i:article)\s*+>|\z)|\z)", 1)
         return bind(visible_text(article, " "), lambda main: F.when(main != "", main).otherwise(whole(shown)))
 
     return bind(hide_invisible(page_html), readable)

@@ -101,7 +101,7 @@ def parse_reply(reply: Column) -> Column:
     What cannot be read, or lacks a field, becomes an ``Error`` row, so a bad reply never stops a run.
     """
     fenced = F.regexp_extract(reply, r"(?s)```(?:json)?(.*)", 1)
-    bare = F.regexp_replace(F.when(F.contains(reply, F.lit("```")), fenced).otherwise(reply), r"^[\s`]+|[\s`]+$", "")
+    bare = F.btrim(F.when(F.contains(reply, F.lit("```")), fenced).otherwise(reply), F.lit(" \n\r\t`"))
 
     def read(text: Column) -> Column:
         return bind(

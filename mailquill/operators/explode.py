@@ -20,7 +20,7 @@ from mailquill.functions.markup import (
 TITLE_CLASS = "gse_alrt_title"
 SUMMARY_CLASS = "gse_alrt_sni"
 
-ANCHOR = rf"(?s)<[aA](?=[\s>/])({ATTRIBUTES})>(.*?)(?:</[aA]\s*>|\z)"
+ANCHOR = rf"(?s)<[aA](?=[\s>/])({ATTRIBUTES})(?:>(.*?)(?:</[aA]\s*+>|\z)|\z)"
 
 
 def explode_alerts(mail: DataFrame) -> DataFrame:

@@ -54,6 +54,8 @@ TITLE = '<h3><a href="u" class="gse_alrt_title">T</a></h3>'
         (TITLE + "<div class='gse_alrt_sni'>p < 0.05 and 3>2</div>", [("T", "u", "p < 0.05 and 3>2")]),
         (TITLE + "<div class='gse_alrt_sni'>line one\n  line two</div>", [("T", "u", "line one\n  line two")]),
         ("<h3><a href='u' class='gse_alrt_title'>open", [("open", "u", "")]),
+        ("<!-- open" + TITLE, []),
+        (TITLE + "<scripted>" + TITLE, [("T", "u", ""), ("T", "u", "")]),
         ("<h3x><a href='u' class='gse_alrt_title'>T</a></h3x>", []),
     ],
 )
@@ -105,6 +107,34 @@ def test_long_input_stays_linear(spark):
     assert text == ("word < " * 20000).strip()
 
 
+HOSTILE = 100000
+
+
+@pytest.mark.parametrize(
+    "body",
+    [
+        f"<h3><a href='u' class='gse_alrt_title' x{'=y' * HOSTILE}>T</a></h3>",
+        f"<h3><a {'a=b ' * HOSTILE} href='u' class='gse_alrt_title'>T</a></h3>",
+        TITLE + f"<div {'a=b ' * HOSTILE} class='gse_alrt_sni'>S</div>",
+        TITLE + f"<div class='gse_alrt_sni'>{'<div>a</div>' * HOSTILE}</div>",
+        TITLE + f"<div class='gse_alrt_sni'>{'<a ' * HOSTILE}</div>",
+        TITLE + f"<div class='gse_alrt_sni'>{'&eacute; ' * HOSTILE}</div>",
+        TITLE + "<!--" * HOSTILE,
+        TITLE + "<script>" * HOSTILE,
+        TITLE + "<style " * HOSTILE,
+    ],
+    ids=["equals", "attributes", "div attributes", "nested", "open tags", "entities", "comments", "scripts", "styles"],
+)
+def test_hostile_mail_neither_overflows_nor_stalls(spark, body):
+    assert [title for title, _, _ in parsed(spark, body)] == ["T"]
+
+
+def test_hostile_page(spark):
+    pages = ["<article " * HOSTILE, "<article>" * HOSTILE + "x", "<body>" * HOSTILE + "x", "<p " + "a=b " * HOSTILE + ">x"]
+    frame = spark.createDataFrame([(page,) for page in pages], "t string")
+    assert [row[0] for row in frame.select(page_text(F.col("t"))).collect()] == [None, "x", "x", "x"]
+
+
 @pytest.mark.parametrize(
     "page, expected",
     [
