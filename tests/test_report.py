@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailquill.functions.text import readable, report_snippet, snippet
-from mailquill.operators.enrich import enrich_from_pages, enrichment_candidates
+from mailquill.operators.enrich import enrich_from_pages, enrichment_candidates, page_texts
 from mailquill.operators.ranking import number_rows
 from mailquill.operators.report import (
     articles_for_report,
@@ -161,22 +161,60 @@ def test_enrichment(spark):
     }
 
 
-def test_shared_link_and_missing_links_are_split(spark):
-    """A third of the rows share one link and a third have none; shuffled joins must keep them all."""
-    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        link = F.when(F.col("id") % 3 == 0, "l/old").when(F.col("id") % 3 == 1, F.concat(F.lit("x/"), "id"))
-        rows = spark.range(9000).select(
-            F.col("id").cast("string").alias("hash"), link.alias("link"), F.lit(None).cast("string").alias("full_text_summary")
-        )
-        pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, error string")
-        enriched = enrich_from_pages(rows, pages)
-        counts = {row[0]: row[1] for row in enriched.groupBy("full_text_summary").count().collect()}
-        assert counts == {"new": 3000, "Could not retrieve full text.": 3000, None: 3000}
-        placed = rows.where("link IS NULL").select(
-            F.coalesce("link", F.concat(F.lit("\u0000"), F.xxhash64("hash", "link").cast("string"))).alias("k")
+SKEW_SETTINGS = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB",
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
+}
+
+
+@pytest.fixture
+def shuffled_joins(spark):
+    """No broadcasts, and thresholds at which test data counts as skewed."""
+    before = {name: spark.conf.get(name, None) for name in SKEW_SETTINGS}
+    for name, value in SKEW_SETTINGS.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
+def test_shared_link_and_missing_links_are_split(spark, shuffled_joins):
+    """A third of the rows share one link and a third have none. No row may be lost, and the join must be split."""
+    link = F.when(F.col("id") % 3 == 0, "l/old").when(F.col("id") % 3 == 1, F.concat(F.lit("x/"), "id"))
+    rows = (
+        spark.range(90000)
+        .repartition(8)
+        .select(
+            F.sha2(F.col("id").cast("string"), 256).alias("hash"),
+            link.alias("link"),
+            F.lit(None).cast("string").alias("full_text_summary"),
         )
-        assert placed.distinct().count() == 3000
-    finally:
-        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    )
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string, error string")
+    enriched = enrich_from_pages(rows, pages)
+    found = enriched.collect()
+    counts = {}
+    for row in found:
+        counts[row.full_text_summary] = counts.get(row.full_text_summary, 0) + 1
+    assert counts == {"new": 30000, "Could not retrieve full text.": 30000, None: 30000}
+    plan = enriched._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin(skew=true)" in plan
+
+
+def test_page_crawled_very_often(spark, shuffled_joins):
+    """A third of all pages are copies of one URL: they meet in no join and no aggregate row by row."""
+    pages = spark.range(3000).select(
+        F.col("id").alias("page_id"),
+        F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("p/"), "id")).alias("url"),
+        F.concat(F.lit("<article>"), "id", F.lit("</article>")).alias("html"),
+    )
+    rows = spark.createDataFrame([("a", "hot", None), ("b", "p/1", None)], "hash string, link string, full_text_summary string")
+    texts = page_texts(pages, rows)
+    assert {tuple(row) for row in texts.collect()} == {("hot", "2997"), ("p/1", "1")}
+    plan = page_texts(pages, rows)._jdf.queryExecution().executedPlan().toString()
+    pages_shuffle = plan[: plan.index("AS html")].rsplit("Exchange", 1)[1].splitlines()[0]
+    assert "hashpartitioning(url" in pages_shuffle and "page_id" in pages_shuffle
