@@ -37,7 +37,7 @@ class DigestSettings:
 
 @dataclass(frozen=True)
 class DigestRun:
-    """Frames of one run. ``new``, ``scored`` and, if kept, ``parsed`` are written tables."""
+    """Frames of one run. ``new``, ``scored``, ``enriched`` and, if kept, ``parsed`` are written tables."""
 
     mails: DataFrame
     parsed: DataFrame
@@ -86,14 +86,15 @@ def run_digest(
     scored = materialize(
         score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions), "scored"
     )
-    reported = articles_for_report(scored, None, settings.high, settings.medium)
-    enriched = enrichment_candidates(reported, settings.high, settings.medium)
+    enriched = enrichment_candidates(scored, settings.high, settings.medium)
     if pages is not None:
-        enriched = enrich_from_pages(enriched, pages)
-        reported = enriched
+        # New articles have no text yet, so the candidates are all that will be reported.
+        enriched = materialize(enrich_from_pages(enriched, pages), "enriched")
+        report = number_reported(enriched, settings)
     else:
         enriched = enriched.where(F.lit(False))
-    return DigestRun(mails, parsed, new, scored, enriched, number_report(reported, settings.high, settings.medium))
+        report = number_reported(scored, settings)
+    return DigestRun(mails, parsed, new, scored, enriched, report)
 
 
 def digest(
@@ -110,7 +111,11 @@ def render(report: DataFrame, settings: DigestSettings) -> DataFrame:
     )
 
 
+def number_reported(store: DataFrame, settings: DigestSettings) -> DataFrame:
+    reported = articles_for_report(store, None, settings.high, settings.medium)
+    return number_report(reported, settings.high, settings.medium)
+
+
 def report_from_store(store: DataFrame, settings: DigestSettings) -> DataFrame:
     """Markdown rows over all stored high and medium articles."""
-    reported = articles_for_report(store, None, settings.high, settings.medium)
-    return render(number_report(reported, settings.high, settings.medium), settings)
+    return render(number_reported(store, settings), settings)

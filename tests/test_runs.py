@@ -1,10 +1,14 @@
+import pytest
 from pyspark.sql import functions as F
 
 from mailquill.operators.score import scored_only
+from mailquill.plans import jobs
 from mailquill.plans.digest import DigestSettings, digest, report_from_store, run_digest
 from mailquill.schema import ARTICLE_SCHEMA, MAIL_SCHEMA
 from mailquill.session import shared_folder
-from mailquill.sources.store import load_store
+from mailquill.sources.mail import write_mail
+from mailquill.sources.state import read_state
+from mailquill.sources.store import current_articles, load_store
 from mailquill.streaming.ingest import start_ingest, store_batch
 from verification import views as v
 
@@ -93,3 +97,34 @@ def test_stream_equals_batch(spark, sf_dir):
     start_ingest(spark, source, store, checkpoint, v.SENDER, "now", files_per_batch=1).awaitTermination()
     run = run_digest(mails, spark.createDataFrame([], ARTICLE_SCHEMA), DigestSettings(v.SENDER, "now"))
     assert hashes(spark, store) == sorted(row.hash for row in run.new.select("hash").collect())
+
+
+def test_jobs_over_one_root(spark):
+    root = shared_folder(spark, "root")
+    pages = spark.createDataFrame([(1, "u/a2", "<article>full</article>")], "page_id long, url string, html string")
+    write_mail(mail(spark, *FIRST), f"{root}/mail")
+    path = jobs.fetch(spark, root, SETTINGS, pages)
+    assert path == f"{root}/reports/digest_report_20240301_083000.md"
+    lines = [row.value for row in spark.read.text(path).collect()]
+    assert lines[0] == "# Digest Report - 2024-03-01" and "- **Full Text Snippet**: full" in lines
+    assert read_state(spark, f"{root}/state").first().last_run == 200.0
+
+    later = DigestSettings(sender="x@e", run_time="2024-03-02 00:00:00")
+    assert jobs.fetch(spark, root, later) is None
+    write_mail(mail(spark, ("m5", "x@e", 250.0, [("Catalyst A", "u", ""), ("DFT E", "u/e", "")])), f"{root}/mail")
+    assert jobs.fetch(spark, root, later) is not None
+    stored = {row.title: (row.score, row.full_text_summary) for row in current_articles(spark, root).collect()}
+    assert stored == {
+        "CATALYST a": ("High", "full"),
+        "Review B": ("Medium", "Could not retrieve full text."),
+        "Battery C": ("Low", None),
+        "DFT E": ("High", None),
+    }
+    assert read_state(spark, f"{root}/state").first().last_run == 250.0
+    assert jobs.set_since(spark, root, "1970-01-01 00:00:50") == 50.0
+    assert read_state(spark, f"{root}/state").first().last_run == 50.0
+    with pytest.raises(ValueError):
+        jobs.fetch(spark, root, later, since="soon")
+    whole = DigestSettings(sender="x@e", run_time="2024-03-03 00:00:00")
+    text = "\n".join(row.value for row in spark.read.text(jobs.report(spark, root, whole)).collect())
+    assert text.count("### [") == 3 and text.index("DFT E") < text.index("CATALYST a") < text.index("Review B")
