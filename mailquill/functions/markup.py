@@ -38,7 +38,8 @@ COMMON_ENTITIES = {
     "&nbsp;": "\u00a0",
     "&hellip;": "\u2026",
 }
-OTHER_ENTITY = r"&(?!amp;)(?:#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,12}|[A-Za-z][A-Za-z0-9]*);"
+ENTITY = r"(?:#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,12}|[A-Za-z][A-Za-z0-9]*);"
+OTHER_ENTITY = r"&(?!(?:amp|lt|gt|quot|#39|apos|nbsp|hellip);)" + ENTITY
 
 REPLACEMENT = "\ufffd"
 
@@ -82,12 +83,12 @@ def _entity(name: Column) -> Column:
     )
 
 
-def _decode_others(text: Column) -> Column:
-    """All references but ``&amp;``. The text is cut before each ``&`` and every piece is looked at once."""
+def _decode_all(text: Column) -> Column:
+    """All references. The text is cut before each ``&`` and every piece is looked at once."""
 
     def piece_text(piece: Column) -> Column:
         return bind(
-            F.regexp_extract(piece, rf"^(?:{OTHER_ENTITY})", 0),
+            F.regexp_extract(piece, rf"^&{ENTITY}", 0),
             lambda found: F.when(found == "", piece).otherwise(
                 F.concat(
                     F.coalesce(_entity(found.substr(F.lit(2), F.length(found) - F.lit(2))), found),
@@ -102,13 +103,14 @@ def _decode_others(text: Column) -> Column:
 def decode_entities(text: Column) -> Column:
     """Character references to characters, each once: ``&amp;lt;`` gives ``&lt;``. Unknown names stay as written.
 
-    ``&amp;`` comes last. Until then an escaped reference cannot be mistaken for a real one.
+    Text with common references only takes plain replacements, with ``&amp;`` last: until then an escaped reference cannot
+    be mistaken for a real one.
     """
     plain = text
-    for entity, value in COMMON_ENTITIES.items():
+    for entity, value in (COMMON_ENTITIES | {"&amp;": "&"}).items():
         plain = F.replace(plain, F.lit(entity), F.lit(value))
-    rest = F.when(text.rlike(OTHER_ENTITY), _decode_others(text)).otherwise(plain)
-    return F.when(F.contains(text, F.lit("&")), F.replace(rest, F.lit("&amp;"), F.lit("&"))).otherwise(text)
+    decoded = F.when(text.rlike(OTHER_ENTITY), _decode_all(text)).otherwise(plain)
+    return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 
 def _attribute_list(attributes: Column) -> Column:

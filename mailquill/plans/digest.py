@@ -15,7 +15,7 @@ from mailquill.operators.enrich import enrich_from_pages, enrichment_candidates
 from mailquill.operators.explode import explode_alerts
 from mailquill.operators.report import articles_for_report, number_report, report_document
 from mailquill.operators.score import score_articles, scored_only
-from mailquill.session import materialize
+from mailquill.session import materialize, shared_folder
 from mailquill.sources.mail import scan_mail
 
 
@@ -58,15 +58,15 @@ class DigestRun:
         )
 
 
-def new_articles(parsed: DataFrame, store: DataFrame, added_at: str, large_store: bool = False) -> DataFrame:
+def new_articles(parsed: DataFrame, store: DataFrame, added_at: str, probe_folder: str | None = None) -> DataFrame:
     """Parsed articles to stored rows: hashed, first of each title, not stored before.
 
-    One shuffle by hash serves both the dedup and the check against the store. With ``large_store`` the few first rows
-    are written and the store is probed with them, so it is scanned and not shuffled.
+    One shuffle by hash serves both the dedup and the check against the store. For a store far larger than the batch name
+    a ``probe_folder``: the first rows are written over it and probe the store, which is then scanned and not shuffled.
     """
     first = dedup_first(with_hash(parsed), "hash", newest_mail_first())
-    if large_store:
-        return stamp(only_new_probe(materialize(first, "first"), store), added_at)
+    if probe_folder:
+        return stamp(only_new_probe(materialize(first, path=probe_folder), store), added_at)
     return stamp(only_new(first, store), added_at)
 
 
@@ -82,7 +82,8 @@ def run_digest(
     parsed = explode_alerts(mails)
     if settings.keep_parsed:
         parsed = materialize(parsed, "parsed")
-    new = materialize(new_articles(parsed, store, settings.run_time, settings.large_store), "new")
+    probe_folder = shared_folder(mail.sparkSession, "first") if settings.large_store else None
+    new = materialize(new_articles(parsed, store, settings.run_time, probe_folder), "new")
     scored = materialize(
         score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions), "scored"
     )

@@ -38,13 +38,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/mailquill-{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str = "cut") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def materialize(df: DataFrame, name: str = "cut", path: str | None = None) -> DataFrame:
+    """Write ``df`` to a new shared folder, or over ``path``, and read it back.
 
     The files survive lost executors, later readers prune columns in them, and their size on disk gives the planner real
     statistics for its broadcast decisions.
     """
     spark = df.sparkSession
-    path = shared_folder(spark, name)
-    df.write.parquet(path)
+    path = path or shared_folder(spark, name)
+    df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from mailquill.operators.explode import explode_alerts
 from mailquill.plans.digest import new_articles
 from mailquill.schema import ARTICLE_SCHEMA, MAIL_SCHEMA
+from mailquill.session import shared_folder
 
 STORED_SCHEMA = T.StructType([*ARTICLE_SCHEMA, T.StructField("batch_id", T.LongType())])
 
@@ -24,14 +25,15 @@ def stored_articles(spark: SparkSession, store: str) -> DataFrame:
         return spark.createDataFrame([], STORED_SCHEMA)
 
 
-def store_batch(mail: DataFrame, batch_id: int, store: str, added_at: str) -> None:
+def store_batch(mail: DataFrame, batch_id: int, store: str, added_at: str, work: str) -> None:
     """Store the new articles of one batch in a folder of its own.
 
     A batch that is replayed after a failure looks only at earlier batches and overwrites its own folder, so it stores
-    the same rows again and not twice. The store is probed with the batch: it grows without end, a batch does not.
+    the same rows again and not twice. The store is probed with the batch, which is written to
+    ``work`` over the one before: the store grows without end, a batch does not.
     """
     earlier = stored_articles(mail.sparkSession, store).where(F.col("batch_id") < batch_id)
-    new = new_articles(explode_alerts(mail), earlier, added_at, large_store=True)
+    new = new_articles(explode_alerts(mail), earlier, added_at, work)
     new.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
 
@@ -47,8 +49,10 @@ def start_ingest(
     """Ingest every file in ``source`` that was not read before, then stop. The checkpoint is the run state.
 
     Deduplication is against the store and not in stream state: a title from long ago must still be dropped, and stream
-    state would have to hold every title ever seen.
+    state would have to hold every title ever seen. Articles stored before the stream began belong in a folder
+    ``batch_id=-1`` of the store.
     """
+    work = shared_folder(spark, "first")
     mail = (
         spark.readStream.schema(MAIL_SCHEMA)
         .option("maxFilesPerTrigger", files_per_batch)
@@ -56,7 +60,7 @@ def start_ingest(
         .where(F.col("sender") == sender)
     )
     return (
-        mail.writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, store, added_at))
+        mail.writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, store, added_at, work))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

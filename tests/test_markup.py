@@ -85,6 +85,8 @@ def test_mail_without_body(spark):
         ("&#65;&#x42;&#X43; &eacute;&hellip;&middot;&copy;", "ABC é…·©"),
         ("&#150;&#x80;", "–€"),
         ("&#0; &#xD800; &#1114112; &#x1F600;", "� � � \U0001f600"),
+        ("&#38;amp; &AMP;lt; &amp;hellip; &#38;lt; &eacute;", "&amp; &lt; &hellip; &lt; é"),
+        ("&#38;amp;", "&amp;"),
         ("&unknown; &copy &eacute;", "&unknown; &copy é"),
         ("&NotEqualTilde;", "≂̸"),
         (None, None),

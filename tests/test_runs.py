@@ -43,6 +43,8 @@ def test_run(spark):
     again = run_digest(mail(spark, *FIRST), run.scored, SETTINGS)
     assert again.new.count() == 0
     assert [row.block for row in digest(mail(spark, *FIRST), run.scored, SETTINGS).collect()] == ["No articles to report."]
+    probed = run_digest(mail(spark, *FIRST), run.scored, DigestSettings("x@e", "t", large_store=True))
+    assert probed.new.count() == 0
     late = run_digest(mail(spark, *FIRST), store, DigestSettings("x@e", "t", since=150.5, high="Top"))
     assert {row.title for row in late.new.collect()} == {"CATALYST a", "Battery C"}
     assert report_from_store(run.scored, SETTINGS).count() == 6
@@ -85,8 +87,8 @@ def test_stream_resumes_and_replays(spark):
     grown = ingest()
     assert len(grown) == 4 and set(once) < set(grown)
     last = spark.read.parquet(store).agg(F.max("batch_id")).first()[0]
-    store_batch(more, last, store, "now")
-    store_batch(more, last, store, "now")
+    store_batch(more, last, store, "now", shared_folder(spark, "work"))
+    store_batch(more, last, store, "now", shared_folder(spark, "work"))
     assert hashes(spark, store) == grown
 
 
