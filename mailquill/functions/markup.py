@@ -44,7 +44,7 @@ OTHER_ENTITY = r"&(?!(?:amp|lt|gt|quot|#39|apos|nbsp|hellip);)" + ENTITY
 REPLACEMENT = "\ufffd"
 
 # Spark compiles the pattern of a split anew for every row, but keeps that of a replacement. So text is cut by putting
-# this character, which no mail holds, at the cuts, and splitting there.
+# this character at the cuts and splitting there. ``hide_invisible`` has replaced it before, as browsers do.
 CUT = "\u0000"
 
 
@@ -138,7 +138,7 @@ def has_class(tag: Column, name: str, token: str) -> Column:
 
 def hide_invisible(markup: Column) -> Column:
     """Comments, scripts and styles out. A void tag stays in their place, so text nodes around them stay apart."""
-    return F.regexp_replace(markup, INVISIBLE, "<wbr>")
+    return F.regexp_replace(F.replace(markup, F.lit(CUT), F.lit(REPLACEMENT)), INVISIBLE, "<wbr>")
 
 
 def visible_text(markup: Column, separator: str) -> Column:

@@ -55,6 +55,7 @@ TITLE = '<h3><a href="u" class="gse_alrt_title">T</a></h3>'
         (TITLE + "<div class='gse_alrt_sni'>line one\n  line two</div>", [("T", "u", "line one\n  line two")]),
         ("<h3><a href='u' class='gse_alrt_title'>open", [("open", "u", "")]),
         ("<!-- open" + TITLE, []),
+        ("<h3><a href='u' class='gse_alrt_title'>a\0b</a></h3>\0<div class='gse_alrt_sni'>c\0</div>", [("a\ufffdb", "u", "c\ufffd")]),
         (TITLE + "<scripted>" + TITLE, [("T", "u", ""), ("T", "u", "")]),
         ("<h3x><a href='u' class='gse_alrt_title'>T</a></h3x>", []),
     ],
