@@ -50,7 +50,7 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.row_number().over(place) - 1).alias("position"),
             F.trim(lines[0]).alias("title"),
             F.coalesce("url", own_link).alias("link"),
-            F.transform(F.slice(lines, 2, F.size(lines)), F.trim).alias("parts"),
+            F.transform(F.slice(lines, 2, F.size(lines)), lambda line: F.trim(line)).alias("parts"),
         )
         .withColumn("summary", F.array_join("parts", ""))
     )
