@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquill.llm import exact_dedup, packing, quality, sentence_pieces
+from mailquill.llm import exact_dedup, packing, quality, sentence_pieces, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,11 +35,16 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir), largest=True)
 
 
+def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_sentence_pieces": op4_sentence_pieces,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
+    "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
 ORACLES: dict[str, str] = {
