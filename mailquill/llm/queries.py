@@ -8,19 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquill.llm import exact_dedup, packing, quality, sentence_pieces, simhash
+from mailquill.llm import exact_dedup, license_scan, line_dedup, packing, quality, sentence_pieces, simhash
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_licenses(documents(spark, sf_dir))
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     digest = sentence_pieces.encode_digest(F.col("text"), model)
     return documents(spark, sf_dir).select("doc_id", digest.alias("digest")).select("doc_id", "digest.*")
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_dedup_report(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokenizer = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_digest(documents(spark, sf_dir), tokenizer)
@@ -40,14 +48,64 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_license_scan": op2_license_scan,
     "op4_sentence_pieces": op4_sentence_pieces,
+    "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
 }
 
+def _license_sql() -> str:
+    values = ", ".join(
+        f"({n}, '{label}', {license_scan.template_words(text)!r})" for n, (label, text) in enumerate(license_scan.TEMPLATES)
+    )
+    phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in license_scan.PHRASES.items())
+    return rf"""
+WITH templates(template, label, own) AS (VALUES {values}), phrases(phrase, label) AS (VALUES {phrases}),
+folded AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
+           FROM documents),
+worded AS (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM folded),
+placed AS (SELECT doc_id, label, unnest(list_filter(range(0, len(words)),
+             lambda i: array_to_string(words[i + 1 : i + len(string_split(phrase, ' '))], ' ') = phrase)) AS place
+           FROM worded, phrases
+           WHERE contains(' ' || array_to_string(words, ' ') || ' ', ' ' || phrase || ' ')),
+base AS (SELECT doc_id, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list(DISTINCT label) AS labels
+         FROM placed GROUP BY doc_id),
+lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS words
+          FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM folded)),
+alike AS (SELECT doc_id, label, len(list_intersect(words, own)) / len(own)::DOUBLE AS contained
+            FROM lines, templates WHERE len(list_intersect(words, own)) >= ceil(round({license_scan.CONTAINMENT} * len(own), 9))),
+hits AS (SELECT doc_id, max(contained) AS contained, list(DISTINCT label) AS labels FROM alike GROUP BY doc_id)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(hits.labels, [])))), ',') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(contained, 0.0)::DOUBLE END AS score
+FROM worded LEFT JOIN base USING (doc_id) LEFT JOIN hits USING (doc_id)
+"""
+
+
+LINE_DEDUP_SQL = r"""
+WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+coded AS (SELECT *, list_transform(lines, lambda line: ('0x' || substr(md5(line), 1, 8))::BIGINT) AS codes FROM split),
+ended AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i:
+            i = len(lines) OR (i >= 2 AND (codes[i] + 31 * codes[greatest(i - 1, 1)]) % 3 = 0)) AS ends FROM coded),
+numbered AS (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS no FROM ended),
+cut AS (SELECT doc_id, no, CASE WHEN no = 1 THEN 1 ELSE ends[no - 1] + 1 END AS first, ends[no] AS last, lines FROM numbered),
+chunks AS (SELECT doc_id, no, last - first + 1 AS n_lines, array_to_string(lines[first : last], chr(10)) AS text FROM cut),
+ranked AS (SELECT *, n_lines >= 2 AND regexp_matches(text, '\S')
+             AND row_number() OVER (PARTITION BY text ORDER BY doc_id, no) > 1 AS removed FROM chunks)
+SELECT doc_id, CAST(sum(n_lines) AS BIGINT) AS n_lines, count(*) AS n_chunks,
+       coalesce(string_agg(CASE WHEN removed THEN no::VARCHAR END, ',' ORDER BY no), '') AS removed_chunks,
+       CAST(coalesce(sum(n_lines) FILTER (removed), 0) AS BIGINT) AS n_removed_lines,
+       sha256(coalesce(string_agg(CASE WHEN NOT removed THEN text END, chr(10) ORDER BY no), '')) AS text_sha256
+FROM ranked GROUP BY doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op2_license_scan": _license_sql(),
+    "op5_line_dedup": LINE_DEDUP_SQL,
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        row_number() OVER (same ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
