@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquill.llm import exact_dedup, license_scan, line_dedup, packing, quality, sentence_pieces, simhash
+from mailquill.llm import exact_dedup, license_scan, line_dedup, ngram_model, packing, quality, sentence_pieces, simhash
+from mailquill.llm.common import in_fold
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -47,6 +48,17 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
 
 
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = in_fold(F.col("doc_id"), 7, 2)
+    model = ngram_model.fit(docs.where(~held_out).select("text"))
+    scored = docs.select("doc_id", held_out.alias("held_out"), ngram_model.score_texts(docs, model).alias("s"))
+    return scored.select(
+        "doc_id", "held_out", "s.n_tokens", "s.n_known", F.lit(model.tokens).cast("bigint").alias("train_tokens"),
+        "s.base_score", "s.score", F.pow(F.lit(10.0), -F.col("s.score") / F.col("s.n_tokens")).alias("perplexity"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_license_scan": op2_license_scan,
     "op4_sentence_pieces": op4_sentence_pieces,
@@ -55,6 +67,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_lm_scoring": op10_lm_scoring,
 }
 
 def _license_sql() -> str:
