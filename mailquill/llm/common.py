@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,3 +40,38 @@ def bounded_sample(df: DataFrame, by: str, key: Column, bound: int) -> DataFrame
     shares = F.create_map(*[F.lit(x) for label, n in counts.items() for x in (label, min(1.0, bound / n))])
     place = F.pmod(F.xxhash64(key.cast("string"), F.lit("sample")), F.lit(1 << 30)) / F.lit(float(1 << 30))
     return df.where(F.col(by).isNotNull() & (place < shares[F.col(by)]))
+
+
+#: Texts that a Python worker holds at once beside the batch it got.
+SLICE = 256
+
+
+def slices(batch: pd.Series) -> Iterable[list[str]]:
+    """The texts of a batch, few at a time, with NULL as empty."""
+    for at in range(0, len(batch), SLICE):
+        yield [text or "" for text in batch.iloc[at : at + SLICE]]
+
+
+class RecentTable:
+    """A task's table of distinct words, each worked out once while it is in use.
+
+    ``fill`` gives the values of new words. Two generations of at most ``limit`` words (or one slice's) bound the memory:
+    a full one becomes the old one, from which words move over when they come again, and the former old one is dropped.
+    """
+
+    def __init__(self, fill: Callable[[list[str]], Iterable], limit: int = 250_000):
+        self.fill, self.limit, self.young, self.old = fill, limit, {}, {}
+
+    def of(self, words: set[str]) -> dict:
+        """A table that holds all of ``words``."""
+        new = words.difference(self.young)
+        if new and len(self.young) + len(new) > self.limit:
+            self.young, self.old, new = {}, self.young, words
+        unknown = []
+        for word in new:
+            if word in self.old:
+                self.young[word] = self.old[word]
+            else:
+                unknown.append(word)
+        self.young.update(zip(unknown, self.fill(unknown)))
+        return self.young

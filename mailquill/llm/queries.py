@@ -8,18 +8,54 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquill.llm import exact_dedup, license_scan, line_dedup, ngram_model, packing, quality, sentence_pieces, simhash
+from mailquill.llm import (
+    exact_dedup,
+    language_id,
+    license_scan,
+    line_dedup,
+    ngram_model,
+    packing,
+    quality,
+    sentence_pieces,
+    simhash,
+    toxicity,
+)
 from mailquill.llm.common import in_fold
 
+TOXIC_FROM = 0.3
+
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = in_fold(F.col("doc_id"), 5, 0)
+    model = language_id.fit(docs.where(~held_out).select(F.col("doc_id").alias("id"), "text", "lang"))
+    predicted = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(docs, model).alias("p"))
+    return predicted.select("doc_id", "held_out", "p.*")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan_licenses(documents(spark, sf_dir))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    held_out = in_fold(F.col("doc_id"), 4, 2)
+    model = toxicity_model(spark, sf_dir, docs)
+    scored = docs.select("doc_id", held_out.alias("held_out"), toxicity.score(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= TOXIC_FROM).cast("int"))
+
+
+def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicity.ToxicityModel:
+    """Learned from the labelled rows of ``docs`` that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(~in_fold(F.col("doc_id"), 4, 2))
+    known = docs.select(F.col("doc_id").alias("id"), "text")
+    return toxicity.fit(known, labels.select(F.col("doc_id").alias("id"), "toxic"))
+
+
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     digest = sentence_pieces.encode_digest(F.col("text"), model)
@@ -60,7 +96,9 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_sentence_pieces": op4_sentence_pieces,
     "op5_line_dedup": op5_line_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
