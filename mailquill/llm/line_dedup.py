@@ -65,11 +65,12 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, divisor:
     sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")
     marks = materialize(chunks.select("id", "key", "no", "hash", sha), "chunk-marks")
     repeated = materialize(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
+    # The joins' smaller sides grow with the corpus and have no bound, so all of them are merge joins at every size.
     # Texts only of repeated hashes; grouping by the bytes tells colliding chunks apart and combines copies before the shuffle.
     place = F.struct("id", "key", "no")
-    classes = chunks.join(repeated, "hash").groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    classes = chunks.join(repeated.hint("merge"), "hash").groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.where("n > 1").select("hash", sha, "first"), "classes")
-    later = marks.join(classes, ["hash", "sha"]).where(~place.eqNullSafe(F.col("first")))
+    later = marks.join(classes.hint("merge"), ["hash", "sha"]).where(~place.eqNullSafe(F.col("first")))
     return materialize(later.groupBy("id", "key").agg(F.collect_set("no").alias("removed")), "removed-chunks")
 
 
@@ -77,13 +78,13 @@ def _kept(chunks: Column, removed: Column) -> Column:
     return F.filter(chunks, lambda chunk: removed.isNull() | ~F.array_contains(removed, chunk["no"]))
 
 
-def _joined(docs: DataFrame, id_col: str, text_col: str, window: int, divisor: int) -> tuple[DataFrame, str, str]:
+def _joined(docs: DataFrame, id_col: str, text_col: str, window: int, divisor: int) -> tuple[DataFrame, str]:
     removed = _removed(docs, id_col, text_col, window, divisor)
-    key, numbers = fresh(docs, "text_key"), fresh(docs, "removed_chunks")
-    removed = removed.select(F.col("id").alias("_id_"), F.col("key").alias("_key_"), F.col("removed").alias(numbers))
+    key, numbers, own_id, own_key = (fresh(docs, x) for x in ("text_key", "removed_chunks", "own_id", "own_key"))
+    removed = removed.select(F.col("id").alias(own_id), F.col("key").alias(own_key), F.col("removed").alias(numbers))
     marked = docs.withColumn(key, _hash128(F.coalesce(F.col(text_col), F.lit(""))))
-    same = marked[id_col].eqNullSafe(removed["_id_"]) & (marked[key] == removed["_key_"])
-    return marked.join(removed, same, "left").drop(removed["_id_"], removed["_key_"]), key, numbers
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key))
+    return marked.join(removed.hint("merge"), same, "left").drop(own_id, own_key), numbers
 
 
 def remove_repeated_chunks(
@@ -95,7 +96,7 @@ def remove_repeated_chunks(
     id and text are one document, whose chunks stay or go in all of them alike. Chunks of one line or without a visible
     character stay. A text that loses all its chunks becomes empty; a NULL text stays NULL.
     """
-    joined, key, numbers = _joined(docs, id_col, text_col, window, divisor)
+    joined, numbers = _joined(docs, id_col, text_col, window, divisor)
     texts = F.transform(_kept(line_chunks(F.col(text_col), window, divisor), F.col(numbers)), lambda chunk: chunk["text"])
     text = F.when(F.col(numbers).isNull(), F.col(text_col)).otherwise(F.array_join(texts, "\n"))
     return joined.withColumn(text_col, text).select(docs.columns)
@@ -108,7 +109,7 @@ def line_dedup_report(
 
     NULL counts as an empty text, which is one empty line.
     """
-    joined, key, numbers = _joined(docs, id_col, text_col, window, divisor)
+    joined, numbers = _joined(docs, id_col, text_col, window, divisor)
     chunks = joined.select(
         F.col(id_col).alias("id"),
         F.coalesce(F.col(numbers), F.array().cast("array<int>")).alias("removed"),
