@@ -81,13 +81,15 @@ def near_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if not 2 <= radius <= 3:
         raise ValueError("variants within one bit meet for a radius of 2 or 3")
-    emitted = fingerprints.select("fp", F.explode(_variants(F.col("fp"))).alias("v")).select("fp", "v.variant", "v.left_out")
+    # Few bytes become many rows, so tasks are dealt out by number; the joins' smaller sides have no bound, so all are merge joins.
+    tasks = int(fingerprints.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    emitted = fingerprints.repartition(tasks, "fp").select("fp", F.explode(_variants(F.col("fp"))).alias("v")).select("fp", "v.variant", "v.left_out")
     shared = emitted.groupBy("variant").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low < high")
     shared = materialize(shared.select("variant"), "shared")
-    met = materialize(emitted.join(shared, "variant"), "met")
+    met = materialize(emitted.join(shared.hint("merge"), "variant"), "met")
 
     hubs = met.groupBy("variant", "left_out").agg(F.min("fp").alias("hub"), F.max("fp").alias("top")).where("hub < top")
-    stars = met.join(hubs, ["variant", "left_out"]).where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    stars = met.join(hubs.hint("merge"), ["variant", "left_out"]).where("fp != hub").select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     stars = materialize(stars.distinct(), "stars")
 
     joined = materialize(components(stars), "stars-joined")
@@ -97,10 +99,10 @@ def near_links(fingerprints: DataFrame, radius: int = RADIUS) -> DataFrame:
     placed = materialize(placed, "placed")
     open_ = placed.groupBy("variant").agg(F.min("component").alias("low"), F.max("component").alias("high"))
     open_ = materialize(open_.where("low < high").select("variant"), "open")
-    rest = materialize(placed.join(open_, "variant").distinct(), "compare")
+    rest = materialize(placed.join(open_.hint("merge"), "variant").distinct(), "compare")
     other = rest.select("variant", F.col("fp").alias("fp_b"), F.col("component").alias("component_b"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("fp_b"))) <= radius
-    pairs = rest.join(other, "variant").where((F.col("component") < F.col("component_b")) & near)
+    pairs = rest.join(other.hint("merge"), "variant").where((F.col("component") < F.col("component_b")) & near)
     return stars.unionAll(pairs.select(F.col("fp").alias("a"), F.col("fp_b").alias("b")).distinct())
 
 
@@ -124,7 +126,7 @@ def near_duplicates(
     first = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = materialize(labelled.join(first, "component").select("fp", "component_id"), "component-ids")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
-    return rows.join(ids, "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
+    return rows.join(ids.hint("merge"), "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -135,8 +137,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """
     own = fresh(docs, "fingerprint")
     found = near_duplicates(docs, id_col, text_col, **how).where(F.col(id_col) > F.col("component_id"))
-    gone = found.select(F.col(id_col).alias("gone"), F.col("fingerprint").alias("gone_fp")).distinct()
+    gone_id, gone_fp = fresh(docs, "gone_id"), fresh(docs, "gone_fingerprint")
+    gone = found.select(F.col(id_col).alias(gone_id), F.col("fingerprint").alias(gone_fp)).distinct()
     digits = F.lpad(F.lower(F.hex(fingerprint(F.col(text_col), how.get("shingle_words", 3)))), 16, "0")
     marked = docs.withColumn(own, digits)
-    same = (F.col(id_col) == F.col("gone")) & (F.col(own) == F.col("gone_fp"))
+    same = (F.col(id_col) == F.col(gone_id)) & (F.col(own) == F.col(gone_fp))
     return marked.join(materialize(gone, "gone"), same, "left_anti").drop(own)
