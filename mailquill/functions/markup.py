@@ -38,8 +38,11 @@ COMMON_ENTITIES = {
     "&nbsp;": "\u00a0",
     "&hellip;": "\u2026",
 }
-ENTITY = r"(?:#[0-9]{1,12}|#[xX][0-9a-fA-F]{1,12}|[A-Za-z][A-Za-z0-9]*);"
-OTHER_ENTITY = r"&(?!(?:amp|lt|gt|quot|#39|apos|nbsp|hellip);)" + ENTITY
+# Numbers need no semicolon. Names need theirs in attributes, where "&" also parts the fields of a link, but not in text.
+NUMBER = r"#[0-9]++;?|#[xX][0-9a-fA-F]++;?"
+IN_ATTRIBUTE = rf"(?:{NUMBER}|[A-Za-z][A-Za-z0-9]*+;)"
+IN_TEXT = rf"(?:{NUMBER}|[A-Za-z][A-Za-z0-9]*+;?)"
+OTHER = r"&(?!(?:amp|lt|gt|quot|#39|apos|nbsp|hellip);)"
 
 REPLACEMENT = "\ufffd"
 
@@ -72,26 +75,33 @@ def _character(number: Column) -> Column:
 def _entity(name: Column) -> Column:
     """Character for the inside of one reference, NULL for an unknown name."""
     table = F.from_json(F.lit(_entity_table()), "map<string,string>")
-    digits = F.when(name.rlike("^#[xX]"), F.conv(F.substring(name, 3, 12), 16, 10)).when(
-        name.startswith("#"), F.substring(name, 2, 12)
+    decimal = F.regexp_extract(name, "^#0*([0-9]*)$", 1)
+    hexadecimal = F.regexp_extract(name, "^#[xX]0*([0-9a-fA-F]*)$", 1)
+    beyond = F.lit(0x110000)  # more digits than any character has
+    number = F.when(
+        name.rlike("^#[xX]"),
+        F.when(F.length(hexadecimal) > 8, beyond).otherwise(F.conv(F.concat(F.lit("0"), hexadecimal), 16, 10).cast("long")),
+    ).when(
+        name.startswith("#"),
+        F.when(F.length(decimal) > 10, beyond).otherwise(F.concat(F.lit("0"), decimal).cast("long")),
     )
     return bind(
-        digits.cast("long"),
+        number,
         lambda number: F.coalesce(
             F.element_at(table, F.coalesce(F.concat(F.lit("#"), number.cast("string")), name)), _character(number)
         ),
     )
 
 
-def _decode_all(text: Column) -> Column:
+def _decode_all(text: Column, entity: str) -> Column:
     """All references. The text is cut before each ``&`` and every piece is looked at once."""
 
     def piece_text(piece: Column) -> Column:
         return bind(
-            F.regexp_extract(piece, rf"^&{ENTITY}", 0),
+            F.regexp_extract(piece, rf"^&{entity}", 0),
             lambda found: F.when(found == "", piece).otherwise(
                 F.concat(
-                    F.coalesce(_entity(found.substr(F.lit(2), F.length(found) - F.lit(2))), found),
+                    F.coalesce(_entity(F.regexp_extract(found, "^&([^;]*)", 1)), found),
                     piece.substr(F.length(found) + F.lit(1), F.length(piece)),
                 )
             ),
@@ -100,16 +110,18 @@ def _decode_all(text: Column) -> Column:
     return F.array_join(F.transform(cut_at(text, "&", "&"), piece_text), "")
 
 
-def decode_entities(text: Column) -> Column:
+def decode_entities(text: Column, form: str = IN_TEXT) -> Column:
     """Character references to characters, each once: ``&amp;lt;`` gives ``&lt;``. Unknown names stay as written.
 
+    In text a name may lack its semicolon; pass ``IN_ATTRIBUTE`` for the values of attributes.
+
     Text with common references only takes plain replacements, with ``&amp;`` last: until then an escaped reference cannot
     be mistaken for a real one.
     """
     plain = text
     for entity, value in (COMMON_ENTITIES | {"&amp;": "&"}).items():
         plain = F.replace(plain, F.lit(entity), F.lit(value))
-    decoded = F.when(text.rlike(OTHER_ENTITY), _decode_all(text)).otherwise(plain)
+    decoded = F.when(text.rlike(OTHER + form), _decode_all(text, form)).otherwise(plain)
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)
 
 

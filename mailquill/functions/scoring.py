@@ -47,13 +47,9 @@ def excluded_by(text: Column, keywords) -> Column:
     hit = F.lit(None).cast("string")
     if not keywords:
         return hit
-    if len(keywords) > 50:  # one array keeps the generated code small
-        listed = F.array(*[F.lit(word) for word in keywords])
-        return F.get(F.filter(listed, lambda word: F.contains(text, F.lower(word))), F.lit(0))
-    branches = F.when(F.contains(text, F.lower(F.lit(keywords[0]))), F.lit(keywords[0]))
-    for word in keywords[1:]:
-        branches = branches.when(F.contains(text, F.lower(F.lit(word))), F.lit(word))
-    return branches
+    # One array of constants keeps the generated code small, however many words there are.
+    pairs = [F.struct(F.lit(word).alias("word"), F.lower(F.lit(word)).alias("lower")) for word in keywords]
+    return F.get(F.filter(F.array(*pairs), lambda pair: F.contains(text, pair["lower"])), F.lit(0))["word"]
 
 
 def exclusion_reason(text: Column, keywords) -> Column:

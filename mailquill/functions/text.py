@@ -62,13 +62,17 @@ def since_bound(text: Column) -> Column:
 
 
 def header_date(header: Column) -> Column:
-    """Mail ``Date`` header to epoch seconds. A bad or missing date is NULL and the mail is kept."""
+    """Mail ``Date`` header to epoch seconds; ``Z``, ``GMT`` and ``UT`` are zone zero.
+
+    A bad or missing date is NULL and the mail is kept.
+    """
     plain = F.trim(F.regexp_replace(F.split_part(header, F.lit(" ("), F.lit(1)), r"\s+", " "))
     # Spark has no weekday letter for parsing, so the name is checked and left out.
     shape = (
         r"(?i)^(?:mon|tue|wed|thu|fri|sat|sun), "
-        r"(\d{1,2} [a-z]{3} \d{4} \d{1,2}:\d{1,2}:\d{1,2}) ([+-]\d{2}):?(\d{2})$"
+        r"(\d{1,2} [a-z]{3} \d{4} \d{1,2}:\d{1,2}:\d{1,2}) (?:([+-]\d{2}):?(\d{2})|Z|GMT|UT)$"
     )
     parts = [F.regexp_extract(plain, shape, group) for group in (1, 2, 3)]
-    normal = F.concat(parts[0], F.lit(" "), parts[1], parts[2])
+    zone = F.coalesce(F.nullif(F.concat(parts[1], parts[2]), F.lit("")), F.lit("+0000"))
+    normal = F.concat(parts[0], F.lit(" "), zone)
     return F.unix_timestamp(F.try_to_timestamp(normal, F.lit("d MMM yyyy H:m:s Z"))).cast("double")

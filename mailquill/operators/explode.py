@@ -9,6 +9,7 @@ from mailquill.functions.markup import (
     ATTRIBUTES,
     attribute,
     cut_at,
+    IN_ATTRIBUTE,
     decode_entities,
     has_class,
     hide_invisible,
@@ -69,7 +70,7 @@ def explode_alerts(mail: DataFrame) -> DataFrame:
         "email_date",
         "position",
         visible_text(F.col("inside"), "").alias("title"),
-        decode_entities(F.col("href")).alias("link"),
+        decode_entities(F.col("href"), IN_ATTRIBUTE).alias("link"),
         visible_text(F.col("below"), "").alias("summary"),
     )
     complete = F.filter(

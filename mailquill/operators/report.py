@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquill.functions.scoring import HIGH, LOW, MEDIUM
-from mailquill.functions.text import readable, report_snippet
+from mailquill.functions.text import REPORT_TEXT_LIMIT, readable, report_snippet
 from mailquill.operators.dedup import restrict_to
 from mailquill.operators.ranking import number_rows
 
@@ -58,7 +58,9 @@ def _line(label: str, value: Column) -> Column:
     return F.when(value != "", F.concat(F.lit(label), value))
 
 
-def report_block(title="title", link="link", score="score", reason="reason") -> Column:
+def report_block(
+    title="title", link="link", score="score", reason="reason", snippet_length: int = REPORT_TEXT_LIMIT
+) -> Column:
     """Markdown of one article. Lines without content are left out; nothing is escaped."""
     empty = F.lit("")
     return F.concat_ws(
@@ -67,7 +69,7 @@ def report_block(title="title", link="link", score="score", reason="reason") ->
         F.concat(F.lit(SCORE_LINE), F.coalesce(score, empty)),
         F.concat(F.lit(REASON_LINE), F.coalesce(reason, empty)),
         _line(SUMMARY_LINE, F.col("summary")),
-        _line(SNIPPET_LINE, report_snippet(F.col("full_text_summary"))),
+        _line(SNIPPET_LINE, report_snippet(F.col("full_text_summary"), snippet_length)),
         F.concat(F.lit(DATE_LINE), readable(F.col("email_date"))),
     )
 
@@ -79,6 +81,7 @@ def report_document(
     title: str = "Digest Report",
     high: str = HIGH,
     medium: str = MEDIUM,
+    snippet_length: int = REPORT_TEXT_LIMIT,
 ) -> DataFrame:
     """The report as rows ``section_no, row_no, block``, to be read in that order.
 
@@ -87,7 +90,7 @@ def report_document(
     blocks = numbered.where(F.col("score").isin(high, medium)).select(
         tier_rank(F.col("score"), high, medium).alias("section_no"),
         F.col("row_no").cast("long").alias("row_no"),
-        report_block().alias("block"),
+        report_block(snippet_length=snippet_length).alias("block"),
     )
     frame = [
         (0, f"# {title} - {run_date}"),

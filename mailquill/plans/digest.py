@@ -8,14 +8,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mailquill.functions.scoring import HIGH, MEDIUM, WordRules
+from mailquill.functions.text import PAGE_TEXT_LIMIT, REPORT_TEXT_LIMIT
 from mailquill.operators.align import stamp, with_hash
 from mailquill.operators.counters import run_counters
-from mailquill.operators.dedup import dedup_first, newest_mail_first, only_new, only_new_probe
-from mailquill.operators.enrich import enrich_from_pages, enrichment_candidates
+from mailquill.operators.dedup import dedup_first, newest_mail_first, only_new_probe
+from mailquill.operators.enrich import FAILED_LIMIT, enrich_from_pages, enrichment_candidates
 from mailquill.operators.explode import explode_alerts
 from mailquill.operators.report import articles_for_report, number_report, report_document
 from mailquill.operators.score import score_articles, scored_only
-from mailquill.session import materialize, shared_folder
+from mailquill.session import materialize
 from mailquill.sources.mail import scan_mail
 
 
@@ -24,6 +25,7 @@ class DigestSettings:
     sender: str
     run_time: str
     since: float | None = None
+    after: int | None = None
     high: str = HIGH
     medium: str = MEDIUM
     rules: WordRules = field(default_factory=WordRules)
@@ -31,13 +33,15 @@ class DigestSettings:
     scorer: object = None
     partitions: int | None = None
     title: str = "Digest Report"
-    large_store: bool = False
+    text_length: int = PAGE_TEXT_LIMIT
+    failure_length: int = FAILED_LIMIT
+    snippet_length: int = REPORT_TEXT_LIMIT
     keep_parsed: bool = False
 
 
 @dataclass(frozen=True)
 class DigestRun:
-    """Frames of one run. ``new``, ``scored``, ``enriched`` and, if kept, ``parsed`` are written tables."""
+    """Frames of one run. ``scored``, ``enriched`` and, if kept, ``parsed`` are written tables; every new row is scored."""
 
     mails: DataFrame
     parsed: DataFrame
@@ -61,13 +65,11 @@ class DigestRun:
 def new_articles(parsed: DataFrame, store: DataFrame, added_at: str, probe_folder: str | None = None) -> DataFrame:
     """Parsed articles to stored rows: hashed, first of each title, not stored before.
 
-    One shuffle by hash serves both the dedup and the check against the store. For a store far larger than the batch name
-    a ``probe_folder``: the first rows are written over it and probe the store, which is then scanned and not shuffled.
+    The first rows are written, over ``probe_folder`` if there is one, and probe the store: by their true size Spark
+    decides whether to broadcast their hashes, and then the store is scanned and not shuffled.
     """
     first = dedup_first(with_hash(parsed), "hash", newest_mail_first())
-    if probe_folder:
-        return stamp(only_new_probe(materialize(first, path=probe_folder), store), added_at)
-    return stamp(only_new(first, store), added_at)
+    return stamp(only_new_probe(materialize(first, "first", probe_folder), store), added_at)
 
 
 def run_digest(
@@ -78,24 +80,24 @@ def run_digest(
     Scores are written before anything reads them, so a scorer is called once per article however often an executor is
     lost later.
     """
-    mails = scan_mail(mail, settings.sender, settings.since)
+    mails = scan_mail(mail, settings.sender, settings.since, settings.after)
     parsed = explode_alerts(mails)
     if settings.keep_parsed:
         parsed = materialize(parsed, "parsed")
-    probe_folder = shared_folder(mail.sparkSession, "first") if settings.large_store else None
-    new = materialize(new_articles(parsed, store, settings.run_time, probe_folder), "new")
+    new = new_articles(parsed, store, settings.run_time)
     scored = materialize(
         score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions), "scored"
     )
     enriched = enrichment_candidates(scored, settings.high, settings.medium)
     if pages is not None:
         # New articles have no text yet, so the candidates are all that will be reported.
-        enriched = materialize(enrich_from_pages(enriched, pages), "enriched")
+        enriched = enrich_from_pages(enriched, pages, settings.text_length, settings.failure_length)
+        enriched = materialize(enriched, "enriched")
         report = number_reported(enriched, settings)
     else:
         enriched = enriched.where(F.lit(False))
         report = number_reported(scored, settings)
-    return DigestRun(mails, parsed, new, scored, enriched, report)
+    return DigestRun(mails, parsed, scored, scored, enriched, report)
 
 
 def digest(
@@ -108,7 +110,13 @@ def digest(
 
 def render(report: DataFrame, settings: DigestSettings) -> DataFrame:
     return report_document(
-        report, settings.run_time[:10], settings.run_time, settings.title, settings.high, settings.medium
+        report,
+        settings.run_time[:10],
+        settings.run_time,
+        settings.title,
+        settings.high,
+        settings.medium,
+        settings.snippet_length,
     )
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from dataclasses import dataclass, replace
 from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mailquill.functions.scoring import ERROR
 from mailquill.functions.text import since_bound
+from mailquill.operators.score import score_articles
 from mailquill.plans.digest import DigestSettings, number_reported, render, run_digest
+from mailquill.session import intermediate_data, materialize
 from mailquill.sources import mail as mail_source
 from mailquill.sources import state as run_state
 from mailquill.sources import store as article_store
@@ -29,42 +32,86 @@ def set_since(spark: SparkSession, root: str, typed: str | None = None) -> float
     """Set the start bound of the next run by hand; without a value it is now."""
     bound = parse_since(spark, typed) if typed else datetime.now(timezone.utc).timestamp()
     path = f"{root}/state"
-    run_state.write_state(run_state.set_watermark(run_state.read_state(spark, path), bound), path)
+    with intermediate_data(spark):
+        moved = materialize(run_state.set_watermark(run_state.read_state(spark, path), bound), "state")
+        run_state.write_state(moved, path)
     return bound
 
 
+@dataclass(frozen=True)
+class Fetched:
+    """What a run did: the report's path, None if there was nothing to report, and rows by stage."""
+
+    report: str | None
+    counts: dict[str, int]
+
+
 def fetch(
     spark: SparkSession,
     root: str,
     settings: DigestSettings,
     pages: DataFrame | None = None,
     since: str | None = None,
-) -> str | None:
-    """Process the mails that came after the last run, store what is new and write its report.
+) -> Fetched:
+    """Process the mails that arrived after the last run, store what is new and write its report.
 
-    Articles are stored together with their scores, so a run that stops in between leaves none unscored. The state moves
-    last. Returns the path of the report, None when there was nothing to report.
+    A bound typed as ``since``, or set by ``set_since`` after the last run, goes by the mails' dates instead.
+
+    The run writes articles, page texts and report under its own number and its row of the state last. Until that row is
+    there the run has not happened: the next attempt has the same number, looks only at earlier runs and replaces what
+    this one left. Articles are stored together with their scores.
+    """
+    with intermediate_data(spark):
+        before = run_state.read_state(spark, f"{root}/state")
+        state = before.first()
+        run_no = (state.run_no or 0) + 1
+        if since:
+            settings = replace(settings, since=parse_since(spark, since), after=None)
+        elif state.last_arrival is None:
+            settings = replace(settings, since=state.last_run, after=None)
+        else:
+            settings = replace(settings, since=None, after=state.last_arrival)
+        run = run_digest(
+            mail_source.read_mail(spark, f"{root}/mail"),
+            article_store.stored_before(spark, f"{root}/articles", run_no),
+            replace(settings, keep_parsed=True),
+            pages,
+        )
+        article_store.write_run(run.scored, f"{root}/articles", run_no)
+        if pages is not None:
+            article_store.append_texts(run.enriched, root, run_no)
+        path = _written(run.report, root, settings)
+        counts = {row["stage"]: row["n"] for row in run.counters().collect()}  # one row per stage
+        counts["undated"] = run.mails.where("date IS NULL").count()
+        run_state.write_state(materialize(run_state.advance_watermark(run.mails, before), "state"), f"{root}/state")
+    return Fetched(path, counts)
+
+
+def score_pending(spark: SparkSession, root: str, settings: DigestSettings, again: tuple[str, ...] = (ERROR,)) -> int:
+    """Score what is stored without a score, or with one of ``again``; returns how many rows that were.
+
+    The scores are a run of their own: their version is its number, and its row of the state comes last.
     """
-    before = run_state.read_state(spark, f"{root}/state")
-    state = before.first()
-    settings = replace(settings, since=parse_since(spark, since) if since else state.last_run)
-    run = run_digest(
-        mail_source.read_mail(spark, f"{root}/mail"),
-        article_store.load_store(spark, f"{root}/articles"),
-        settings,
-        pages,
-    )
-    article_store.append_articles(run.scored, f"{root}/articles")
-    if pages is not None:
-        article_store.append_texts(run.enriched, root, (state.run_no or 0) + 1)
-    path = _written(run.report, root, settings)
-    run_state.write_state(run_state.advance_watermark(run.mails, before), f"{root}/state")
-    return path
+    with intermediate_data(spark):
+        before = run_state.read_state(spark, f"{root}/state")
+        state = before.first()
+        run_no = (state.run_no or 0) + 1
+        pending = article_store.current_with_scores(spark, root, lambda score: score.isNull() | score.isin(*again))
+        scored = materialize(
+            score_articles(pending, settings.scorer, settings.rules, settings.exclude, settings.partitions), "pending"
+        )
+        article_store.append_scores(scored, root, run_no)
+        n = scored.count()
+        done = before.withColumn("run_no", F.lit(run_no).cast("long"))
+        run_state.write_state(materialize(done, "state"), f"{root}/state")
+    return n
 
 
 def report(spark: SparkSession, root: str, settings: DigestSettings) -> str | None:
     """Write a report of all stored high and medium articles."""
-    return _written(number_reported(article_store.current_articles(spark, root), settings), root, settings)
+    with intermediate_data(spark):
+        wanted = article_store.current_with_scores(spark, root, lambda score: score.isin(settings.high, settings.medium))
+        return _written(number_reported(wanted, settings), root, settings)
 
 
 def _written(numbered: DataFrame, root: str, settings: DigestSettings) -> str | None:

@@ -33,5 +33,6 @@ STATE_SCHEMA = T.StructType(
     [
         T.StructField("run_no", T.LongType()),
         T.StructField("last_run", T.DoubleType()),
+        T.StructField("last_arrival", T.LongType()),
     ]
 )

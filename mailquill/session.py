@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_RUN: ContextVar[str | None] = ContextVar("run", default=None)
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -25,17 +30,34 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder that every executor can reach.
+    """A new folder that every executor can reach, below one folder of the running job or application.
 
-    The cluster names it in ``spark.checkpoint.dir``. A machine-local folder is used only in local mode, where one
-    machine is all there is.
+    The cluster names its place in ``spark.checkpoint.dir``. A machine-local folder is used only where that is unset and
+    the master is ``local`` or ``local[...]``, where one machine is all there is.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         base = tempfile.gettempdir()
-    return f"{base.rstrip('/')}/mailquill-{uuid.uuid4().hex}/{name}"
+    run = _RUN.get() or spark.sparkContext.applicationId
+    return f"{base.rstrip('/')}/mailquill-{run}/{name}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def intermediate_data(spark: SparkSession):
+    """Intermediate tables of the job inside go to a folder of their own, which is removed at the end.
+
+    Frames that read them must be written or collected before.
+    """
+    token = _RUN.set(uuid.uuid4().hex)
+    folder = shared_folder(spark, "end").rsplit("/", 1)[0]
+    try:
+        yield
+    finally:
+        _RUN.reset(token)
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str = "cut", path: str | None = None) -> DataFrame:

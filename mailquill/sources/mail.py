@@ -14,32 +14,38 @@ from mailquill.schema import MAIL_SCHEMA
 DAY = 86400
 
 
-def write_mail(mail: DataFrame, path: str) -> None:
-    """Append mails to a table partitioned by UTC day, so that an incremental scan skips whole folders.
+def write_mail(mail: DataFrame, path: str, arrival: int) -> None:
+    """Append mails to a table partitioned by arrival and UTC day, so that an incremental scan skips whole folders.
 
-    Mails without a date stay reachable in the NULL folder. Rows are rebalanced by day, so that a folder gets few files
-    of a good size; adaptive execution splits a day that is too large for one task.
+    ``arrival`` is a number that grows from one delivery to the next, such as the second at which it is written; every
+    call needs one of its own. Mails without a date are in the NULL day. Rows are rebalanced by day, so that a folder gets
+    few files of a good size; adaptive execution splits a day that is too large for one task.
     """
     day = F.floor(F.col("date") / DAY).cast("int")
-    dated = mail.withColumn("mail_day", day).hint("rebalance", "mail_day")
-    dated.write.mode("append").partitionBy("mail_day").parquet(path)
+    dated = mail.withColumns({"arrival": F.lit(arrival).cast("long"), "mail_day": day}).hint("rebalance", "mail_day")
+    dated.write.mode("append").partitionBy("arrival", "mail_day").parquet(path)
 
 
 def read_mail(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(T.StructType([*MAIL_SCHEMA, T.StructField("mail_day", T.IntegerType())])).parquet(path)
+    folders = [T.StructField("arrival", T.LongType()), T.StructField("mail_day", T.IntegerType())]
+    return spark.read.schema(T.StructType([*MAIL_SCHEMA, *folders])).parquet(path)
 
 
-def scan_mail(mail: DataFrame, sender: str, since: float | None = None) -> DataFrame:
-    """Mails of one sender later than the whole second of ``since``; without a bound, or with bound 0, all of them.
+def scan_mail(mail: DataFrame, sender: str, since: float | None = None, after: int | None = None) -> DataFrame:
+    """Mails of one sender that arrived later than ``after`` and are dated later than the whole second of ``since``.
 
-    The predicates reach the files: folders of earlier days are pruned, and sender and date are pushed to Parquet.
+    Either bound may be left out; a date bound of 0 is none. Undated mails pass every date bound. Senders are compared
+    without case. The predicates reach the files: folders of earlier arrivals and days are pruned, and the date is pushed
+    to Parquet.
     """
-    chosen = mail.where(F.col("sender") == sender)
+    chosen = mail.where(F.lower("sender") == sender.lower())
+    if after is not None:
+        chosen = chosen.where(F.col("arrival") > after)
     if since:
         bound = int(since)
-        chosen = chosen.where(F.col("date") > F.lit(float(bound)))
+        chosen = chosen.where(F.col("date").isNull() | (F.col("date") > F.lit(float(bound))))
         if "mail_day" in mail.columns:
-            chosen = chosen.where(F.col("mail_day") >= F.lit(bound // DAY))
+            chosen = chosen.where(F.col("mail_day").isNull() | (F.col("mail_day") >= F.lit(bound // DAY)))
     return chosen.drop("mail_day")
 
 
@@ -84,7 +90,8 @@ def decode_mail(raw_mail: DataFrame) -> DataFrame:
 
     The last subject counts. The body is the first HTML part that is not attached; bytes that are no UTF-8 are dropped.
     Only the walk through the MIME parts runs in Python, in Arrow batches of the one column it needs. A message that is
-    no base64 gives a row without content, and a bad date gives NULL, so one bad mail never stops a run.
+    no base64 gives a row without content, and a bad date gives NULL, so one bad mail never stops a run;
+    ``decoding_problems`` counts both.
     """
     decode = F.pandas_udf(_message_parts(), "sender string, subject string, date_header string, body_html string")
     data = F.try_to_binary(F.translate("raw", "-_", "+/"), F.lit("base64"))
@@ -97,3 +104,10 @@ def decode_mail(raw_mail: DataFrame) -> DataFrame:
         header_date(F.col("parts.date_header")).alias("date"),
         F.col("parts.body_html").alias("body_html"),
     )
+
+
+def decoding_problems(raw_mail: DataFrame, mail: DataFrame) -> DataFrame:
+    """``problem, n``: messages that are no base64, and decoded mails without a date."""
+    data = F.try_to_binary(F.translate("raw", "-_", "+/"), F.lit("base64"))
+    broken = raw_mail.agg(F.count_if(data.isNull()).alias("n")).select(F.lit("undecodable").alias("problem"), "n")
+    return broken.unionAll(mail.agg(F.count_if(F.col("date").isNull()).alias("n")).select(F.lit("undated"), "n"))

@@ -1,4 +1,4 @@
-"""Run state: the date of the newest mail seen, as an append-only table of one row per run."""
+"""Run state: the last arrival read and the newest mail date seen, as an append-only table of one row per run."""
 
 from __future__ import annotations
 
@@ -10,36 +10,39 @@ from mailquill.schema import STATE_SCHEMA
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """One row ``run_no, last_run`` of the latest run; both NULL when there was none."""
+    """One row ``run_no, last_run, last_arrival`` of the latest run; all NULL when there was none."""
     try:
         runs = spark.read.schema(STATE_SCHEMA).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
         runs = spark.createDataFrame([], STATE_SCHEMA)
-    return runs.agg(F.max("run_no").alias("run_no"), F.max_by("last_run", "run_no").alias("last_run"))
+    latest = runs.agg(F.max_by(F.struct("run_no", "last_run", "last_arrival"), "run_no").alias("latest"))
+    return latest.select("latest.*")
 
 
 def advance_watermark(mail: DataFrame, state: DataFrame) -> DataFrame:
-    """State after ``mail``: the newest date of all fetched mails, whether or not they held anything new.
+    """State after ``mail``: newest date and last arrival of all fetched mails, whether or not they held anything new.
 
-    Without a dated mail the state stays. ``mail`` shrinks to one number on the executors.
+    The date only tells a user how far the mails reach; the next run goes by arrival, so neither an undated mail nor one
+    that came late is passed over. What the mails do not tell stays. ``mail`` shrinks to one row on the executors.
     """
-    newest = mail.agg(F.max("date").alias("newest"))
-    both = newest.unionByName(state, allowMissingColumns=True).agg(
-        F.max("newest").alias("newest"), F.max("run_no").alias("run_no"), F.max("last_run").alias("last_run")
-    )
+    arrival = F.max("arrival") if "arrival" in mail.columns else F.lit(None).cast("long")
+    seen = mail.agg(F.max("date").alias("newest"), arrival.cast("long").alias("arrived"))
+    both = seen.unionByName(state, allowMissingColumns=True).agg(*[F.max(c).alias(c) for c in ("newest", "arrived", *STATE_SCHEMA.names)])
     return both.select(
         (F.coalesce("run_no", F.lit(0)) + 1).cast("long").alias("run_no"),
-        F.coalesce(F.nullif("newest", F.lit(0.0)), "last_run").alias("last_run"),
+        F.greatest(F.nullif("newest", F.lit(0.0)), "last_run").alias("last_run"),
+        F.coalesce("arrived", "last_arrival").alias("last_arrival"),
     )
 
 
 def set_watermark(state: DataFrame, value: float) -> DataFrame:
-    """State with a bound set by hand. It may lie before the old one."""
+    """State with a date bound set by hand. It may lie before the old one; the next run goes by it and not by arrival."""
     return state.select(
         (F.coalesce("run_no", F.lit(0)) + 1).cast("long").alias("run_no"),
         F.lit(float(value)).alias("last_run"),
+        F.lit(None).cast("long").alias("last_arrival"),
     )
 
 

@@ -16,10 +16,12 @@ from mailquill.operators.align import with_missing_columns
 from mailquill.operators.dedup import only_new
 from mailquill.operators.merge import merge_updates
 from mailquill.schema import ARTICLE_SCHEMA
+from mailquill.session import materialize
 
 # A text that no cell holds: Spark tells empty cells from quoted empty ones only when some other text means NULL.
 CSV_NULL = "\\N"
 
+RUN = T.StructField("run_no", T.LongType())
 VERSION = T.StructField("version", T.LongType())
 SCORES_SCHEMA = T.StructType([ARTICLE_SCHEMA["hash"], ARTICLE_SCHEMA["score"], ARTICLE_SCHEMA["reason"], VERSION])
 TEXTS_SCHEMA = T.StructType([ARTICLE_SCHEMA["hash"], ARTICLE_SCHEMA["full_text_summary"], VERSION])
@@ -42,7 +44,7 @@ def load_store(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     cell is NULL, a quoted empty cell is empty text.
     """
     if fmt == "parquet":
-        return _empty_if_absent(spark, ARTICLE_SCHEMA, lambda: spark.read.schema(ARTICLE_SCHEMA).parquet(path))
+        return stored_before(spark, path)
     stored = _empty_if_absent(
         spark,
         ARTICLE_SCHEMA,
@@ -53,6 +55,15 @@ def load_store(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     return with_missing_columns(stored)
 
 
+def stored_before(spark: SparkSession, path: str, run_no: int | None = None) -> DataFrame:
+    """Stored articles, or those of the runs before ``run_no``. Files outside of a run folder belong to no run."""
+    schema = T.StructType([*ARTICLE_SCHEMA, RUN])
+    stored = _empty_if_absent(spark, schema, lambda: spark.read.schema(schema).parquet(path))
+    if run_no is not None:
+        stored = stored.where(F.col("run_no").isNull() | (F.col("run_no") < run_no))
+    return stored.select(*ARTICLE_SCHEMA.names)
+
+
 def write_csv_store(articles: DataFrame, path: str) -> None:
     articles.write.csv(
         path, header=True, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
@@ -72,8 +83,14 @@ def append(store: DataFrame, new: DataFrame) -> DataFrame:
     return store.unionByName(new, allowMissingColumns=True)
 
 
-def append_articles(new: DataFrame, path: str) -> None:
-    new.select(*ARTICLE_SCHEMA.names).write.mode("append").parquet(path)
+def append_articles(new: DataFrame, path: str, run_no: int = 0) -> None:
+    """Add rows to the folder of a run, 0 outside of runs."""
+    new.select(*ARTICLE_SCHEMA.names).write.mode("append").parquet(f"{path}/run_no={run_no}")
+
+
+def write_run(new: DataFrame, path: str, run_no: int) -> None:
+    """Write a run's rows over those that an earlier, unfinished attempt may have left."""
+    new.select(*ARTICLE_SCHEMA.names).write.mode("overwrite").parquet(f"{path}/run_no={run_no}")
 
 
 def absent_rows(rows: DataFrame, target: DataFrame, key: str = "hash") -> DataFrame:
@@ -85,7 +102,7 @@ def absent_rows(rows: DataFrame, target: DataFrame, key: str = "hash") -> DataFr
 
 def insert_if_absent(spark: SparkSession, rows: DataFrame, path: str) -> None:
     """Insert by primary key and ignore conflicts. The write commits as a whole or not at all."""
-    absent_rows(rows, load_store(spark, path)).write.mode("append").parquet(path)
+    append_articles(absent_rows(rows, load_store(spark, path)), path)
 
 
 def save_bucketed(articles: DataFrame, table: str, path: str, buckets: int) -> None:
@@ -103,29 +120,45 @@ def save_bucketed(articles: DataFrame, table: str, path: str, buckets: int) -> N
 
 
 def append_scores(scores: DataFrame, root: str, version: int) -> None:
-    """Add score updates; ``version`` grows from run to run."""
-    scores.select("hash", "score", "reason").withColumn("version", F.lit(version).cast("long")).write.mode(
-        "append"
-    ).parquet(f"{root}/scores")
+    """Add score updates; ``version`` grows from run to run, and a repeated one replaces itself."""
+    scores.select("hash", "score", "reason").write.mode("overwrite").parquet(f"{root}/scores/version={version}")
 
 
 def append_texts(texts: DataFrame, root: str, version: int) -> None:
-    texts.select("hash", "full_text_summary").withColumn("version", F.lit(version).cast("long")).write.mode(
-        "append"
-    ).parquet(f"{root}/texts")
+    texts.select("hash", "full_text_summary").write.mode("overwrite").parquet(f"{root}/texts/version={version}")
 
 
-def current_articles(spark: SparkSession, root: str) -> DataFrame:
-    """The store as of now: articles with their newest scores and page texts."""
-    articles = load_store(spark, f"{root}/articles")
-    scores = _empty_if_absent(
-        spark, SCORES_SCHEMA, lambda: spark.read.schema(SCORES_SCHEMA).parquet(f"{root}/scores")
-    )
-    texts = _empty_if_absent(spark, TEXTS_SCHEMA, lambda: spark.read.schema(TEXTS_SCHEMA).parquet(f"{root}/texts"))
+def _scores(spark: SparkSession, root: str) -> DataFrame:
+    return _empty_if_absent(spark, SCORES_SCHEMA, lambda: spark.read.schema(SCORES_SCHEMA).parquet(f"{root}/scores"))
+
+
+def _texts(spark: SparkSession, root: str) -> DataFrame:
+    return _empty_if_absent(spark, TEXTS_SCHEMA, lambda: spark.read.schema(TEXTS_SCHEMA).parquet(f"{root}/texts"))
+
+
+def _merged(articles: DataFrame, scores: DataFrame, texts: DataFrame) -> DataFrame:
     scored = merge_updates(articles, scores, "hash", ["score", "reason"], F.col("version"))
     return merge_updates(scored, texts, "hash", ["full_text_summary"], F.col("version"))
 
 
+def current_articles(spark: SparkSession, root: str) -> DataFrame:
+    """The store as of now: articles with their newest scores and page texts."""
+    return _merged(load_store(spark, f"{root}/articles"), _scores(spark, root), _texts(spark, root))
+
+
+def current_with_scores(spark: SparkSession, root: str, wanted) -> DataFrame:
+    """The rows of ``current_articles`` whose newest score fulfils ``wanted``, a function of the score column.
+
+    Which rows these are is settled on hashes and scores alone and written. Whole rows are then fetched by those hashes:
+    where they are few, Spark broadcasts them and no article moves before it is chosen.
+    """
+    articles, scores = load_store(spark, f"{root}/articles"), _scores(spark, root)
+    narrow = merge_updates(articles.select("hash", "score"), scores.select("hash", "score", "version"), "hash", ["score"], F.col("version"))
+    hashes = materialize(narrow.where(wanted(F.col("score"))).select("hash").distinct(), "chosen")
+    chosen = [table.join(hashes, "hash", "left_semi") for table in (articles, scores, _texts(spark, root))]
+    return _merged(*chosen).where(wanted(F.col("score")))
+
+
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
     """Write the current state as plain articles to a new root. The old root stays until the caller switches."""
-    current_articles(spark, root).write.parquet(f"{new_root}/articles")
+    append_articles(current_articles(spark, root), f"{new_root}/articles")

@@ -57,7 +57,7 @@ def start_ingest(
         spark.readStream.schema(MAIL_SCHEMA)
         .option("maxFilesPerTrigger", files_per_batch)
         .parquet(source)
-        .where(F.col("sender") == sender)
+        .where(F.lower("sender") == sender.lower())
     )
     return (
         mail.writeStream.foreachBatch(lambda batch, batch_id: store_batch(batch, batch_id, store, added_at, work))

@@ -77,7 +77,10 @@ def test_broken_messages_stay_as_rows(spark):
         ("  mon, 01 jan 2024 02:00:10 +02:00 ", 1704067210.0),
         ("Mon,\r\n 1 Jan 2024 00:00:10 -0130", 1704072610.0),
         ("1 Jan 2024 00:00:10 +0000", None),
-        ("Mon, 1 Jan 2024 00:00:10 GMT", None),
+        ("Mon, 1 Jan 2024 00:00:10 GMT", 1704067210.0),
+        ("Mon, 1 Jan 2024 00:00:10 Z", 1704067210.0),
+        ("Mon, 1 Jan 2024 00:00:10 UT", 1704067210.0),
+        ("Mon, 1 Jan 2024 00:00:10 EST", None),
         ("Mon, 31 Feb 2024 00:00:10 +0000", None),
         ("soon", None),
         (None, None),
@@ -124,17 +127,31 @@ MAILS = [
 
 def test_scan_bound_and_pushdown(spark):
     path = shared_folder(spark, "mail")
-    mail_source.write_mail(spark.createDataFrame(MAILS, MAIL_SCHEMA), path)
+    mail_source.write_mail(spark.createDataFrame(MAILS, MAIL_SCHEMA), path, 5)
     mail = mail_source.read_mail(spark, path)
     ids = lambda frame: sorted(row.id for row in frame.collect())
     assert ids(mail_source.scan_mail(mail, "x@e")) == ["a", "b", "c", "e"]
     assert ids(mail_source.scan_mail(mail, "x@e", 0)) == ["a", "b", "c", "e"]
-    assert ids(mail_source.scan_mail(mail, "x@e", 100.95)) == ["b", "c"]
+    assert ids(mail_source.scan_mail(mail, "X@E", 100.95)) == ["b", "c", "e"]
     late = mail_source.scan_mail(mail, "x@e", 86400.5).select("id")
-    assert ids(late) == ["c"]
+    assert ids(late) == ["c", "e"]
     plan = late._jdf.queryExecution().executedPlan().toString()
-    assert "EqualTo(sender,x@e)" in plan and "GreaterThan(date,86400.0)" in plan and "mail_day" in plan.split("PartitionFilters")[1][:120]
+    assert "GreaterThan(date,86400.0)" in plan and "mail_day" in plan.split("PartitionFilters")[1][:120]
     assert "body_html" not in plan
+    old = ("old", "X@e", "", "", 50.0, "")
+    mail_source.write_mail(spark.createDataFrame([old, ("none", "x@e", "", "", None, "")], MAIL_SCHEMA), path, 6)
+    mail = mail_source.read_mail(spark, path)
+    arrived = mail_source.scan_mail(mail, "x@e", after=5)
+    assert ids(arrived) == ["none", "old"]
+    assert "arrival" in arrived._jdf.queryExecution().executedPlan().toString().split("PartitionFilters")[1][:120]
+    assert ids(mail_source.scan_mail(mail, "x@e", after=6)) == []
+
+
+def test_decoding_problems(spark):
+    good = base64.urlsafe_b64encode(b"From: a@b\nDate: never\n\nx").decode()
+    raw = spark.createDataFrame([("1", "", good), ("2", "", "%%%"), ("3", "", None)], "id string, snippet string, raw string")
+    found = mail_source.decoding_problems(raw, mail_source.decode_mail(raw))
+    assert {row.problem: row.n for row in found.collect()} == {"undecodable": 2, "undated": 3}
 
 
 def test_newest_first(spark):
@@ -144,14 +161,14 @@ def test_newest_first(spark):
 
 def test_state(spark):
     path = shared_folder(spark, "state")
-    mail = spark.createDataFrame(MAILS, MAIL_SCHEMA)
+    mail = spark.createDataFrame(MAILS, MAIL_SCHEMA).withColumn("arrival", F.lit(5).cast("long"))
     nothing = mail.where("false")
-    assert tuple(run_state.read_state(spark, path).first()) == (None, None)
+    assert tuple(run_state.read_state(spark, path).first()) == (None, None, None)
     run_state.write_state(run_state.advance_watermark(mail, run_state.read_state(spark, path)), path)
-    assert tuple(run_state.read_state(spark, path).first()) == (1, 86500.0)
+    assert tuple(run_state.read_state(spark, path).first()) == (1, 86500.0, 5)
     run_state.write_state(run_state.advance_watermark(nothing, run_state.read_state(spark, path)), path)
-    assert tuple(run_state.read_state(spark, path).first()) == (2, 86500.0)
+    assert tuple(run_state.read_state(spark, path).first()) == (2, 86500.0, 5)
     run_state.write_state(run_state.set_watermark(run_state.read_state(spark, path), 7), path)
-    assert tuple(run_state.read_state(spark, path).first()) == (3, 7.0)
-    empty = spark.createDataFrame([(1, None)], STATE_SCHEMA)
+    assert tuple(run_state.read_state(spark, path).first()) == (3, 7.0, None)
+    empty = spark.createDataFrame([(1, None, None)], STATE_SCHEMA)
     assert run_state.advance_watermark(nothing, empty).first().last_run is None

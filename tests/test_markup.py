@@ -88,7 +88,9 @@ def test_mail_without_body(spark):
         ("&#0; &#xD800; &#1114112; &#x1F600;", "� � � \U0001f600"),
         ("&#38;amp; &AMP;lt; &amp;hellip; &#38;lt; &eacute;", "&amp; &lt; &hellip; &lt; é"),
         ("&#38;amp;", "&amp;"),
-        ("&unknown; &copy &eacute;", "&unknown; &copy é"),
+        ("&unknown; &copy &eacute;", "&unknown; © é"),
+        ("&amp z &copy w &#65 &#x42 &unknown w", "& z © w A B &unknown w"),
+        ("&#0000000000065;&#x00000000000042; &#99999999999999999999; &#xfffffffffffffffffff;", "AB � �"),
         ("&NotEqualTilde;", "≂̸"),
         (None, None),
     ],

@@ -80,7 +80,11 @@ def test_document_and_files(spark, stored):
     folder = shared_folder(spark, "reports")
     path = write_report(document, folder, datetime(2024, 3, 1, 8, 30, 5))
     assert path == f"{folder}/digest_report_20240301_083005.md"
-    text = "".join(part.read_text() for part in sorted(Path(path).glob("part-*")))
+    text = "".join(part.read_text() for part in sorted(Path(path).glob("part=*/part-*")))
+    small = write_report(document, folder, datetime(2024, 3, 2), rows_per_part=2)
+    parts = sorted(Path(small).glob("part=*/part-*"))
+    assert len(parts) == 3 and "".join(part.read_text() for part in parts) == text
+    assert write_report(document, folder, datetime(2024, 3, 2)) == small and len(list(Path(small).glob("part=*"))) == 1
     assert text == "\n\n".join(row.block for row in rows) + "\n\n"
     assert text.startswith("# Digest Report - 2024-03-01\n\n## High Relevance\n\n### [T h1]")
 

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from mailquill.operators.align import with_missing_columns
 from mailquill.operators.score import scored_only
 from mailquill.plans import jobs
 from mailquill.plans.digest import DigestSettings, digest, report_from_store, run_digest
@@ -43,8 +44,6 @@ def test_run(spark):
     again = run_digest(mail(spark, *FIRST), run.scored, SETTINGS)
     assert again.new.count() == 0
     assert [row.block for row in digest(mail(spark, *FIRST), run.scored, SETTINGS).collect()] == ["No articles to report."]
-    probed = run_digest(mail(spark, *FIRST), run.scored, DigestSettings("x@e", "t", large_store=True))
-    assert probed.new.count() == 0
     late = run_digest(mail(spark, *FIRST), store, DigestSettings("x@e", "t", since=150.5, high="Top"))
     assert {row.title for row in late.new.collect()} == {"CATALYST a", "Battery C"}
     assert report_from_store(run.scored, SETTINGS).count() == 6
@@ -104,17 +103,21 @@ def test_stream_equals_batch(spark, sf_dir):
 def test_jobs_over_one_root(spark):
     root = shared_folder(spark, "root")
     pages = spark.createDataFrame([(1, "u/a2", "<article>full</article>")], "page_id long, url string, html string")
-    write_mail(mail(spark, *FIRST), f"{root}/mail")
-    path = jobs.fetch(spark, root, SETTINGS, pages)
+    write_mail(mail(spark, *FIRST), f"{root}/mail", 1)
+    first = jobs.fetch(spark, root, SETTINGS, pages)
+    path = first.report
+    assert first.counts == {
+        "mails": 2, "parsed": 4, "new": 3, "scored": 3, "enriched": 2, "reported": 2, "undated": 0,
+    }
     assert path == f"{root}/reports/digest_report_20240301_083000.md"
     lines = [row.value for row in spark.read.text(path).collect()]
     assert lines[0] == "# Digest Report - 2024-03-01" and "- **Full Text Snippet**: full" in lines
     assert read_state(spark, f"{root}/state").first().last_run == 200.0
 
     later = DigestSettings(sender="x@e", run_time="2024-03-02 00:00:00")
-    assert jobs.fetch(spark, root, later) is None
-    write_mail(mail(spark, ("m5", "x@e", 250.0, [("Catalyst A", "u", ""), ("DFT E", "u/e", "")])), f"{root}/mail")
-    assert jobs.fetch(spark, root, later) is not None
+    assert jobs.fetch(spark, root, later).report is None
+    write_mail(mail(spark, ("m5", "X@e", 250.0, [("Catalyst A", "u", ""), ("DFT E", "u/e", "")])), f"{root}/mail", 2)
+    assert jobs.fetch(spark, root, later).report is not None
     stored = {row.title: (row.score, row.full_text_summary) for row in current_articles(spark, root).collect()}
     assert stored == {
         "CATALYST a": ("High", "full"),
@@ -123,10 +126,53 @@ def test_jobs_over_one_root(spark):
         "DFT E": ("High", None),
     }
     assert read_state(spark, f"{root}/state").first().last_run == 250.0
+    odd = mail(spark, ("m6", "x@e", None, [("DFT undated", "u", "")]), ("m7", "x@e", 10.0, [("DFT late", "u", "")]))
+    write_mail(odd, f"{root}/mail", 3)
+    assert jobs.fetch(spark, root, later).counts["new"] == 2
+    assert read_state(spark, f"{root}/state").first().last_run == 250.0
     assert jobs.set_since(spark, root, "1970-01-01 00:00:50") == 50.0
     assert read_state(spark, f"{root}/state").first().last_run == 50.0
     with pytest.raises(ValueError):
         jobs.fetch(spark, root, later, since="soon")
     whole = DigestSettings(sender="x@e", run_time="2024-03-03 00:00:00")
     text = "\n".join(row.value for row in spark.read.text(jobs.report(spark, root, whole)).collect())
-    assert text.count("### [") == 3 and text.index("DFT E") < text.index("CATALYST a") < text.index("Review B")
+    assert text.count("### [") == 5 and text.index("DFT E") < text.index("CATALYST a") < text.index("Review B")
+
+
+STEPS = ["write_run", "append_texts", "write_report", "write_state"]
+
+
+@pytest.mark.parametrize("step", STEPS)
+@pytest.mark.parametrize("after", [False, True])
+def test_a_run_that_stops_is_repeated_whole(spark, monkeypatch, step, after):
+    pages = spark.createDataFrame([(1, "u/a2", "<article>full</article>")], "page_id long, url string, html string")
+    modules = {"write_run": jobs.article_store, "append_texts": jobs.article_store, "write_report": jobs, "write_state": jobs.run_state}
+    root = shared_folder(spark, "root")
+    write_mail(mail(spark, *FIRST), f"{root}/mail", 1)
+    real = getattr(modules[step], step)
+
+    def stops(*args):
+        if after and step != "write_state":
+            real(*args)
+        raise OSError("gone")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(modules[step], step, stops)
+        with pytest.raises(OSError):
+            jobs.fetch(spark, root, SETTINGS, pages)
+    again = jobs.fetch(spark, root, SETTINGS, pages)
+    stored = sorted((r.title, r.score, r.full_text_summary) for r in current_articles(spark, root).where("score <> 'Low'").collect())
+    assert stored == [("CATALYST a", "High", "full"), ("Review B", "Medium", "Could not retrieve full text.")]
+    assert current_articles(spark, root).count() == 3
+    assert spark.read.text(again.report).where("value LIKE '### [%'").count() == 2
+    assert again.counts["new"] == 3
+
+
+def test_pending_scores(spark):
+    root = shared_folder(spark, "root")
+    columns = "hash string, title string, link string, summary string, score string, reason string"
+    rows = [("1", "dft x", "u", "s", None, None), ("2", "battery", "u", "s", "Error", "e"), ("3", "dft", "u", "s", "Low", "kept")]
+    jobs.article_store.append_articles(with_missing_columns(spark.createDataFrame(rows, columns)), f"{root}/articles")
+    assert jobs.score_pending(spark, root, SETTINGS) == 2
+    assert {r.hash: r.score for r in current_articles(spark, root).collect()} == {"1": "High", "2": "Low", "3": "Low"}
+    assert jobs.score_pending(spark, root, SETTINGS) == 0

@@ -15,6 +15,7 @@ from mailquill.operators import dedup, enrich, report, score
 from mailquill.operators.align import schema_align
 from mailquill.operators.explode import explode_alerts
 from mailquill.operators.merge import merge_updates
+from mailquill.operators.ranking import number_rows
 from mailquill.plans import digest
 from mailquill.schema import STATE_SCHEMA
 from mailquill.session import materialize, shared_folder
@@ -25,14 +26,14 @@ from mailquill.sources.report import write_report
 from mailquill.streaming.ingest import start_ingest
 from verification import views as v
 
-PROMPT = 'You judge articles. Answer as {{"score":"High|Medium|Low","reason":"..."}}.'
+PROMPT = 'Is this one for our reading list? Braces stay: {{}}.'
 SETTINGS = digest.DigestSettings(sender=v.SENDER, run_time=v.RUN_TIME, rules=v.RULES, exclude=v.EXCLUDE)
 
 
 def mail_incremental_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "mail")
-    mail_source.write_mail(v.mail(spark, sf_dir), path)
-    scanned = mail_source.scan_mail(mail_source.read_mail(spark, path), v.SENDER, v.SINCE)
+    mail_source.write_mail(v.mail(spark, sf_dir), path, 1)
+    scanned = mail_source.scan_mail(mail_source.read_mail(spark, path), v.SENDER.title(), v.SINCE)
     return scanned.select("id", "sender", "subject", "date")
 
 
@@ -62,12 +63,12 @@ def mail_date_parse(spark, sf_dir):
 def store_load(spark, sf_dir):
     path = shared_folder(spark, "store.csv")
     known = ["title", "summary", "hash", "email_date", "email_id", "added_at"]
-    article_store.write_csv_store(v.store(spark, sf_dir).select(*known), path)
+    article_store.write_csv_store(v.whole_store(spark, sf_dir).select(*known), path)
     return article_store.load_store(spark, path, "csv")
 
 
 def store_legacy_hash(spark, sf_dir):
-    partly = v.store(spark, sf_dir).withColumn(
+    partly = v.whole_store(spark, sf_dir).withColumn(
         "hash", F.when(~F.startswith("email_id", F.lit("e-fr")), F.col("hash"))
     )
     return article_store.with_legacy_hash(partly).select("hash", "title")
@@ -104,8 +105,9 @@ def epoch_normalise(spark, sf_dir):
 
 
 def watermark_advance(spark, sf_dir):
-    before = spark.createDataFrame([(7, v.SINCE)], STATE_SCHEMA)
-    return run_state.advance_watermark(v.mail(spark, sf_dir), before)
+    before = spark.createDataFrame([(7, v.SINCE, 3)], STATE_SCHEMA)
+    arrived = v.mail(spark, sf_dir).withColumn("arrival", F.length("id").cast("long"))
+    return run_state.advance_watermark(arrived, before)
 
 
 def since_parse(spark, sf_dir):
@@ -164,7 +166,7 @@ def score_merge(spark, sf_dir):
 
 def score_upsert(spark, sf_dir):
     root = shared_folder(spark, "root")
-    article_store.append_articles(v.store(spark, sf_dir), f"{root}/articles")
+    article_store.append_articles(v.whole_store(spark, sf_dir), f"{root}/articles")
     article_store.append_scores(score.scored_only(v.half_scored_store(spark, sf_dir)), root, 1)
     article_store.append_scores(v.score_updates(spark, sf_dir), root, 2)
     return article_store.current_articles(spark, root).select("hash", "title", "score", "reason")
@@ -173,7 +175,7 @@ def score_upsert(spark, sf_dir):
 def enrichment_upsert(spark, sf_dir):
     root = shared_folder(spark, "root")
     article_store.append_articles(v.scored_store(spark, sf_dir), f"{root}/articles")
-    texts = v.labelled(spark, sf_dir).select(
+    texts = v.judged(spark, sf_dir).select(
         "hash", F.when(F.col("toxic") == 1, F.col("title")).alias("full_text_summary")
     )
     article_store.append_texts(texts, root, 1)
@@ -260,7 +262,9 @@ def report_document(spark, sf_dir):
 def report_write(spark, sf_dir):
     folder = shared_folder(spark, "reports")
     path = write_report(report_document(spark, sf_dir), folder, datetime(2024, 3, 1, 8, 30))
-    return spark.read.text(path).groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+    parts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = parts.select("file", F.posexplode(F.split(F.expr("left(value, length(value) - 1)"), "\n")).alias("pos", "line"))
+    return number_rows(lines, [F.col("file"), F.col("pos")], "line_no").select("line_no", "line")
 
 
 def word_scorer():

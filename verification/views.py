@@ -66,19 +66,31 @@ def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_first(known, "hash", newest_mail_first())
 
 
+def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All articles, first of each title, with NULLs where there is no label."""
+    known = hashed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    return dedup_first(known, "hash", newest_mail_first())
+
+
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of the articles that counts as stored before."""
     return schema_align(labelled(spark, sf_dir), STORED_AT)
 
 
+def whole_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schema_align(judged(spark, sf_dir), STORED_AT)
+
+
 def label_score():
-    return F.when(F.col("toxic") == 1, "Low").when(F.col("quality") == 1, "High").otherwise("Medium")
+    tier = F.when(F.col("toxic") == 1, "Low").when(F.col("quality") == 1, "High")
+    return tier.when(F.col("quality") == 0, "Medium")
 
 
 def scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = labelled(spark, sf_dir).withColumns(
+    scored = judged(spark, sf_dir).withColumns(
         {
             "score": label_score(),
-            "reason": F.concat(F.lit("label of "), F.col("doc_id").cast("string")),
+            "reason": F.when(F.col("quality").isNotNull(), F.concat(F.lit("label of "), F.col("doc_id").cast("string"))),
             "full_text_summary": F.when(F.col("quality") == 1, F.col("summary")),
         }
     )
@@ -87,7 +99,7 @@ def scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def half_scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store with older scores for the toxic labels only."""
-    scored = labelled(spark, sf_dir).withColumns(
+    scored = judged(spark, sf_dir).withColumns(
         {"score": F.when(F.col("toxic") == 1, "Medium"), "reason": F.when(F.col("toxic") == 1, "old")}
     )
     return schema_align(scored, STORED_AT)
@@ -95,7 +107,7 @@ def half_scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def score_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates by hash; rows with quality 0 carry NULLs that must not replace anything."""
-    return labelled(spark, sf_dir).select(
+    return judged(spark, sf_dir).select(
         "hash",
         F.when(F.col("quality") == 1, label_score()).alias("score"),
         F.when(F.col("quality") == 1, F.concat(F.lit("label of "), F.col("doc_id").cast("string"))).alias("reason"),
