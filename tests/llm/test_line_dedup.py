@@ -1,0 +1,89 @@
+import hashlib
+import random
+from collections import Counter
+
+from cases import TEXTS, frame
+
+from mailquill.llm import line_dedup
+
+
+def cut(text):
+    """(number, lines, text) of each chunk."""
+    lines = (text or "").split("\n")
+    codes = [int(hashlib.md5(line.encode()).hexdigest()[:8], 16) for line in lines]
+    chunks, start = [], 0
+    for i in range(len(lines)):
+        if i == len(lines) - 1 or (i >= 1 and (codes[i] + 31 * codes[i - 1]) % 3 == 0):
+            chunks.append((len(chunks) + 1, i + 1 - start, "\n".join(lines[start : i + 1])))
+            start = i + 1
+    return chunks
+
+
+def plain(texts):
+    """Kept text of every row, by id and text."""
+    key = lambda row: (row[0] is not None, row[0] or 0, hashlib.md5((row[1] or "").encode()).digest())
+    seen, kept = {}, {}
+    for row in sorted(set(texts), key=key):
+        out = []
+        for no, lines, text in cut(row[1]):
+            place = (key(row), no)
+            if lines < 2 or not text.strip() or seen.setdefault(text, place) == place:
+                out.append((no, text))
+        kept[row] = out
+    return kept
+
+
+def shared_passages():
+    draw = random.Random(4)
+    lines = [f"Line {n} of the passages, with words." for n in range(40)]
+    passages = [[draw.choice(lines) for _ in range(draw.randint(2, 9))] for _ in range(6)]
+    texts = []
+    for doc_id in range(100, 180):
+        own = [f"Own {doc_id} {n}." for n in range(draw.randint(0, 4))]
+        texts.append((doc_id, "\n".join(own + draw.choice(passages) + ["", ""] + draw.choice(passages) + own[:1])))
+    return texts
+
+
+def test_like_plain_chunks(spark):
+    texts = TEXTS + shared_passages()
+    kept = plain(texts)
+    want = Counter()
+    for row in texts:
+        chunks, stay = cut(row[1]), {no for no, _ in kept[row]}
+        gone = [chunk for chunk in chunks if chunk[0] not in stay]
+        text = "\n".join(text for _, text in kept[row])
+        sha = hashlib.sha256(text.encode()).hexdigest()
+        lines = sum(n for _, n, _ in chunks)
+        want[row[0], lines, len(chunks), ",".join(str(c[0]) for c in gone), sum(c[1] for c in gone), sha] += 1
+    found = line_dedup.line_dedup_report(frame(spark, texts)).collect()
+    assert Counter(map(tuple, found)) == want
+    assert sum(row["n_removed_lines"] for row in found) > 100
+
+
+def test_texts_and_other_columns(spark):
+    texts = TEXTS + shared_passages()
+    docs = frame(spark, texts)
+    found = line_dedup.remove_repeated_chunks(docs)
+    assert found.columns == docs.columns
+    kept = plain(texts)
+    want = Counter((row[0], None if row[1] is None else "\n".join(text for _, text in kept[row])) for row in texts)
+    rows = found.collect()
+    assert Counter((row["doc_id"], row["text"]) for row in rows) == want
+    assert {(row["source"], row["id"], row["hash"]) for row in rows} == {("s", "own", "y")}
+
+
+def test_boundaries_move_with_the_lines(spark):
+    passage = [f"Shared line {n}." for n in range(60)]
+    texts = [(1, "\n".join(["Other."] * 3 + passage)), (2, "\n".join(["One.", "Two."] + passage))]
+    found = {row["doc_id"]: row for row in line_dedup.line_dedup_report(frame(spark, texts)).collect()}
+    assert found[1]["n_removed_lines"] == 0
+    assert found[2]["n_removed_lines"] >= 30
+
+
+def test_empty_table(spark):
+    assert line_dedup.remove_repeated_chunks(frame(spark, [])).collect() == []
+
+
+def test_no_python_in_the_plan(spark):
+    plan = line_dedup.line_dedup_report(frame(spark))._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan

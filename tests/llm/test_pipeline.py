@@ -1,0 +1,76 @@
+import __spark_entry__ as entry
+import corpus_pipeline
+import pytest
+from cases import TEXTS, rows
+
+from mailquill.llm import packing, quality
+from mailquill.llm.queries import QUERIES
+from verification.compare import oracle_connection, rows_of
+
+SF = "/root/testdata/sf0.01"
+COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def test_every_operator_and_the_pipeline_are_registered():
+    names = entry.queries()
+    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in names if name.startswith("op") and name[2].isdigit()}
+    assert names["pipeline"] is corpus_pipeline.run
+    assert set(entry.oracle_sql()) <= set(names)
+
+
+@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) & set(QUERIES)))
+def test_like_the_sql(spark, name):
+    frame = QUERIES[name](spark, SF)
+    cursor = oracle_connection(SF).execute(entry.oracle_sql()[name])
+    columns = [column[0] for column in cursor.description]
+    assert sorted(columns) == sorted(frame.columns)
+    assert rows_of([tuple(row) for row in frame.collect()], frame.columns) == rows_of(cursor.fetchall(), columns)
+
+
+def test_stages_one_after_the_other(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(*[part.split()[0] for part in COLUMNS.split(",")]).cache()
+    labels = {row["doc_id"]: row["toxic"] for row in spark.read.parquet(f"{SF}/labels.parquet").collect()}
+    stages = dict(corpus_pipeline.STAGES)
+    text = {row["doc_id"]: row["text"] for row in docs.collect()}
+
+    calm = stages["toxicity"](spark, docs, SF)
+    assert calm.columns == docs.columns
+    left = {row["doc_id"] for row in calm.collect()}
+    gone = set(text) - left
+    assert sum(labels.get(i) == 1 for i in gone) > 20
+    assert sum(labels.get(i) == 0 for i in gone) <= 5
+
+    good = stages["quality_rules"](spark, docs, SF)
+    assert good.columns == docs.columns
+    assert {row["doc_id"] for row in good.collect()} == {i for i, t in text.items() if quality.judge(t)[6]}
+
+    lines = stages["line_dedup"](spark, docs, SF)
+    assert lines.columns == docs.columns and lines.count() == len(text)
+
+    single = stages["simhash_near_dedup"](spark, docs, SF)
+    assert single.columns == docs.columns
+    found = QUERIES["op9_simhash_near_dedup"](spark, SF).collect()
+    assert {row["doc_id"] for row in single.collect()} == {row["component_id"] for row in found}
+
+    packed = stages["best_fit_packing"](spark, docs, SF).collect()
+    assert {row["doc_id"] for row in packed} == set(text)
+    lengths = {row["doc_id"]: 0 for row in packed}
+    for row in packed:
+        lengths[row["doc_id"]] += row["length"]
+    words = packing.word_ids(corpus_pipeline.public_tokenizers.path("word_bpe_49k.json"))
+    assert all(lengths[i] == len(words.ids(t)) + 1 for i, t in text.items())
+    docs.unpersist()
+
+
+def test_odd_tables(spark, tmp_path):
+    texts = spark.createDataFrame(rows(), "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, "
+                                          "score string, removed string, hash string")
+    for name, docs in (("odd", texts), ("empty", texts.limit(0))):
+        folder = str(tmp_path / name)
+        docs.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 0, 1), (7, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        found = corpus_pipeline.run(spark, folder).collect()
+        kept = {i for i, t in TEXTS if quality.judge(t)[6]}
+        assert {row["doc_id"] for row in found} <= (kept if name == "odd" else set())
+        for query in QUERIES.values():
+            query(spark, folder).count()
