@@ -248,12 +248,16 @@ def _statistics(texts: DataFrame, model: Model) -> DataFrame:
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
-    """The three discounts from the numbers of n-grams seen one to four times; 0.5 each where they are undefined."""
+    """The three discounts from the numbers of n-grams seen one to four times.
+
+    0.5 stands for one that is undefined or, as small or odd counts can make it, not between 0 and the count it lowers;
+    every context thus keeps something back for unseen words.
+    """
     if not (n1 and n2 and n3 and n4):
         return 0.5, 0.5, 0.5
     y = n1 / (n1 + 2 * n2)
     raw = 1 - 2 * y * n2 / n1, 2 - 3 * y * n3 / n2, 3 - 4 * y * n4 / n3
-    return tuple(min(max(value, 0.0), float(most)) for most, value in enumerate(raw, 1))
+    return tuple(value if 0 < value < most else 0.5 for most, value in enumerate(raw, 1))
 
 
 def discounted(counts: np.ndarray, of: tuple[float, ...]) -> np.ndarray:

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from mailquill.llm.common import slices
+
 SYMBOLS = "#*$%&|<>"
 #: Phrases of pages rather than of prose; a short line holding one is boilerplate.
 BOILERPLATE = (
@@ -26,8 +28,10 @@ BOILERPLATE = (
     "subscribe to",
     "terms of use",
 )
-RESULT = """n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint,
-base_failed boolean, kept boolean, n_lost_words bigint, cleaned string"""
+RESULT = (
+    "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "
+    "base_failed boolean, kept boolean, n_lost_words bigint"
+)
 
 
 @dataclass(frozen=True)
@@ -121,18 +125,20 @@ def judge(text: str | None, rules: QualityRules = RULES) -> tuple:
 SPACES = {code: None for code in (0x20, *range(0x09, 0x0E))}
 
 
-def quality(text: Column, rules: QualityRules = RULES) -> Column:
-    """Struct of counts, verdicts and the ``cleaned`` text of every whole text.
+def quality(text: Column, rules: QualityRules = RULES, cleaned: bool = False) -> Column:
+    """Struct of counts and verdicts of every whole text, with ``cleaned`` also the text without failing lines.
 
     NULL and empty texts have no words, fail ``min_words`` and are not kept. A text is kept unless it fails the base
     rules (too few words, too many words in repeated windows) or loses more than ``max_lost`` of its words with the
-    lines that fail a line rule. ``cleaned`` is the text without those lines. Lines without a word never fail.
+    lines that fail a line rule. Lines without a word never fail and stay.
     """
+    schema = f"{RESULT}, cleaned string" if cleaned else RESULT
+    names = [part.split()[0] for part in schema.split(",")]
 
-    @F.pandas_udf(RESULT)
+    @F.pandas_udf(schema)
     def judged(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        names = [part.split()[0] for part in RESULT.split(",")]
         for batch in batches:
-            yield pd.DataFrame([judge(x, rules) for x in batch], columns=names)
+            for texts in slices(batch):
+                yield pd.DataFrame([judge(x, rules)[: len(names)] for x in texts], columns=names)
 
     return judged(text)

@@ -73,7 +73,7 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = documents(spark, sf_dir).select("doc_id", quality.quality(F.col("text")).alias("verdict"))
-    return judged.select("doc_id", "verdict.*").drop("cleaned")
+    return judged.select("doc_id", "verdict.*")
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

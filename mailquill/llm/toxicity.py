@@ -270,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
     marks = labels.where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
     marks = bounded_sample(marks, "toxic", F.col("id"), training.rows_per_label)
     # At most twice rows_per_label ids and flags: the bound that makes this broadcast safe.
-    sample = docs.join(F.broadcast(marks), "id").select("text", "toxic")
+    sample = docs.select("id", "text").join(F.broadcast(marks), "id").select("text", "toxic")
     rows = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
     shares = {row["toxic"]: row["count"] for row in labels.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
     n = len(FEATURES)
