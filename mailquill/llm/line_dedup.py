@@ -14,6 +14,8 @@ from mailquill.llm.common import fresh
 from mailquill.session import materialize
 
 WINDOW, DIVISOR, LEAST_LINES = 2, 3, 2
+#: Parts of a hash's chunks, so that a chunk that is found everywhere does not meet in one task.
+SALTS = 16
 
 
 def _hash128(text: Column) -> Column:
@@ -68,7 +70,10 @@ def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, divisor:
     # The joins' smaller sides grow with the corpus and have no bound, so all of them are merge joins at every size.
     # Texts only of repeated hashes; grouping by the bytes tells colliding chunks apart and combines copies before the shuffle.
     place = F.struct("id", "key", "no")
-    classes = chunks.join(repeated.hint("merge"), "hash").groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
+    salted = chunks.withColumn("salt", F.pmod(F.xxhash64("id", "key", "no"), F.lit(SALTS)).cast("int"))
+    parts = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
+    found = salted.join(parts, ["hash", "salt"])
+    classes = found.groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
     classes = materialize(classes.where("n > 1").select("hash", sha, "first"), "classes")
     later = marks.join(classes.hint("merge"), ["hash", "sha"]).where(~place.eqNullSafe(F.col("first")))
     return materialize(later.groupBy("id", "key").agg(F.collect_set("no").alias("removed")), "removed-chunks")
