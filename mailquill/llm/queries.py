@@ -154,9 +154,46 @@ SELECT doc_id, CAST(sum(n_lines) AS BIGINT) AS n_lines, count(*) AS n_chunks,
 FROM ranked GROUP BY doc_id
 """
 
+QUALITY_SQL = r"""
+WITH worded AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+starts AS (SELECT doc_id, words, unnest(range(1, len(words) - 6)) AS start FROM worded),
+windows AS (SELECT doc_id, start, array_to_string(words[start : start + 7], ' ') AS own FROM starts),
+again AS (SELECT doc_id, start FROM windows QUALIFY count(*) OVER (PARTITION BY doc_id, own) > 1),
+covered AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words
+            FROM (SELECT doc_id, unnest(range(start, start + 8)) AS place FROM again) GROUP BY doc_id),
+split AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM worded),
+lines AS (SELECT doc_id, line, regexp_extract_all(line, '[^\x20\x09-\x0D]+') AS own FROM split),
+counted AS (
+  SELECT doc_id, line, own, len(own) AS n, translate(line, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded,
+         length(line) - length(replace(line, '|', '')) AS bars,
+         length(line) - length(regexp_replace(line, '[#*$%&]', '', 'g')) AS marks,
+         (length(line) - length(replace(line, '!!', ''))) // 2 AS shouts,
+         len(list_filter(range(2, len(own) + 1), lambda i: own[i] = own[i - 1])) AS repeats
+  FROM lines WHERE len(own) > 0),
+failed AS (
+  SELECT doc_id, line, n,
+         bars >= 0.12::DOUBLE * n OR marks >= 0.3::DOUBLE * n OR shouts >= 0.3::DOUBLE * n OR repeats >= 0.3::DOUBLE * n
+         OR n <= 20 AND regexp_matches(folded, 'accept all cookies|all rights reserved|back to top|click here|cookie policy|enable javascript|privacy policy|sign up|subscribe to|terms of use')
+         OR n <= 3 AND NOT regexp_matches(own[-1], '[.!?:;,"'')…”»]$') AS fails
+  FROM counted),
+by_line AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost
+            FROM failed GROUP BY doc_id),
+base AS (
+  SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars,
+         CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+         CAST(coalesce(lost, 0) AS BIGINT) AS n_lost_words
+  FROM worded LEFT JOIN covered USING (doc_id) LEFT JOIN by_line USING (doc_id)),
+verdict AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND n_lost_words <= 0.5 * n_words AS kept, n_lost_words
+FROM verdict
+"""
+
 ORACLES: dict[str, str] = {
     "op2_license_scan": _license_sql(),
     "op5_line_dedup": LINE_DEDUP_SQL,
+    "op7_quality_rules": QUALITY_SQL,
     "op8_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
        row_number() OVER (same ORDER BY doc_id DESC) = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -29,10 +29,10 @@ def test_lexicon_reads_beginnings_and_words():
         ("grumble grumble", 2.0 + 3.0, 0, 0, 0),
         ("not a grumble", 0, 0.6, 0, 0),
         ("not one two three grumble", 2.0, 0, 0, 0),
-        ("he said grumble", 0, 1.0, 0, 1),
+        ("he said grumble", 0, 1.0, 0, 0),
         ('the word "grumble" stands', 0, 1.0, 0, 0),
         ("i will kill you", 0, 0, 2.0, 1),
-        ("i will not kill you", 0, 0.3, 0, 1),
+        ("i will not kill you", 0, 0.3, 0, 0),
         ("kill the process", 0, 0, 0, 0),
         ("GRUMBLE. you", 2.0, 0, 0, 0),
     ],
