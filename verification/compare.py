@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import tempfile
 import time
 import traceback
 
@@ -64,6 +65,7 @@ def main() -> int:
         SparkSession.builder.master("local[8]")
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="compare-"))
     ).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     connection = oracle_connection(sf_dir)

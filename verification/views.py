@@ -6,12 +6,15 @@ one language and twenty neighbouring ids share a mail. ``labels`` tells which ar
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mailquill.functions.scoring import WordRules
 from mailquill.operators.align import schema_align, with_hash
 from mailquill.operators.dedup import dedup_first, newest_mail_first
+from mailquill.session import materialize
 
 SENDER = "alerts@example.org"
 OTHER_SENDER = "newsletter@example.org"
@@ -22,10 +25,33 @@ RULES = WordRules(high=("Nicht", "attion", "pour"), medium=("thanedble", "eren")
 EXCLUDE = ("Erhe", "avec", "sich")
 
 
+_written: dict[tuple[str, str, str], DataFrame] | None = None
+
+
+def keep_written() -> None:
+    """From now on each view is written once and read from its files, so that timings leave out how it is made."""
+    global _written
+    _written = {}
+
+
+def kept(make):
+    @wraps(make)
+    def view(spark: SparkSession, sf_dir: str) -> DataFrame:
+        if _written is None:
+            return make(spark, sf_dir)
+        key = spark.sparkContext.applicationId, sf_dir, make.__name__
+        if key not in _written:
+            _written[key] = materialize(make(spark, sf_dir), make.__name__)
+        return _written[key]
+
+    return view
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@kept
 def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
     group = F.floor(F.col("doc_id") / 20)
@@ -56,27 +82,32 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@kept
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_hash(articles(spark, sf_dir))
 
 
+@kept
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with labels, first of each title, labels alongside."""
     known = hashed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
     return dedup_first(known, "hash", newest_mail_first())
 
 
+@kept
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All articles, first of each title, with NULLs where there is no label."""
     known = hashed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return dedup_first(known, "hash", newest_mail_first())
 
 
+@kept
 def store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of the articles that counts as stored before."""
     return schema_align(labelled(spark, sf_dir), STORED_AT)
 
 
+@kept
 def whole_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_align(judged(spark, sf_dir), STORED_AT)
 
@@ -86,6 +117,7 @@ def label_score():
     return tier.when(F.col("quality") == 0, "Medium")
 
 
+@kept
 def scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = judged(spark, sf_dir).withColumns(
         {
@@ -97,6 +129,7 @@ def scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_align(scored, STORED_AT)
 
 
+@kept
 def half_scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The store with older scores for the toxic labels only."""
     scored = judged(spark, sf_dir).withColumns(
@@ -105,6 +138,7 @@ def half_scored_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_align(scored, STORED_AT)
 
 
+@kept
 def score_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Updates by hash; rows with quality 0 carry NULLs that must not replace anything."""
     return judged(spark, sf_dir).select(
@@ -120,6 +154,7 @@ def escaped(text):
     return text
 
 
+@kept
 def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alert mails of at most twenty articles. Each begins with an empty heading and one inside a comment."""
     summary = F.array_join(F.transform("parts", escaped), "<br>")
@@ -151,6 +186,7 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@kept
 def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``mail`` as base64url messages: two subjects, a zone two hours ahead, a text part and an encoded HTML part."""
     line = "\r\n"
@@ -171,6 +207,7 @@ def raw_mail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mail(spark, sf_dir).select("id", "snippet", coded.alias("raw"))
 
 
+@kept
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Model replies per label: some fenced, some without a field, some cut off, some no JSON."""
     quality, toxic = F.col("quality"), F.col("toxic")
@@ -192,6 +229,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@kept
 def linked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All articles once per title as enrichment candidates; Spanish ones have no link."""
     first = dedup_first(hashed(spark, sf_dir), "hash", newest_mail_first())
@@ -199,6 +237,7 @@ def linked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return schema_align(linked, STORED_AT)
 
 
+@kept
 def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` with a failure message for some hosts."""
     failed = F.contains("url", F.lit("casino"))
@@ -206,6 +245,7 @@ def crawled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").withColumn("error", F.when(failed, message))
 
 
+@kept
 def typed_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What users might type as a start bound, from every event."""
     moment = F.col("ts").cast("timestamp")
