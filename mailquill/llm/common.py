@@ -46,10 +46,17 @@ def bounded_sample(df: DataFrame, by: str, key: Column, bound: int) -> DataFrame
 SLICE = 256
 
 
-def slices(batch: pd.Series) -> Iterable[list[str]]:
-    """The texts of a batch, few at a time, with NULL as empty."""
-    for at in range(0, len(batch), SLICE):
-        yield [text or "" for text in batch.iloc[at : at + SLICE]]
+def slices(batch: pd.Series, characters: int | None = None) -> Iterable[list[str]]:
+    """The texts of a batch, few or so many characters at a time, with NULL as empty."""
+    part, size = [], 0
+    for text in batch:
+        part.append(text or "")
+        size += len(part[-1])
+        if size >= characters if characters else len(part) == SLICE:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
 
 
 class RecentTable:
