@@ -30,9 +30,9 @@ from mailquill.operators.ranking import number_rows
 from mailquill.session import materialize
 
 #: Characters that a task encodes at once; a longer text is one slice of its own.
-SLICE = 1 << 23
+SLICE = 1 << 22
 #: Words of a generation of a task's table.
-TABLE_WORDS = 500_000
+TABLE_WORDS = 400_000
 #: White space to some and not to others; a text that holds one goes to the tokenizer as a whole.
 SEPARATORS = ("\x1c", "\x1d", "\x1e", "\x1f")
 #: Fixed value: how the word tokenizer cuts a normalised text into parts.
