@@ -37,6 +37,21 @@ def store_batch(mail: DataFrame, batch_id: int, store: str, added_at: str, work:
     new.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
 
+def compact_batches(spark: SparkSession, store: str, new_store: str) -> None:
+    """Write a stopped stream's store to a new one: all closed batches in one folder, the last one in its own.
+
+    The last batch may still be replayed and must stay apart. The stream goes on with ``new_store`` and its old checkpoint;
+    the old store stays until the caller switches.
+    """
+    stored = stored_articles(spark, store)
+    last = stored.agg(F.max("batch_id").alias("last")).first()["last"]
+    if last is not None:
+        closed = stored.where(F.col("batch_id") < last).drop("batch_id")
+        closed.write.mode("overwrite").parquet(f"{new_store}/batch_id=-1")
+        open_ = stored.where(F.col("batch_id") == last).drop("batch_id")
+        open_.write.mode("overwrite").parquet(f"{new_store}/batch_id={last}")
+
+
 def start_ingest(
     spark: SparkSession,
     source: str,
@@ -50,7 +65,8 @@ def start_ingest(
 
     Deduplication is against the store and not in stream state: a title from long ago must still be dropped, and stream
     state would have to hold every title ever seen. Articles stored before the stream began belong in a folder
-    ``batch_id=-1`` of the store.
+    ``batch_id=-1`` of the store. With ``articles`` below a root folder as its store, ``jobs.score_pending`` scores what
+    was ingested and ``jobs.report`` reports it.
     """
     work = shared_folder(spark, "first")
     mail = (

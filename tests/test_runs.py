@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from mailquill.operators.align import with_missing_columns
+from mailquill.operators.enrich import page_texts
 from mailquill.operators.score import scored_only
 from mailquill.plans import jobs
 from mailquill.plans.digest import DigestSettings, digest, report_from_store, run_digest
@@ -10,7 +11,7 @@ from mailquill.session import shared_folder
 from mailquill.sources.mail import write_mail
 from mailquill.sources.state import read_state
 from mailquill.sources.store import current_articles, load_store
-from mailquill.streaming.ingest import start_ingest, store_batch
+from mailquill.streaming.ingest import compact_batches, start_ingest, store_batch
 from verification import views as v
 
 ARTICLE = '<h3><a class="gse_alrt_title" href="{link}">{title}</a></h3><div class="gse_alrt_sni">{summary}</div>'
@@ -176,3 +177,39 @@ def test_pending_scores(spark):
     assert jobs.score_pending(spark, root, SETTINGS) == 2
     assert {r.hash: r.score for r in current_articles(spark, root).collect()} == {"1": "High", "2": "Low", "3": "Low"}
     assert jobs.score_pending(spark, root, SETTINGS) == 0
+
+
+def test_stream_is_compacted_scored_and_reported(spark):
+    root, source, checkpoint = (shared_folder(spark, name) for name in ("root", "source", "checkpoint"))
+    mails = mail(spark, *[(f"m{n}", "X@e", float(n), [(f"DFT {n}", "u", "s"), ("Battery", "u", "s")]) for n in range(6)])
+    mails.repartition(6, "id").write.parquet(source)
+    start_ingest(spark, source, f"{root}/articles", checkpoint, "x@e", "now", files_per_batch=1).awaitTermination()
+    before = hashes(spark, f"{root}/articles")
+    assert len(before) == 7
+    compact_batches(spark, f"{root}/articles", f"{root}-2/articles")
+    assert hashes(spark, f"{root}-2/articles") == before
+    assert spark.read.parquet(f"{root}-2/articles").select("batch_id").distinct().count() == 2
+    mail(spark, ("m9", "x@e", 9.0, [("DFT 9", "u", "s"), ("DFT 1", "u", "s")])).write.mode("append").parquet(source)
+    start_ingest(spark, source, f"{root}-2/articles", checkpoint, "x@e", "now", files_per_batch=1).awaitTermination()
+    assert len(hashes(spark, f"{root}-2/articles")) == 8
+    assert jobs.score_pending(spark, f"{root}-2", SETTINGS) == 8
+    assert jobs.score_pending(spark, f"{root}-2", SETTINGS) == 0
+    written = spark.read.text(jobs.report(spark, f"{root}-2", SETTINGS))
+    assert written.where("value LIKE '### [%'").count() == 7
+
+
+def test_few_links_move_no_page(spark):
+    pages = shared_folder(spark, "pages")
+    html = F.concat(F.lit("<article>"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 20), F.lit("</article>"))
+    made = spark.range(20000).select(F.col("id").alias("page_id"), F.concat(F.lit("u/"), "id").alias("url"), html.alias("html"))
+    made.repartition(4).write.parquet(pages)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        links = spark.createDataFrame([("u/5",)], "link string")
+        found = page_texts(spark.read.parquet(pages), links)
+        assert found.count() == 1
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert "html" in plan and "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -16,7 +16,7 @@ from mailquill.operators.align import schema_align
 from mailquill.operators.explode import explode_alerts
 from mailquill.operators.merge import merge_updates
 from mailquill.operators.ranking import number_rows
-from mailquill.plans import digest
+from mailquill.plans import digest, jobs
 from mailquill.schema import STATE_SCHEMA
 from mailquill.session import materialize, shared_folder
 from mailquill.sources import mail as mail_source
@@ -262,6 +262,10 @@ def report_document(spark, sf_dir):
 def report_write(spark, sf_dir):
     folder = shared_folder(spark, "reports")
     path = write_report(report_document(spark, sf_dir), folder, datetime(2024, 3, 1, 8, 30))
+    return _report_lines(spark, path)
+
+
+def _report_lines(spark, path):
     parts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
     lines = parts.select("file", F.posexplode(F.split(F.expr("left(value, length(value) - 1)"), "\n")).alias("pos", "line"))
     return number_rows(lines, [F.col("file"), F.col("pos")], "line_no").select("line_no", "line")
@@ -309,6 +313,23 @@ def digest_end_to_end(spark, sf_dir):
     return digest.digest(v.mail(spark, sf_dir), v.store(spark, sf_dir), SETTINGS, v.crawled_pages(spark, sf_dir))
 
 
+def digest_rerun(spark, sf_dir):
+    """A run over a folder in which an unfinished attempt left other articles and texts."""
+    root = shared_folder(spark, "root")
+    mail_source.write_mail(v.mail(spark, sf_dir), f"{root}/mail", 1)
+    article_store.append_articles(v.store(spark, sf_dir), f"{root}/articles")
+    article_store.write_run(v.whole_store(spark, sf_dir), f"{root}/articles", 1)
+    article_store.append_texts(v.whole_store(spark, sf_dir).withColumn("full_text_summary", F.col("title")), root, 1)
+    return _report_lines(spark, jobs.fetch(spark, root, SETTINGS, v.crawled_pages(spark, sf_dir)).report)
+
+
+def score_pending(spark, sf_dir):
+    root = shared_folder(spark, "root")
+    article_store.append_articles(v.half_scored_store(spark, sf_dir), f"{root}/articles")
+    jobs.score_pending(spark, root, SETTINGS)
+    return article_store.current_articles(spark, root).select("hash", "score", "reason")
+
+
 def report_from_store(spark, sf_dir):
     return digest.report_from_store(v.scored_store(spark, sf_dir), SETTINGS)
 
@@ -357,5 +378,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pluggable_score": pluggable_score,
     "stream_ingest": stream_ingest,
     "digest_end_to_end": digest_end_to_end,
+    "digest_rerun": digest_rerun,
+    "score_pending": score_pending,
     "report_from_store": report_from_store,
 }
