@@ -21,6 +21,12 @@ def in_fold(doc_id: Column, folds: int, fold: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % folds == fold, F.lit(False))
 
 
+def row_place(row_id: Column, text: Column) -> Column:
+    """16 bytes that name a row by id (or its lack) and text. Rows that repeat both are one place."""
+    own = F.coalesce(F.concat(F.lit("i"), row_id.cast("string")), F.lit("n"))
+    return F.unhex(F.md5(F.concat(own, F.lit("/"), F.md5(text.cast("binary"))).cast("binary")))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that ``df`` does not use yet."""
     taken = {column.lower() for column in df.columns}
