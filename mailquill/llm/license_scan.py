@@ -105,6 +105,42 @@ def _held_words(folded: Column, words: list[str]) -> Column:
     return F.transform(F.split(folded, "\n", -1), lambda line: F.array_intersect(known, F.split(line, GAPS)))
 
 
+def _wrapped_hits(spaced: Column, held: Column, templates: tuple[tuple[str, str], ...], containment: float) -> Column:
+    """Array of struct(``label``, ``contained``) of the templates that stand in a text whatever its lines.
+
+    A template of n words is held by any 2 n words that follow each other and hold the needed share of it. Texts that
+    do not hold that share anywhere are told by ``held``, the template words of each line; only the others are looked through.
+    """
+    entries = []
+    for label, text in templates:
+        own = template_words(text)
+        entries.append(
+            F.struct(
+                F.lit(label).alias("label"),
+                F.array(*[F.lit(word) for word in own]).alias("own"),
+                F.lit(math.ceil(round(containment * len(own), 9))).alias("least"),
+                F.lit(2 * len([word for word in re.split(GAPS, text.lower()) if word])).alias("span"),
+            )
+        )
+
+    def likely(whole: Column) -> Column:
+        return F.filter(F.array(*entries), lambda t: F.size(F.array_intersect(t["own"], whole)) >= t["least"])
+
+    def looked_through(words: Column) -> Column:
+        def most(t: Column) -> Column:
+            starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(t["own"], words[i - 1]))
+            shared = F.transform(starts, lambda i: F.size(F.array_intersect(t["own"], F.slice(words, i, t["span"]))))
+            return F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(t["own"]).alias("n"), F.array_max(shared).alias("shared"))
+
+        return F.transform(candidates, most)
+
+    # A one-element array binds an expression to a name, so that it is worked out once.
+    candidates = F.transform(F.array(F.array_distinct(F.flatten(held))), likely)[0]
+    found = F.when(F.size(candidates) > 0, F.transform(F.array(F.split(F.trim(spaced), " ", -1)), looked_through)[0])
+    over = F.filter(found, lambda x: x["shared"] >= x["least"])
+    return F.transform(over, lambda x: F.struct(x["label"].alias("label"), (x["shared"] / x["n"]).alias("contained")))
+
+
 def similar_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...], containment: float) -> DataFrame:
     """``label`` and ``contained`` for every row of ``lines`` whose ``held`` words are at least the share ``containment``
     of a template's distinct words; other columns stay. A line may be returned once for each word of its prefix.
@@ -155,13 +191,14 @@ def scan_licenses(
     containment: float = CONTAINMENT,
     id_col: str = "doc_id",
     text_col: str = "text",
+    wrapped: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: places of the phrases, labels and a score.
 
     ``n_words``, ``n_base`` (places where the words of a phrase stand one after the other, all counted), ``first_word`` and
     ``last_word`` (smallest and largest start, else NULL), ``base_labels``, ``labels`` (with those of similar lines), both
     sorted and joined by commas and empty if there are none, ``score``: 1 with a phrase, else the largest containment at or
-    over the threshold, else 0. NULL counts as an empty text. Only A-Z are folded. Rows that repeat id and text get equal
+    over the threshold, else 0. With ``wrapped`` labels and score also count notices that go over line ends. NULL counts as an empty text. Only A-Z are folded. Rows that repeat id and text get equal
     results, a NULL id is a value like others, other columns are ignored, an empty table gives no rows.
     """
     words = sorted({word for _, text in templates for word in template_words(text)})
@@ -174,7 +211,9 @@ def scan_licenses(
     folded = docs.select(F.col(id_col).alias("id"), key, _folded(text).alias("folded"))
     spaced = folded.select("id", "key", "folded", _spaced(F.col("folded")).alias("spaced"))
     places = phrase_places(F.col("spaced"), phrases)
-    base = materialize(spaced.select("id", "key", *places, _held_words(F.col("folded"), words).alias("lines")), "scan")
+    scan = spaced.select("id", "key", "spaced", *places, _held_words(F.col("folded"), words).alias("lines"))
+    over = _wrapped_hits(F.col("spaced"), F.col("lines"), templates, containment) if wrapped else F.lit(None).cast("array<struct<label:string,contained:double>>")
+    base = materialize(scan.withColumn("over", over).drop("spaced"), "scan")
 
     lines = base.select("id", "key", F.explode("lines").alias("held"))
     found = similar_lines(lines, templates, containment)
@@ -183,7 +222,8 @@ def scan_licenses(
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_"))
     both = base.drop("lines").join(hits, same, "left")
     names = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(labels))), ",")
-    more = F.coalesce("more", F.array().cast("array<string>"))
+    more = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in (F.col("more"), F.col("over.label"))])
+    contained = F.greatest("contained", F.array_max(F.col("over.contained")))
     return both.select(
         F.col("id").alias(id_col),
         "n_words",
@@ -192,5 +232,5 @@ def scan_licenses(
         "last_word",
         names(F.col("base")).alias("base_labels"),
         names(F.concat("base", more)).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("contained", F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(contained, F.lit(0.0))).alias("score"),
     )

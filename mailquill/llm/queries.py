@@ -38,7 +38,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan_licenses(documents(spark, sf_dir))
+    return license_scan.scan_licenses(documents(spark, sf_dir), wrapped=True)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,0 +1,25 @@
+import textwrap
+
+from cases import by_id, frame
+
+from mailquill.llm import license_scan as scan
+
+
+def test_templates_wrapped_at_any_width(spark):
+    texts = []
+    for n, (_, text) in enumerate(scan.TEMPLATES):
+        for k, width in enumerate((1000, 72, 40, 12)):
+            lines = textwrap.wrap(text, width, break_long_words=False)
+            texts.append((10 * n + k, "Some words before.\n" + "\n".join(f" * {line}" for line in lines) + "\nwords behind"))
+    found = by_id(scan.scan_licenses(frame(spark, texts), wrapped=True))
+    for n, (label, _) in enumerate(scan.TEMPLATES):
+        rows = [tuple(found[10 * n + k][0])[5:] for k in range(4)]
+        assert rows.count(rows[0]) == 4
+        assert label in rows[0][1].split(",") and rows[0][2] == 1.0
+
+
+def test_scattered_words_are_no_notice(spark):
+    words = scan.template_words(scan.TEMPLATES[3][1])
+    far = "\n".join(f"{word} " + "filler " * 9 for word in words)
+    found = scan.scan_licenses(frame(spark, [(1, far), (2, None), (3, "")]), wrapped=True).collect()
+    assert {(row["labels"], row["score"]) for row in found} == {("", 0.0)}
