@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mailquill.llm import (
     chat_format,
     exact_dedup,
+    hard_negatives,
     language_id,
     license_scan,
     line_dedup,
@@ -96,6 +97,16 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    label = F.col("label").cast("bigint")
+    vectors = rows.select(
+        F.col("vec_id").alias("id"), F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label).alias("label"),
+        hard_negatives.scaled(F.col("embedding")).alias("vector"),
+    )
+    return hard_negatives.mine_hard_negatives(vectors, F.col("id") % 50 == 0)
+
+
 def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = spark.range(2).select(
@@ -116,6 +127,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_exact_dedup": op8_exact_dedup,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_lm_scoring": op10_lm_scoring,
+    "op11_hard_negatives": op11_hard_negatives,
     "op12_chat_formatting": op12_chat_formatting,
 }
 
@@ -201,7 +213,28 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM verdict
 """
 
+HARD_NEGATIVES_SQL = """
+WITH vectors AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id AS vec_id, a.label = b.label AS alike, list_inner_product(a.v, b.v)::BIGINT AS score
+  FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INTEGER) AS rank, s.vec_id AS negative_id, positive_score,
+       s.score AS negative_score
+FROM positives JOIN scored s USING (anchor_id)
+WHERE NOT s.alike AND 100 * s.score BETWEEN 50 * positive_score AND 95 * positive_score
+WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id)
+QUALIFY row_number() OVER best <= 3
+"""
+
 ORACLES: dict[str, str] = {
+    "op11_hard_negatives": HARD_NEGATIVES_SQL,
     "op2_license_scan": _license_sql(),
     "op5_line_dedup": LINE_DEDUP_SQL,
     "op7_quality_rules": QUALITY_SQL,
