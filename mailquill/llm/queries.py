@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailquill.llm import (
@@ -17,6 +17,7 @@ from mailquill.llm import (
     line_dedup,
     ngram_model,
     packing,
+    periodic_runs,
     quality,
     sentence_pieces,
     simhash,
@@ -116,6 +117,44 @@ def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.render_turns(turns.unionByName(odd)))
 
 
+def _with_period(doc_id: Column, text: Column) -> Column:
+    """The text, or for a tenth of the ids its words from some place on as repetitions of a period drawn from the id."""
+    h = F.crc32(doc_id.cast("string").cast("binary"))
+    g = F.floor(h / 10)
+
+    def repeated(words: Column) -> Column:
+        n = F.size(words)
+        a = F.pmod(g, n)
+        p = 1 + F.floor((n - a) / (3 + g % 8))
+        word = lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int"))
+        return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), word), " "))
+
+    words = F.regexp_extract_all(text, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    made = F.transform(F.array(words), repeated)[0]  # a one-element array binds an expression to a name
+    return F.when(h % 10 == 0, F.coalesce(made, text)).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", _with_period(F.col("doc_id"), F.col("text")).alias("text"))
+    runs = F.col("found.runs")
+
+    def better(best: Column, run: Column) -> Column:
+        more = run["length"] * best["period"] > best["length"] * run["period"]
+        return F.when(best.isNull() | more, run).otherwise(best)
+
+    none = F.lit(None).cast("struct<start:bigint,length:bigint,period:bigint>")
+    line = lambda run: F.concat_ws(",", run["start"], run["length"], run["period"])
+    listed = F.array_join(F.transform(runs, lambda run: F.concat(line(run), F.lit("\n"))), "")
+    found = docs.select("doc_id", periodic_runs.periodic_runs(F.col("text")).alias("found"))
+    best = found.select("*", F.reduce(runs, none, better).alias("best"))
+    return best.select(
+        "doc_id", F.size(runs).cast("bigint").alias("n_runs"), "best.start", "best.length", "best.period",
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(listed.cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("found.collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_license_scan": op2_license_scan,
@@ -129,6 +168,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_lm_scoring": op10_lm_scoring,
     "op11_hard_negatives": op11_hard_negatives,
     "op12_chat_formatting": op12_chat_formatting,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 def _license_sql() -> str:

@@ -1,0 +1,132 @@
+import hashlib
+import zlib
+from fractions import Fraction
+
+import numpy as np
+import pytest
+from cases import LONG, TEXTS, frame
+
+from mailquill.llm import periodic_runs
+from mailquill.llm.queries import QUERIES
+
+
+def plain(words):
+    """All runs as (start, length, period), by comparing the words with those of every possible period further on."""
+    known = {}
+    numbers = np.array([known.setdefault(word, len(known)) for word in words], int)
+    best = {}
+    for q in range(1, len(numbers) // 3 + 1):
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], (numbers[:-q] == numbers[q:]).astype(int), [0]])))
+        for first, end in zip(edges[::2], edges[1::2]):
+            if end - first + q >= max(24, 3 * q):
+                best.setdefault((int(first), int(end - first + q)), q)
+    return sorted(((start, length, q) for (start, length), q in best.items()), key=lambda run: (run[0], run[2]))
+
+
+def contract(doc_id, text):
+    words = (text or "").encode().split()
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+    runs = plain(words)
+    dropped = {i for start, length, q in runs for i in range(start + q, start + length)}
+    sha = lambda data: hashlib.sha256(data).hexdigest()
+    best = min(runs, key=lambda run: (-Fraction(run[1], run[2]), run[0], run[2]), default=None)
+    listed = "".join(f"{start},{length},{q}\n" for start, length, q in runs).encode()
+    kept = b" ".join(word for i, word in enumerate(words) if i not in dropped)
+    first = (*best, 1000 * best[1] // best[2]) if best else (None,) * 4
+    return (doc_id, len(runs), *first, sha(listed), sha(kept))
+
+
+def odd_texts(seed, n):
+    draw = np.random.default_rng(seed)
+    texts = []
+    for _ in range(n):
+        size, letters, kind = int(draw.integers(0, 500)), int(draw.choice([1, 2, 2, 3, 6, 60])), draw.integers(5)
+        words = draw.integers(0, letters, size)
+        if kind == 0 and size:
+            period, first = int(draw.integers(1, max(2, size // 3))), int(draw.integers(0, size))
+            words = words[[i if i < first else first + (i - first) % period for i in range(size)]]
+        elif kind == 1:  # a block inside a longer period has a short one itself
+            unit = np.concatenate([np.zeros(draw.integers(1, 60), int), draw.integers(0, 3, draw.integers(1, 6)), np.zeros(draw.integers(0, 40), int)])
+            words = np.concatenate([draw.integers(0, 2, 5), np.tile(unit, draw.integers(3, 8)), draw.integers(0, 2, 9)])
+        elif kind == 2:
+            inner = np.tile(draw.integers(0, 3, draw.integers(1, 6)), draw.integers(3, 12))
+            words = np.tile(np.concatenate([inner, draw.integers(0, 3, draw.integers(0, 9))]), draw.integers(1, 7))
+            if draw.random() < 0.5:
+                words[draw.integers(len(words))] = 7
+        elif kind == 3:
+            old, new = "a", "ab"
+            while len(new) < size:
+                old, new = new, new + old
+            words = np.frombuffer(new[:size].encode(), np.uint8).astype(int)
+        texts.append(words.astype(np.int64))
+    return texts
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_like_all_periods(seed):
+    texts = odd_texts(seed, 200)
+    for together in (1, 7, 200):
+        for at in range(0, len(texts), together):
+            some = texts[at : at + together]
+            for words, found in zip(some, periodic_runs.find_runs(some)):
+                assert [tuple(map(int, run)) for run in found] == plain(list(words))
+
+
+def test_wavelet_tree_like_sorting():
+    draw = np.random.default_rng(1)
+    numbers = draw.permutation(500)[:300]
+    tree = periodic_runs.WaveletTree(numbers, 500)
+    low = draw.integers(0, 300, 400)
+    high = low + 1 + draw.integers(0, 300 - low)
+    than, n = draw.integers(0, 501, 400), draw.integers(0, high - low)
+    assert tree.less(low, high, than).tolist() == [int((numbers[a:b] < x).sum()) for a, b, x in zip(low, high, than)]
+    assert tree.nth(low, high, n).tolist() == [int(np.sort(numbers[a:b])[k]) for a, b, k in zip(low, high, n)]
+
+
+def test_rows_of_every_kind(spark):
+    from pyspark.sql import functions as F
+
+    again = " ".join(["eins", "zwei", "drei x"] * 9)
+    texts = TEXTS + [(20, again), (20, again), (None, again), (21, "la " * 40), (22, "a\x0bb\x1fc\x85d " * 30), (23, again + " " + again.upper())]
+    found = frame(spark, texts).select("doc_id", "text", periodic_runs.periodic_runs(F.col("text")).alias("r")).collect()
+    assert len(found) == len(texts)
+    for row in found:
+        words = (row["text"] or "").encode().split()
+        runs = [(run["start"], run["length"], run["period"]) for run in row["r"]["runs"]]
+        # Trying all periods of the very long text would take minutes; it repeats with period 12,701.
+        assert row["r"]["n_words"] == len(words)
+        if (row["text"] or "").lower() == LONG:
+            assert runs == [(0, 60_000, 12_701)]
+            assert row["r"]["collapsed"].encode().split() == words[:12_701]
+        else:
+            assert runs == plain(words)
+
+
+def test_empty_table(spark):
+    from pyspark.sql import functions as F
+
+    assert frame(spark, []).select(periodic_runs.periodic_runs(F.col("text"))).collect() == []
+
+
+def test_query_over_the_whole_table(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    found = {row["doc_id"]: tuple(row) for row in QUERIES["op13_periodic_runs"](spark, sf_dir).collect()}
+    assert len(found) == len(docs)
+    for row in docs:
+        assert found[row["doc_id"]] == contract(*row)
+    assert sum(row[1] > 0 for row in found.values()) >= len(docs) // 20
+
+
+def test_query_over_odd_rows(spark, tmp_path):
+    ids = [i for i in range(3000) if zlib.crc32(str(i).encode()) % 10 == 0][:12]
+    texts = [(i, text) for i, text in zip(ids, [None, "", " \n", "one", "a b", "x y z " * 20, "w " * 100, " ".join(map(str, range(700))), *["é ö   ü " * k for k in (3, 9, 30, 90)]])]
+    texts += [t for t in TEXTS if t[1] is None or t[1].lower() != LONG]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = sorted(map(repr, map(tuple, QUERIES["op13_periodic_runs"](spark, str(tmp_path)).collect())))
+    assert found == sorted(repr(contract(*row)) for row in texts)
