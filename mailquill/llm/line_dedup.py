@@ -1,133 +1,221 @@
-"""Line dedup by content-defined chunks of lines, in DataFrame expressions only.
+"""Line dedup by content-defined chunks, in DataFrame expressions only.
 
-A rolling hash over the hashes of the last lines ends a chunk wherever its remainder is zero. Boundaries thus follow the
-lines and not their numbers, and a passage is cut alike wherever it stands. Chunks of two lines or more that are found
-again anywhere are removed, all but the first.
+A text is cut into units, its lines and the clauses of longer ones. A rolling hash over the hashes of the last units ends a chunk
+wherever it falls into the lower part of its range, so boundaries follow the words and not their numbers, and a passage is
+cut alike wherever it stands. Chunks that are found again anywhere are compared by their bytes. A passage seldom begins and ends
+at a boundary, so a found chunk is extended over the units beside it as far as they equal those beside the first one. Stretches of
+found units with enough words are removed, all but the first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailquill.llm.common import fresh
+from mailquill.llm.common import fresh, row_place
 from mailquill.session import materialize
 
-WINDOW, DIVISOR, LEAST_LINES = 2, 3, 2
-#: Parts of a hash's chunks, so that a chunk that is found everywhere does not meet in one task.
-SALTS = 16
+#: Units of the rolling hash, its base and modulus (of which base - 1 is no multiple), and the part of its range that ends a chunk.
+WINDOW, BASE, MODULUS, PART = 2, 31, 1_000_003, (2, 3)
+LEAST_WORDS = 40
+SPACE = " \t\n\x0b\f\r"
+#: Up to a line's end, or a mark and a space, and all white space behind it. Blank texts have no unit.
+UNIT = r"(?s)[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r].*?(?:(?:\n|[.!?…,;:][ \t])[ \t\n\x0B\f\r]*|\z)"
+_NO_UNITS = "array<string>"
 
 
-def _hash128(text: Column) -> Column:
-    return F.unhex(F.md5(text.cast("binary")))
+def line_units(text: Column) -> Column:
+    """Array of strings that joined give the text again, unless it is blank."""
+    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
-def line_chunks(text: Column, window: int = WINDOW, divisor: int = DIVISOR) -> Column:
-    """Array of struct(``no`` from 1, ``n_lines``, ``text``); joined by newlines the texts give the whole text again.
+def _bound(value: Column, body) -> Column:
+    """``body`` of ``value``; a one-element array binds an expression to a name, so that it is worked out once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _trimmed(units: Column) -> Column:
+    return F.transform(units, lambda unit: F.btrim(unit, F.lit(SPACE)))
 
-    A chunk ends at a line when the rolling hash (base 31, over 32 bits of the MD5 of each of the last ``window`` lines)
-    is divisible by ``divisor``, and at the last line.
-    """
-    lines = F.split(text, "\n", -1)
-    codes = F.transform(lines, lambda line: F.conv(F.substring(F.md5(line.cast("binary")), 1, 8), 16, 10).cast("bigint"))
 
-    def cut(parts: Column) -> Column:
-        lines, codes = parts["lines"], parts["codes"]
-        n = F.size(lines)
+def _n_words(unit: Column) -> Column:
+    """Words of a trimmed unit: its spaces and one."""
+    return F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
 
+
+def _ends(keys: Column) -> Column:
+    """Numbers, from 1, of the units that end a chunk."""
+    codes = F.transform(keys, lambda key: F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint"))
+
+    def of(codes: Column) -> Column:
         def ends_chunk(i: Column) -> Column:
-            rolling = sum((codes[i - 1 - back] * F.lit(31**back) for back in range(1, window)), codes[i - 1])
-            return (i == n) | ((i >= window) & (rolling % divisor == 0))
+            rolling = sum((codes[i - 1 - back] * F.lit(BASE**back) for back in range(1, WINDOW)), codes[i - 1])
+            return (i == F.size(codes)) | ((i >= WINDOW) & (rolling % MODULUS * PART[1] < MODULUS * PART[0]))
+
+        numbers = F.filter(F.sequence(F.lit(1), F.greatest(F.size(codes), F.lit(1))), ends_chunk)
+        return F.when(F.size(codes) > 0, numbers).otherwise(F.array().cast("array<int>"))
+
+    return _bound(codes, of)
+
+
+def _first(ends: Column, at: Column) -> Column:
+    return F.when(at == 0, F.lit(1)).otherwise(F.get(ends, at - 1) + 1)
+
+
+def _marks(text: Column) -> Column:
+    """Array of struct(``no`` from 1, ``hash``, ``words``, and those of the chunk ``before`` and ``after``)."""
 
-        def chunk(ends: Column) -> Column:
-            def one(end: Column, at: Column) -> Column:
-                start = F.when(at == 0, F.lit(1)).otherwise(ends[at - 1] + 1)
-                own = F.slice(lines, start, end - start + 1)
-                return F.struct(
-                    (at + 1).alias("no"), (end - start + 1).alias("n_lines"), F.array_join(own, "\n").alias("text")
-                )
+    def of_keys(keys: Column) -> Column:
+        def of_ends(ends: Column) -> Column:
+            def chunk(end: Column, at: Column) -> Column:
+                own = F.slice(keys, _first(ends, at), end - _first(ends, at) + 1)
+                whole = F.array_join(own, "\n")
+                # One word for each unit besides the spaces.
+                words = F.length(whole) - F.length(F.replace(whole, F.lit(" "), F.lit(""))) + F.size(own)
+                return F.struct(F.xxhash64(whole).alias("hash"), words.alias("words"))
 
-            return F.transform(ends, one)
+            def with_neighbours(chunks: Column) -> Column:
+                words = lambda at: F.coalesce(F.get(chunks, at)["words"], F.lit(0))
+                return F.transform(chunks, lambda own, at: F.struct(
+                    (at + 1).alias("no"), own["hash"].alias("hash"), own["words"].alias("words"),
+                    words(at - 1).alias("before"), words(at + 1).alias("after")))
 
-        # A one-element array binds an expression to a name, so that it is worked out once.
-        return F.transform(F.array(F.filter(F.sequence(F.lit(1), n), ends_chunk)), chunk)[0]
+            return _bound(F.transform(ends, chunk), with_neighbours)
 
-    return F.transform(F.array(F.struct(lines.alias("lines"), codes.alias("codes"))), cut)[0]
+        return _bound(_ends(keys), of_ends)
 
+    return _bound(_trimmed(line_units(text)), of_keys)
 
-def _removed(docs: DataFrame, id_col: str, text_col: str, window: int, divisor: int) -> DataFrame:
-    """``id``, ``key`` (hash of the text) and ``removed``, the numbers of the chunks to remove."""
+
+def _chunks(text: Column, numbers: Column) -> Column:
+    """Of the chunks with these numbers: ``no``, ``first`` and ``last`` unit, ``own`` text, and the units ``back`` and ``ahead`` of it."""
+
+    def of_keys(keys: Column) -> Column:
+        def of_ends(ends: Column) -> Column:
+            def units(at: Column) -> Column:
+                there = (at >= 0) & (at < F.size(ends))
+                own = F.slice(keys, _first(ends, at), F.get(ends, at) - _first(ends, at) + 1)
+                return F.when(there, own).otherwise(F.array().cast(_NO_UNITS))
+
+            return F.transform(numbers, lambda no: F.struct(
+                no.alias("no"), _first(ends, no - 1).alias("first"), F.get(ends, no - 1).alias("last"),
+                F.array_join(units(no - 1), "\n").alias("own"), units(no - 2).alias("back"), units(no).alias("ahead")))
+
+        return _bound(_ends(keys), of_ends)
+
+    return _bound(_trimmed(line_units(text)), of_keys)
+
+
+def _alike(a: Column, b: Column) -> Column:
+    """How many first elements are the same."""
+    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    return F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int")
+
+
+def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
+    """``place`` of a row and ``ranges``, struct(``first``, ``last``) of units that are found before, apart from each other."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("id"), _hash128(text).alias("key"), line_chunks(text, window, divisor).alias("c"))
-    chunks = (
-        keyed.select("id", "key", F.explode("c").alias("c"))
-        .where((F.col("c.n_lines") >= LEAST_LINES) & F.col("c.text").rlike("\\S"))
-        .select("id", "key", F.col("c.no").alias("no"), F.col("c.text").alias("text"), _hash128(F.col("c.text")).alias("hash"))
-    )
-    sha = F.unhex(F.sha2(F.col("text").cast("binary"), 256)).alias("sha")
-    marks = materialize(chunks.select("id", "key", "no", "hash", sha), "chunk-marks")
+    rows = docs.select(F.col(id_col).alias("id"), row_place(F.col(id_col), text).alias("place"), text.alias("text"))
+    marks = materialize(rows.select("place", F.explode(_marks(F.col("text"))).alias("c")).select("place", "c.*"), "chunk-marks")
     repeated = materialize(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     # The joins' smaller sides grow with the corpus and have no bound, so all of them are merge joins at every size.
-    # Texts only of repeated hashes; grouping by the bytes tells colliding chunks apart and combines copies before the shuffle.
-    place = F.struct("id", "key", "no")
-    salted = chunks.withColumn("salt", F.pmod(F.xxhash64("id", "key", "no"), F.lit(SALTS)).cast("int"))
-    parts = repeated.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge")
-    found = salted.join(parts, ["hash", "salt"])
-    classes = found.groupBy("hash", "text").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    classes = materialize(classes.where("n > 1").select("hash", sha, "first"), "classes")
-    later = marks.join(classes.hint("merge"), ["hash", "sha"]).where(~place.eqNullSafe(F.col("first")))
-    return materialize(later.groupBy("id", "key").agg(F.collect_set("no").alias("removed")), "removed-chunks")
-
-
-def _kept(chunks: Column, removed: Column) -> Column:
-    return F.filter(chunks, lambda chunk: removed.isNull() | ~F.array_contains(removed, chunk["no"]))
-
-
-def _joined(docs: DataFrame, id_col: str, text_col: str, window: int, divisor: int) -> tuple[DataFrame, str]:
-    removed = _removed(docs, id_col, text_col, window, divisor)
-    key, numbers, own_id, own_key = (fresh(docs, x) for x in ("text_key", "removed_chunks", "own_id", "own_key"))
-    removed = removed.select(F.col("id").alias(own_id), F.col("key").alias(own_key), F.col("removed").alias(numbers))
-    marked = docs.withColumn(key, _hash128(F.coalesce(F.col(text_col), F.lit(""))))
-    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(key) == F.col(own_key))
-    return marked.join(removed.hint("merge"), same, "left").drop(own_id, own_key), numbers
-
-
-def remove_repeated_chunks(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR
-) -> DataFrame:
-    """``docs`` with repeated multi-line chunks taken out of the text; rows and other columns as before.
-
-    The first of equal chunks stays: the one with the smallest id (NULL first), text hash and place. Rows that repeat both
-    id and text are one document, whose chunks stay or go in all of them alike. Chunks of one line or without a visible
-    character stay. A text that loses all its chunks becomes empty; a NULL text stays NULL.
+    again = marks.join(repeated.hint("merge"), "hash").select("place", "no", "words", "before", "after").distinct()
+    # Only stretches of repeated chunks that with their neighbours have words enough are looked at.
+    row = Window.partitionBy("place").orderBy("no")
+    stretch = again.withColumn("stretch", F.col("no") - F.row_number().over(row))
+    long_enough = F.sum("words") + F.min_by("before", "no") + F.max_by("after", "no") >= least
+    wanted = stretch.groupBy("place", "stretch").agg(F.collect_list("no").alias("nos"), long_enough.alias("enough"))
+    wanted = wanted.where("enough").groupBy("place").agg(F.sort_array(F.flatten(F.collect_list("nos"))).alias("nos"))
+    wanted = materialize(wanted, "wanted-chunks")
+
+    cut = rows.join(wanted.hint("merge"), "place").select("id", "place", F.explode(_chunks(F.col("text"), F.col("nos"))).alias("c"))
+    cut = materialize(cut.select("id", "place", "c.*", F.xxhash64("c.own").alias("hash")), "chunks")
+    # Grouping by the bytes tells colliding chunks apart; copies are combined before the shuffle.
+    firsts = cut.groupBy("hash", "own").agg(F.min(F.struct("id", "place", "no", "back", "ahead")).alias("f"), F.count(F.lit(1)).alias("n"))
+    firsts = materialize(firsts.where("n > 1").select("hash", "own", "f"), "first-chunks")
+    both = cut.join(firsts.hint("merge"), ["hash", "own"])
+    later = both.where((F.col("place") != F.col("f.place")) | (F.col("no") != F.col("f.no")))
+    back = _alike(F.reverse("back"), F.reverse(F.col("f.back")))
+    spans = later.select("place", (F.col("first") - back).alias("first"), (F.col("last") + _alike(F.col("ahead"), F.col("f.ahead"))).alias("last"))
+    spans = materialize(spans.distinct(), "found-units")
+
+    order = Window.partitionBy("place").orderBy("first", "last")
+    reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    opens = (reached.isNull() | (F.col("first") > reached + 1)).cast("int")
+    numbered = spans.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(order))
+    stretches = numbered.groupBy("place", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    ranges = F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges")
+    return materialize(stretches.groupBy("place").agg(ranges), "found-ranges")
+
+
+def _without(units: Column, ranges: Column) -> Column:
+    """The text without the ranges; where a removed one ended a line in which others stay, the unit before it ends it."""
+    ends_line = lambda no: F.contains(F.get(units, no - 1), F.lit("\n"))
+    n = F.size(units)
+    end = F.struct((n + 1).alias("first"), (n + 1).alias("last"), F.lit(0).alias("words"))
+
+    def joined(all_ranges: Column) -> Column:
+        def piece(own: Column, at: Column) -> Column:
+            begin = F.when(at == 0, F.lit(1)).otherwise(F.get(all_ranges, at - 1)["last"] + 1)
+            kept = F.array_join(F.slice(units, begin, own["first"] - begin), "")
+            broken = (own["first"] > begin) & (own["last"] < n) & ends_line(own["last"]) & ~ends_line(own["first"] - 1)
+            return F.concat(kept, F.when(broken, F.lit("\n")).otherwise(""))
+
+        return F.array_join(F.transform(all_ranges, piece), "")
+
+    return _bound(F.concat(ranges, F.array(end)), joined)
+
+
+def _joined(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, str]:
+    """``docs`` with struct(``ranges``, ``units``, ``words``, ``text``) of what is removed and what is left; NULL if nothing is."""
+    place, name = fresh(docs, "row_place"), fresh(docs, "removed")
+    found = _found(docs, id_col, text_col, least).withColumnsRenamed({"place": place, "ranges": name})
+    marked = docs.withColumn(place, row_place(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
+    joined = marked.join(found.hint("merge"), place, "left").drop(place)
+
+    def of_units(units: Column) -> Column:
+        counted = F.transform(name, lambda own: F.struct(
+            own["first"].alias("first"), own["last"].alias("last"),
+            F.aggregate(F.slice(units, own["first"], own["last"] - own["first"] + 1), F.lit(0),
+                        lambda n, unit: n + _n_words(F.btrim(unit, F.lit(SPACE)))).alias("words")))
+
+        def of_ranges(ranges: Column) -> Column:
+            total = lambda size: F.aggregate(ranges, F.lit(0).cast("bigint"), lambda n, own: n + size(own))
+            return F.when(F.size(ranges) > 0, F.struct(
+                ranges.alias("ranges"), total(lambda own: own["last"] - own["first"] + 1).alias("units"),
+                total(lambda own: own["words"]).alias("words"), _without(units, ranges).alias("text")))
+
+        return _bound(F.filter(counted, lambda own: own["words"] >= least), of_ranges)
+
+    removed = F.when(F.col(name).isNotNull(), _bound(line_units(F.col(text_col)), of_units))
+    return joined.withColumn(name, removed), name
+
+
+def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """``docs`` without the stretches of ``least`` words or more that are found before; rows and other columns as before.
+
+    Of equal chunks the first stays: the one with the smallest id (NULL first), hash of id and text, and place in the text. Rows
+    that repeat both id and text are one document, whose units stay or go in all of them alike. Units are compared without the white
+    space around them, words are told apart by spaces. Chunks in stretches too short to reach ``least`` words are no first ones either.
+    A text that loses all its units becomes empty; NULL and blank texts stay as they are.
     """
-    joined, numbers = _joined(docs, id_col, text_col, window, divisor)
-    texts = F.transform(_kept(line_chunks(F.col(text_col), window, divisor), F.col(numbers)), lambda chunk: chunk["text"])
-    text = F.when(F.col(numbers).isNull(), F.col(text_col)).otherwise(F.array_join(texts, "\n"))
+    joined, removed = _joined(docs, id_col, text_col, least)
+    text = F.when(F.col(removed).isNull(), F.col(text_col)).otherwise(F.col(f"{removed}.text"))
     return joined.withColumn(text_col, text).select(docs.columns)
 
 
-def line_dedup_report(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, divisor: int = DIVISOR
-) -> DataFrame:
-    """One row per row: id, lines, chunks, removed chunks (numbers, ascending), removed lines and the kept text's SHA-256.
+def line_dedup_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
+    """One row per row: id, removed units (``first-last`` of each stretch, numbered from 1), their number and words, the kept text's SHA-256.
 
-    NULL counts as an empty text, which is one empty line.
+    NULL counts as an empty text.
     """
-    joined, numbers = _joined(docs, id_col, text_col, window, divisor)
-    chunks = joined.select(
-        F.col(id_col).alias("id"),
-        F.coalesce(F.col(numbers), F.array().cast("array<int>")).alias("removed"),
-        line_chunks(F.coalesce(F.col(text_col), F.lit("")), window, divisor).alias("c"),
-    )
-    lines = lambda part: F.aggregate(part, F.lit(0), lambda n, chunk: n + chunk["n_lines"]).cast("bigint")
-    kept = chunks.select("*", _kept(F.col("c"), F.col("removed")).alias("k"))
-    text = F.array_join(F.transform("k", lambda chunk: chunk["text"]), "\n")
-    return kept.select(
-        F.col("id").alias(id_col),
-        lines(F.col("c")).alias("n_lines"),
-        F.size("c").cast("bigint").alias("n_chunks"),
-        F.array_join(F.sort_array("removed").cast("array<string>"), ",").alias("removed_chunks"),
-        (lines(F.col("c")) - lines(F.col("k"))).alias("n_removed_lines"),
+    joined, removed = _joined(docs, id_col, text_col, least)
+    name = lambda own: F.concat_ws("-", own["first"], own["last"])
+    text = F.coalesce(f"{removed}.text", text_col, F.lit(""))
+    return joined.select(
+        F.col(id_col),
+        F.coalesce(F.array_join(F.transform(f"{removed}.ranges", name), ","), F.lit("")).alias("removed_units"),
+        F.coalesce(f"{removed}.units", F.lit(0).cast("bigint")).alias("n_removed_units"),
+        F.coalesce(f"{removed}.words", F.lit(0).cast("bigint")).alias("n_removed_words"),
         F.sha2(text.cast("binary"), 256).alias("text_sha256"),
     )

@@ -200,21 +200,53 @@ FROM worded LEFT JOIN base USING (doc_id) LEFT JOIN hits USING (doc_id)
 """
 
 
-LINE_DEDUP_SQL = r"""
-WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
-coded AS (SELECT *, list_transform(lines, lambda line: ('0x' || substr(md5(line), 1, 8))::BIGINT) AS codes FROM split),
-ended AS (SELECT doc_id, lines, list_filter(range(1, len(lines) + 1), lambda i:
-            i = len(lines) OR (i >= 2 AND (codes[i] + 31 * codes[greatest(i - 1, 1)]) % 3 = 0)) AS ends FROM coded),
-numbered AS (SELECT doc_id, lines, ends, unnest(range(1, len(ends) + 1)) AS no FROM ended),
-cut AS (SELECT doc_id, no, CASE WHEN no = 1 THEN 1 ELSE ends[no - 1] + 1 END AS first, ends[no] AS last, lines FROM numbered),
-chunks AS (SELECT doc_id, no, last - first + 1 AS n_lines, array_to_string(lines[first : last], chr(10)) AS text FROM cut),
-ranked AS (SELECT *, n_lines >= 2 AND regexp_matches(text, '\S')
-             AND row_number() OVER (PARTITION BY text ORDER BY doc_id, no) > 1 AS removed FROM chunks)
-SELECT doc_id, CAST(sum(n_lines) AS BIGINT) AS n_lines, count(*) AS n_chunks,
-       coalesce(string_agg(CASE WHEN removed THEN no::VARCHAR END, ',' ORDER BY no), '') AS removed_chunks,
-       CAST(coalesce(sum(n_lines) FILTER (removed), 0) AS BIGINT) AS n_removed_lines,
-       sha256(coalesce(string_agg(CASE WHEN NOT removed THEN text END, chr(10) ORDER BY no), '')) AS text_sha256
-FROM ranked GROUP BY doc_id
+LINE_DEDUP_SQL = rf"""
+WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, count(*) AS times,
+                md5(coalesce('i' || doc_id, 'n') || '/' || md5(coalesce(text, ''))) AS place FROM documents GROUP BY ALL),
+split AS (SELECT *, regexp_extract_all(text, '{line_dedup.UNIT}') AS units FROM rows),
+keyed AS (SELECT *, list_transform(units, lambda unit: trim(unit, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS keys FROM split),
+coded AS (SELECT *, list_transform(keys, lambda key: ('0x' || substr(md5(key), 1, 8))::BIGINT) AS codes FROM keyed),
+ended AS (SELECT *, list_filter(range(1, len(keys) + 1), lambda i: i = len(keys)
+            OR (i >= 2 AND (codes[i] + {line_dedup.BASE} * codes[greatest(i - 1, 1)]) % {line_dedup.MODULUS} * 3 < {line_dedup.MODULUS} * 2)) AS ends FROM coded),
+numbered AS (SELECT doc_id, place, times, keys, ends, unnest(range(1, len(ends) + 1)) AS no FROM ended),
+cut AS (SELECT *, CASE WHEN no = 1 THEN 1 ELSE ends[no - 1] + 1 END AS first, ends[no] AS last FROM numbered),
+own AS (SELECT doc_id, place, no, times, first, last, keys[first : last] AS own,
+          list_sum(list_transform(keys[first : last], lambda key: length(key) - length(replace(key, ' ', '')) + 1)) AS words FROM cut),
+chunks AS (SELECT *, sum(times) OVER (PARTITION BY own) > 1 AS again, coalesce(lag(own) OVER row, []) AS back,
+             coalesce(lead(own) OVER row, []) AS ahead, coalesce(lag(words) OVER row, 0) AS before, coalesce(lead(words) OVER row, 0) AS after
+           FROM own WINDOW row AS (PARTITION BY place ORDER BY no)),
+stretched AS (SELECT *, no - row_number() OVER (PARTITION BY place ORDER BY no) AS stretch FROM chunks WHERE again),
+enough AS (SELECT place, stretch FROM stretched GROUP BY place, stretch
+           HAVING sum(words) + arg_min(before, no) + arg_max(after, no) >= {line_dedup.LEAST_WORDS}),
+wanted AS (SELECT * FROM stretched JOIN enough USING (place, stretch)),
+paired AS (SELECT place, no, first, last, back, ahead,
+           first_value({{'place': place, 'no': no, 'back': back, 'ahead': ahead}}) OVER (PARTITION BY own ORDER BY doc_id NULLS FIRST, place, no) AS f
+         FROM wanted),
+extended AS (SELECT place, first, last, list_reverse(back) AS back, list_reverse(f.back) AS f_back, ahead, f.ahead AS f_ahead
+             FROM paired WHERE place <> f.place OR no <> f.no),
+spans AS (SELECT DISTINCT place,
+            first - coalesce(list_min(list_filter(range(1, least(len(back), len(f_back)) + 1), lambda i: back[i] <> f_back[i])) - 1,
+                             least(len(back), len(f_back))) AS first,
+            last + coalesce(list_min(list_filter(range(1, least(len(ahead), len(f_ahead)) + 1), lambda i: ahead[i] <> f_ahead[i])) - 1,
+                            least(len(ahead), len(f_ahead))) AS last
+          FROM extended),
+opened AS (SELECT *, first > coalesce(max(last) OVER (PARTITION BY place ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS opens FROM spans),
+islands AS (SELECT *, sum(opens::INT) OVER (PARTITION BY place ORDER BY first, last) AS island FROM opened),
+stretches AS (SELECT place, min(first) AS first, max(last) AS last FROM islands GROUP BY place, island),
+counted AS (SELECT place, first, last, list_sum(list_transform(keys[first : last], lambda key: length(key) - length(replace(key, ' ', '')) + 1)) AS words
+            FROM stretches JOIN keyed USING (place)),
+ranges AS (SELECT place, list({{'first': first, 'last': last, 'words': words}} ORDER BY first) AS r FROM counted
+           WHERE words >= {line_dedup.LEAST_WORDS} GROUP BY place),
+held AS (SELECT doc_id, text, times, units, len(units) AS n, coalesce(r, []) AS r FROM split LEFT JOIN ranges USING (place)),
+kept AS (SELECT *, array_to_string(list_transform(range(1, len(r) + 2), lambda i:
+           array_to_string(units[CASE WHEN i = 1 THEN 1 ELSE r[i - 1].last + 1 END : CASE WHEN i > len(r) THEN n ELSE r[i].first - 1 END], '')
+           || CASE WHEN i <= len(r) AND r[i].first > CASE WHEN i = 1 THEN 1 ELSE r[i - 1].last + 1 END AND r[i].last < n
+                     AND contains(units[r[i].last], chr(10)) AND NOT contains(units[r[i].first - 1], chr(10)) THEN chr(10) ELSE '' END), '') AS rest FROM held)
+SELECT doc_id, array_to_string(list_transform(r, lambda x: x.first || '-' || x.last), ',') AS removed_units,
+       CAST(coalesce(list_sum(list_transform(r, lambda x: x.last - x.first + 1)), 0) AS BIGINT) AS n_removed_units,
+       CAST(coalesce(list_sum(list_transform(r, lambda x: x.words)), 0) AS BIGINT) AS n_removed_words,
+       sha256(CASE WHEN len(r) = 0 THEN text ELSE rest END) AS text_sha256
+FROM kept, range(times)
 """
 
 QUALITY_SQL = r"""
