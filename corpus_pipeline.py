@@ -1,4 +1,4 @@
-"""Training corpus in six stages: toxicity, quality, line dedup, near duplicates by fingerprints and by shingles, packing."""
+"""Training corpus in five stages: toxicity, quality rules, line dedup, near duplicates by fingerprints, packing."""
 
 from __future__ import annotations
 
@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquill.llm import near_copies, packing, passages, quality, simhash, toxicity
+from mailquill.llm import line_dedup, packing, quality, simhash, toxicity
 from mailquill.llm.common import fresh
 from mailquill.llm.queries import TOXIC_FROM, toxicity_model
-from mailquill.session import materialize
+from mailquill.session import intermediate_data, materialize
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,20 +29,15 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages of 50 words or more that an earlier document has."""
-    return passages.remove_repeated_passages(docs)
+    """All documents, without the passages that are found before, in an earlier document or their own."""
+    return line_dedup.remove_repeated_chunks(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates."""
+    """One row of each group of near duplicates, that with the smallest id."""
     return simhash.keep_one(docs)
 
 
-def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group whose sets of five-word shingles are similar by 0.8 or more."""
-    return near_copies.keep_one(docs)
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece with its sequence and offset."""
     return packing.pack_digest(docs, public_tokenizers.path("word_bpe_49k.json"))
@@ -53,7 +48,6 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("quality_rules", drop_poor),
     ("line_dedup", drop_repeated_lines),
     ("simhash_near_dedup", drop_near_duplicates),
-    ("near_copies", drop_near_copies),
     ("best_fit_packing", pack),
 ]
 
@@ -61,9 +55,21 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str, output: str | None = None) -> DataFrame:
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    With ``output`` the last result is written there and everything in between is removed. Without it the tables of the run
+    stay in the shared folder until the caller removes them, since the result is read from them.
+    """
+    if output is None:
+        return _staged(spark, sf_dir)
+    with intermediate_data(spark):
+        return materialize(_staged(spark, sf_dir), path=output)
+
+
+def _staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
-    return docs
+    name, last = STAGES[-1]
+    return materialize(last(spark, docs, sf_dir), name)
