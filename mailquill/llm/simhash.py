@@ -14,10 +14,10 @@ from itertools import islice, repeat
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mailquill.llm.common import fresh
+from mailquill.llm.common import fresh, row_place
 from mailquill.llm.components import components
 from mailquill.session import materialize
 
@@ -118,28 +118,35 @@ def near_duplicates(
     rows = docs.select(F.col(id_col).alias("id"), fingerprint(F.col(text_col), shingle_words).alias("fp"))
     rows = materialize(rows, "fingerprints")
     nodes = materialize(rows.groupBy("fp").agg(F.min("id").alias("first")), "nodes")
-    found = components(near_links(nodes.select("fp"), radius))
-    labelled = nodes.join(found, nodes["fp"] == found["node"], "left").select(
-        "fp", "first", F.coalesce("component", "fp").alias("component")
-    )
-    labelled = materialize(labelled, "labelled")
+    labelled = _labelled(nodes, radius)
     first = labelled.groupBy("component").agg(F.min("first").alias("component_id"))
     ids = materialize(labelled.join(first, "component").select("fp", "component_id"), "component-ids")
     digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return rows.join(ids.hint("merge"), "fp").select(F.col("id").alias(id_col), digits.alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` without all but the smallest id of each component; columns as before.
+def _labelled(nodes: DataFrame, radius: int) -> DataFrame:
+    """``fp``, ``first`` and ``component`` of the distinct fingerprints ``nodes``."""
+    found = components(near_links(nodes.select("fp"), radius))
+    joined = nodes.join(found, nodes["fp"] == found["node"], "left")
+    return materialize(joined.select("fp", "first", F.coalesce("component", "fp").alias("component")), "labelled")
+
+
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, radius: int = RADIUS
+) -> DataFrame:
+    """One row of ``docs`` for each component of ``near_duplicates``; columns as before.
 
-    Rows that repeat both id and text are one document: they stay or go together. A row with a NULL id stays, since it
-    names no document that could be told to be the copy.
+    It is the one with the smallest id (NULL last), then by hash of id and text, and of rows that repeat both any one.
     """
-    own = fresh(docs, "fingerprint")
-    found = near_duplicates(docs, id_col, text_col, **how).where(F.col(id_col) > F.col("component_id"))
-    gone_id, gone_fp = fresh(docs, "gone_id"), fresh(docs, "gone_fingerprint")
-    gone = found.select(F.col(id_col).alias(gone_id), F.col("fingerprint").alias(gone_fp)).distinct()
-    digits = F.lpad(F.lower(F.hex(fingerprint(F.col(text_col), how.get("shingle_words", 3)))), 16, "0")
-    marked = docs.withColumn(own, digits)
-    same = (F.col(id_col) == F.col(gone_id)) & (F.col(own) == F.col(gone_fp))
-    return marked.join(materialize(gone, "gone"), same, "left_anti").drop(own)
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    prints = docs.select(F.col(id_col).alias("id"), row_place(F.col(id_col), text).alias("place"), fingerprint(text, shingle_words).alias("fp"))
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "place")
+    nodes = materialize(prints.groupBy("fp").agg(F.min(order).alias("first")), "nodes")
+    place, no = fresh(docs, "row_place"), fresh(docs, "row_no")
+    first = _labelled(nodes, radius).groupBy("component").agg(F.min("first").alias("first"))
+    kept = materialize(first.select(F.col("first.place").alias(place)), "kept")
+    marked = docs.withColumn(place, row_place(F.col(id_col), text))
+    # Planned with a group limit below the shuffle: a task sends one row of those that repeat id and text.
+    single = marked.withColumn(no, F.row_number().over(Window.partitionBy(place).orderBy(place))).where(F.col(no) == 1)
+    return single.join(kept.hint("merge"), place, "left_semi").select(docs.columns)

@@ -1,3 +1,5 @@
+import os
+
 import __spark_entry__ as entry
 import corpus_pipeline
 import pytest
@@ -13,7 +15,7 @@ COLUMNS = "doc_id bigint, text string, lang string, source string, n_chars bigin
 
 def test_every_operator_and_the_pipeline_are_registered():
     names = entry.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {name.split("_")[0] for name in names if name.startswith("op") and name[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {name.split("_")[0] for name in names if name.startswith("op") and name[2].isdigit()}
     assert names["pipeline"] is corpus_pipeline.run
     assert set(entry.oracle_sql()) <= set(names)
 
@@ -62,6 +64,18 @@ def test_stages_one_after_the_other(spark):
     docs.unpersist()
 
 
+def test_stages_are_five_of_the_operators():
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["toxicity", "quality_rules", "line_dedup", "simhash_near_dedup", "best_fit_packing"]
+
+
+def test_a_run_with_output_leaves_nothing_else(spark, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared))
+    found = corpus_pipeline.run(spark, "/root/testdata/sf0.001", str(tmp_path / "packed"))
+    assert found.count() > 100
+    assert set(os.listdir(shared)) == before
+
+
 def test_odd_tables(spark, tmp_path):
     texts = spark.createDataFrame(rows(), "doc_id bigint, text string, lang string, source string, n_chars bigint, id string, "
                                           "score string, removed string, hash string")
@@ -69,6 +83,10 @@ def test_odd_tables(spark, tmp_path):
         folder = str(tmp_path / name)
         docs.write.parquet(f"{folder}/documents.parquet")
         spark.createDataFrame([(1, 0, 1), (7, 1, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        vectors = [(0, [1.0, None], 1), (50, [0.5], 1), (None, None, None)] if name == "odd" else []
+        spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
+        turns = [(1, None, None, None), (None, 1, "assistant", "x")] if name == "odd" else []
+        spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string").write.parquet(f"{folder}/conversations.parquet")
         found = corpus_pipeline.run(spark, folder).collect()
         kept = {i for i, t in TEXTS if quality.judge(t)[6]}
         assert {row["doc_id"] for row in found} <= (kept if name == "odd" else set())
