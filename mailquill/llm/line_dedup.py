@@ -1,6 +1,6 @@
 """Line dedup by content-defined chunks, in DataFrame expressions only.
 
-A text is cut into units, its lines and the clauses of longer ones. A rolling hash over the hashes of the last units ends a chunk
+A text is cut into units, its lines and the sentences of longer ones. A rolling hash over the hashes of the last units ends a chunk
 wherever it falls into the lower part of its range, so boundaries follow the words and not their numbers, and a passage is
 cut alike wherever it stands. Chunks that are found again anywhere are compared by their bytes. A passage seldom begins and ends
 at a boundary, so a found chunk is extended over the units beside it as far as they equal those beside the first one. Stretches of
@@ -15,13 +15,16 @@ from pyspark.sql import functions as F
 from mailquill.llm.common import fresh, row_place
 from mailquill.session import materialize
 
-#: Units of the rolling hash, its base and modulus (of which base - 1 is no multiple), and the part of its range that ends a chunk.
-WINDOW, BASE, MODULUS, PART = 2, 31, 1_000_003, (2, 3)
+#: Units of the rolling hash, its base and modulus (which does not divide base - 1), and the part of its range that ends a chunk.
+#: A boundary depends on WINDOW units, so a passage of few units has the more chunks of its own the smaller that is.
+WINDOW, BASE, MODULUS, PART = 1, 31, 1_000_003, (2, 3)
 LEAST_WORDS = 40
 SPACE = " \t\n\x0b\f\r"
+MARKS = ".!?…"
 #: Up to a line's end, or a mark and a space, and all white space behind it. Blank texts have no unit.
-UNIT = r"(?s)[ \t\n\x0B\f\r]*[^ \t\n\x0B\f\r].*?(?:(?:\n|[.!?…,;:][ \t])[ \t\n\x0B\f\r]*|\z)"
-_NO_UNITS = "array<string>"
+UNIT = rf"(?s)[ \t\n\x0B\f\r]*(?:[{MARKS}] |[^ \t\n\x0B\f\r].*?(?:\n|[{MARKS}] |\z))[ \t\n\x0B\f\r]*"
+#: Cuts a text in which it does not occur.
+CUT = "\x01"
 
 
 def line_units(text: Column) -> Column:
@@ -34,8 +37,13 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _trimmed(units: Column) -> Column:
-    return F.transform(units, lambda unit: F.btrim(unit, F.lit(SPACE)))
+def _keys(text: Column) -> Column:
+    """The units of ``line_units`` without the white space around them, cut without a regular expression where that can be."""
+    cut = text
+    for end in ("\n", *(f"{mark} " for mark in MARKS)):
+        cut = F.replace(cut, F.lit(end), F.lit(end + CUT))
+    parts = F.when(F.contains(text, F.lit(CUT)), line_units(text)).otherwise(F.split(cut, CUT, -1))
+    return F.filter(F.transform(parts, lambda part: F.btrim(part, F.lit(SPACE))), lambda key: key != "")
 
 
 def _n_words(unit: Column) -> Column:
@@ -84,26 +92,31 @@ def _marks(text: Column) -> Column:
 
         return _bound(_ends(keys), of_ends)
 
-    return _bound(_trimmed(line_units(text)), of_keys)
+    return _bound(_keys(text), of_keys)
 
 
 def _chunks(text: Column, numbers: Column) -> Column:
-    """Of the chunks with these numbers: ``no``, ``first`` and ``last`` unit, ``own`` text, and the units ``back`` and ``ahead`` of it."""
+    """Of the chunks with these numbers: ``no``, ``first`` and ``last`` unit, ``own`` text, and hashes of the units ``back`` and ``ahead``.
+
+    Of the chunk before and after it, that is. Only units in the same places beside equal chunks are ever compared by them.
+    """
 
     def of_keys(keys: Column) -> Column:
         def of_ends(ends: Column) -> Column:
             def units(at: Column) -> Column:
+                return F.slice(keys, _first(ends, at), F.get(ends, at) - _first(ends, at) + 1)
+
+            def hashes(at: Column) -> Column:
                 there = (at >= 0) & (at < F.size(ends))
-                own = F.slice(keys, _first(ends, at), F.get(ends, at) - _first(ends, at) + 1)
-                return F.when(there, own).otherwise(F.array().cast(_NO_UNITS))
+                return F.when(there, F.transform(units(at), lambda key: F.xxhash64(key))).otherwise(F.array().cast("array<bigint>"))
 
             return F.transform(numbers, lambda no: F.struct(
                 no.alias("no"), _first(ends, no - 1).alias("first"), F.get(ends, no - 1).alias("last"),
-                F.array_join(units(no - 1), "\n").alias("own"), units(no - 2).alias("back"), units(no).alias("ahead")))
+                F.array_join(units(no - 1), "\n").alias("own"), hashes(no - 2).alias("back"), hashes(no).alias("ahead")))
 
         return _bound(_ends(keys), of_ends)
 
-    return _bound(_trimmed(line_units(text)), of_keys)
+    return _bound(_keys(text), of_keys)
 
 
 def _alike(a: Column, b: Column) -> Column:
@@ -119,7 +132,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     marks = materialize(rows.select("place", F.explode(_marks(F.col("text"))).alias("c")).select("place", "c.*"), "chunk-marks")
     repeated = materialize(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     # The joins' smaller sides grow with the corpus and have no bound, so all of them are merge joins at every size.
-    again = marks.join(repeated.hint("merge"), "hash").select("place", "no", "words", "before", "after").distinct()
+    again = marks.join(repeated.hint("merge"), "hash").select("place", "no", "words", "before", "after")
+    # Rows that repeat id and text are one; everything down to the wanted numbers keeps to this partitioning.
+    again = again.repartition("place").dropDuplicates(["place", "no"])
     # Only stretches of repeated chunks that with their neighbours have words enough are looked at.
     row = Window.partitionBy("place").orderBy("no")
     stretch = again.withColumn("stretch", F.col("no") - F.row_number().over(row))

@@ -207,7 +207,7 @@ split AS (SELECT *, regexp_extract_all(text, '{line_dedup.UNIT}') AS units FROM
 keyed AS (SELECT *, list_transform(units, lambda unit: trim(unit, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS keys FROM split),
 coded AS (SELECT *, list_transform(keys, lambda key: ('0x' || substr(md5(key), 1, 8))::BIGINT) AS codes FROM keyed),
 ended AS (SELECT *, list_filter(range(1, len(keys) + 1), lambda i: i = len(keys)
-            OR (i >= 2 AND (codes[i] + {line_dedup.BASE} * codes[greatest(i - 1, 1)]) % {line_dedup.MODULUS} * 3 < {line_dedup.MODULUS} * 2)) AS ends FROM coded),
+            OR codes[i] % {line_dedup.MODULUS} * 3 < {line_dedup.MODULUS} * 2) AS ends FROM coded),
 numbered AS (SELECT doc_id, place, times, keys, ends, unnest(range(1, len(ends) + 1)) AS no FROM ended),
 cut AS (SELECT *, CASE WHEN no = 1 THEN 1 ELSE ends[no - 1] + 1 END AS first, ends[no] AS last FROM numbered),
 own AS (SELECT doc_id, place, no, times, first, last, keys[first : last] AS own,

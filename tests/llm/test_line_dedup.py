@@ -5,18 +5,20 @@ from collections import Counter
 
 import pytest
 from cases import TEXTS, frame
+from pyspark.sql import functions as F
 
 from mailquill.llm import line_dedup
 
 SPACE = " \t\n\x0b\f\r"
-UNIT = re.compile(r"[ \t\n\x0b\f\r]*[^ \t\n\x0b\f\r].*?(?:(?:\n|[.!?…,;:][ \t])[ \t\n\x0b\f\r]*|\Z)", re.DOTALL)
+UNIT = re.compile(r"[ \t\n\x0b\f\r]*(?:[.!?…] |[^ \t\n\x0b\f\r].*?(?:\n|[.!?…] |\Z))[ \t\n\x0b\f\r]*", re.DOTALL)
 
 
-def chunks(keys):
+def chunks(keys, window=1):
     codes = [int(hashlib.md5(key.encode()).hexdigest()[:8], 16) for key in keys]
     found, start = [], 0
     for i in range(len(keys)):
-        if i == len(keys) - 1 or (i and 3 * ((codes[i] + 31 * codes[i - 1]) % 1_000_003) < 2 * 1_000_003):
+        rolling = sum(31**back * codes[i - back] for back in range(window) if i >= back)
+        if i == len(keys) - 1 or (i >= window - 1 and 3 * (rolling % 1_000_003) < 2 * 1_000_003):
             found.append((start, i + 1))
             start = i + 1
     return found
@@ -160,7 +162,25 @@ def test_passages_are_found(spark, lines):
 
 def test_boundaries_depend_on_the_order_of_units():
     keys = [f"unit {n}" for n in range(200)]
-    assert chunks(keys) != chunks([key for pair in zip(keys[1::2], keys[::2]) for key in pair])
+    turned = [key for pair in zip(keys[1::2], keys[::2]) for key in pair]
+    assert len(chunks(keys, 2)) != len(chunks(turned, 2))
+
+
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_boundaries_of_wider_windows(spark, monkeypatch, window):
+    monkeypatch.setattr(line_dedup, "WINDOW", window)
+    text = shared_passages()[3][1] + "\nAnd. so \x01 on. " * 40
+    keys = [unit.strip(SPACE) for unit in UNIT.findall(text)]
+    found = spark.range(1).select(line_dedup._bound(line_dedup._keys(F.lit(text)), line_dedup._ends)).first()[0]
+    assert found == [end for _, end in chunks(keys, window)]
+
+
+@pytest.mark.parametrize("text", ["", " \n", ". a. . b", "a.  b", "a.\n\n b! c", "…  x", "a . b ? ", "a.\tb. c\x0b\nd", "x\x01. y. \x01", "\u00a0. é"])
+def test_units_cut_both_ways(spark, text):
+    row = spark.range(1).select(line_dedup.line_units(F.lit(text)), line_dedup._keys(F.lit(text))).first()
+    assert row[0] == UNIT.findall(text)
+    assert row[1] == [unit.strip(SPACE) for unit in row[0]]
+    assert "".join(row[0]) == (text if text.strip(SPACE) else "")
 
 
 def test_texts_of_own_words_stay(spark):
