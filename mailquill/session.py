@@ -60,13 +60,28 @@ def intermediate_data(spark: SparkSession):
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: With it Spark removes an execution's shuffle files at its end and not when the driver happens to collect garbage.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def _setting(spark: SparkSession, name: str, value: str):
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str = "cut", path: str | None = None) -> DataFrame:
     """Write ``df`` to a new shared folder, or over ``path``, and read it back.
 
     The files survive lost executors, later readers prune columns in them, and their size on disk gives the planner real
-    statistics for its broadcast decisions.
+    statistics for its broadcast decisions. The shuffle files that led to them are of no more use and go at once.
     """
     spark = df.sparkSession
     path = path or shared_folder(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    with _setting(spark, CLEANUP, "true"):
+        df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
