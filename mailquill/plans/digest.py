@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mailquill.functions.scoring import HIGH, MEDIUM, WordRules
@@ -26,6 +26,7 @@ class DigestSettings:
     run_time: str
     since: float | None = None
     after: int | None = None
+    deliveries: list[str] | None = None
     high: str = HIGH
     medium: str = MEDIUM
     rules: WordRules = field(default_factory=WordRules)
@@ -49,11 +50,23 @@ class DigestRun:
     scored: DataFrame
     enriched: DataFrame
     report: DataFrame
+    read: Observation | None = None
+
+    def facts(self) -> dict:
+        """Number of mails ``n``, of ``undated`` ones, newest date and last arrival, noted while the mails were parsed.
+
+        Run with ``keep_parsed``. Mails are read, counted, parsed and written in one stage without a shuffle, in which each
+        task counts once.
+        """
+        return self.read.get
 
     def counters(self) -> DataFrame:
-        """Rows per stage. Run with ``keep_parsed``, else the mails are parsed a second time to be counted."""
+        """Rows per stage. Run with ``keep_parsed``, else the mails are parsed a second time to be counted.
+
+        The other stages are written tables, whose row counts Spark takes from the files' footers.
+        """
         return run_counters(
-            mails=self.mails,
+            mails=self.mails if self.read is None else self.facts()["n"],
             parsed=self.parsed,
             new=self.new,
             scored=scored_only(self.scored),
@@ -62,6 +75,14 @@ class DigestRun:
         )
 
 
+def mail_facts(mails: DataFrame) -> list[Column]:
+    arrival = F.max("arrival") if "arrival" in mails.columns else F.max(F.lit(None).cast("long"))
+    return [
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("date").isNull()).alias("undated"),
+        F.max("date").alias("newest"), arrival.alias("arrived"),
+    ]
+
+
 def new_articles(parsed: DataFrame, store: DataFrame, added_at: str, probe_folder: str | None = None) -> DataFrame:
     """Parsed articles to stored rows: hashed, first of each title, not stored before.
 
@@ -80,10 +101,13 @@ def run_digest(
     Scores are written before anything reads them, so a scorer is called once per article however often an executor is
     lost later.
     """
-    mails = scan_mail(mail, settings.sender, settings.since, settings.after)
-    parsed = explode_alerts(mails)
+    mails = scan_mail(mail, settings.sender, settings.since, settings.after, settings.deliveries)
+    read = None
     if settings.keep_parsed:
-        parsed = materialize(parsed, "parsed")
+        read = Observation("mails")
+        parsed = materialize(explode_alerts(mails.observe(read, *mail_facts(mails))), "parsed")
+    else:
+        parsed = explode_alerts(mails)
     new = new_articles(parsed, store, settings.run_time)
     scored = materialize(
         score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions), "scored"
@@ -97,7 +121,7 @@ def run_digest(
     else:
         enriched = enriched.where(F.lit(False))
         report = number_reported(scored, settings)
-    return DigestRun(mails, parsed, scored, scored, enriched, report)
+    return DigestRun(mails, parsed, scored, scored, enriched, report, read)
 
 
 def digest(

@@ -1,4 +1,7 @@
-"""The commands over one root folder: ``mail``, ``articles``, ``scores``, ``texts``, ``state`` and ``reports`` below it."""
+"""The commands over one root folder: ``mail``, ``articles``, ``scores``, ``texts``, ``consumed``, ``state`` and ``reports`` below it.
+
+Every one of them, and a stream (``streaming.ingest.start_run_ingest``), is a run in the log of ``sources.runs``.
+"""
 
 from __future__ import annotations
 
@@ -14,7 +17,8 @@ from mailquill.operators.score import score_articles
 from mailquill.plans.digest import DigestSettings, number_reported, render, run_digest
 from mailquill.session import intermediate_data, materialize
 from mailquill.sources import mail as mail_source
-from mailquill.sources import state as run_state
+from mailquill.sources import runs
+from mailquill.sources import state as run_state  # noqa: F401
 from mailquill.sources import store as article_store
 from mailquill.sources.report import write_report
 
@@ -31,10 +35,8 @@ def parse_since(spark: SparkSession, typed: str) -> float:
 def set_since(spark: SparkSession, root: str, typed: str | None = None) -> float:
     """Set the start bound of the next run by hand; without a value it is now."""
     bound = parse_since(spark, typed) if typed else datetime.now(timezone.utc).timestamp()
-    path = f"{root}/state"
-    with intermediate_data(spark):
-        moved = materialize(run_state.set_watermark(run_state.read_state(spark, path), bound), "state")
-        run_state.write_state(moved, path)
+    number = runs.reserve(spark, root)
+    runs.commit(spark, root, number, runs.SINCE, runs.snapshot(spark, root), {"last_run": float(bound)})
     return bound
 
 
@@ -53,60 +55,74 @@ def fetch(
     pages: DataFrame | None = None,
     since: str | None = None,
 ) -> Fetched:
-    """Process the mails that arrived after the last run, store what is new and write its report.
+    """Process the deliveries that no run has read yet, store what is new and write its report.
 
-    A bound typed as ``since``, or set by ``set_since`` after the last run, goes by the mails' dates instead.
+    A bound typed as ``since``, or set by ``set_since`` after the last run, goes by the mails' dates instead, over all closed
+    deliveries; those not read before count as read afterwards, too. A delivery that closes while the run goes on is left to the
+    next one.
 
-    The run writes articles, page texts and report under its own number and its row of the state last. Until that row is
-    there the run has not happened: the next attempt has the same number, looks only at earlier runs and replaces what
-    this one left. Articles are stored together with their scores.
+    The run writes articles, page texts, report and what it read under a number of its own and its row of the log last. Until
+    that row is there the run has not happened, for any command. Articles are stored together with their scores.
     """
     with intermediate_data(spark):
-        before = run_state.read_state(spark, f"{root}/state")
-        state = before.first()
-        run_no = (state.run_no or 0) + 1
-        if since:
-            settings = replace(settings, since=parse_since(spark, since), after=None)
-        elif state.last_arrival is None:
-            settings = replace(settings, since=state.last_run, after=None)
+        number = runs.reserve(spark, root)
+        seen = runs.snapshot(spark, root)
+        last_run, by_hand = runs.bound(spark, root)
+        unread = mail_source.unread_deliveries(spark, root, seen)
+        mails = mail_source.read_mail(spark, f"{root}/mail")
+        if since or by_hand:
+            bound = parse_since(spark, since) if since else last_run
+            mails = mails.join(mail_source.closed_deliveries(spark, f"{root}/mail").select("delivery"), "delivery", "left_semi")
+            settings = replace(settings, since=bound, after=None, deliveries=None)
         else:
-            settings = replace(settings, since=None, after=state.last_arrival)
-        run = run_digest(
-            mail_source.read_mail(spark, f"{root}/mail"),
-            article_store.stored_before(spark, f"{root}/articles", run_no),
-            replace(settings, keep_parsed=True),
-            pages,
-        )
-        article_store.write_run(run.scored, f"{root}/articles", run_no)
+            settings = replace(settings, since=None, after=None, deliveries=unread)
+        run = run_digest(mails, article_store.stored_in(spark, root, seen), replace(settings, keep_parsed=True), pages)
+        article_store.write_run(run.scored, f"{root}/articles", number)
         if pages is not None:
-            article_store.append_texts(run.enriched, root, run_no)
+            article_store.append_texts(run.enriched, root, number)
         path = _written(run.report, root, settings)
+        mail_source.write_consumed(spark, unread, root, number)
+        read = run.facts()
         counts = {row["stage"]: row["n"] for row in run.counters().collect()}  # one row per stage
-        counts["undated"] = run.mails.where("date IS NULL").count()
-        run_state.write_state(materialize(run_state.advance_watermark(run.mails, before), "state"), f"{root}/state")
+        counts["undated"] = read["undated"]
+        newest = [date for date in (read["newest"] or None, last_run) if date is not None]
+        state = {"last_run": max(newest, default=None), "last_arrival": read["arrived"]}
+        runs.commit(spark, root, number, runs.FETCH, seen, state)
     return Fetched(path, counts)
 
 
 def score_pending(spark: SparkSession, root: str, settings: DigestSettings, again: tuple[str, ...] = (ERROR,)) -> int:
     """Score what is stored without a score, or with one of ``again``; returns how many rows that were.
 
-    The scores are a run of their own: their version is its number, and its row of the state comes last.
+    The scores are a run of their own: their version is its number, and its row of the log comes last.
     """
     with intermediate_data(spark):
-        before = run_state.read_state(spark, f"{root}/state")
-        state = before.first()
-        run_no = (state.run_no or 0) + 1
-        pending = article_store.current_with_scores(spark, root, lambda score: score.isNull() | score.isin(*again))
+        number = runs.reserve(spark, root)
+        seen = runs.snapshot(spark, root)
+        pending = article_store.current_with_scores(spark, root, lambda score: score.isNull() | score.isin(*again), seen)
         scored = materialize(
             score_articles(pending, settings.scorer, settings.rules, settings.exclude, settings.partitions), "pending"
         )
-        article_store.append_scores(scored, root, run_no)
+        article_store.append_scores(scored, root, number)
         n = scored.count()
-        done = before.withColumn("run_no", F.lit(run_no).cast("long"))
-        run_state.write_state(materialize(done, "state"), f"{root}/state")
+        runs.commit(spark, root, number, runs.SCORE, seen)
     return n
 
 
+def compact(spark: SparkSession, root: str) -> int:
+    """Fold scores and page texts into the articles, as a run that takes the place of all before it; returns its number.
+
+    What was read and the start bound stay as they are. A run that goes on meanwhile is not lost: it is none of those replaced.
+    The replaced folders stay until ``runs.remove_unused``.
+    """
+    with intermediate_data(spark):
+        number = runs.reserve(spark, root)
+        seen = runs.snapshot(spark, root)
+        article_store.write_run(article_store.current_articles(spark, root, seen), f"{root}/articles", number)
+        runs.commit(spark, root, number, runs.COMPACT, seen, replaces=seen.numbers)
+    return number
+
+
 def report(spark: SparkSession, root: str, settings: DigestSettings) -> str | None:
     """Write a report of all stored high and medium articles."""
     with intermediate_data(spark):

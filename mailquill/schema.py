@@ -36,3 +36,16 @@ STATE_SCHEMA = T.StructType(
         T.StructField("last_arrival", T.LongType()),
     ]
 )
+
+# A row of the run log: the state after the run, and what kind of run it was. ``replaces`` names the runs that a compaction took in.
+LOG_SCHEMA = T.StructType(
+    [
+        *STATE_SCHEMA,
+        T.StructField("kind", T.StringType()),
+        T.StructField("stream", T.StringType()),
+        T.StructField("batch_id", T.LongType()),
+        T.StructField("replaces", T.ArrayType(T.LongType())),
+    ]
+)
+
+DELIVERY_SCHEMA = T.StructType([T.StructField("delivery", T.StringType()), T.StructField("arrival", T.LongType())])

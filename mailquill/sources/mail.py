@@ -2,43 +2,99 @@
 
 from __future__ import annotations
 
+import uuid
+
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from mailquill.functions.text import header_date
 from mailquill.operators.ranking import number_rows
-from mailquill.schema import MAIL_SCHEMA
+from mailquill.schema import DELIVERY_SCHEMA, MAIL_SCHEMA
+from mailquill.sources.runs import Snapshot
 
 DAY = 86400
+#: Beside the mails, in a folder that Spark's readers of the mails pass over: one row for each delivery written to its end.
+CLOSED = "_closed"
+
 
+def write_mail(mail: DataFrame, path: str, arrival: int) -> str:
+    """Append a delivery to a table partitioned by arrival, delivery and UTC day, so that a scan skips whole folders.
 
-def write_mail(mail: DataFrame, path: str, arrival: int) -> None:
-    """Append mails to a table partitioned by arrival and UTC day, so that an incremental scan skips whole folders.
+    ``arrival`` is any number, such as the second at which the delivery is written; several deliveries may share one. Each
+    call is a delivery of its own, closed when all of it is written: runs read closed deliveries, each of them once, in
+    whatever order they close. One that failed is never read and can be written again. Returns the delivery's name.
 
-    ``arrival`` is a number that grows from one delivery to the next, such as the second at which it is written; every
-    call needs one of its own. Mails without a date are in the NULL day. Rows are rebalanced by day, so that a folder gets
+    Mails without a date are in the NULL day. Rows are rebalanced by day, so that a folder gets
     few files of a good size; adaptive execution splits a day that is too large for one task.
     """
+    delivery = uuid.uuid4().hex
     day = F.floor(F.col("date") / DAY).cast("int")
-    dated = mail.withColumns({"arrival": F.lit(arrival).cast("long"), "mail_day": day}).hint("rebalance", "mail_day")
-    dated.write.mode("append").partitionBy("arrival", "mail_day").parquet(path)
+    named = {"arrival": F.lit(arrival).cast("long"), "delivery": F.lit(delivery), "mail_day": day}
+    dated = mail.withColumns(named).hint("rebalance", "mail_day")
+    dated.write.mode("append").partitionBy("arrival", "delivery", "mail_day").parquet(path)
+    close_delivery(mail.sparkSession, path, delivery, arrival)
+    return delivery
+
+
+def close_delivery(spark: SparkSession, path: str, delivery: str, arrival: int) -> None:
+    spark.createDataFrame([(delivery, arrival)], DELIVERY_SCHEMA).coalesce(1).write.mode("append").parquet(f"{path}/{CLOSED}")
+
+
+def closed_deliveries(spark: SparkSession, path: str) -> DataFrame:
+    """``delivery, arrival`` of the deliveries that are written to their end."""
+    try:
+        return spark.read.schema(DELIVERY_SCHEMA).parquet(f"{path}/{CLOSED}").distinct()
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], DELIVERY_SCHEMA)
+
+
+def consumed_deliveries(spark: SparkSession, root: str, seen: Snapshot) -> DataFrame:
+    """``delivery`` of all that the committed runs of a snapshot have read."""
+    schema = T.StructType([DELIVERY_SCHEMA["delivery"], T.StructField("run_no", T.LongType())])
+    try:
+        consumed = spark.read.schema(schema).parquet(f"{root}/consumed")
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        consumed = spark.createDataFrame([], schema)
+    return consumed.where(F.col("run_no").isin([number for number, _ in seen.committed])).select("delivery")
+
+
+def unread_deliveries(spark: SparkSession, root: str, seen: Snapshot) -> list[str]:
+    """Closed deliveries below ``root/mail`` that no committed run has read: one name for each delivery, not for each mail."""
+    closed = closed_deliveries(spark, f"{root}/mail").select("delivery")
+    left = closed.join(consumed_deliveries(spark, root, seen), "delivery", "left_anti")
+    return sorted(row["delivery"] for row in left.collect())
+
+
+def write_consumed(spark: SparkSession, deliveries: list[str], root: str, run_no: int) -> None:
+    schema = T.StructType([DELIVERY_SCHEMA["delivery"]])
+    rows = spark.createDataFrame([(name,) for name in deliveries], schema).coalesce(1)
+    rows.write.mode("overwrite").parquet(f"{root}/consumed/run_no={run_no}")
 
 
 def read_mail(spark: SparkSession, path: str) -> DataFrame:
-    folders = [T.StructField("arrival", T.LongType()), T.StructField("mail_day", T.IntegerType())]
+    folders = [T.StructField("arrival", T.LongType()), T.StructField("delivery", T.StringType()), T.StructField("mail_day", T.IntegerType())]
     return spark.read.schema(T.StructType([*MAIL_SCHEMA, *folders])).parquet(path)
 
 
-def scan_mail(mail: DataFrame, sender: str, since: float | None = None, after: int | None = None) -> DataFrame:
+def scan_mail(
+    mail: DataFrame, sender: str, since: float | None = None, after: int | None = None, deliveries: list[str] | None = None
+) -> DataFrame:
     """Mails of one sender that arrived later than ``after`` and are dated later than the whole second of ``since``.
 
     Either bound may be left out; a date bound of 0 is none. Undated mails pass every date bound. Senders are compared
-    without case. The predicates reach the files: folders of earlier arrivals and days are pruned, and the date is pushed
-    to Parquet.
+    without case. With ``deliveries`` only mails of these count. The predicates reach the files: folders of other
+    arrivals, deliveries and days are pruned, and the date is pushed to Parquet.
     """
     chosen = mail.where(F.lower("sender") == sender.lower())
+    if deliveries is not None:
+        chosen = chosen.where(F.col("delivery").isin(deliveries))
     if after is not None:
         chosen = chosen.where(F.col("arrival") > after)
     if since:
@@ -46,7 +102,7 @@ def scan_mail(mail: DataFrame, sender: str, since: float | None = None, after: i
         chosen = chosen.where(F.col("date").isNull() | (F.col("date") > F.lit(float(bound))))
         if "mail_day" in mail.columns:
             chosen = chosen.where(F.col("mail_day").isNull() | (F.col("mail_day") >= F.lit(bound // DAY)))
-    return chosen.drop("mail_day")
+    return chosen.drop("mail_day", "delivery")
 
 
 def newest_first(mail: DataFrame) -> DataFrame:

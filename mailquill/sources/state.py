@@ -1,4 +1,7 @@
-"""Run state: the last arrival read and the newest mail date seen, as an append-only table of one row per run."""
+"""Run state: the last arrival read and the newest mail date seen, as an append-only table of one row per run.
+
+The table is the run log of ``sources.runs``; rows of runs that read no mail tell nothing about these.
+"""
 
 from __future__ import annotations
 
@@ -6,17 +9,18 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mailquill.schema import STATE_SCHEMA
+from mailquill.schema import LOG_SCHEMA, STATE_SCHEMA
 
 
 def read_state(spark: SparkSession, path: str) -> DataFrame:
-    """One row ``run_no, last_run, last_arrival`` of the latest run; all NULL when there was none."""
+    """One row ``run_no, last_run, last_arrival`` of the latest run that read mail or was set by hand; all NULL without one."""
     try:
-        runs = spark.read.schema(STATE_SCHEMA).parquet(path)
+        runs = spark.read.schema(LOG_SCHEMA).parquet(path)
     except AnalysisException as problem:
         if problem.getCondition() != "PATH_NOT_FOUND":
             raise
-        runs = spark.createDataFrame([], STATE_SCHEMA)
+        runs = spark.createDataFrame([], LOG_SCHEMA)
+    runs = runs.where(F.col("kind").isNull() | F.col("kind").isin("fetch", "since"))
     latest = runs.agg(F.max_by(F.struct("run_no", "last_run", "last_arrival"), "run_no").alias("latest"))
     return latest.select("latest.*")
 

@@ -1,7 +1,8 @@
 """The article store: append-only Parquet tables keyed by hash, and CSV stores from elsewhere.
 
 Scores and page texts are appended to tables of their own and joined in by a view, so an update costs its own size and
-not a rewrite of the store. ``compact`` folds them in when that pays.
+not a rewrite of the store. ``compact`` folds them in when that pays. Below a root folder with a run log
+(``sources.runs``) only folders of committed runs are read.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from mailquill.operators.dedup import only_new
 from mailquill.operators.merge import merge_updates
 from mailquill.schema import ARTICLE_SCHEMA
 from mailquill.session import materialize
+from mailquill.sources.runs import Snapshot, snapshot
 
 # A text that no cell holds: Spark tells empty cells from quoted empty ones only when some other text means NULL.
 CSV_NULL = "\\N"
@@ -83,6 +85,13 @@ def append(store: DataFrame, new: DataFrame) -> DataFrame:
     return store.unionByName(new, allowMissingColumns=True)
 
 
+def stored_in(spark: SparkSession, root: str, seen: Snapshot) -> DataFrame:
+    """Articles of the runs of a snapshot, as they were stored."""
+    schema = T.StructType([*ARTICLE_SCHEMA, RUN])
+    stored = _empty_if_absent(spark, schema, lambda: spark.read.schema(schema).parquet(f"{root}/articles"))
+    return stored.where(seen.holds(F.col("run_no"))).select(*ARTICLE_SCHEMA.names)
+
+
 def append_articles(new: DataFrame, path: str, run_no: int = 0) -> None:
     """Add rows to the folder of a run, 0 outside of runs."""
     new.select(*ARTICLE_SCHEMA.names).write.mode("append").parquet(f"{path}/run_no={run_no}")
@@ -128,12 +137,14 @@ def append_texts(texts: DataFrame, root: str, version: int) -> None:
     texts.select("hash", "full_text_summary").write.mode("overwrite").parquet(f"{root}/texts/version={version}")
 
 
-def _scores(spark: SparkSession, root: str) -> DataFrame:
-    return _empty_if_absent(spark, SCORES_SCHEMA, lambda: spark.read.schema(SCORES_SCHEMA).parquet(f"{root}/scores"))
+def _scores(spark: SparkSession, root: str, seen: Snapshot) -> DataFrame:
+    scores = _empty_if_absent(spark, SCORES_SCHEMA, lambda: spark.read.schema(SCORES_SCHEMA).parquet(f"{root}/scores"))
+    return scores.where(seen.holds(F.col("version")))
 
 
-def _texts(spark: SparkSession, root: str) -> DataFrame:
-    return _empty_if_absent(spark, TEXTS_SCHEMA, lambda: spark.read.schema(TEXTS_SCHEMA).parquet(f"{root}/texts"))
+def _texts(spark: SparkSession, root: str, seen: Snapshot) -> DataFrame:
+    texts = _empty_if_absent(spark, TEXTS_SCHEMA, lambda: spark.read.schema(TEXTS_SCHEMA).parquet(f"{root}/texts"))
+    return texts.where(seen.holds(F.col("version")))
 
 
 def _merged(articles: DataFrame, scores: DataFrame, texts: DataFrame) -> DataFrame:
@@ -141,24 +152,29 @@ def _merged(articles: DataFrame, scores: DataFrame, texts: DataFrame) -> DataFra
     return merge_updates(scored, texts, "hash", ["full_text_summary"], F.col("version"))
 
 
-def current_articles(spark: SparkSession, root: str) -> DataFrame:
-    """The store as of now: articles with their newest scores and page texts."""
-    return _merged(load_store(spark, f"{root}/articles"), _scores(spark, root), _texts(spark, root))
+def current_articles(spark: SparkSession, root: str, seen: Snapshot | None = None) -> DataFrame:
+    """The store as of now, or as a snapshot saw it: articles with their newest scores and page texts."""
+    seen = seen or snapshot(spark, root)
+    return _merged(stored_in(spark, root, seen), _scores(spark, root, seen), _texts(spark, root, seen))
 
 
-def current_with_scores(spark: SparkSession, root: str, wanted) -> DataFrame:
+def current_with_scores(spark: SparkSession, root: str, wanted, seen: Snapshot | None = None) -> DataFrame:
     """The rows of ``current_articles`` whose newest score fulfils ``wanted``, a function of the score column.
 
     Which rows these are is settled on hashes and scores alone and written. Whole rows are then fetched by those hashes:
     where they are few, Spark broadcasts them and no article moves before it is chosen.
     """
-    articles, scores = load_store(spark, f"{root}/articles"), _scores(spark, root)
+    seen = seen or snapshot(spark, root)
+    articles, scores = stored_in(spark, root, seen), _scores(spark, root, seen)
     narrow = merge_updates(articles.select("hash", "score"), scores.select("hash", "score", "version"), "hash", ["score"], F.col("version"))
     hashes = materialize(narrow.where(wanted(F.col("score"))).select("hash").distinct(), "chosen")
-    chosen = [table.join(hashes, "hash", "left_semi") for table in (articles, scores, _texts(spark, root))]
+    chosen = [table.join(hashes, "hash", "left_semi") for table in (articles, scores, _texts(spark, root, seen))]
     return _merged(*chosen).where(wanted(F.col("score")))
 
 
 def compact(spark: SparkSession, root: str, new_root: str) -> None:
-    """Write the current state as plain articles to a new root. The old root stays until the caller switches."""
+    """Write the current state as plain articles to a new root without a log; ``jobs.compact`` does it in place.
+
+    The old root stays until the caller switches.
+    """
     append_articles(current_articles(spark, root), f"{new_root}/articles")

@@ -9,9 +9,12 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from mailquill.operators.explode import explode_alerts
-from mailquill.plans.digest import new_articles
+from mailquill.operators.score import score_articles
+from mailquill.plans.digest import DigestSettings, new_articles
 from mailquill.schema import ARTICLE_SCHEMA, MAIL_SCHEMA
-from mailquill.session import shared_folder
+from mailquill.session import intermediate_data, materialize, shared_folder
+from mailquill.sources import runs
+from mailquill.sources import store as article_store
 
 STORED_SCHEMA = T.StructType([*ARTICLE_SCHEMA, T.StructField("batch_id", T.LongType())])
 
@@ -65,8 +68,7 @@ def start_ingest(
 
     Deduplication is against the store and not in stream state: a title from long ago must still be dropped, and stream
     state would have to hold every title ever seen. Articles stored before the stream began belong in a folder
-    ``batch_id=-1`` of the store. With ``articles`` below a root folder as its store, ``jobs.score_pending`` scores what
-    was ingested and ``jobs.report`` reports it.
+    ``batch_id=-1`` of the store, which belongs to this stream alone; ``start_run_ingest`` shares one with the commands.
     """
     work = shared_folder(spark, "first")
     mail = (
@@ -81,3 +83,57 @@ def start_ingest(
         .trigger(availableNow=True)
         .start()
     )
+
+
+#: A batch that another run overtook is looked at again against what that run stored, so many times.
+ATTEMPTS = 5
+
+
+def store_run(mail: DataFrame, batch_id: int, root: str, settings: DigestSettings, stream: str) -> int | None:
+    """Store the new articles of one batch, scored, as a run of the root's log; returns its number.
+
+    The log tells whether a batch of a stream was stored: one that Spark replays after a failure is stored once, and None is returned
+    for it. It is compared with all that commands and streams have committed below the root.
+    """
+    spark = mail.sparkSession
+    if runs.has_batch(spark, root, stream, batch_id):
+        return None
+    for attempt in range(ATTEMPTS):
+        with intermediate_data(spark):
+            number = runs.reserve(spark, root)
+            seen = runs.snapshot(spark, root)
+            new = new_articles(explode_alerts(mail), article_store.stored_in(spark, root, seen), settings.run_time)
+            scored = score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions)
+            article_store.write_run(materialize(scored, "scored"), f"{root}/articles", number)
+            try:
+                runs.commit(spark, root, number, runs.STREAM, seen, stream=stream, batch_id=batch_id)
+                return number
+            except runs.RunConflict:
+                if attempt == ATTEMPTS - 1:
+                    raise
+    return None
+
+
+def start_run_ingest(
+    spark: SparkSession, source: str, root: str, checkpoint: str, settings: DigestSettings, files_per_batch: int = 1000
+) -> StreamingQuery:
+    """Ingest every file in ``source`` that was not read before into the articles below ``root``, then stop.
+
+    The commands of ``plans.jobs`` and any number of streams, each with a checkpoint of its own, can take turns over one root.
+    ``source`` is a folder of the stream's own and not the root's ``mail``, whose deliveries ``jobs.fetch`` reads.
+    """
+    mail = (
+        spark.readStream.schema(MAIL_SCHEMA)
+        .option("maxFilesPerTrigger", files_per_batch)
+        .parquet(source)
+        .where(F.lower("sender") == settings.sender.lower())
+    )
+    # The query's id is written in its checkpoint when it first starts; batch numbers are counted for it.
+    return (
+        mail.writeStream.foreachBatch(
+            lambda batch, batch_id: store_run(batch, batch_id, root, settings, batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId"))
+        )
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )

@@ -1,0 +1,298 @@
+"""Commands and streams over one root, with failures between them."""
+
+import pytest
+from pyspark.sql import functions as F
+from pyspark.sql.readwriter import DataFrameWriter
+
+from mailquill.plans import jobs
+from mailquill.plans.digest import DigestSettings
+from mailquill.schema import MAIL_SCHEMA
+from mailquill.session import shared_folder
+from mailquill.sources import mail as mail_source
+from mailquill.sources import runs
+from mailquill.sources.mail import write_mail
+from mailquill.sources.store import append_articles, current_articles
+from mailquill.streaming.ingest import start_run_ingest, store_run
+from tests.test_runs import mail
+
+SETTINGS = DigestSettings(sender="x@e", run_time="2024-03-01 08:30:00")
+
+
+def article(*titles):
+    return [(title, f"u/{title}", "s") for title in titles]
+
+
+class Root:
+    """One root with mail for a fetch and files for a stream."""
+
+    def __init__(self, spark):
+        self.spark, self.reports = spark, []
+        self.path, self.source, self.checkpoint = (shared_folder(spark, name) for name in ("root", "source", "checkpoint"))
+        self.pages = spark.createDataFrame([(1, "u/DFT a", "<article>full</article>")], "page_id long, url string, html string")
+        old = mail(spark, ("m0", "x@e", 50.0, article("Stored review")))
+        write_mail(old, f"{self.path}/mail", 1)
+        jobs.fetch(spark, self.path, SETTINGS, self.pages)
+        write_mail(mail(spark, ("m1", "x@e", 100.0, article("DFT a", "Review b", "battery c"))), f"{self.path}/mail", 2)
+        mail(spark, ("m2", "x@e", 90.0, article("DFT a", "DFT d", "battery e"))).coalesce(1).write.parquet(self.source)
+
+    def fetch(self):
+        path = jobs.fetch(self.spark, self.path, SETTINGS, self.pages).report
+        self.reports.append(path and sorted(row.value for row in self.spark.read.text(path).where("value LIKE '### [%'").collect()))
+
+    def score(self):
+        jobs.score_pending(self.spark, self.path, SETTINGS)
+
+    def since(self):
+        jobs.set_since(self.spark, self.path, "1970-01-01 00:01:35")
+
+    def stream(self):
+        start_run_ingest(self.spark, self.source, self.path, self.checkpoint, SETTINGS).awaitTermination()
+
+    def compact(self):
+        jobs.compact(self.spark, self.path)
+
+    def state(self):
+        rows = current_articles(self.spark, self.path).select("title", "score", "full_text_summary").collect()
+        report = jobs.report(self.spark, self.path, DigestSettings(sender="x@e", run_time="2024-03-05 00:00:00"))
+        whole = sorted(row.value for row in self.spark.read.text(report).where("value LIKE '### [%'").collect())
+        return sorted(map(tuple, rows), key=str), whole, runs.bound(self.spark, self.path), self.reports
+
+
+class Gone(RuntimeError):
+    pass
+
+
+def writes(root, monkeypatch, stop_at=None):
+    """Counts the writes below the root, and lets the one with that number fail before it writes anything."""
+    seen = []
+
+    def guard(real):
+        def write(self, path, *args, **kwargs):
+            if path.startswith(root.path + "/"):
+                seen.append(path)
+                if stop_at is not None and len(seen) == stop_at + 1:
+                    raise Gone(path)
+            return real(self, path, *args, **kwargs)
+
+        return write
+
+    for name in ("parquet", "text"):
+        monkeypatch.setattr(DataFrameWriter, name, guard(getattr(DataFrameWriter, name)))
+    return seen
+
+
+OTHERS = {
+    "fetch": ["score", "stream", "compact", "since"],
+    "stream": ["fetch", "score", "compact", "since"],
+    "score": ["fetch", "stream", "compact"],
+    "since": ["score", "compact"],
+    "compact": ["stream", "score", "fetch"],
+}
+#: Writes of each command below the root: articles, texts, report, what was read, the log.
+STEPS = {"fetch": 5, "stream": 2, "score": 2, "since": 1, "compact": 2}
+
+
+@pytest.mark.parametrize("command", OTHERS)
+def test_every_command_after_a_crash_of_another(spark, monkeypatch, command):
+    def run(stop_at):
+        root = Root(spark)
+        if stop_at is not None:
+            with monkeypatch.context() as patch:
+                writes(root, patch, stop_at)
+                with pytest.raises(Exception):
+                    getattr(root, command)()
+        for other in OTHERS[command]:
+            getattr(root, other)()
+        with monkeypatch.context() as patch:
+            seen = writes(root, patch)
+            getattr(root, command)()
+        return root.state(), len(seen)
+
+    undisturbed, n = run(None)
+    assert n == STEPS[command]
+    for stop_at in range(n):
+        assert run(stop_at)[0] == undisturbed
+
+
+def test_a_failed_run_is_seen_by_nobody(spark, monkeypatch):
+    """The case in which pending scores once committed what a failed fetch had left, so that it was never reported."""
+    root = Root(spark)
+    with monkeypatch.context() as patch:
+        writes(root, patch, 1)
+        with pytest.raises(Gone):
+            root.fetch()
+    assert {row.title for row in current_articles(spark, root.path).collect()} == {"Stored review"}
+    assert jobs.score_pending(spark, root.path, SETTINGS) == 0
+    root.fetch()
+    assert root.reports == [["### [DFT a](u/DFT a)", "### [Review b](u/Review b)"]]
+    left = runs.unused_folders(spark, root.path)
+    assert [folder.rsplit("/", 2)[1:] for folder in left] == [["articles", "run_no=2"]]
+    assert runs.remove_unused(spark, root.path) == left and runs.unused_folders(spark, root.path) == []
+    assert current_articles(spark, root.path).count() == 4
+
+
+def test_numbers_are_never_given_twice(spark):
+    root = shared_folder(spark, "root")
+    assert [runs.reserve(spark, root) for _ in range(3)] == [1, 2, 3]
+    runs.commit(spark, root, 3, runs.SCORE, runs.snapshot(spark, root))
+    assert runs.reserve(spark, root) == 4
+    assert runs.snapshot(spark, root).numbers == [0, 3]
+
+
+def test_runs_that_overlap(spark):
+    root = shared_folder(spark, "root")
+    first, second = runs.reserve(spark, root), runs.reserve(spark, root)
+    seen = runs.snapshot(spark, root)
+    runs.commit(spark, root, second, runs.FETCH, seen)
+    with pytest.raises(runs.RunConflict):
+        runs.commit(spark, root, first, runs.STREAM, seen, stream="s", batch_id=0)
+    runs.commit(spark, root, first, runs.SCORE, seen)
+    assert runs.snapshot(spark, root).numbers == [0, 1, 2]
+
+
+def test_a_run_that_ends_after_a_compaction_is_kept(spark):
+    root = Root(spark)
+    number = runs.reserve(spark, root.path)
+    root.compact()
+    append_articles(current_articles(spark, root.path).withColumn("hash", F.lit("late")), f"{root.path}/articles", number)
+    runs.commit(spark, root.path, number, runs.STREAM, runs.snapshot(spark, root.path), stream="s", batch_id=0)
+    assert current_articles(spark, root.path).count() == 2
+
+
+def test_compaction_keeps_what_was_read(spark):
+    root = Root(spark)
+    root.fetch()
+    before = root.state()
+    root.compact()
+    assert root.state() == before
+    assert len(runs.remove_unused(spark, root.path)) > 0
+    assert root.state() == before
+    root.fetch()
+    assert root.reports[-1] is None
+    assert spark.read.parquet(f"{root.path}/articles").select("run_no").distinct().count() == 1  # the last run stored nothing
+    root.compact()
+    assert root.state()[0] == before[0]
+
+
+def test_stream_and_commands_in_turn(spark):
+    root = Root(spark)
+    root.stream()
+    root.fetch()
+    mail(spark, ("m3", "X@E", 300.0, article("Review b", "DFT f", "DFT d"))).write.mode("append").parquet(root.source)
+    root.stream()
+    root.stream()
+    rows, report, _, reports = root.state()
+    titles = [row[0] for row in rows]
+    assert titles == sorted(["Stored review", "DFT a", "DFT d", "battery e", "Review b", "battery c", "DFT f"], key=lambda t: str((t,)))
+    assert reports == [["### [Review b](u/Review b)"]]  # what the stream had stored before is not new to the run
+    assert len(report) == 5
+    kinds = [row["kind"] for row in runs.read_log(spark, root.path).orderBy("run_no").collect()]
+    assert kinds == ["fetch", "stream", "fetch", "stream"]
+
+
+def test_a_replayed_batch_is_stored_once(spark):
+    root = Root(spark)
+    batch = spark.read.schema(MAIL_SCHEMA).parquet(root.source)
+    assert store_run(batch, 0, root.path, SETTINGS, "one") == 2
+    assert store_run(batch, 0, root.path, SETTINGS, "one") is None
+    assert store_run(batch, 0, root.path, SETTINGS, "two") == 3
+    assert current_articles(spark, root.path).count() == 4
+
+
+def test_a_batch_that_is_overtaken_looks_again(spark, monkeypatch):
+    root = Root(spark)
+    batch = spark.read.schema(MAIL_SCHEMA).parquet(root.source)
+    real, overtaken = runs.commit, []
+
+    def commit(*args, **kwargs):
+        if not overtaken:
+            overtaken.append(True)
+            root.fetch()  # stores DFT a, which the batch holds, too
+        return real(*args, **kwargs)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(runs, "commit", lambda *args, **kwargs: commit(*args, **kwargs))
+        store_run(batch, 0, root.path, SETTINGS, "one")
+    titles = [row.title for row in current_articles(spark, root.path).collect()]
+    assert len(titles) == len(set(titles)) == 6
+
+
+def test_deliveries_are_read_once_in_whatever_order_they_close(spark, monkeypatch):
+    root = shared_folder(spark, "root")
+
+    def deliver(name, arrival, close=True):
+        with monkeypatch.context() as patch:
+            closing = []
+            if not close:
+                patch.setattr(mail_source, "close_delivery", lambda *args: closing.append(args))
+            write_mail(mail(spark, (name, "x@e", 10.0, article(f"DFT {name}"))), f"{root}/mail", arrival)
+        return closing
+
+    def fetched():
+        found = jobs.fetch(spark, root, SETTINGS)
+        return found.counts["mails"], found.counts["new"]
+
+    deliver("a", 5)
+    [late] = deliver("b", 3, close=False)  # still being written
+    deliver("c", 9)
+    assert fetched() == (2, 2)
+    mail_source.close_delivery(*late)  # a smaller number that closes later
+    deliver("d", 9)  # a number used twice
+    assert fetched() == (2, 2)
+    assert fetched() == (0, 0)
+    deliver("e", 1, close=False)  # a writer that died; its mails come again
+    deliver("e", 1)
+    assert fetched() == (1, 1)
+    assert jobs.set_since(spark, root, "5") == 5.0
+    assert fetched() == (5, 0)  # by date: everything again, nothing new
+    assert fetched() == (0, 0)
+
+
+def test_a_delivery_that_closes_during_a_run_is_left_to_the_next(spark, monkeypatch):
+    root = shared_folder(spark, "root")
+    write_mail(mail(spark, ("a", "x@e", 10.0, article("DFT a"))), f"{root}/mail", 1)
+    real = jobs.run_digest
+
+    def slow(*args, **kwargs):
+        write_mail(mail(spark, ("b", "x@e", 20.0, article("DFT b"))), f"{root}/mail", 2)
+        return real(*args, **kwargs)
+
+    with monkeypatch.context() as patch:
+        patch.setattr(jobs, "run_digest", slow)
+        assert jobs.fetch(spark, root, SETTINGS).counts["new"] == 1
+    assert jobs.fetch(spark, root, SETTINGS).counts["new"] == 1
+
+
+def test_unread_deliveries_prune_folders(spark):
+    root = shared_folder(spark, "root")
+    for n in range(3):
+        last = write_mail(mail(spark, (f"m{n}", "x@e", 10.0, [])), f"{root}/mail", n)
+    scanned = mail_source.scan_mail(mail_source.read_mail(spark, f"{root}/mail"), "x@e", deliveries=[last])
+    plan = scanned._jdf.queryExecution().executedPlan().toString()
+    assert "delivery" in plan.split("PartitionFilters")[1][:200]
+    assert [row.id for row in scanned.collect()] == ["m2"]
+
+
+def test_mails_are_scanned_once_for_all_counts(spark, monkeypatch):
+    root = Root(spark)
+    accumulated = spark.sparkContext.accumulator(0)
+    real = jobs.mail_source.read_mail
+
+    def counted(*args):
+        @F.udf("string")
+        def passing(value):
+            accumulated.add(1)
+            return value
+
+        return real(*args).withColumn("subject", passing.asNondeterministic()("subject"))
+
+    def explode(mails):
+        return real_explode(mails.withColumn("body_html", F.concat("body_html", F.substring("subject", 0, 0))))
+
+    from mailquill.plans import digest
+
+    real_explode = digest.explode_alerts
+    monkeypatch.setattr(digest, "explode_alerts", explode)
+    monkeypatch.setattr(jobs.mail_source, "read_mail", counted)
+    assert jobs.fetch(spark, root.path, SETTINGS, root.pages).counts["mails"] == 1
+    assert accumulated.value == 1

@@ -20,10 +20,11 @@ from mailquill.plans import digest, jobs
 from mailquill.schema import STATE_SCHEMA
 from mailquill.session import materialize, shared_folder
 from mailquill.sources import mail as mail_source
+from mailquill.sources import runs
 from mailquill.sources import state as run_state
 from mailquill.sources import store as article_store
 from mailquill.sources.report import write_report
-from mailquill.streaming.ingest import start_ingest
+from mailquill.streaming.ingest import start_ingest, start_run_ingest
 from verification import views as v
 
 PROMPT = 'Is this one for our reading list? Braces stay: {{}}.'
@@ -323,6 +324,60 @@ def digest_rerun(spark, sf_dir):
     return _report_lines(spark, jobs.fetch(spark, root, SETTINGS, v.crawled_pages(spark, sf_dir)).report)
 
 
+def digest_after_crash(spark, sf_dir):
+    """A run over a folder in which another one failed half-way, and scores were completed in between."""
+    root = shared_folder(spark, "root")
+    mail_source.write_mail(v.mail(spark, sf_dir), f"{root}/mail", 1)
+    article_store.append_articles(v.store(spark, sf_dir), f"{root}/articles")
+    number = runs.reserve(spark, root)
+    article_store.write_run(v.whole_store(spark, sf_dir), f"{root}/articles", number)
+    article_store.append_texts(v.whole_store(spark, sf_dir).withColumn("full_text_summary", F.col("title")), root, number)
+    jobs.score_pending(spark, root, SETTINGS)
+    return _report_lines(spark, jobs.fetch(spark, root, SETTINGS, v.crawled_pages(spark, sf_dir)).report)
+
+
+def _mail_part(number: int, of: int):
+    """A part of the mails by the number in their id."""
+    return F.element_at(F.split("id", "-"), -1).cast("long") % of == number
+
+
+def shared_root(spark, sf_dir):
+    """What a stream, a run and the stream again have stored below one root."""
+    root, source, checkpoint = (shared_folder(spark, name) for name in ("root", "source", "checkpoint"))
+    mails = v.mail(spark, sf_dir)
+
+    def stream(number):
+        mails.where(_mail_part(number, 3)).write.mode("append").parquet(source)
+        start_run_ingest(spark, source, root, checkpoint, SETTINGS).awaitTermination()
+
+    stream(0)
+    mail_source.write_mail(mails.where(_mail_part(1, 3)), f"{root}/mail", 1)
+    jobs.fetch(spark, root, SETTINGS)
+    stream(2)
+    stored = article_store.current_articles(spark, root)
+    return stored.select("hash", "title", "link", "summary", "email_id", "score", "reason")
+
+
+def late_deliveries(spark, sf_dir):
+    """Which run stored each article, of deliveries that close out of order and share numbers."""
+    root = shared_folder(spark, "root")
+    mails = v.mail(spark, sf_dir)
+    for part, arrival in ((2, 7), (0, 5), (1, 7), (3, 1)):
+        mail_source.write_mail(mails.where(_mail_part(part, 4)), f"{root}/mail", arrival)
+        if part:
+            jobs.fetch(spark, root, SETTINGS)
+    return spark.read.parquet(f"{root}/articles").select("hash", F.col("run_no").cast("long").alias("run_no"))
+
+
+def store_compact(spark, sf_dir):
+    root = shared_folder(spark, "root")
+    article_store.append_articles(v.half_scored_store(spark, sf_dir), f"{root}/articles")
+    jobs.score_pending(spark, root, SETTINGS)
+    jobs.compact(spark, root)
+    runs.remove_unused(spark, root)
+    return article_store.current_articles(spark, root).select("hash", "score", "reason")
+
+
 def score_pending(spark, sf_dir):
     root = shared_folder(spark, "root")
     article_store.append_articles(v.half_scored_store(spark, sf_dir), f"{root}/articles")
@@ -379,6 +434,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stream_ingest": stream_ingest,
     "digest_end_to_end": digest_end_to_end,
     "digest_rerun": digest_rerun,
+    "digest_after_crash": digest_after_crash,
+    "shared_root": shared_root,
+    "late_deliveries": late_deliveries,
+    "store_compact": store_compact,
     "score_pending": score_pending,
     "report_from_store": report_from_store,
 }
