@@ -18,6 +18,7 @@ from mailquill.operators.dedup import only_new
 from mailquill.operators.merge import merge_updates
 from mailquill.schema import ARTICLE_SCHEMA
 from mailquill.session import materialize
+from mailquill.sources.csv_records import read_csv
 from mailquill.sources.runs import Snapshot, snapshot
 
 # A text that no cell holds: Spark tells empty cells from quoted empty ones only when some other text means NULL.
@@ -43,15 +44,11 @@ def load_store(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
     """Stored articles with all known columns; those that the files lack are NULL.
 
     CSV columns are matched by the names in the header and read as text, so a title such as ``NA`` stays a title. An empty
-    cell is NULL, a quoted empty cell is empty text.
+    cell is NULL, a quoted empty cell is empty text. A large file is read by many tasks, line breaks in its cells or not.
     """
     if fmt == "parquet":
         return stored_before(spark, path)
-    stored = _empty_if_absent(
-        spark,
-        ARTICLE_SCHEMA,
-        lambda: spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=CSV_NULL),
-    )
+    stored = _empty_if_absent(spark, ARTICLE_SCHEMA, lambda: read_csv(spark, path, CSV_NULL))
     if "email_date" in stored.columns:
         stored = stored.withColumn("email_date", F.col("email_date").try_cast("double"))
     return with_missing_columns(stored)

@@ -1,0 +1,96 @@
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from mailquill.session import shared_folder
+from mailquill.sources.csv_records import csv_records, read_csv
+from mailquill.sources.store import CSV_NULL, load_store, write_csv_store
+
+CELLS = ["", "x", "NA", "two words", 'say "x"', "a,b", "line\nbreak", '"\n"', "\n\n\n", ",\n,", "back\\", "ünï 😀\n…", " lead", "trail ", '""', "w " * 300]
+
+
+def quoted(cell):
+    return '"' + cell.replace('"', '""') + '"' if cell == "" or any(c in cell for c in '",\n\r') or cell != cell.strip() else cell
+
+
+def write(tmp_path, name, rows, header="title,summary,link", line="\n"):
+    text = line.join([header, *(",".join("" if cell is None else quoted(cell) for cell in row) for row in rows)]) + line
+    folder = tmp_path / "csv"
+    folder.mkdir(exist_ok=True)
+    (folder / name).write_text(text, newline="")
+    return str(folder)
+
+
+@pytest.fixture
+def small_ranges(spark):
+    names = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "0"}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, value in names.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def cells(seed, n):
+    draw = random.Random(seed)
+    return [tuple(draw.choice([*CELLS, None]) for _ in range(3)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_many_ranges_equal_the_whole(spark, tmp_path, small_ranges, seed):
+    rows = cells(seed, 400)
+    rows = [row for row in rows if any(cell is not None for cell in row)]
+    path = write(tmp_path, "a.csv", rows)
+    records = csv_records(spark, path)
+    assert records.rdd.getNumPartitions() > 1 and spark.read.text(path, lineSep="\n").rdd.getNumPartitions() > 20
+    assert sorted(row["record"] for row in records.collect()) == list(range(1, len(rows) + 2))
+    found = read_csv(spark, path, CSV_NULL)
+    assert found.columns == ["title", "summary", "link"]
+    whole = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', nullValue=CSV_NULL)
+    key = lambda row: tuple((cell is not None, cell or "") for cell in row)
+    assert sorted(map(tuple, found.collect()), key=key) == sorted(rows, key=key) == sorted(map(tuple, whole.collect()), key=key)
+
+
+def test_one_cell_over_many_ranges(spark, tmp_path, small_ranges):
+    rows = [("a", "\n".join(f'line "{n}", of a cell' for n in range(3000)), None), ("b", "x", "y")]
+    path = write(tmp_path, "a.csv", rows)
+    assert sorted(map(tuple, read_csv(spark, path, CSV_NULL).collect())) == sorted(rows)
+
+
+def test_line_ends_and_files_with_other_columns(spark, tmp_path, small_ranges):
+    first, second = cells(8, 60), [(f"t{n}", f"line\r\nbreak {n}") for n in range(60)]
+    first = [row for row in first if row[0]]
+    write(tmp_path, "a.csv", first)
+    path = write(tmp_path, "b.csv", second, header='link,"title"', line="\r\n")
+    found = load_store(spark, path, "csv")
+    rows = [(row.title, row.summary, row.link) for row in found.collect()]
+    assert sorted(rows, key=str) == sorted([*first, *((title, None, link) for link, title in second)], key=str)
+
+
+def test_blank_lines_and_only_a_header(spark, tmp_path):
+    folder = tmp_path / "csv"
+    folder.mkdir()
+    (folder / "a.csv").write_text("title,link\n\n\nA,u\n\n")
+    (folder / "b.csv").write_text("title,link")
+    assert [tuple(row) for row in read_csv(spark, str(folder), CSV_NULL).collect()] == [("A", "u")]
+
+
+def test_only_spanning_records_are_brought_together(spark, tmp_path):
+    path = write(tmp_path, "a.csv", [("a", "b", "c")] * 50)
+    plan = csv_records(spark, path)._jdf.queryExecution().optimizedPlan().toString()
+    single, spanning = plan.split("Aggregate", 1)
+    assert "Union" in single
+
+
+def test_round_trip_of_a_written_store(spark, small_ranges):
+    path = shared_folder(spark, "store.csv")
+    made = spark.range(500).select(
+        F.format_string("h%d", "id").alias("hash"), F.format_string('T "%d",\nnext', "id").alias("title"), F.lit("").alias("summary"),
+        (F.col("id") / 2).alias("email_date"),
+    )
+    write_csv_store(made, path)
+    found = load_store(spark, path, "csv")
+    assert sorted(map(tuple, found.select(made.columns).collect())) == sorted(map(tuple, made.collect()))
+    assert found.where("link IS NULL").count() == 500
