@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from mailquill.functions.bind import bind
+from mailquill.functions.keywords import first_keyword
 
 # Tiers, word lists and reasons of the built-in rules.
 HIGH, MEDIUM, LOW, ERROR = "High", "Medium", "Low", "Error"
@@ -42,11 +43,17 @@ def _contains_any(text: Column, words) -> Column:
     return hit
 
 
+#: A list is searched word by word up to this length, and by an automaton beyond; both find the same keyword.
+SHORT_LIST = 100
+
+
 def excluded_by(text: Column, keywords) -> Column:
     """First keyword, in list order, that occurs in the lower-cased ``text``; NULL when none does."""
     hit = F.lit(None).cast("string")
     if not keywords:
         return hit
+    if len(keywords) > SHORT_LIST:
+        return first_keyword(text, keywords)
     # One array of constants keeps the generated code small, however many words there are.
     pairs = [F.struct(F.lit(word).alias("word"), F.lower(F.lit(word)).alias("lower")) for word in keywords]
     return F.get(F.filter(F.array(*pairs), lambda pair: F.contains(text, pair["lower"])), F.lit(0))["word"]

@@ -15,7 +15,7 @@ from mailquill.operators.dedup import dedup_first, newest_mail_first, only_new_p
 from mailquill.operators.enrich import FAILED_LIMIT, enrich_from_pages, enrichment_candidates
 from mailquill.operators.explode import explode_alerts
 from mailquill.operators.report import articles_for_report, number_report, report_document
-from mailquill.operators.score import score_articles, scored_only
+from mailquill.operators.score import Calls, score_articles, scored_only
 from mailquill.session import materialize
 from mailquill.sources.mail import scan_mail
 
@@ -33,6 +33,7 @@ class DigestSettings:
     exclude: tuple[str, ...] = ()
     scorer: object = None
     partitions: int | None = None
+    calls: Calls = Calls()
     title: str = "Digest Report"
     text_length: int = PAGE_TEXT_LIMIT
     failure_length: int = FAILED_LIMIT
@@ -110,7 +111,7 @@ def run_digest(
         parsed = explode_alerts(mails)
     new = new_articles(parsed, store, settings.run_time)
     scored = materialize(
-        score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions), "scored"
+        score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls), "scored"
     )
     enriched = enrichment_candidates(scored, settings.high, settings.medium)
     if pages is not None:

@@ -101,7 +101,7 @@ def score_pending(spark: SparkSession, root: str, settings: DigestSettings, agai
         seen = runs.snapshot(spark, root)
         pending = article_store.current_with_scores(spark, root, lambda score: score.isNull() | score.isin(*again), seen)
         scored = materialize(
-            score_articles(pending, settings.scorer, settings.rules, settings.exclude, settings.partitions), "pending"
+            score_articles(pending, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls), "pending"
         )
         article_store.append_scores(scored, root, number)
         n = scored.count()

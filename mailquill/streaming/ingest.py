@@ -103,7 +103,7 @@ def store_run(mail: DataFrame, batch_id: int, root: str, settings: DigestSetting
             number = runs.reserve(spark, root)
             seen = runs.snapshot(spark, root)
             new = new_articles(explode_alerts(mail), article_store.stored_in(spark, root, seen), settings.run_time)
-            scored = score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions)
+            scored = score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls)
             article_store.write_run(materialize(scored, "scored"), f"{root}/articles", number)
             try:
                 runs.commit(spark, root, number, runs.STREAM, seen, stream=stream, batch_id=batch_id)

@@ -130,3 +130,82 @@ def test_choice_of_scorer(spark):
     assert choose_scorer("broken:x", providers) is None
     frame = spark.createDataFrame(SAMPLE, SCHEMA)
     assert score_articles(frame).where("score = 'High'").count() == 3
+
+
+@pytest.mark.parametrize("words", [["A", "a", "bb"], ["b", "", "a"], ["İx", "ΣΑΣ", "ß", "ﬁ"], [f"w{n}" for n in range(500)], ["abc", "bc", "c", None]])
+def test_automaton_equals_plain_search(spark, words):
+    import random
+
+    from mailquill.functions.keywords import first_keyword
+
+    draw = random.Random(1)
+    letters = ["a", "b", "c", "w1", "w12", "İx", "ΣΑΣ σας", "ß", "SS", "ﬁ", " ", "W499 "]
+    texts = [(n, "".join(draw.choice(letters) for _ in range(draw.randint(0, 9)))) for n in range(300)] + [(300, None), (301, "")]
+    frame = spark.createDataFrame(texts, "n int, t string").select("n", F.lower("t").alias("t"))
+    known = [word for word in words if word is not None]
+    found = frame.select("n", first_keyword(F.col("t"), words).alias("one"), excluded_by(F.col("t"), known[:100]).alias("two")).collect()
+    assert all(row["one"] == row["two"] for row in found if row["two"] is not None or len(known) <= 100)
+    assert len({row["one"] for row in found}) > 1
+
+
+def test_a_long_list_costs_no_more_than_a_short_one(spark):
+    import time
+
+    texts = spark.range(4000).select(F.concat_ws(" ", *[F.sha2((F.col("id") + n).cast("string"), 256) for n in range(30)]).alias("t")).cache()
+    texts.count()
+
+    def seconds(n):
+        column = excluded_by(F.col("t"), [f"keyword{k}" for k in range(n)])
+        texts.select(column).write.format("noop").mode("overwrite").save()
+        began = time.perf_counter()
+        texts.select(column).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    assert seconds(20_000) < 3 * seconds(101) + 1
+
+
+def test_calls_side_by_side_in_one_task(spark):
+    import threading
+    import time
+
+    from mailquill.operators.score import Calls
+
+    def make():
+        def scorer(titles, summaries):
+            time.sleep(0.05 * len(titles))
+            return [title.upper() for title in titles], [threading.current_thread().name] * len(titles)
+
+        return scorer
+
+    frame = spark.range(160).select(F.col("id").cast("string").alias("hash"), F.format_string("t%d", "id").alias("title"), F.lit("").alias("summary")).coalesce(1)
+    seconds, found = {}, {}
+    for workers in (1, 8):
+        for _ in range(2):  # the first run starts the Python worker
+            began = time.perf_counter()
+            found[workers] = score_with(frame, make, calls=Calls(workers=workers)).collect()
+            seconds[workers] = time.perf_counter() - began
+    assert {(row.title.upper(), row.score) for row in found[8]} == {(f"T{n}", f"T{n}") for n in range(160)}
+    assert len({row.reason for row in found[8]}) == 8
+    assert seconds[1] > 8 and seconds[8] < seconds[1] / 4
+
+
+def test_failing_calls_are_repeated_and_then_errors(spark):
+    from mailquill.operators.score import Calls
+
+    def make():
+        tries = {}
+
+        def scorer(titles, summaries):
+            place = tuple(titles)
+            tries[place] = tries.get(place, 0) + 1
+            if "t7" in place or tries[place] < 3:
+                raise OSError(f"busy {len(place)}")
+            return ["High"] * len(titles), [str(tries[place])] * len(titles)
+
+        return scorer
+
+    frame = spark.range(30).select(F.format_string("t%d", "id").alias("title"), F.lit("").alias("summary")).coalesce(1)
+    rows = score_with(frame, make, calls=Calls(workers=3, rows=10, retries=2, pause=0.001)).collect()
+    assert {row.title for row in rows if row.score == "Error"} == {"t7"}
+    assert [row.reason for row in rows if row.title == "t7"] == ["busy 1"]
+    assert [row.reason for row in rows if row.title == "t25"] == ["3"]

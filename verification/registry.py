@@ -302,6 +302,40 @@ def pluggable_score(spark, sf_dir):
     return scored.select("hash", "doc_id", "score", "reason")
 
 
+def concurrent_score(spark, sf_dir):
+    """The same with eight calls side by side in each of two tasks, of which some fail at first."""
+    scorer = score.choose_scorer("words:small", {"words": lambda model: failing_at_first(word_scorer())})
+    first = dedup.dedup_first(v.hashed(spark, sf_dir), "hash", dedup.newest_mail_first())
+    calls = score.Calls(workers=8, rows=5, retries=1, pause=0.001)
+    scored = score.score_articles(first, scorer, exclude=v.EXCLUDE, partitions=2, calls=calls)
+    return scored.select("hash", "doc_id", "score", "reason")
+
+
+def failing_at_first(make_scorer):
+    def make():
+        scorer, seen = make_scorer(), set()
+
+        def scored(titles, summaries):
+            place = tuple(titles)
+            if len(place[0]) % 3 == 0 and place not in seen:
+                seen.add(place)
+                raise OSError("busy")
+            return scorer(titles, summaries)
+
+        return scored
+
+    return make
+
+
+def keyword_list(spark, sf_dir):
+    """Exclusion by all longer words of the benchmark, in their order by length and letters, as one list."""
+    words = v.table(spark, sf_dir, "benchmark").select(F.explode(F.split("text", " ")).alias("word")).where("length(word) >= 9").distinct()
+    listed = [row["word"] for row in words.collect()]  # a setting of the run: the list is a parameter, not data of the rows
+    listed = sorted(listed, key=lambda word: (-len(word), word.encode()))
+    whole = text.score_text(F.col("title"), F.col("summary"))
+    return v.articles(spark, sf_dir).select("doc_id", scoring.excluded_by(whole, listed).alias("keyword"))
+
+
 def stream_ingest(spark, sf_dir):
     source, store, checkpoint = (shared_folder(spark, name) for name in ("source", "store", "checkpoint"))
     v.mail(spark, sf_dir).repartition(4, "id").write.parquet(source)
@@ -431,6 +465,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "report_block": report_block,
     "report_document": report_document,
     "pluggable_score": pluggable_score,
+    "concurrent_score": concurrent_score,
+    "keyword_list": keyword_list,
     "stream_ingest": stream_ingest,
     "digest_end_to_end": digest_end_to_end,
     "digest_rerun": digest_rerun,
