@@ -4,7 +4,8 @@ A text is cut into units, its lines and the sentences of longer ones. A rolling
 wherever it falls into the lower part of its range, so boundaries follow the words and not their numbers, and a passage is
 cut alike wherever it stands. Chunks that are found again anywhere are compared by their bytes. A passage seldom begins and ends
 at a boundary, so a found chunk is extended over the units beside it as far as they equal those beside the first one. Stretches of
-found units with enough words are removed, all but the first.
+found units with enough words are removed, all but the first. Copies of a whole text are set aside before: they hold no
+chunk that the first of them does not hold, and lose all of it.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ def line_units(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
+def _hash128(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("binary")))
+
+
 def _bound(value: Column, body) -> Column:
     """``body`` of ``value``; a one-element array binds an expression to a name, so that it is worked out once."""
     return F.transform(F.array(value), body)[0]
@@ -126,15 +131,20 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
-    """``place`` of a row and ``ranges``, struct(``first``, ``last``) of units that are found before, apart from each other."""
+    """``place`` of the first row of each text and ``ranges``, struct(``first``, ``last``) of units that are found before.
+
+    Ranges lie apart from each other. They are NULL where there is none.
+    """
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), row_place(F.col(id_col), text).alias("place"), text.alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), row_place(F.col(id_col), text).alias("place"), text.alias("text"), _hash128(text).alias("of"))
+    # Planned with a group limit below the shuffle: a task sends one row of those with the same text, compared by its bytes.
+    same = Window.partitionBy("of", "text").orderBy("id", "place")
+    rows = rows.withColumn("copy", F.row_number().over(same)).where("copy = 1").select("id", "place", "text")
+    rows = materialize(rows, "texts")
     marks = materialize(rows.select("place", F.explode(_marks(F.col("text"))).alias("c")).select("place", "c.*"), "chunk-marks")
     repeated = materialize(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     # The joins' smaller sides grow with the corpus and have no bound, so all of them are merge joins at every size.
     again = marks.join(repeated.hint("merge"), "hash").select("place", "no", "words", "before", "after")
-    # Rows that repeat id and text are one; everything down to the wanted numbers keeps to this partitioning.
-    again = again.repartition("place").dropDuplicates(["place", "no"])
     # Only stretches of repeated chunks that with their neighbours have words enough are looked at.
     row = Window.partitionBy("place").orderBy("no")
     stretch = again.withColumn("stretch", F.col("no") - F.row_number().over(row))
@@ -160,7 +170,8 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     numbered = spans.withColumn("opens", opens).withColumn("stretch", F.sum("opens").over(order))
     stretches = numbered.groupBy("place", "stretch").agg(F.min("first").alias("first"), F.max("last").alias("last"))
     ranges = F.sort_array(F.collect_list(F.struct("first", "last"))).alias("ranges")
-    return materialize(stretches.groupBy("place").agg(ranges), "found-ranges")
+    found = materialize(stretches.groupBy("place").agg(ranges), "found-ranges").withColumnRenamed("place", "own")
+    return rows.select("place").join(found.hint("merge"), F.col("place") == F.col("own"), "left").select("place", "ranges")
 
 
 def _without(units: Column, ranges: Column) -> Column:
@@ -183,10 +194,10 @@ def _without(units: Column, ranges: Column) -> Column:
 
 def _joined(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[DataFrame, str]:
     """``docs`` with struct(``ranges``, ``units``, ``words``, ``text``) of what is removed and what is left; NULL if nothing is."""
-    place, name = fresh(docs, "row_place"), fresh(docs, "removed")
-    found = _found(docs, id_col, text_col, least).withColumnsRenamed({"place": place, "ranges": name})
+    place, own, name = fresh(docs, "row_place"), fresh(docs, "own_place"), fresh(docs, "removed")
+    found = _found(docs, id_col, text_col, least).withColumnsRenamed({"place": own, "ranges": name})
     marked = docs.withColumn(place, row_place(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    joined = marked.join(found.hint("merge"), place, "left").drop(place)
+    joined = marked.join(found.hint("merge"), F.col(place) == F.col(own), "left")
 
     def of_units(units: Column) -> Column:
         counted = F.transform(name, lambda own: F.struct(
@@ -202,15 +213,24 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[Da
 
         return _bound(F.filter(counted, lambda own: own["words"] >= least), of_ranges)
 
+    def of_copy(keys: Column) -> Column:
+        words = F.aggregate(keys, F.lit(0), lambda n, key: n + _n_words(key))
+        whole = lambda words: F.array(F.struct(F.lit(1).alias("first"), F.size(keys).alias("last"), words.alias("words")))
+        return _bound(words, lambda words: F.when(words >= least, F.struct(
+            whole(words).alias("ranges"), F.size(keys).cast("bigint").alias("units"), words.cast("bigint").alias("words"),
+            F.lit("").alias("text"))))
+
+    later_copy = F.col(own).isNull() & (F.col(text_col) != "")
     removed = F.when(F.col(name).isNotNull(), _bound(line_units(F.col(text_col)), of_units))
-    return joined.withColumn(name, removed), name
+    removed = removed.when(later_copy, _bound(_keys(F.col(text_col)), of_copy))
+    return joined.withColumn(name, removed).drop(place, own), name
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:
     """``docs`` without the stretches of ``least`` words or more that are found before; rows and other columns as before.
 
-    Of equal chunks the first stays: the one with the smallest id (NULL first), hash of id and text, and place in the text. Rows
-    that repeat both id and text are one document, whose units stay or go in all of them alike. Units are compared without the white
+    Of equal texts and of equal chunks the first stays: the one with the smallest id (NULL first), hash of id and text, and place in
+    the text. Rows that repeat both id and text are one document, whose units stay or go in all of them alike. Units are compared without the white
     space around them, words are told apart by spaces. Chunks in stretches too short to reach ``least`` words are no first ones either.
     A text that loses all its units becomes empty; NULL and blank texts stay as they are.
     """
