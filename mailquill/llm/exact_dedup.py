@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from mailquill.session import materialize
 
+#: Tasks over which the copies of one text are spread before their bytes are compared.
+SALTS = 16
+
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", largest: bool = False) -> DataFrame:
     """One row per row of ``docs``: id, ``keep_id``, ``group_size``, ``kept`` and the text's SHA-256.
@@ -15,8 +18,8 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     document of its own that stays only where its group has no other id. Of rows that repeat both id and text one stays.
     Other columns of ``docs`` are ignored. An empty table gives no rows.
 
-    Only hashes and ids are shuffled for the grouping. Whole texts move once and only of groups of two or more, where
-    grouping by the bytes themselves tells colliding texts apart; copies are combined before that shuffle.
+    Only hashes and ids are shuffled for the grouping. Of groups of two or more the texts meet the hash in ``SALTS`` parts, so a text
+    that a third of all rows hold lies in as many tasks; each combines its copies, by the bytes themselves, and sends one on.
     """
     best = F.max if largest else F.min
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -25,8 +28,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     groups = rows.groupBy("hash").agg(F.count(F.lit(1)).alias("size"), best("id").alias("keep"))
     repeated = materialize(groups.where("size > 1"), "repeated")
+    salt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(SALTS)).cast("int")
+    parts = repeated.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     same_bytes = (
-        texts.join(repeated.select("hash"), "hash")
+        texts.withColumn("salt", salt)
+        .join(parts, ["hash", "salt"])
         .groupBy("hash", "text")
         .agg(F.count(F.lit(1)).alias("size"), best("id").alias("keep"))
         .select("hash", "size", "keep", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
