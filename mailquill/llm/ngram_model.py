@@ -34,6 +34,10 @@ CACHE_WORDS = 300_000
 BLOCK = 1 << 20
 #: Ids of one file of the table by id.
 ID_BLOCK = 1 << 16
+#: Kinds of whole numbers in which counts are stored, the smallest that holds all of a shard's.
+COUNTS = ("<u1", "<u2", "<u4", "<i8")
+#: Characters of the training texts for each shard, so that a task holds a bounded part of the tables when it merges one.
+SHARD_CHARACTERS = 1 << 26
 PARTIAL = "shard int, keys array<bigint>, counts array<bigint>"
 STATISTICS = ("context", "n1", "n2", "n3", "n4", "more", "kinds")
 
@@ -122,12 +126,32 @@ def store(path: str, values: np.ndarray, kind: str) -> None:
     os.replace(own, path)
 
 
-@lru_cache(maxsize=None)
+def store_counts(path: str, counts: np.ndarray) -> None:
+    """Counts in as many bytes as the largest of them needs; the file's name tells."""
+    kind = next(kind for kind in COUNTS if counts.max(initial=0) <= np.iinfo(kind).max)
+    store(f"{path}.{kind[1:]}", counts, kind)
+
+
+#: Files that a worker keeps open; others are mapped again when they are needed.
+OPEN_FILES = 400
+
+
+@lru_cache(maxsize=OPEN_FILES)
 def mapped(path: str, kind: str) -> np.ndarray:
     """A mapped file; nothing for a shard that no token fell into."""
     return np.memmap(path, kind, "r") if os.path.exists(path) and os.path.getsize(path) else np.empty(0, kind)
 
 
+@lru_cache(maxsize=1 << 16)
+def kind_of_counts(path: str) -> str:
+    return next((kind for kind in COUNTS if os.path.exists(f"{path}.{kind[1:]}")), COUNTS[-1])
+
+
+def mapped_counts(path: str) -> np.ndarray:
+    kind = kind_of_counts(path)
+    return mapped(f"{path}.{kind[1:]}", kind)
+
+
 @dataclass(frozen=True)
 class Model:
     """The folder of the tables and the few numbers that belong to all of them."""
@@ -147,7 +171,7 @@ class Model:
             keys = mapped(f"{self.folder}/words-{shard}.keys", "<u8")
             at, known = search(keys, hashes[own])
             ids[own] = np.where(known, at + self.first_ids[shard], -1)
-            counts[own][known] = mapped(f"{self.folder}/words-{shard}.counts", "<i8")[at[known]]
+            counts[own][known] = mapped_counts(f"{self.folder}/words-{shard}.counts")[at[known]]
         return ids, counts
 
     def pairs(self, keys: np.ndarray) -> np.ndarray:
@@ -157,7 +181,7 @@ class Model:
         counts = np.zeros(len(keys), np.int64)
         for shard, own in slices(shards[order]):
             at, known = search(mapped(f"{self.folder}/pairs-{shard}.keys", "<u8"), keys[order[own]])
-            counts[order[own][known]] = mapped(f"{self.folder}/pairs-{shard}.counts", "<u4")[at[known]]
+            counts[order[own][known]] = mapped_counts(f"{self.folder}/pairs-{shard}.counts")[at[known]]
         return counts
 
     def by_id(self, ids: np.ndarray, name: str) -> np.ndarray:
@@ -202,7 +226,7 @@ def _vocabulary(texts: DataFrame, folder: str, bits: int) -> Model:
     def write(shard: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         keys, counts = merged(frame)
         store(f"{folder}/words-{shard[0]}.keys", keys, "<u8")
-        store(f"{folder}/words-{shard[0]}.counts", counts, "<i8")
+        store_counts(f"{folder}/words-{shard[0]}.counts", counts)
         return pd.DataFrame({"shard": [shard[0]], "ids": [len(keys)], "n": [counts.sum()], "words": [(counts > 0).sum()]})
 
     sizes = _mapped_frames(texts, count).groupBy("shard").applyInPandas(write, "shard int, ids bigint, n bigint, words bigint")
@@ -232,7 +256,7 @@ def _statistics(texts: DataFrame, model: Model) -> DataFrame:
     def write(shard: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         keys, counts = merged(frame)
         store(f"{model.folder}/pairs-{shard[0]}.keys", keys, "<u8")
-        store(f"{model.folder}/pairs-{shard[0]}.counts", counts, "<u4")
+        store_counts(f"{model.folder}/pairs-{shard[0]}.counts", counts)
         context, word = (keys >> np.uint64(32)).astype(np.int64), (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
         contexts, first = np.unique(context, return_index=True)  # keys ascend, so contexts stand together
         add = lambda values: np.add.reduceat(values.astype(np.int64), first)
@@ -267,12 +291,15 @@ def discounted(counts: np.ndarray, of: tuple[float, ...]) -> np.ndarray:
 def fit(texts: DataFrame) -> Model:
     """Learn from every row of ``texts``, a frame with one column; NULL is an empty text.
 
-    The number of shards follows ``spark.sql.shuffle.partitions``. Driver and executors must see the shared folder as files.
+    The number of shards follows the size of the texts, and ``spark.sql.shuffle.partitions`` where these are small. Driver and
+    executors must see the shared folder as files.
     """
     spark = texts.sparkSession
+    characters = texts.agg(F.sum(F.length(texts.columns[0]).cast("bigint"))).first()[0] or 0
     folder = local_path(shared_folder(spark, "ngrams"))
     os.makedirs(folder, exist_ok=True)
-    bits = max(1, (4 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
+    shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-characters // SHARD_CHARACTERS))
+    bits = max(1, (shards - 1).bit_length())
     model = _vocabulary(texts, folder, bits)
     statistics = materialize(_statistics(texts, model), "statistics")
 

@@ -134,3 +134,30 @@ def test_held_out_texts_are_less_surprising_than_by_counts(spark, sf_dir):
     held = docs.where(~train)
     sums = held.select(ngram_model.score_texts(held, model).alias("s")).agg(F.sum("s.score"), F.sum("s.base_score")).first()
     assert sums[1] < sums[0] < 0
+
+
+def test_counts_of_any_size_are_kept(tmp_path):
+    for counts in ([0, 255], [256], [70_000, 1], [2**32 - 1], [2**32 + 5, 3], []):
+        path = str(tmp_path / f"c{len(list(tmp_path.iterdir()))}")
+        ngram_model.store_counts(path, np.array(counts, np.int64))
+        assert ngram_model.mapped_counts(path).astype(np.int64).tolist() == counts
+
+
+def test_shards_follow_the_texts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_model, "SHARD_CHARACTERS", 500)
+    texts = TEXTS[:6] + ZIPF
+    model = ngram_model.fit(frame(spark, texts).select("text"))
+    assert 1 << model.bits >= sum(len(text or "") for _, text in texts) / 500
+    plain = Plain([text for _, text in texts])
+    for row in scored(spark, model, ZIPF[:5]):
+        assert row["score"] == pytest.approx(plain.score(row["text"])[3], rel=1e-9)
+
+
+def test_few_files_are_open_at_once(monkeypatch, tmp_path):
+    import os
+
+    before = len(os.listdir("/proc/self/fd"))
+    for n in range(3 * ngram_model.OPEN_FILES):
+        ngram_model.store(str(tmp_path / f"f{n}"), np.arange(3), "<u8")
+        assert ngram_model.mapped(str(tmp_path / f"f{n}"), "<u8")[2] == 2
+    assert len(os.listdir("/proc/self/fd")) < before + ngram_model.OPEN_FILES + 20
