@@ -1,9 +1,10 @@
 """License notices by an exact set-similarity join, in DataFrame expressions only.
 
-Templates are sets of words, and so is every line of a text. Words are ordered by the number of lines that hold them, rarest
+Templates are sets of words, and so is every line of a text and every window over its words. Words are ordered by the number of lines that hold them, rarest
 first. A line can hold the needed share of a template only if it holds one of the template's first words in that order
 (prefix), has enough template words (length) and enough of them left behind the place where both meet (position). Lines
-that pass meet templates in a join on those words and are then verified, so every line over the threshold is found.
+that pass meet templates in a join on those words and are then verified, so every line over the threshold is found. Windows
+are taken to the join in blocks that each hold many of them.
 """
 
 from __future__ import annotations
@@ -105,58 +106,62 @@ def _held_words(folded: Column, words: list[str]) -> Column:
     return F.transform(F.split(folded, "\n", -1), lambda line: F.array_intersect(known, F.split(line, GAPS)))
 
 
-def _wrapped_hits(spaced: Column, held: Column, templates: tuple[tuple[str, str], ...], containment: float) -> Column:
-    """Array of struct(``label``, ``contained``) of the templates that stand in a text whatever its lines.
+def _n_template_words(text: str) -> int:
+    return len([word for word in re.split(GAPS, text.lower()) if word])
 
-    A template of n words is held by any 2 n words that follow each other and hold the needed share of it. Texts that
-    do not hold that share anywhere are told by ``held``, the template words of each line; only the others are looked through.
-    """
-    entries = []
-    for label, text in templates:
-        own = template_words(text)
-        entries.append(
-            F.struct(
-                F.lit(label).alias("label"),
-                F.array(*[F.lit(word) for word in own]).alias("own"),
-                F.lit(math.ceil(round(containment * len(own), 9))).alias("least"),
-                F.lit(2 * len([word for word in re.split(GAPS, text.lower()) if word])).alias("span"),
-            )
-        )
 
-    def likely(whole: Column) -> Column:
-        return F.filter(F.array(*entries), lambda t: F.size(F.array_intersect(t["own"], whole)) >= t["least"])
+def longest_span(templates: tuple[tuple[str, str], ...]) -> int:
+    """Words of the longest window; a template of n words is sought in any 2 n words that follow each other."""
+    return max(2 * _n_template_words(text) for _, text in templates)
 
-    def looked_through(words: Column) -> Column:
-        def most(t: Column) -> Column:
-            starts = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.array_contains(t["own"], words[i - 1]))
-            shared = F.transform(starts, lambda i: F.size(F.array_intersect(t["own"], F.slice(words, i, t["span"]))))
-            return F.struct(t["label"].alias("label"), t["least"].alias("least"), F.size(t["own"]).alias("n"), F.array_max(shared).alias("shared"))
 
-        return F.transform(candidates, most)
+def _word_blocks(spaced: Column, lines: Column, templates: tuple[tuple[str, str], ...], containment: float, words: list[str]) -> Column:
+    """Array of struct(``words``, ``held``): stretches of words whatever the lines, each of which overlaps half of the next.
+
+    Every window of a template lies whole in one of them. Texts that do not hold the needed share of any template anywhere, by
+    the template words of their ``lines``, have none.
+    """
+    sets = [(template_words(text), math.ceil(round(containment * len(template_words(text)), 9))) for _, text in templates]
+    entries = F.array(*[F.struct(F.array(*map(F.lit, own)).alias("own"), F.lit(least).alias("least")) for own, least in sets])
+    stride = longest_span(templates)
+    known = F.array(*map(F.lit, words))
+    held = F.array_distinct(F.flatten(lines))
+    likely = F.transform(F.array(held), lambda whole: F.exists(entries, lambda t: F.size(F.array_intersect(t["own"], whole)) >= t["least"]))[0]
+
+    def cut(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(words), F.lit(stride))
+        blocks = F.transform(starts, lambda i: F.slice(words, i, 2 * stride))
+        return F.transform(blocks, lambda own: F.struct(own.alias("words"), F.array_intersect(known, own).alias("held")))
 
     # A one-element array binds an expression to a name, so that it is worked out once.
-    candidates = F.transform(F.array(F.array_distinct(F.flatten(held))), likely)[0]
-    found = F.when(F.size(candidates) > 0, F.transform(F.array(F.split(F.trim(spaced), " ", -1)), looked_through)[0])
-    over = F.filter(found, lambda x: x["shared"] >= x["least"])
-    return F.transform(over, lambda x: F.struct(x["label"].alias("label"), (x["shared"] / x["n"]).alias("contained")))
+    return F.when(likely, F.transform(F.array(F.split(F.trim(spaced), " ", -1)), cut)[0])
 
 
-def similar_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...], containment: float) -> DataFrame:
-    """``label`` and ``contained`` for every row of ``lines`` whose ``held`` words are at least the share ``containment``
-    of a template's distinct words; other columns stay. A line may be returned once for each word of its prefix.
-    """
-    sets = [(label, template_words(text)) for label, text in templates]
-    words = sorted({word for _, own in sets for word in own})
+def _held_by_a_window(words: Column, own: Column, span: Column, stride: int) -> Column:
+    """The most distinct words of ``own`` that one of the windows beginning in the first half of a block holds."""
+    starts = F.filter(F.sequence(F.lit(1), F.least(F.size(words), F.lit(stride))), lambda i: F.array_contains(own, words[i - 1]))
+    return F.coalesce(F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(own, F.slice(words, i, span))))), F.lit(0))
+
+
+def global_order(lines: DataFrame, templates: tuple[tuple[str, str], ...]) -> list[str]:
+    """All template words by the number of ``lines`` that hold them, rarest first."""
+    words = sorted({word for _, text in templates for word in template_words(text)})
     held = lines.select(F.explode("held").alias("word"))
     frequency = {row["word"]: row["count"] for row in held.groupBy("word").count().collect()}  # one row per template word
-    order = sorted(words, key=lambda word: (frequency.get(word, 0), word))
-    rank = {word: at for at, word in enumerate(order)}
+    return sorted(words, key=lambda word: (frequency.get(word, 0), word))
+
 
+def similar_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...], containment: float, order: list[str]) -> DataFrame:
+    """``label`` and ``contained`` for every row of ``lines`` whose ``held`` words are at least the share ``containment``
+    of a template's distinct words, with the words ``own`` and the ``span`` of that template; other columns stay. ``order`` is that
+    of ``global_order``; any one gives the same rows. A line may be returned once for each word of its prefix.
+    """
+    rank = {word: at for at, word in enumerate(order)}
     index = []
-    for label, own in sets:
-        own = sorted(own, key=rank.__getitem__)
-        least = math.ceil(round(containment * len(own), 9))
-        index += [(word, label, own, at, least) for at, word in enumerate(own[: len(own) - least + 1])]
+    for label, text in templates:
+        own = sorted(template_words(text), key=rank.__getitem__)
+        least, span = math.ceil(round(containment * len(own), 9)), 2 * _n_template_words(text)
+        index += [(word, label, own, at, least, span) for at, word in enumerate(own[: len(own) - least + 1])]
     needed = min(row[4] for row in index)
     entries = [
         F.struct(
@@ -165,8 +170,9 @@ def similar_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...], cont
             F.array(*[F.lit(x) for x in own]).alias("own"),
             F.lit(i).alias("i"),
             F.lit(least).alias("least"),
+            F.lit(span).alias("span"),
         )
-        for word, label, own, i, least in index
+        for word, label, own, i, least, span in index
     ]
     prefixes = lines.sparkSession.range(1).select(F.inline(F.array(*entries)))
 
@@ -181,7 +187,19 @@ def similar_lines(lines: DataFrame, templates: tuple[tuple[str, str], ...], cont
         & (F.least(F.size("own") - F.col("i"), F.col("n") - F.col("j")) >= F.col("least"))
     )
     shared = met.withColumn("shared", F.size(F.array_intersect("held", "own"))).where("shared >= least")
-    return shared.withColumn("contained", F.col("shared") / F.size("own")).select(*lines.columns, "label", "contained")
+    return shared.withColumn("contained", F.col("shared") / F.size("own")).select(*lines.columns, "label", "contained", "own", "least", "span")
+
+
+def similar_windows(blocks: DataFrame, templates: tuple[tuple[str, str], ...], containment: float, order: list[str]) -> DataFrame:
+    """``label`` and ``contained`` for every window of a template's ``span`` words that holds the needed share of it.
+
+    ``blocks`` go through the same filters as lines do, since a block holds what a window in it holds; what passes is verified window
+    by window in the same stage.
+    """
+    met = similar_lines(blocks, templates, containment, order)
+    shared = met.withColumn("shared", _held_by_a_window(F.col("words"), F.col("own"), F.col("span"), longest_span(templates)))
+    shared = shared.where("shared >= least").withColumn("contained", F.col("shared") / F.size("own"))
+    return shared.select(*[c for c in blocks.columns if c not in ("words", "held")], "label", "contained")
 
 
 def scan_licenses(
@@ -198,7 +216,8 @@ def scan_licenses(
     ``n_words``, ``n_base`` (places where the words of a phrase stand one after the other, all counted), ``first_word`` and
     ``last_word`` (smallest and largest start, else NULL), ``base_labels``, ``labels`` (with those of similar lines), both
     sorted and joined by commas and empty if there are none, ``score``: 1 with a phrase, else the largest containment at or
-    over the threshold, else 0. With ``wrapped`` labels and score also count notices that go over line ends. NULL counts as an empty text. Only A-Z are folded. Rows that repeat id and text get equal
+    over the threshold, else 0. With ``wrapped`` labels and score also count notices that go over line ends: any words that follow
+    each other, twice as many as the template has, are a block like a line. NULL counts as an empty text. Only A-Z are folded. Rows that repeat id and text get equal
     results, a NULL id is a value like others, other columns are ignored, an empty table gives no rows.
     """
     words = sorted({word for _, text in templates for word in template_words(text)})
@@ -212,18 +231,22 @@ def scan_licenses(
     spaced = folded.select("id", "key", "folded", _spaced(F.col("folded")).alias("spaced"))
     places = phrase_places(F.col("spaced"), phrases)
     scan = spaced.select("id", "key", "spaced", *places, _held_words(F.col("folded"), words).alias("lines"))
-    over = _wrapped_hits(F.col("spaced"), F.col("lines"), templates, containment) if wrapped else F.lit(None).cast("array<struct<label:string,contained:double>>")
-    base = materialize(scan.withColumn("over", over).drop("spaced"), "scan")
+    if wrapped:
+        scan = scan.withColumn("blocks", _word_blocks(F.col("spaced"), F.col("lines"), templates, containment, words))
+    base = materialize(scan.drop("spaced"), "scan")
 
     lines = base.select("id", "key", F.explode("lines").alias("held"))
-    found = similar_lines(lines, templates, containment)
+    order = global_order(lines, templates)
+    found = similar_lines(lines, templates, containment, order).select("id", "key", "label", "contained")
+    if wrapped:
+        blocks = base.select("id", "key", F.explode("blocks").alias("b")).select("id", "key", "b.*")
+        found = found.unionByName(similar_windows(blocks, templates, containment, order))
     hits = found.groupBy("id", "key").agg(F.max("contained").alias("contained"), F.collect_set("label").alias("more"))
     hits = materialize(hits, "license-lines").select(F.col("id").alias("id_"), F.col("key").alias("key_"), "contained", "more")
     same = F.col("id").eqNullSafe(F.col("id_")) & (F.col("key") == F.col("key_"))
-    both = base.drop("lines").join(hits, same, "left")
+    both = base.drop("lines", "blocks").join(hits, same, "left")
     names = lambda labels: F.array_join(F.array_sort(F.array_distinct(F.array_compact(labels))), ",")
-    more = F.concat(*[F.coalesce(x, F.array().cast("array<string>")) for x in (F.col("more"), F.col("over.label"))])
-    contained = F.greatest("contained", F.array_max(F.col("over.contained")))
+    more = F.coalesce("more", F.array().cast("array<string>"))
     return both.select(
         F.col("id").alias(id_col),
         "n_words",
@@ -232,5 +255,5 @@ def scan_licenses(
         "last_word",
         names(F.col("base")).alias("base_labels"),
         names(F.concat("base", more)).alias("labels"),
-        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce(contained, F.lit(0.0))).alias("score"),
+        F.when(F.col("n_base") > 0, 1.0).otherwise(F.coalesce("contained", F.lit(0.0))).alias("score"),
     )

@@ -173,11 +173,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 def _license_sql() -> str:
     values = ", ".join(
-        f"({n}, '{label}', {license_scan.template_words(text)!r})" for n, (label, text) in enumerate(license_scan.TEMPLATES)
+        f"({n}, '{label}', {license_scan.template_words(text)!r}, {license_scan.longest_span(((label, text),))})"
+        for n, (label, text) in enumerate(license_scan.TEMPLATES)
     )
     phrases = ", ".join(f"('{phrase}', '{label}')" for phrase, label in license_scan.PHRASES.items())
     return rf"""
-WITH templates(template, label, own) AS (VALUES {values}), phrases(phrase, label) AS (VALUES {phrases}),
+WITH templates(template, label, own, span) AS (VALUES {values}), phrases(phrase, label) AS (VALUES {phrases}),
 folded AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text
            FROM documents),
 worded AS (SELECT doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM folded),
@@ -191,7 +192,12 @@ lines AS (SELECT doc_id, list_distinct(regexp_extract_all(line, '[^\x00-\x2F\x3A
           FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM folded)),
 alike AS (SELECT doc_id, label, len(list_intersect(words, own)) / len(own)::DOUBLE AS contained
             FROM lines, templates WHERE len(list_intersect(words, own)) >= ceil(round({license_scan.CONTAINMENT} * len(own), 9))),
-hits AS (SELECT doc_id, max(contained) AS contained, list(DISTINCT label) AS labels FROM alike GROUP BY doc_id)
+windows AS (SELECT doc_id, label, list_max(list_transform(list_filter(range(1, len(words) + 1), lambda i: list_contains(own, words[i])),
+                lambda i: len(list_intersect(own, words[i : i + span - 1])))) / len(own)::DOUBLE AS contained, len(own) AS n
+            FROM worded, templates WHERE len(list_intersect(words, own)) >= ceil(round({license_scan.CONTAINMENT} * len(own), 9))),
+hits AS (SELECT doc_id, max(contained) AS contained, list(DISTINCT label) AS labels
+         FROM (SELECT doc_id, label, contained FROM alike
+               UNION ALL SELECT doc_id, label, contained FROM windows WHERE contained * n + 0.5 >= ceil(round({license_scan.CONTAINMENT} * n, 9))) GROUP BY doc_id)
 SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
        array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(hits.labels, [])))), ',') AS labels,

@@ -1,6 +1,9 @@
+import random
 import textwrap
 
-from cases import by_id, frame
+import pytest
+from cases import TEXTS, by_id, frame
+from test_license_scan import NOTICES, WORD, fold, plain
 
 from mailquill.llm import license_scan as scan
 
@@ -23,3 +26,65 @@ def test_scattered_words_are_no_notice(spark):
     far = "\n".join(f"{word} " + "filler " * 9 for word in words)
     found = scan.scan_licenses(frame(spark, [(1, far), (2, None), (3, "")]), wrapped=True).collect()
     assert {(row["labels"], row["score"]) for row in found} == {("", 0.0)}
+
+
+def plain_windows(text, templates, share):
+    """(contained, label) of every window, one by one."""
+    words, held = WORD.findall(fold(text)), []
+    for label, template in templates:
+        every = WORD.findall(template.lower())
+        own = set(every)
+        for i in range(len(words)):
+            shared = len(own.intersection(words[i : i + 2 * len(every)]))
+            if shared >= -(-round(share * len(own), 9) // 1):
+                held.append((shared / len(own), label))
+    return held
+
+
+@pytest.mark.parametrize("share", [0.5, 0.75, 0.9])
+def test_like_every_window_of_random_texts(spark, share):
+    draw = random.Random(int(share * 100))
+    templates = scan.TEMPLATES if share == 0.9 else (("a", "one two three four five six"), ("b", "three four three"), ("c", "six seven eight nine ten one two"))
+    pieces = [word for _, text in templates for word in text.split()]
+    texts = TEXTS + NOTICES
+    for n in range(200, 320):
+        words = []
+        for _ in range(draw.randint(0, 12)):
+            label, text = draw.choice(templates)
+            own = [word for word in text.split() if draw.random() < 0.97]
+            words += own if draw.random() < 0.5 else draw.choices(pieces, k=draw.randint(0, 40))
+            words += ["filler"] * draw.choice([0, 3, 60])
+        texts.append((n, "".join(word + draw.choice([" ", " ", " ", "\n"]) for word in words)))
+    found = by_id(scan.scan_licenses(frame(spark, texts), templates=templates, containment=share, wrapped=True))
+    want = {}
+    for doc_id, text in texts:
+        row = plain(text, templates, share)
+        held = plain_windows(text, templates, share)
+        labels = ",".join(sorted({*filter(None, row[5].split(",")), *(label for _, label in held)}))
+        score = row[6] if row[1] else max([row[6], *(x for x, _ in held)])
+        want.setdefault(doc_id, []).append((*row[:5], labels, score))
+    order = lambda rows: sorted(rows, key=repr)
+    assert {k: order([tuple(row)[1:] for row in rows]) for k, rows in found.items()} == {k: order(v) for k, v in want.items()}
+
+
+def test_windows_stay_in_the_jvm(spark):
+    plan = scan.scan_licenses(frame(spark), wrapped=True)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_wrapped_notices_like_the_sql(spark, tmp_path):
+    from mailquill.llm.queries import ORACLES, QUERIES
+    from verification.compare import oracle_connection, rows_of
+
+    texts = [(10 * n + k, "Before it.\n" + "\n".join(textwrap.wrap(text, width))) for n, (_, text) in enumerate(scan.TEMPLATES) for k, width in enumerate((500, 60, 25))]
+    single = {n + 1000: text for n, text in NOTICES if n is not None}  # the SQL goes by id
+    frame(spark, texts + list(single.items())).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("benchmark", "conversations", "customer", "embeddings", "events", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    (tmp_path / "documents.parquet").rename(tmp_path / "all")
+    spark.read.parquet(f"{tmp_path}/all").toPandas().to_parquet(tmp_path / "documents.parquet")
+    found = QUERIES["op2_license_scan"](spark, str(tmp_path))
+    cursor = oracle_connection(str(tmp_path)).execute(ORACLES["op2_license_scan"])
+    columns = [column[0] for column in cursor.description]
+    rows = rows_of([tuple(row) for row in found.collect()], found.columns)
+    assert rows == rows_of(cursor.fetchall(), columns) and len(rows) > 40
