@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mailquill.llm.common import RecentTable, bounded_sample, slices
+from mailquill.session import materialize
 
 # Function words of English, German, French and Spanish, and English words of threats and insults.
 TARGETS = """you your yours yourself u ur he she him her they them their these those people
@@ -235,7 +236,8 @@ def learn_lexicon(sample: DataFrame, rows: dict[int, int], training: Training) -
     share = (a + b) / (of_a + of_b)
     # Likelihood ratio of the two shares against a common one; a candidate must stand out among all candidates.
     ratio = 2 * (a * F.log(a / (of_a * share)) + F.when(b > 0, b * F.log(b / (of_b * share))).otherwise(0.0))
-    often = often.select("start", "toxic", odds.alias("odds"), ratio.alias("ratio"))
+    # Written once: its number and its best rows are both asked for.
+    often = materialize(often.select("start", "toxic", odds.alias("odds"), ratio.alias("ratio")), "word-beginnings")
     candidates = often.count()
     telling = often.where((F.col("odds") >= training.least_odds) & (F.col("ratio") >= 2 * math.log(max(candidates, 2))))
     best = telling.orderBy(F.desc("ratio"), "start").limit(training.most_words).collect()
@@ -267,12 +269,14 @@ def fit(docs: DataFrame, labels: DataFrame, training: Training = Training()) ->
     Of labels that repeat an id the largest counts. With no labelled text of one kind, only the listed words count and
     every text scores by a fixed bias.
     """
-    marks = labels.where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
-    marks = bounded_sample(marks, "toxic", F.col("id"), training.rows_per_label)
+    known = labels.where("id IS NOT NULL AND toxic IN (0, 1)").groupBy("id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # The balance is that of the rows that exist, each as often as its text does.
+    known = materialize(docs.select("id").join(known, "id"), "labelled-rows")
+    marks = bounded_sample(known.distinct(), "toxic", F.col("id"), training.rows_per_label)
     # At most twice rows_per_label ids and flags: the bound that makes this broadcast safe.
     sample = docs.select("id", "text").join(F.broadcast(marks), "id").select("text", "toxic")
     rows = {row["toxic"]: row["count"] for row in sample.groupBy("toxic").count().collect()}
-    shares = {row["toxic"]: row["count"] for row in labels.where("toxic IN (0, 1)").groupBy("toxic").count().collect()}
+    shares = {row["toxic"]: row["count"] for row in known.groupBy("toxic").count().collect()}
     n = len(FEATURES)
     if not rows.get(0) or not rows.get(1):
         start = np.zeros(n)
