@@ -202,15 +202,24 @@ def sibling_div(markup: Column, token: str) -> Column:
     return F.when(F.contains(markup, F.lit(token)), bind(pieces, found)).otherwise(F.lit(""))
 
 
+def article_block(shown: Column) -> Column:
+    """Markup of the first article; empty if there is none."""
+    return F.regexp_extract(shown, rf"(?s)<(?i:article)(?=[\s>]){ATTRIBUTES}(?:>(.*?)(?:</(?i:article)\s*+>|\z)|\z)", 1)
+
+
+def whole_text(shown: Column) -> Column:
+    """Text of the body, or of all there is; NULL if there is none."""
+    body = F.regexp_extract(shown, rf"(?s)<(?i:body)(?=[\s>]){ATTRIBUTES}(?:>(.*+)|\z)", 1)
+    return F.nullif(visible_text(bind(body, lambda inner: F.when(inner != "", inner).otherwise(shown)), " "), F.lit(""))
+
+
 def page_text(page_html: Column) -> Column:
-    """Readable text of a web page: the main article block, else the whole body; NULL when neither has text."""
+    """Readable text of a web page: the main article block, else the whole body; NULL when neither has text.
 
-    def whole(shown: Column) -> Column:
-        body = F.regexp_extract(shown, rf"(?s)<(?i:body)(?=[\s>]){ATTRIBUTES}(?:>(.*+)|\z)", 1)
-        return F.nullif(visible_text(bind(body, lambda inner: F.when(inner != "", inner).otherwise(shown)), " "), F.lit(""))
+    ``maintext.readable_text`` looks for the main block of pages without an article, too.
+    """
 
     def readable(shown: Column) -> Column:
-        article = F.regexp_extract(shown, rf"(?s)<(?i:article)(?=[\s>]){ATTRIBUTES}(?:>(.*?)(?:</(?i:article)\s*+>|\z)|\z)", 1)
-        return bind(visible_text(article, " "), lambda main: F.when(main != "", main).otherwise(whole(shown)))
+        return bind(visible_text(article_block(shown), " "), lambda main: F.when(main != "", main).otherwise(whole_text(shown)))
 
     return bind(hide_invisible(page_html), readable)

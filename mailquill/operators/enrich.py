@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mailquill.functions.markup import page_text
+from mailquill.functions.maintext import readable_text
 from mailquill.functions.scoring import HIGH, MEDIUM
 from mailquill.functions.text import PAGE_TEXT_LIMIT, snippet
 from mailquill.operators.dedup import dedup_first
@@ -32,14 +32,14 @@ def page_texts(
     Which copy it is, is settled on the two narrow columns, combined before the shuffle, so a URL that was crawled very
     often weighs nothing. Links and copies are written, so that Spark knows their true size: a few of them are broadcast
     and no page moves, very many are joined by URL and ``page_id`` together, which spreads the copies. Text is extracted
-    from those pages only, and after that just short rows move.
+    from those pages only, and after that just short rows move. Pages without an article block go to Python for their main one.
     """
     wanted = materialize(links.select(F.col("link").alias("url")).where("url IS NOT NULL").distinct(), "links")
     # Inner, not semi: a semi join would be pushed below the aggregate, and the copies would be shuffled one by one.
     newest = materialize(pages.groupBy("url").agg(F.max("page_id").alias("page_id")).join(wanted, "url"), "copies")
     linked = pages.join(newest, ["url", "page_id"], "left_semi")
     failed = F.col("error") if "error" in pages.columns else F.lit(None).cast("string")
-    found = linked.select("url", failed.alias("failed"), page_text(F.col("html")).alias("whole")).select(
+    found = linked.select("url", failed.alias("failed"), readable_text(F.col("html")).alias("whole")).select(
         "url",
         F.coalesce(
             F.concat(F.lit(FAILED), F.substring("failed", 1, failure_length)), snippet(F.col("whole"), text_length), F.lit(NO_TEXT)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mailquill.functions import scoring, text
+from mailquill.functions.maintext import readable_text
 from mailquill.functions.markup import page_text
 from mailquill.operators import dedup, enrich, report, score
 from mailquill.operators.align import schema_align
@@ -236,6 +237,12 @@ def page_text_query(spark, sf_dir):
     return v.table(spark, sf_dir, "pages").select("page_id", page_text(F.col("html")).alias("text"))
 
 
+def page_main_text(spark, sf_dir):
+    """The same pages with the name of their article taken away, so that only density tells it from what is around it."""
+    unnamed = F.regexp_replace("html", "<(/?)article>", "<$1div>")
+    return v.table(spark, sf_dir, "pages").select("page_id", readable_text(unnamed).alias("text"))
+
+
 def snippet_1000(spark, sf_dir):
     return v.table(spark, sf_dir, "documents").select("doc_id", text.snippet(F.col("text")).alias("snippet"))
 
@@ -459,6 +466,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "prompt_render": prompt_render,
     "response_parse": response_parse,
     "page_text": page_text_query,
+    "page_main_text": page_main_text,
     "snippet_1000": snippet_1000,
     "date_readable": date_readable,
     "report_snippet_250": report_snippet_250,
