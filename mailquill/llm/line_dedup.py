@@ -81,11 +81,16 @@ def _marks(text: Column) -> Column:
     def of_keys(keys: Column) -> Column:
         def of_ends(ends: Column) -> Column:
             def chunk(end: Column, at: Column) -> Column:
-                own = F.slice(keys, _first(ends, at), end - _first(ends, at) + 1)
-                whole = F.array_join(own, "\n")
-                # One word for each unit besides the spaces.
-                words = F.length(whole) - F.length(F.replace(whole, F.lit(" "), F.lit(""))) + F.size(own)
-                return F.struct(F.xxhash64(whole).alias("hash"), words.alias("words"))
+                def of_size(n: Column) -> Column:
+                    def of_whole(whole: Column) -> Column:
+                        # One word for each unit besides the spaces.
+                        words = F.length(whole) - F.length(F.replace(whole, F.lit(" "), F.lit(""))) + n
+                        return F.struct(F.xxhash64(whole).alias("hash"), words.alias("words"))
+
+                    own = F.when(n == 1, F.get(keys, end - 1)).otherwise(F.array_join(F.slice(keys, end - n + 1, n), "\n"))
+                    return _bound(own, of_whole)
+
+                return _bound(end - _first(ends, at) + 1, of_size)
 
             def with_neighbours(chunks: Column) -> Column:
                 words = lambda at: F.coalesce(F.get(chunks, at)["words"], F.lit(0))

@@ -109,17 +109,24 @@ def score_pending(spark: SparkSession, root: str, settings: DigestSettings, agai
     return n
 
 
-def compact(spark: SparkSession, root: str) -> int:
+def compact(spark: SparkSession, root: str, buckets: int | None = None) -> int:
     """Fold scores and page texts into the articles, as a run that takes the place of all before it; returns its number.
 
+    With ``buckets`` the articles are clustered by hash into so many sorted files: later scores, texts and probes join them where
+    they lie, and only what is new moves. A bucket should fit a task, some 100 to 200 MB of files, and there should be
+    ``spark.sql.shuffle.partitions`` of them at least: Spark prefers moving all rows to joining in fewer tasks than that.
     What was read and the start bound stay as they are. A run that goes on meanwhile is not lost: it is none of those replaced.
     The replaced folders stay until ``runs.remove_unused``.
     """
     with intermediate_data(spark):
         number = runs.reserve(spark, root)
         seen = runs.snapshot(spark, root)
-        article_store.write_run(article_store.current_articles(spark, root, seen), f"{root}/articles", number)
-        runs.commit(spark, root, number, runs.COMPACT, seen, replaces=seen.numbers)
+        current = article_store.current_articles(spark, root, seen)
+        if buckets:
+            article_store.write_clustered(current, root, number, buckets)
+        else:
+            article_store.write_run(current, f"{root}/articles", number)
+        runs.commit(spark, root, number, runs.COMPACT, seen, replaces=seen.numbers, buckets=buckets)
     return number
 
 

@@ -45,6 +45,7 @@ LOG_SCHEMA = T.StructType(
         T.StructField("stream", T.StringType()),
         T.StructField("batch_id", T.LongType()),
         T.StructField("replaces", T.ArrayType(T.LongType())),
+        T.StructField("buckets", T.IntegerType()),
     ]
 )
 

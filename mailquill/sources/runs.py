@@ -46,12 +46,14 @@ class Snapshot:
     """The runs whose folders count. ``numbers`` is None where no run was ever begun: then all that is there counts.
 
     ``committed`` holds number and kind of every run, ``replaced`` the numbers that a compaction took in; 0 stands for what was
-    written outside of runs. That is one number for each run, not for each row.
+    written outside of runs. That is one number for each run, not for each row. ``base`` is the run and the number of buckets of the
+    articles that the last compaction has clustered by hash.
     """
 
     committed: tuple[tuple[int, str], ...]
     replaced: frozenset[int]
     begun: bool
+    base: tuple[int, int] | None = None
 
     @property
     def numbers(self) -> list[int] | None:
@@ -66,9 +68,11 @@ class Snapshot:
 
 def snapshot(spark: SparkSession, root: str) -> Snapshot:
     place, files = _file_system(spark, f"{root}/state")
-    rows = read_log(spark, root).select("run_no", "kind", "replaces").collect()  # one for each run
+    rows = read_log(spark, root).select("run_no", "kind", "replaces", "buckets").collect()  # one for each run
     replaced = frozenset(n for row in rows for n in row["replaces"] or ())
-    return Snapshot(tuple((row["run_no"], row["kind"] or FETCH) for row in rows), replaced, bool(rows) or files.exists(place))
+    bases = [(row["run_no"], row["buckets"]) for row in rows if row["buckets"] and row["run_no"] not in replaced]
+    committed = tuple((row["run_no"], row["kind"] or FETCH) for row in rows)
+    return Snapshot(committed, replaced, bool(rows) or files.exists(place), max(bases, default=None))
 
 
 def reserve(spark: SparkSession, root: str) -> int:
@@ -87,7 +91,7 @@ def reserve(spark: SparkSession, root: str) -> int:
 
 def commit(
     spark: SparkSession, root: str, number: int, kind: str, seen: Snapshot, state: dict | None = None,
-    stream: str | None = None, batch_id: int | None = None, replaces: list[int] | None = None,
+    stream: str | None = None, batch_id: int | None = None, replaces: list[int] | None = None, buckets: int | None = None,
 ) -> None:
     """Append the run's row. Before that, nobody sees the run; after it, everybody does.
 
@@ -98,7 +102,7 @@ def commit(
     new = {kind for number, kind in now.committed if (number, kind) not in set(seen.committed)}
     if kind in STORING and new & set(STORING) or kind == COMPACT and COMPACT in new:
         raise RunConflict(f"run {number} ({kind}) did not see a run that was committed meanwhile")
-    row = {"run_no": number, "kind": kind, "stream": stream, "batch_id": batch_id, "replaces": replaces, **(state or {})}
+    row = {"run_no": number, "kind": kind, "stream": stream, "batch_id": batch_id, "replaces": replaces, "buckets": buckets, **(state or {})}
     run_state.write_state(spark.createDataFrame([tuple(row.get(name) for name in LOG_SCHEMA.names)], LOG_SCHEMA), f"{root}/state")
 
 

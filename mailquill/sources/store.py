@@ -7,6 +7,8 @@ not a rewrite of the store. ``compact`` folds them in when that pays. Below a ro
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -84,9 +86,44 @@ def append(store: DataFrame, new: DataFrame) -> DataFrame:
 
 def stored_in(spark: SparkSession, root: str, seen: Snapshot) -> DataFrame:
     """Articles of the runs of a snapshot, as they were stored."""
+    base, later = _stored_parts(spark, root, seen)
+    return later if base is None else base.unionByName(later)
+
+
+def _stored_parts(spark: SparkSession, root: str, seen: Snapshot) -> tuple[DataFrame | None, DataFrame]:
+    """Articles that a compaction has clustered by hash, if there was one, and those of all other runs."""
     schema = T.StructType([*ARTICLE_SCHEMA, RUN])
     stored = _empty_if_absent(spark, schema, lambda: spark.read.schema(schema).parquet(f"{root}/articles"))
-    return stored.where(seen.holds(F.col("run_no"))).select(*ARTICLE_SCHEMA.names)
+    later = stored.where(seen.holds(F.col("run_no")))
+    if seen.base is None:
+        return None, later.select(*ARTICLE_SCHEMA.names)
+    number, buckets = seen.base
+    later = later.where(F.coalesce("run_no", F.lit(0)) != number).select(*ARTICLE_SCHEMA.names)
+    return _clustered(spark, f"{root}/articles/run_no={number}", buckets), later
+
+
+def _table_name(path: str) -> str:
+    return f"mailquill_clustered_{hashlib.md5(path.encode()).hexdigest()}"
+
+
+def _clustered(spark: SparkSession, path: str, buckets: int) -> DataFrame:
+    """A folder of clustered articles as Spark's bucketed table; the session's catalog only holds where and how it lies."""
+    columns = ", ".join(f"{field.name} {field.dataType.simpleString()}" for field in ARTICLE_SCHEMA)
+    name, place = _table_name(path), path.replace("'", "\\'")
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet CLUSTERED BY (hash) SORTED BY (hash) INTO {buckets} BUCKETS "
+        f"LOCATION '{place}'"
+    )
+    return spark.table(name)
+
+
+def write_clustered(articles: DataFrame, root: str, number: int, buckets: int) -> None:
+    """Write a run's articles clustered by hash, one sorted file for each bucket; updates then join them where they lie."""
+    path = f"{root}/articles/run_no={number}"
+    spark, name = articles.sparkSession, _table_name(path)
+    rows = articles.select(*ARTICLE_SCHEMA.names).repartition(buckets, "hash")
+    rows.write.mode("overwrite").bucketBy(buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
+    spark.sql(f"DROP TABLE {name}")  # the files stay; readers name them again, with the number of buckets in the log
 
 
 def append_articles(new: DataFrame, path: str, run_no: int = 0) -> None:
@@ -152,7 +189,11 @@ def _merged(articles: DataFrame, scores: DataFrame, texts: DataFrame) -> DataFra
 def current_articles(spark: SparkSession, root: str, seen: Snapshot | None = None) -> DataFrame:
     """The store as of now, or as a snapshot saw it: articles with their newest scores and page texts."""
     seen = seen or snapshot(spark, root)
-    return _merged(stored_in(spark, root, seen), _scores(spark, root, seen), _texts(spark, root, seen))
+    base, later = _stored_parts(spark, root, seen)
+    scores, texts = _scores(spark, root, seen), _texts(spark, root, seen)
+    merged = _merged(later, scores, texts)
+    # Updates move to the clustered articles; these stay where they are.
+    return merged if base is None else _merged(base, scores, texts).unionByName(merged)
 
 
 def current_with_scores(spark: SparkSession, root: str, wanted, seen: Snapshot | None = None) -> DataFrame:

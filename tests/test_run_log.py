@@ -296,3 +296,36 @@ def test_mails_are_scanned_once_for_all_counts(spark, monkeypatch):
     monkeypatch.setattr(jobs.mail_source, "read_mail", counted)
     assert jobs.fetch(spark, root.path, SETTINGS, root.pages).counts["mails"] == 1
     assert accumulated.value == 1
+
+
+def test_clustered_articles_do_not_move(spark):
+    root = Root(spark)
+    root.fetch()
+    before = root.state()
+    jobs.compact(spark, root.path, buckets=8)
+    assert root.state() == before
+    runs.remove_unused(spark, root.path)
+    assert root.state() == before
+    root.stream()
+    jobs.score_pending(spark, root.path, SETTINGS)
+    rows = current_articles(spark, root.path)
+    titles = [row.title for row in rows.collect()]
+    assert len(titles) == len(set(titles)) == 6
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = current_articles(spark, root.path)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    lines = plan.splitlines()
+    [scan] = [k for k, line in enumerate(lines) if "Bucketed: true" in line]
+    depth = lines[scan].index("FileScan")
+    above = []
+    for line in reversed(lines[:scan]):  # the path from the scan to the root of the plan
+        at = len(line) - len(line.lstrip(" :+-*()0123456789"))
+        if at < depth:
+            above.append(line)
+            depth = at
+    assert any("SortMergeJoin" in line for line in above) and not any("Exchange" in line for line in above)
+    jobs.compact(spark, root.path, buckets=2)
+    assert sorted(row.title for row in current_articles(spark, root.path).collect()) == sorted(titles)

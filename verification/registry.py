@@ -419,6 +419,17 @@ def store_compact(spark, sf_dir):
     return article_store.current_articles(spark, root).select("hash", "score", "reason")
 
 
+def store_clustered(spark, sf_dir):
+    """Scores and texts over articles that lie clustered by hash, and more articles stored after that."""
+    root = shared_folder(spark, "root")
+    article_store.append_articles(v.half_scored_store(spark, sf_dir), f"{root}/articles")
+    jobs.compact(spark, root, buckets=8)
+    jobs.score_pending(spark, root, SETTINGS)
+    mail_source.write_mail(v.mail(spark, sf_dir), f"{root}/mail", 1)
+    jobs.fetch(spark, root, SETTINGS)
+    return article_store.current_articles(spark, root).select("hash", "score", "reason")
+
+
 def score_pending(spark, sf_dir):
     root = shared_folder(spark, "root")
     article_store.append_articles(v.half_scored_store(spark, sf_dir), f"{root}/articles")
@@ -482,6 +493,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "shared_root": shared_root,
     "late_deliveries": late_deliveries,
     "store_compact": store_compact,
+    "store_clustered": store_clustered,
     "score_pending": score_pending,
     "report_from_store": report_from_store,
 }
