@@ -20,6 +20,8 @@ from mailquill.session import materialize
 #: A boundary depends on WINDOW units, so a passage of few units has the more chunks of its own the smaller that is.
 WINDOW, BASE, MODULUS, PART = 1, 31, 1_000_003, (2, 3)
 LEAST_WORDS = 40
+#: A stretch is looked at from a fourth of the least words on.
+LEAST_PART = 4
 SPACE = " \t\n\x0b\f\r"
 MARKS = ".!?…"
 #: Up to a line's end, or a mark and a space, and all white space behind it. Blank texts have no unit.
@@ -76,7 +78,7 @@ def _first(ends: Column, at: Column) -> Column:
 
 
 def _marks(text: Column) -> Column:
-    """Array of struct(``no`` from 1, ``hash``, ``words``, and those of the chunk ``before`` and ``after``)."""
+    """Array of struct(``no`` from 1, ``hash``, ``words``)."""
 
     def of_keys(keys: Column) -> Column:
         def of_ends(ends: Column) -> Column:
@@ -85,20 +87,14 @@ def _marks(text: Column) -> Column:
                     def of_whole(whole: Column) -> Column:
                         # One word for each unit besides the spaces.
                         words = F.length(whole) - F.length(F.replace(whole, F.lit(" "), F.lit(""))) + n
-                        return F.struct(F.xxhash64(whole).alias("hash"), words.alias("words"))
+                        return F.struct((at + 1).alias("no"), F.xxhash64(whole).alias("hash"), words.alias("words"))
 
                     own = F.when(n == 1, F.get(keys, end - 1)).otherwise(F.array_join(F.slice(keys, end - n + 1, n), "\n"))
                     return _bound(own, of_whole)
 
                 return _bound(end - _first(ends, at) + 1, of_size)
 
-            def with_neighbours(chunks: Column) -> Column:
-                words = lambda at: F.coalesce(F.get(chunks, at)["words"], F.lit(0))
-                return F.transform(chunks, lambda own, at: F.struct(
-                    (at + 1).alias("no"), own["hash"].alias("hash"), own["words"].alias("words"),
-                    words(at - 1).alias("before"), words(at + 1).alias("after")))
-
-            return _bound(F.transform(ends, chunk), with_neighbours)
+            return F.transform(ends, chunk)
 
         return _bound(_ends(keys), of_ends)
 
@@ -113,16 +109,18 @@ def _chunks(text: Column, numbers: Column) -> Column:
 
     def of_keys(keys: Column) -> Column:
         def of_ends(ends: Column) -> Column:
-            def units(at: Column) -> Column:
-                return F.slice(keys, _first(ends, at), F.get(ends, at) - _first(ends, at) + 1)
+            def units(of: Column, at: Column) -> Column:
+                return F.slice(of, _first(ends, at), F.get(ends, at) - _first(ends, at) + 1)
+
+            def of_hashes(hashes: Column) -> Column:
+                def beside(at: Column) -> Column:
+                    return F.when((at >= 0) & (at < F.size(ends)), units(hashes, at)).otherwise(F.array().cast("array<bigint>"))
 
-            def hashes(at: Column) -> Column:
-                there = (at >= 0) & (at < F.size(ends))
-                return F.when(there, F.transform(units(at), lambda key: F.xxhash64(key))).otherwise(F.array().cast("array<bigint>"))
+                return F.transform(numbers, lambda no: F.struct(
+                    no.alias("no"), _first(ends, no - 1).alias("first"), F.get(ends, no - 1).alias("last"),
+                    F.array_join(units(keys, no - 1), "\n").alias("own"), beside(no - 2).alias("back"), beside(no).alias("ahead")))
 
-            return F.transform(numbers, lambda no: F.struct(
-                no.alias("no"), _first(ends, no - 1).alias("first"), F.get(ends, no - 1).alias("last"),
-                F.array_join(units(no - 1), "\n").alias("own"), hashes(no - 2).alias("back"), hashes(no).alias("ahead")))
+            return _bound(F.transform(keys, lambda key: F.xxhash64(key)), of_hashes)
 
         return _bound(_ends(keys), of_ends)
 
@@ -149,11 +147,11 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     marks = materialize(rows.select("place", F.explode(_marks(F.col("text"))).alias("c")).select("place", "c.*"), "chunk-marks")
     repeated = materialize(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     # The joins' smaller sides grow with the corpus and have no bound, so all of them are merge joins at every size.
-    again = marks.join(repeated.hint("merge"), "hash").select("place", "no", "words", "before", "after")
-    # Only stretches of repeated chunks that with their neighbours have words enough are looked at.
+    again = marks.join(repeated.hint("merge"), "hash").select("place", "no", "words")
+    # Only stretches of repeated chunks that hold some part of the words needed are looked at; their ends may bring the rest.
     row = Window.partitionBy("place").orderBy("no")
     stretch = again.withColumn("stretch", F.col("no") - F.row_number().over(row))
-    long_enough = F.sum("words") + F.min_by("before", "no") + F.max_by("after", "no") >= least
+    long_enough = F.sum("words") * LEAST_PART >= least
     wanted = stretch.groupBy("place", "stretch").agg(F.collect_list("no").alias("nos"), long_enough.alias("enough"))
     wanted = wanted.where("enough").groupBy("place").agg(F.sort_array(F.flatten(F.collect_list("nos"))).alias("nos"))
     wanted = materialize(wanted, "wanted-chunks")
@@ -236,7 +234,7 @@ def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     Of equal texts and of equal chunks the first stays: the one with the smallest id (NULL first), hash of id and text, and place in
     the text. Rows that repeat both id and text are one document, whose units stay or go in all of them alike. Units are compared without the white
-    space around them, words are told apart by spaces. Chunks in stretches too short to reach ``least`` words are no first ones either.
+    space around them, words are told apart by spaces. Repeated chunks that stand together count from a fourth of ``least`` words on.
     A text that loses all its units becomes empty; NULL and blank texts stay as they are.
     """
     joined, removed = _joined(docs, id_col, text_col, least)

@@ -220,11 +220,11 @@ cut AS (SELECT *, CASE WHEN no = 1 THEN 1 ELSE ends[no - 1] + 1 END AS first, en
 own AS (SELECT doc_id, place, no, first, last, keys[first : last] AS own,
           list_sum(list_transform(keys[first : last], lambda key: length(key) - length(replace(key, ' ', '')) + 1)) AS words FROM cut),
 chunks AS (SELECT *, count(*) OVER (PARTITION BY own) > 1 AS again, coalesce(lag(own) OVER row, []) AS back,
-             coalesce(lead(own) OVER row, []) AS ahead, coalesce(lag(words) OVER row, 0) AS before, coalesce(lead(words) OVER row, 0) AS after
+             coalesce(lead(own) OVER row, []) AS ahead
            FROM own WINDOW row AS (PARTITION BY place ORDER BY no)),
 stretched AS (SELECT *, no - row_number() OVER (PARTITION BY place ORDER BY no) AS stretch FROM chunks WHERE again),
 enough AS (SELECT place, stretch FROM stretched GROUP BY place, stretch
-           HAVING sum(words) + arg_min(before, no) + arg_max(after, no) >= {line_dedup.LEAST_WORDS}),
+           HAVING sum(words) * {line_dedup.LEAST_PART} >= {line_dedup.LEAST_WORDS}),
 wanted AS (SELECT * FROM stretched JOIN enough USING (place, stretch)),
 paired AS (SELECT place, no, first, last, back, ahead,
            first_value({{'place': place, 'no': no, 'back': back, 'ahead': ahead}}) OVER (PARTITION BY own ORDER BY doc_id NULLS FIRST, place, no) AS f

@@ -48,7 +48,7 @@ def plain(texts, least=40):
             e = c
             while e < len(cut) and count[tuple(part(e))] > 1:
                 e += 1
-            if e > c and sum(words(part(x)) for x in range(c - 1, e + 1)) >= least:
+            if e > c and 4 * sum(words(part(x)) for x in range(c, e)) >= least:
                 wanted[row] += range(c, e)
             c = max(e, c + 1)
         for c in wanted[row]:
