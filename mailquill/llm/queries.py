@@ -60,9 +60,9 @@ def toxicity_model(spark: SparkSession, sf_dir: str, docs: DataFrame) -> toxicit
 
 
 def op4_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    digest = sentence_pieces.encode_digest(F.col("text"), model)
-    return documents(spark, sf_dir).select("doc_id", digest.alias("digest")).select("doc_id", "digest.*")
+    model, docs = public_tokenizers.path("piece_bpe_32k.model"), documents(spark, sf_dir)
+    digest = sentence_pieces.encode_digest(F.col("text"), model, sentence_pieces.word_table(docs, model))
+    return docs.select("doc_id", digest.alias("digest")).select("doc_id", "digest.*")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
