@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from mailquill.llm.common import slices
 
 SYMBOLS = "#*$%&|<>"
-#: Phrases of pages rather than of prose; a short line holding one is boilerplate.
+#: Phrases of pages rather than of prose, in English, German, French and Spanish; a short line holding one is boilerplate.
 BOILERPLATE = (
     "accept all cookies",
     "all rights reserved",
@@ -27,6 +27,24 @@ BOILERPLATE = (
     "sign up",
     "subscribe to",
     "terms of use",
+    "alle rechte vorbehalten",
+    "cookies akzeptieren",
+    "datenschutzerklärung",
+    "hier klicken",
+    "nutzungsbedingungen",
+    "zurück nach oben",
+    "accepter les cookies",
+    "cliquez ici",
+    "conditions d'utilisation",
+    "politique de confidentialité",
+    "retour en haut",
+    "tous droits réservés",
+    "aceptar cookies",
+    "haga clic aquí",
+    "política de privacidad",
+    "términos de uso",
+    "todos los derechos reservados",
+    "volver arriba",
 )
 RESULT = (
     "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, "

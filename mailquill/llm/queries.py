@@ -276,7 +276,7 @@ counted AS (
 failed AS (
   SELECT doc_id, line, n,
          bars >= 0.12::DOUBLE * n OR marks >= 0.3::DOUBLE * n OR shouts >= 0.3::DOUBLE * n OR repeats >= 0.3::DOUBLE * n
-         OR n <= 20 AND regexp_matches(folded, 'accept all cookies|all rights reserved|back to top|click here|cookie policy|enable javascript|privacy policy|sign up|subscribe to|terms of use')
+         OR n <= 20 AND regexp_matches(folded, 'BOILERPLATE')
          OR n <= 3 AND NOT regexp_matches(own[-1], '[.!?:;,"'')…”»]$') AS fails
   FROM counted),
 by_line AS (SELECT doc_id, count(*) - count(DISTINCT line) AS n_dup_lines, sum(CASE WHEN fails THEN n ELSE 0 END) AS lost
@@ -291,7 +291,7 @@ verdict AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS bas
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND n_lost_words <= 0.5 * n_words AS kept, n_lost_words
 FROM verdict
-"""
+""".replace("BOILERPLATE", "|".join(quality.BOILERPLATE).replace("'", "''"))
 
 HARD_NEGATIVES_SQL = """
 WITH vectors AS (

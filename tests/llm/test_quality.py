@@ -58,3 +58,10 @@ def test_in_spark(spark):
     for row in found:
         assert tuple(row)[1:] == judge(row["text"])
     assert frame(spark, []).select(quality(F.col("text"))).collect() == []
+
+
+def test_boilerplate_of_four_languages():
+    prose = "Ein Satz aus Worten, der lang genug ist, um zu bleiben, und noch einige Worte mehr hat, damit er zwanzig hat, oder mehr.\n"
+    for phrase in ("Alle Rechte vorbehalten.", "Cliquez ici.", "Conditions d'utilisation.", "Política de privacidad.", "Privacy policy."):
+        found = judge(prose * 2 + phrase)
+        assert found[7] == len(phrase.split()) and found[8] == (prose * 2)[:-1]
