@@ -35,15 +35,24 @@ def only_new(batch: DataFrame, store: DataFrame, key: str = "hash") -> DataFrame
     return batch.join(store.select(key), key, "left_anti")
 
 
-def only_new_probe(batch: DataFrame, store: DataFrame, key: str = "hash") -> DataFrame:
+#: So many keys are worth asking for by value.
+FEW_KEYS = 1000
+
+
+def only_new_probe(batch: DataFrame, store: DataFrame, key: str = "hash", few: int = 0) -> DataFrame:
     """``only_new`` for a store far larger than the batch.
 
-    The store is first cut down to the keys that occur in the batch. Where the batch keys are small enough for Spark to
-    broadcast, the store is only scanned, never shuffled; the second join then handles at most batch-many keys. Hand in
-    a written batch: it is read twice, and only its size on disk lets Spark decide for a broadcast before it starts.
+    The store is first cut down to the keys that occur in the batch. Up to ``few`` of them are asked for by value: that reaches the
+    files, of which buckets, statistics and Bloom filters rule out most; what they let through is compared key by key. More are
+    joined: where Spark can broadcast them, the store is only scanned, never shuffled; the second join then handles at most batch-many
+    keys. Hand in a written batch: it is read several times, and only its size on disk lets Spark decide for a broadcast before it starts.
     """
-    wanted = batch.select(key).distinct()
-    seen = store.select(key).join(wanted, key, "left_semi")
+    wanted = batch.select(key).where(F.col(key).isNotNull()).distinct()
+    values = [row[key] for row in wanted.limit(few + 1).collect()] if few else None
+    if values is not None and len(values) <= few:
+        seen = store.select(key).where(F.col(key).isin(values))
+    else:
+        seen = store.select(key).join(wanted, key, "left_semi")
     return batch.join(seen, key, "left_anti")
 
 

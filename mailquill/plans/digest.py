@@ -11,7 +11,7 @@ from mailquill.functions.scoring import HIGH, MEDIUM, WordRules
 from mailquill.functions.text import PAGE_TEXT_LIMIT, REPORT_TEXT_LIMIT
 from mailquill.operators.align import stamp, with_hash
 from mailquill.operators.counters import run_counters
-from mailquill.operators.dedup import dedup_first, newest_mail_first, only_new_probe
+from mailquill.operators.dedup import FEW_KEYS, dedup_first, newest_mail_first, only_new_probe
 from mailquill.operators.enrich import FAILED_LIMIT, enrich_from_pages, enrichment_candidates
 from mailquill.operators.explode import explode_alerts
 from mailquill.operators.report import articles_for_report, number_report, report_document
@@ -84,14 +84,16 @@ def mail_facts(mails: DataFrame) -> list[Column]:
     ]
 
 
-def new_articles(parsed: DataFrame, store: DataFrame, added_at: str, probe_folder: str | None = None) -> DataFrame:
-    """Parsed articles to stored rows: hashed, first of each title, not stored before.
+def new_articles(
+    parsed: DataFrame, store: DataFrame, added_at: str, probe_folder: str | None = None, few: int = 0
+) -> DataFrame:
+    """Parsed articles to stored rows: hashed, first of each title, not stored before; up to ``few`` titles are looked up by value.
 
     The first rows are written, over ``probe_folder`` if there is one, and probe the store: by their true size Spark
     decides whether to broadcast their hashes, and then the store is scanned and not shuffled.
     """
     first = dedup_first(with_hash(parsed), "hash", newest_mail_first())
-    return stamp(only_new_probe(materialize(first, "first", probe_folder), store), added_at)
+    return stamp(only_new_probe(materialize(first, "first", probe_folder), store, few=few), added_at)
 
 
 def run_digest(
@@ -109,7 +111,7 @@ def run_digest(
         parsed = materialize(explode_alerts(mails.observe(read, *mail_facts(mails))), "parsed")
     else:
         parsed = explode_alerts(mails)
-    new = new_articles(parsed, store, settings.run_time)
+    new = new_articles(parsed, store, settings.run_time, few=FEW_KEYS)
     scored = materialize(
         score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls), "scored"
     )

@@ -26,6 +26,9 @@ from mailquill.sources.runs import Snapshot, snapshot
 # A text that no cell holds: Spark tells empty cells from quoted empty ones only when some other text means NULL.
 CSV_NULL = "\\N"
 
+#: Parquet's Bloom filters of the key, as large as the keys of a row group need: a probe by value skips the others.
+KEY_FILTERS = {"parquet.bloom.filter.enabled#hash": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
 RUN = T.StructField("run_no", T.LongType())
 VERSION = T.StructField("version", T.LongType())
 SCORES_SCHEMA = T.StructType([ARTICLE_SCHEMA["hash"], ARTICLE_SCHEMA["score"], ARTICLE_SCHEMA["reason"], VERSION])
@@ -122,18 +125,18 @@ def write_clustered(articles: DataFrame, root: str, number: int, buckets: int) -
     path = f"{root}/articles/run_no={number}"
     spark, name = articles.sparkSession, _table_name(path)
     rows = articles.select(*ARTICLE_SCHEMA.names).repartition(buckets, "hash")
-    rows.write.mode("overwrite").bucketBy(buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
+    rows.write.mode("overwrite").options(**KEY_FILTERS).bucketBy(buckets, "hash").sortBy("hash").option("path", path).saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # the files stay; readers name them again, with the number of buckets in the log
 
 
 def append_articles(new: DataFrame, path: str, run_no: int = 0) -> None:
     """Add rows to the folder of a run, 0 outside of runs."""
-    new.select(*ARTICLE_SCHEMA.names).write.mode("append").parquet(f"{path}/run_no={run_no}")
+    new.select(*ARTICLE_SCHEMA.names).write.mode("append").options(**KEY_FILTERS).parquet(f"{path}/run_no={run_no}")
 
 
 def write_run(new: DataFrame, path: str, run_no: int) -> None:
     """Write a run's rows over those that an earlier, unfinished attempt may have left."""
-    new.select(*ARTICLE_SCHEMA.names).write.mode("overwrite").parquet(f"{path}/run_no={run_no}")
+    new.select(*ARTICLE_SCHEMA.names).write.mode("overwrite").options(**KEY_FILTERS).parquet(f"{path}/run_no={run_no}")
 
 
 def absent_rows(rows: DataFrame, target: DataFrame, key: str = "hash") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from mailquill.operators.dedup import FEW_KEYS
 from mailquill.operators.explode import explode_alerts
 from mailquill.operators.score import score_articles
 from mailquill.plans.digest import DigestSettings, new_articles
@@ -102,7 +103,7 @@ def store_run(mail: DataFrame, batch_id: int, root: str, settings: DigestSetting
         with intermediate_data(spark):
             number = runs.reserve(spark, root)
             seen = runs.snapshot(spark, root)
-            new = new_articles(explode_alerts(mail), article_store.stored_in(spark, root, seen), settings.run_time)
+            new = new_articles(explode_alerts(mail), article_store.stored_in(spark, root, seen), settings.run_time, few=FEW_KEYS)
             scored = score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls)
             article_store.write_run(materialize(scored, "scored"), f"{root}/articles", number)
             try:

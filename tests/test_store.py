@@ -196,3 +196,45 @@ def test_restrict(spark):
     wanted = spark.createDataFrame([("a",), ("a",), ("c",)], "hash string")
     assert restrict_to(frame, None).count() == 2
     assert [row.hash for row in restrict_to(frame, wanted).collect()] == ["a"]
+
+
+def scanned_rows(frame):
+    """Rows that the scans of a plan have let through, after it ran."""
+    frame.collect()
+    plan, rows = frame._jdf.queryExecution().executedPlan(), 0
+    leaves = [plan.executedPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while leaves:
+        node = leaves.pop()
+        if node.nodeName().startswith(("ShuffleQueryStage", "BroadcastQueryStage", "AQEShuffleRead")):
+            node = node.plan() if hasattr(node, "plan") and "QueryStage" in node.nodeName() else node
+        if node.nodeName().startswith("Scan parquet"):
+            rows += node.metrics().apply("numOutputRows").value()
+        children = node.children()
+        leaves += [children.apply(k) for k in range(children.size())]
+    return rows
+
+
+@pytest.mark.parametrize("clustered", [False, True])
+def test_a_probe_by_value_skips_files(spark, clustered):
+    from mailquill.operators.align import with_missing_columns
+    from mailquill.sources import runs
+
+    root = shared_folder(spark, "root")
+    rows = spark.range(20_000).select(F.sha2(F.col("id").cast("string"), 256).alias("hash"), F.col("id").cast("string").alias("title"))
+    rows = with_missing_columns(rows)
+    if clustered:
+        number = runs.reserve(spark, root)
+        article_store.write_clustered(rows, root, number, 16)
+        runs.commit(spark, root, number, runs.COMPACT, runs.snapshot(spark, root), buckets=16)
+        store = article_store.stored_in(spark, root, runs.snapshot(spark, root))
+    else:
+        article_store.append_articles(rows.repartition(16, "title"), f"{root}/articles")
+        store = article_store.load_store(spark, f"{root}/articles")
+    wanted = [hashlib.sha256(str(n).encode()).hexdigest() for n in (5, 77)] + ["f" * 64, "0" * 64, None]
+    batch = spark.createDataFrame([(value,) for value in wanted], "hash string")
+    few = store.select("hash").where(F.col("hash").isin(wanted[:-1]))
+    assert 2 <= scanned_rows(few) < 10_000  # a file holds 1,250 rows
+    found = only_new_probe(batch, store, few=10)
+    assert sorted(row.hash or "" for row in found.collect()) == ["", "0" * 64, "f" * 64]
+    many = only_new_probe(batch, store, few=2)
+    assert sorted(row.hash or "" for row in many.collect()) == ["", "0" * 64, "f" * 64]
