@@ -209,17 +209,16 @@ FROM worded LEFT JOIN base USING (doc_id) LEFT JOIN hits USING (doc_id)
 LINE_DEDUP_SQL = rf"""
 WITH rows AS (SELECT doc_id, coalesce(text, '') AS text, count(*) AS times,
                 md5(coalesce('i' || doc_id, 'n') || '/' || md5(coalesce(text, ''))) AS place FROM documents GROUP BY ALL),
-split AS (SELECT *, regexp_extract_all(text, '{line_dedup.UNIT}') AS units,
-            row_number() OVER (PARTITION BY text ORDER BY doc_id NULLS FIRST, place) > 1 AS copied FROM rows),
+split AS (SELECT *, regexp_extract_all(text, '{line_dedup.UNIT}') AS units FROM rows),
 keyed AS (SELECT *, list_transform(units, lambda unit: trim(unit, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) AS keys FROM split),
 coded AS (SELECT *, list_transform(keys, lambda key: ('0x' || substr(md5(key), 1, 8))::BIGINT) AS codes FROM keyed),
 ended AS (SELECT *, list_filter(range(1, len(keys) + 1), lambda i: i = len(keys)
             OR codes[i] % {line_dedup.MODULUS} * 3 < {line_dedup.MODULUS} * 2) AS ends FROM coded),
-numbered AS (SELECT doc_id, place, keys, ends, unnest(range(1, len(ends) + 1)) AS no FROM ended WHERE NOT copied),
+numbered AS (SELECT doc_id, place, times, keys, ends, unnest(range(1, len(ends) + 1)) AS no FROM ended),
 cut AS (SELECT *, CASE WHEN no = 1 THEN 1 ELSE ends[no - 1] + 1 END AS first, ends[no] AS last FROM numbered),
-own AS (SELECT doc_id, place, no, first, last, keys[first : last] AS own,
+own AS (SELECT doc_id, place, times, no, first, last, keys[first : last] AS own,
           list_sum(list_transform(keys[first : last], lambda key: length(key) - length(replace(key, ' ', '')) + 1)) AS words FROM cut),
-chunks AS (SELECT *, count(*) OVER (PARTITION BY own) > 1 AS again, coalesce(lag(own) OVER row, []) AS back,
+chunks AS (SELECT *, sum(times) OVER (PARTITION BY own) > 1 AS again, coalesce(lag(own) OVER row, []) AS back,
              coalesce(lead(own) OVER row, []) AS ahead
            FROM own WINDOW row AS (PARTITION BY place ORDER BY no)),
 stretched AS (SELECT *, no - row_number() OVER (PARTITION BY place ORDER BY no) AS stretch FROM chunks WHERE again),
@@ -239,8 +238,7 @@ spans AS (SELECT DISTINCT place,
           FROM extended),
 opened AS (SELECT *, first > coalesce(max(last) OVER (PARTITION BY place ORDER BY first, last ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) + 1 AS opens FROM spans),
 islands AS (SELECT *, sum(opens::INT) OVER (PARTITION BY place ORDER BY first, last) AS island FROM opened),
-stretches AS (SELECT place, min(first) AS first, max(last) AS last FROM islands GROUP BY place, island
-              UNION ALL SELECT place, 1, len(keys) FROM keyed WHERE copied AND len(keys) > 0),
+stretches AS (SELECT place, min(first) AS first, max(last) AS last FROM islands GROUP BY place, island),
 counted AS (SELECT place, first, last, list_sum(list_transform(keys[first : last], lambda key: length(key) - length(replace(key, ' ', '')) + 1)) AS words
             FROM stretches JOIN keyed USING (place)),
 ranges AS (SELECT place, list({{'first': first, 'last': last, 'words': words}} ORDER BY first) AS r FROM counted

@@ -29,16 +29,13 @@ def plain(texts, least=40):
     order = lambda row: (row[0] is not None, row[0] or 0, place(row))
     place = lambda row: hashlib.md5(
         ((f"i{row[0]}" if row[0] is not None else "n") + "/" + hashlib.md5((row[1] or "").encode()).hexdigest()).encode()).digest()
-    own, copies, count, seen = {}, {}, Counter(), set()
+    own, count, times = {}, Counter(), Counter(texts)
     for row in sorted(set(texts), key=order):
         units = UNIT.findall(row[1] or "")
         keys = [unit.strip(SPACE) for unit in units]
-        if (row[1] or "") in seen:
-            copies[row] = (units, keys)
-            continue
-        seen.add(row[1] or "")
         own[row] = (units, keys, cut := chunks(keys))
-        count.update(tuple(keys[a:b]) for a, b in cut)
+        for a, b in cut:
+            count[tuple(keys[a:b])] += times[row]
     words = lambda keys: sum(key.count(" ") + 1 for key in keys)
     wanted, first = {}, {}
     for row, (_, keys, cut) in own.items():
@@ -87,8 +84,6 @@ def plain(texts, least=40):
                 text += "\n"
             at = b
         kept[row] = (ranges, (text + "".join(units[at:])) if ranges else row[1])
-    for row, (units, keys) in copies.items():
-        kept[row] = ([(0, len(units))], "") if units and words(keys) >= least else ([], row[1])
     return kept
 
 
@@ -208,7 +203,7 @@ def test_copies_of_whole_texts(spark):
     assert found == {None: [text], 3: ["", ""], 7: [""], 9: [""], 1: ["few words. here"], 2: ["few words. here"], 20: ["More."], 21: [text.upper()]}
 
 
-def test_hot_copies_are_combined_before_the_shuffle(spark):
+def test_hot_copies(spark):
     texts = spark.range(4000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("hot words. "), 60)).otherwise(F.col("id").cast("string")).alias("text"))
     found = line_dedup.line_dedup_report(texts)
     assert found.where("n_removed_words = 120").count() == 1333  # and the first, which repeats itself, loses less
