@@ -134,8 +134,9 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     rows = docs.select(F.col(id_col).alias("id"), row_place(F.col(id_col), text).alias("place"), text.alias("text"))
     marks = materialize(rows.select("place", F.explode(_marks(F.col("text"))).alias("c")).select("place", "c.*"), "chunk-marks")
     repeated = materialize(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
-    # The joins' smaller sides grow with the corpus and have no bound, so all of them are merge joins at every size.
-    again = marks.join(repeated.hint("merge"), "hash").select("place", "no", "words")
+    # The joins' smaller sides grow with the corpus and are never broadcast. Where they are narrow and have each key once, a
+    # partition of them is a small part of the other side's and is hashed, so that neither side is sorted.
+    again = marks.join(repeated.hint("shuffle_hash"), "hash").select("place", "no", "words")
     # Rows that repeat id and text are one; everything down to the wanted numbers keeps to this partitioning.
     again = again.repartition("place").dropDuplicates(["place", "no"])
     # Only stretches of repeated chunks that hold some part of the words needed are looked at; their ends may bring the rest.
@@ -146,7 +147,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     wanted = wanted.where("enough").groupBy("place").agg(F.sort_array(F.flatten(F.collect_list("nos"))).alias("nos"))
     wanted = materialize(wanted, "wanted-chunks")
 
-    cut = rows.join(wanted.hint("merge"), "place").select("id", "place", F.explode(_chunks(F.col("text"), F.col("nos"))).alias("c"))
+    cut = rows.join(wanted.hint("shuffle_hash"), "place").select("id", "place", F.explode(_chunks(F.col("text"), F.col("nos"))).alias("c"))
     cut = materialize(cut.select("id", "place", "c.*", F.xxhash64("c.own").alias("hash")), "chunks")
     # Grouping by the bytes tells colliding chunks apart; copies are combined before the shuffle.
     firsts = cut.groupBy("hash", "own").agg(F.min(F.struct("id", "place", "no", "back", "ahead")).alias("f"), F.count(F.lit(1)).alias("n"))
@@ -189,7 +190,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[Da
     place, name = fresh(docs, "row_place"), fresh(docs, "removed")
     found = _found(docs, id_col, text_col, least).withColumnsRenamed({"place": place, "ranges": name})
     marked = docs.withColumn(place, row_place(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
-    joined = marked.join(found.hint("merge"), place, "left").drop(place)
+    joined = marked.join(found.hint("shuffle_hash"), place, "left").drop(place)
 
     def of_units(units: Column) -> Column:
         counted = F.transform(name, lambda own: F.struct(
