@@ -49,11 +49,20 @@ class Pieces:
         if self.model.encode(" a") != self.model.encode(f"{MARK}a") or self.model.decode(self.model.encode("  a ")) != "  a ":
             raise ValueError("this model changes or joins white space; words cannot be segmented one by one")
 
-    def segment(self, chunk: str) -> tuple[str, str]:
-        """Of a marked word its ids, as decimals each followed by a comma, and their decoded text."""
+        self.pieces = pieces
+
+    def segment(self, chunks: list[str]) -> list[tuple[str, str]]:
+        """Of marked words their ids, as decimals each followed by a comma, and their decoded text."""
         # The library marks the start of a text itself. Decoding drops that mark again.
-        ids = self.model.encode(chunk[1:].replace(MARK, " ")) if len(chunk) > 1 else [self.model.piece_to_id(MARK)]
-        return "".join(f"{i}," for i in ids), " " + self.model.decode(ids) if len(chunk) > 1 else " "
+        coded, out = self.model.encode([chunk[1:].replace(MARK, " ") for chunk in chunks], num_threads=1), []
+        for chunk, ids in zip(chunks, coded):
+            if len(chunk) == 1:
+                out.append((f"{self.model.piece_to_id(MARK)},", " "))
+                continue
+            # Pieces that spell the word decode to it; bytes and unknown characters are left to the library.
+            spelt = "".join([self.pieces[i] for i in ids]) == chunk
+            out.append(("".join([f"{i}," for i in ids]), chunk.replace(MARK, " ") if spelt else " " + self.model.decode(ids)))
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -103,14 +112,16 @@ class WordTable:
         for shard, own in runs(leading(hashes, self.bits)):
             keys, ends, blob = (mapped(f"{self.folder}/{shard}.{name}", kind) for name, kind in (("keys", "<u8"), ("ends", "<u8"), ("blob", "u1")))
             at, known = search(keys, hashes[own])
-            for place, wanted, n in zip(at[known].tolist(), hashes[own][known], order[own][known].tolist()):
-                while place < len(keys) and keys[place] == wanted:
-                    first = int(ends[3 * place - 1]) if place else 0
-                    a, b, c = (int(end) for end in ends[3 * place : 3 * place + 3])
-                    if blob[first:a].tobytes() == raw[n]:
-                        found[words[n]] = blob[a:b].tobytes().decode(), blob[b:c].tobytes().decode("utf-8", "surrogatepass")
-                        break
-                    place += 1
+            places, numbers, bytes_of = at[known], order[own][known].tolist(), memoryview(blob)
+            bounds = np.concatenate([[0], ends]).astype(np.int64)
+            cuts = zip(places.tolist(), numbers, *(bounds[3 * places + k].tolist() for k in range(4)))
+            for place, n, first, a, b, c in cuts:
+                while bytes_of[first:a] != raw[n] and place + 1 < len(keys) and keys[place + 1] == keys[place]:
+                    place += 1  # another word of the same hash
+                    first, a, b, c = bounds[3 * place : 3 * place + 4].tolist()
+                if bytes_of[first:a] == raw[n]:
+                    text = str(bytes_of[b:c], "utf-8", "surrogatepass") if c > b else words[n].replace(MARK, " ")
+                    found[words[n]] = str(bytes_of[a:b], "ascii"), text
         return found
 
 
@@ -121,17 +132,17 @@ def word_table(docs: DataFrame, model_file: str, text_col: str = "text") -> Word
     """
     spark = docs.sparkSession
 
-    def distinct(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for batch in batches:
-            for texts in slices(batch.iloc[:, 0], SLICE):
+            for texts in slices(batch.column(0).to_pylist(), SLICE):
                 new = set(split(texts)[1]).difference(seen)
                 if len(seen) + len(new) > TABLE_WORDS:
                     seen = set()
                 seen |= new
-                yield pd.DataFrame({"word": [word.encode("utf-8", "surrogatepass") for word in new]})
+                yield pa.RecordBatch.from_arrays([pa.array(list(new), pa.string()).cast(pa.binary())], names=["word"])
 
-    words = materialize(docs.select(text_col).mapInPandas(distinct, "word binary").distinct(), "words")
+    words = materialize(docs.select(text_col).mapInArrow(distinct, "word binary").distinct(), "words")
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-words.count() // SHARD_WORDS))
     bits = max(1, (shards - 1).bit_length())
     folder = local_path(shared_folder(spark, "marked-words"))
@@ -147,8 +158,11 @@ def word_table(docs: DataFrame, model_file: str, text_col: str = "text") -> Word
         keys = frame["hash"].to_numpy().astype(np.int64).view(np.uint64)
         order = np.lexsort((np.arange(len(keys)), keys))
         raw = [bytes(word) for word in frame["word"].iloc[order]]
-        entries = [own.segment(word.decode("utf-8", "surrogatepass")) for word in raw]
-        parts = [part for word, (ids, text) in zip(raw, entries) for part in (word, ids.encode(), text.encode("utf-8", "surrogatepass"))]
+        chunks = [word.decode("utf-8", "surrogatepass") for word in raw]
+        parts = []
+        for word, chunk, (ids, text) in zip(raw, chunks, own.segment(chunks)):
+            # The decoded text is the word itself as a rule, and then left out.
+            parts += (word, ids.encode(), b"" if text == chunk.replace(MARK, " ") else text.encode("utf-8", "surrogatepass"))
         store(f"{folder}/{shard[0]}.keys", keys[order], "<u8")
         store(f"{folder}/{shard[0]}.ends", np.cumsum([len(part) for part in parts]), "<u8")
         store(f"{folder}/{shard[0]}.blob", np.frombuffer(b"".join(parts), np.uint8), "u1")
@@ -167,7 +181,9 @@ class Encoder:
 
     def fill(self, words: list[str]) -> list[tuple[str, str]]:
         found = self.table.find(words) if self.table else {}
-        return [found[word] if word in found else self.pieces.segment(word) for word in words]
+        new = [word for word in words if word not in found] if found else words
+        found.update(zip(new, self.pieces.segment(new)) if new else ())
+        return [found[word] for word in words]
 
     def encode(self, texts: list[str]) -> Iterator[tuple[bytes, int, bytes]]:
         """Ids joined by commas, their number and the decoded text, in UTF-8, for each text."""
