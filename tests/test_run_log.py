@@ -273,29 +273,21 @@ def test_unread_deliveries_prune_folders(spark):
     assert [row.id for row in scanned.collect()] == ["m2"]
 
 
-def test_mails_are_scanned_once_for_all_counts(spark, monkeypatch):
-    root = Root(spark)
-    accumulated = spark.sparkContext.accumulator(0)
-    real = jobs.mail_source.read_mail
-
-    def counted(*args):
-        @F.udf("string")
-        def passing(value):
-            accumulated.add(1)
-            return value
-
-        return real(*args).withColumn("subject", passing.asNondeterministic()("subject"))
-
-    def explode(mails):
-        return real_explode(mails.withColumn("body_html", F.concat("body_html", F.substring("subject", 0, 0))))
-
+def test_mails_are_counted_while_they_are_parsed(spark, monkeypatch):
     from mailquill.plans import digest
 
-    real_explode = digest.explode_alerts
-    monkeypatch.setattr(digest, "explode_alerts", explode)
-    monkeypatch.setattr(jobs.mail_source, "read_mail", counted)
-    assert jobs.fetch(spark, root.path, SETTINGS, root.pages).counts["mails"] == 1
-    assert accumulated.value == 1
+    root, counted = Root(spark), []
+    real = digest.run_counters
+    monkeypatch.setattr(digest, "run_counters", lambda **stages: counted.append(stages["mails"]) or real(**stages))
+    odd = mail(spark, ("m5", "x@e", None, article("DFT g")), ("m6", "other@e", 1.0, article("DFT h")))
+    write_mail(odd, f"{root.path}/mail", 3)
+    found = jobs.fetch(spark, root.path, SETTINGS, root.pages).counts
+    assert (found["mails"], found["undated"], found["parsed"], counted) == (2, 1, 4, [2])
+    assert runs.bound(spark, root.path) == (100.0, False)
+    assert jobs.fetch(spark, root.path, SETTINGS, root.pages).counts == {
+        "mails": 0, "parsed": 0, "new": 0, "scored": 0, "enriched": 0, "reported": 0, "undated": 0,
+    }
+    assert runs.bound(spark, root.path) == (100.0, False)
 
 
 def test_clustered_articles_do_not_move(spark):
