@@ -113,12 +113,12 @@ class WordTable:
             keys, ends, blob = (mapped(f"{self.folder}/{shard}.{name}", kind) for name, kind in (("keys", "<u8"), ("ends", "<u8"), ("blob", "u1")))
             at, known = search(keys, hashes[own])
             places, numbers, bytes_of = at[known], order[own][known].tolist(), memoryview(blob)
-            bounds = np.concatenate([[0], ends]).astype(np.int64)
-            cuts = zip(places.tolist(), numbers, *(bounds[3 * places + k].tolist() for k in range(4)))
+            first_of = np.where(places > 0, ends[np.maximum(3 * places - 1, 0)], 0)  # only the entries asked for are touched
+            cuts = zip(places.tolist(), numbers, first_of.tolist(), *(ends[3 * places + k].tolist() for k in range(3)))
             for place, n, first, a, b, c in cuts:
                 while bytes_of[first:a] != raw[n] and place + 1 < len(keys) and keys[place + 1] == keys[place]:
                     place += 1  # another word of the same hash
-                    first, a, b, c = bounds[3 * place : 3 * place + 4].tolist()
+                    first, a, b, c = ends[3 * place - 1 : 3 * place + 3].tolist()
                 if bytes_of[first:a] == raw[n]:
                     text = str(bytes_of[b:c], "utf-8", "surrogatepass") if c > b else words[n].replace(MARK, " ")
                     found[words[n]] = str(bytes_of[a:b], "ascii"), text
