@@ -32,7 +32,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = repeated.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     same_bytes = (
         texts.withColumn("salt", salt)
-        .join(parts, ["hash", "salt"])
+        .join(parts.hint("merge"), ["hash", "salt"])  # never broadcast: its rows are SALTS times what Spark estimates
         .groupBy("hash", "text")
         .agg(F.count(F.lit(1)).alias("size"), best("id").alias("keep"))
         .select("hash", "size", "keep", F.sha2(F.col("text").cast("binary"), 256).alias("sha"))
