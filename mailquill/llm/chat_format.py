@@ -1,9 +1,10 @@
 """Chat formatting by prefix-target expansion: every assistant turn is an example of its own.
 
 A conversation is rendered turn by turn. The example of a reply is all that was rendered before it, as context, and the reply,
-of which only the text is trainable. Examples of a conversation share their context, so they are spans of the rendered turns:
-their size is that of the turns, also for a conversation of a million turns, whose examples written out would have the size
-of its square. ``expand`` writes them out for a trainer that wants whole strings.
+of which only the text is trainable. ``expand_turns`` makes the whole strings, one after the other, from the rendered turns of a
+conversation: that is what ``expand`` writes and what ``digest`` reads back. Only the rendered turns are shuffled, and no more
+than a conversation and one example of it are held, though all examples of a very long conversation have the size of its square.
+``examples`` gives them as spans of the rendered turns, whose size is that of the turns.
 """
 
 from __future__ import annotations
@@ -132,75 +133,102 @@ def examples(rendered: DataFrame) -> DataFrame:
     )
 
 
-def expand(rendered: DataFrame) -> DataFrame:
+def expand_turns(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """Sorted rows of ``_by_conversation`` -> ``conv_id, example, text, target_start, target_end``, one for each reply.
+
+    The text is the whole context with the reply. A conversation that does not end in a reply is given once more at its end, with
+    NULLs for the example and its target.
+    """
+    last, whole, ended = None, "", True
+    for batch in batches:
+        for own_id, text, example, target_start, target_end in zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)]):
+            if last != (own_id,):
+                if not ended:
+                    yield *last, None, whole, None, None
+                last, whole = (own_id,), ""
+            whole += text
+            ended = target_start is not None
+            if ended:
+                yield own_id, example, whole, target_start, target_end
+    if not ended:
+        yield *last, None, whole, None, None
+
+
+#: So many characters of whole strings are handed on at once, or a single longer one.
+BATCH_CHARS = 4_000_000
+
+
+def _batches(rows: Iterator[tuple], schema: pa.Schema, size) -> Iterator[pa.RecordBatch]:
+    """Rows in batches of ``BATCH_CHARS`` by their ``size``."""
+    done, held = [], 0
+    for row in rows:
+        done.append(row)
+        held += size(row)
+        if held >= BATCH_CHARS:
+            yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*done), schema)], schema=schema)
+            done, held = [], 0
+    if done:
+        yield pa.RecordBatch.from_arrays([pa.array(column, field.type) for column, field in zip(zip(*done), schema)], schema=schema)
+
+
+def _by_conversation(rendered: DataFrame) -> DataFrame:
+    ordered = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
+    return ordered.select("conv_id", "text", "example", "target_start", "target_end")
+
+
+def expand(rendered: DataFrame, tails: bool = False) -> DataFrame:
     """One row per assistant turn with its whole string: ``conv_id``, ``example``, ``text``, ``target_start``, ``target_end``.
 
-    The result has by its nature the size of all contexts. Only turns up to the reply meet it.
+    The result has by its nature the size of all contexts. With ``tails`` a conversation with turns after its last reply, or without
+    any, is one row more, whose ``example`` and target are NULL.
     """
-    own = examples(rendered).select(F.col("conv_id").alias("own_id"), "example", "context_turns", "target_start", "target_end")
-    turns = rendered.select("conv_id", "turn_no", "text")
-    pieces = turns.join(own, F.col("conv_id").eqNullSafe(F.col("own_id")) & (F.col("turn_no") <= F.col("context_turns") + 1))
-    texts = F.array_sort(F.collect_list(F.struct("turn_no", "text")))
-    whole = pieces.groupBy("conv_id", "example", "target_start", "target_end").agg(texts.alias("pieces"))
-    return whole.select("conv_id", "example", F.array_join("pieces.text", "").alias("text"), "target_start", "target_end")
-
-
-def _read_back(batches: Iterator[pa.RecordBatch], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    """Turns sorted by conversation -> one row each. Only the running hashes of one conversation are held."""
-
-    class Conversation:
-        def __init__(self, own_id):
-            self.id, self.turns, self.loss_chars, self.chars, self.open_end = own_id, 0, 0, 0, 0
-            self.said, self.loss = hashlib.sha256(), hashlib.sha256()
-
-        def read(self, text, start, target_start, target_end):
-            for role, said in read_turns(text):
-                self.turns += 1
-                self.said.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
-            self.open_end = start + len(text)
-            if target_start is not None:
-                reply = unescape(text[target_start - start : target_end - start])
-                self.loss.update(reply.encode("utf-8", "surrogatepass"))
-                self.loss_chars += len(reply)
-                self.chars += self.open_end
-                self.open_end = 0
-
-        def row(self):
-            # Turns after the last reply belong to no example; they are formatted once, without a target.
-            return (self.id, self.turns, self.said.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars + self.open_end)
-
-    current, done = None, []
-
-    def flush():
-        rows = [pa.array([row[k] for row in done], schema.field(k).type) for k in range(len(schema))]
-        done.clear()
-        return pa.RecordBatch.from_arrays(rows, schema=schema)
+    result = T.StructType([rendered.schema["conv_id"], *T.StructType.fromDDL("example bigint, text string, target_start bigint, target_end bigint")])
+    arrow = to_arrow_schema(result)
 
-    for batch in batches:
-        for own_id, *turn in zip(*[batch.column(k).to_pylist() for k in range(batch.num_columns)]):
-            if current is None or current.id != own_id:
-                if current is not None:
-                    done.append(current.row())
-                current = Conversation(own_id)
-            current.read(*turn)
-        if done:
-            yield flush()
-    if current is not None:
-        done.append(current.row())
-        yield flush()
+    def expanded(batches):
+        rows = (row for row in expand_turns(batches) if tails or row[1] is not None)
+        return _batches(rows, arrow, lambda row: len(row[2]))
+
+    return _by_conversation(rendered).mapInArrow(expanded, result)
+
+
+def _read_back(examples: Iterator[tuple]) -> Iterator[tuple]:
+    """The examples of ``expand_turns`` -> one row for each conversation. Only one example and the running hash are held.
+
+    The last example of a conversation, or what is given of it after that, holds all its turns.
+    """
+    last, whole, chars, loss_chars, loss = None, "", 0, 0, hashlib.sha256()
+
+    def row():
+        turns, said = 0, hashlib.sha256()
+        for found in _TURN.finditer(whole):
+            turns += 1
+            said.update(f"{_plain_role(found[1])}\n{unescape(found[2])}\n".encode("utf-8", "surrogatepass"))
+        return *last, turns, said.hexdigest(), loss_chars, loss.hexdigest(), chars
+
+    for own_id, _, text, target_start, target_end in examples:
+        if last != (own_id,):
+            if last is not None:
+                yield row()
+            last, chars, loss_chars, loss = (own_id,), 0, 0, hashlib.sha256()
+        whole = text
+        chars += len(text)
+        if target_start is not None:
+            reply = unescape(text[target_start:target_end])
+            loss.update(reply.encode("utf-8", "surrogatepass"))
+            loss_chars += len(reply)
+    if last is not None:
+        yield row()
 
 
 def digest(rendered: DataFrame) -> DataFrame:
-    """One row per conversation, read back from the rendered turns and the spans of the examples.
+    """One row per conversation, read back from the expanded examples, which are made whole, one by one, where they are read.
 
     ``n_turns``, ``turns_sha256`` of role, newline, text, newline of each turn, ``loss_chars`` and ``loss_sha256`` of the text
     under the loss mask, and ``formatted_chars`` of all examples, and of the whole once more if it does not end in a reply.
-    A SHA-256 goes over its text from the beginning to the end, so a conversation is read by one task, turn by turn.
+    A SHA-256 goes over its text from the beginning to the end, so a conversation is read by one task, example by example.
     """
-    kind = rendered.schema["conv_id"].dataType
-    result = T.StructType([T.StructField("conv_id", kind), *T.StructType.fromDDL(
+    result = T.StructType([rendered.schema["conv_id"], *T.StructType.fromDDL(
         "n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")])
     arrow = to_arrow_schema(result)
-    ordered = rendered.repartition("conv_id").sortWithinPartitions("conv_id", "turn_no")
-    columns = ordered.select("conv_id", "text", "start", "target_start", "target_end")
-    return columns.mapInArrow(lambda batches: _read_back(batches, arrow), result)
+    return _by_conversation(rendered).mapInArrow(lambda batches: _batches(_read_back(expand_turns(batches)), arrow, lambda row: 200), result)

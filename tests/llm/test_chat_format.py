@@ -67,6 +67,18 @@ def test_examples_are_the_expansion(spark):
         assert row["text"][: span["context_end"]].endswith("assistant\n")
 
 
+def test_digest_is_read_from_the_expanded_strings(spark):
+    turns = [row for row in cases() if row[0] != 7]
+    rendered = chat_format.render_turns(frame(spark, turns))
+    whole = chat_format.expand(rendered, tails=True).collect()
+    assert sorted(r["conv_id"] for r in whole if r["example"] is None and r["conv_id"] in (2, 4, 5)) == [4, 5]
+    examples = [(r["conv_id"], r["example"], r["text"], r["target_start"], r["target_end"]) for r in whole]
+    read = {row[0]: row for row in chat_format._read_back(iter(examples))}
+    assert read == {row["conv_id"]: tuple(row) for row in chat_format.digest(rendered).collect()}
+    for conv, row in read.items():
+        assert row[-1] == sum(len(r["text"]) for r in whole if r["conv_id"] == conv)
+
+
 @pytest.mark.parametrize("text", NASTY)
 def test_escaped_texts_hold_no_control_string(spark, text):
     from pyspark.sql import functions as F
