@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,45 +110,47 @@ def newest_first(mail: DataFrame) -> DataFrame:
 
 
 def _message_parts():
-    def decode(raw: pd.Series) -> pd.DataFrame:
+    """The function goes to the workers by value, so they need not have this package."""
+
+    def parts(data: bytes | None) -> tuple[str | None, str, str | None, str]:
         import email
         from email.utils import parseaddr
 
         def clean(value):
             return value.encode("utf-8", "surrogateescape").decode("utf-8", "ignore")
 
-        def parts(data):
-            found = {"sender": None, "subject": "", "date_header": None, "body_html": ""}
-            if data is None:
-                return found
-            message = email.message_from_bytes(bytes(data))
-            for name, value in message.raw_items():
-                field = {"from": "sender", "subject": "subject", "date": "date_header"}.get(name.lower())
-                if field:
-                    found[field] = clean(str(value))
-            if found["sender"] is not None:
-                found["sender"] = parseaddr(found["sender"])[1].lower()
-            for part in message.walk() if message.is_multipart() else [message]:
-                attached = message.is_multipart() and "attachment" in str(part.get("Content-Disposition"))
-                if part.get_content_type() == "text/html" and not attached:
-                    found["body_html"] = (part.get_payload(decode=True) or b"").decode("utf-8", "ignore")
-                    break
-            return found
-
-        return pd.DataFrame([parts(data) for data in raw], columns=["sender", "subject", "date_header", "body_html"])
-
-    return decode
+        found = {"sender": None, "subject": "", "date_header": None}
+        body = ""
+        if data is None:
+            return *found.values(), body
+        message = email.message_from_bytes(bytes(data))
+        for name, value in message.raw_items():
+            field = {"from": "sender", "subject": "subject", "date": "date_header"}.get(name.lower())
+            if field:
+                found[field] = clean(str(value))
+        if found["sender"] is not None:
+            found["sender"] = parseaddr(found["sender"])[1].lower()
+        for part in message.walk() if message.is_multipart() else [message]:
+            attached = message.is_multipart() and "attachment" in str(part.get("Content-Disposition"))
+            if part.get_content_type() == "text/html" and not attached:
+                body = (part.get_payload(decode=True) or b"").decode("utf-8", "ignore")
+                break
+        return *found.values(), body
+
+    return parts
 
 
 def decode_mail(raw_mail: DataFrame) -> DataFrame:
     """``raw_mail(id, snippet, raw)`` with base64url messages to the columns of ``MAIL_SCHEMA``.
 
     The last subject counts. The body is the first HTML part that is not attached; bytes that are no UTF-8 are dropped.
-    Only the walk through the MIME parts runs in Python, in Arrow batches of the one column it needs. A message that is
-    no base64 gives a row without content, and a bad date gives NULL, so one bad mail never stops a run;
+    Only the walk through the MIME parts runs in Python, mail by mail over the one column it needs. It is no Arrow function:
+    an Arrow batch holds as many whole mails as the session allows rows, 10,000 by default, and a worker each of its copies.
+    A message that is no base64 gives a row without content, and a bad date gives NULL, so one bad mail never stops a run;
     ``decoding_problems`` counts both.
     """
-    decode = F.pandas_udf(_message_parts(), "sender string, subject string, date_header string, body_html string")
+    fields = "sender string, subject string, date_header string, body_html string"
+    decode = F.udf(_message_parts(), fields, useArrow=False)
     data = F.try_to_binary(F.translate("raw", "-_", "+/"), F.lit("base64"))
     opened = raw_mail.select("id", "snippet", decode(data).alias("parts"))
     return opened.select(

@@ -55,6 +55,15 @@ def test_transfer_encoding_and_bad_bytes(spark):
     assert decoded(spark, latin).body_html == "ab"
 
 
+def test_whole_mails_do_not_go_to_python_in_arrow_batches(spark, capsys):
+    """An Arrow batch holds 10,000 rows by default, whatever their size."""
+    raw = spark.range(3).select(F.col("id").cast("string").alias("id"), F.lit("").alias("snippet"), F.lit(coded(HEAD + b"\r\nx")).alias("raw"))
+    mails = mail_source.decode_mail(raw)
+    mails.explain()
+    assert "ArrowEvalPython" not in capsys.readouterr().out
+    assert mails.count() == 3
+
+
 def test_last_subject_counts(spark):
     assert decoded(spark, b"SUBJECT: one\r\n" + HEAD + b"subject: two\r\n\r\n").subject == "two"
 
