@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mailquill.functions.scoring import ERROR, LOW, WordRules, exclusion_reason, rule_score
 from mailquill.functions.text import score_text
+from mailquill.session import materialize
 
 # (titles, summaries) -> (scores, reasons), all of one length
 BatchScorer = Callable[[pd.Series, pd.Series], tuple[Sequence[str], Sequence[str]]]
@@ -107,6 +108,10 @@ def _guarded(make_scorer: Callable[[], BatchScorer], calls: Calls = Calls()):
     return score_batches
 
 
+#: Texts that one task scores, on the average.
+TASK_BYTES = 256_000_000
+
+
 def score_with(
     df: DataFrame,
     make_scorer: Callable[[], BatchScorer],
@@ -118,12 +123,16 @@ def score_with(
 
     Excluded rows pass through the same batches, but the scorer never sees them: a Python function under ``CASE WHEN``
     would be called for every row. ``partitions`` sets how many tasks there are, and ``calls`` how many calls of each run side by
-    side, on which a slow remote model depends; the scorer is made once for each worker and not shared. Write the result (see
-    ``session.materialize``) before using it twice, or the scorer is called again.
+    side, on which a slow remote model depends; the scorer is made once for each worker and not shared. The rows are written before
+    they are dealt out: where their texts are more than ``TASK_BYTES`` a task, there are more tasks, and calls in flight are bounded by
+    the cores times ``calls.workers``. Write the result (see ``session.materialize``) before using it twice, or the scorer is called
+    again.
     """
     if partitions is not None:
         by = ["hash"] if "hash" in df.columns else []
-        df = df.repartition(partitions, *by)
+        df = materialize(df, "unscored")
+        size = df.agg(F.sum(F.coalesce(F.octet_length("title"), F.lit(0)) + F.coalesce(F.octet_length("summary"), F.lit(0)))).first()[0]
+        df = df.repartition(max(partitions, -(-(size or 0) // TASK_BYTES)), *by)
     call = F.pandas_udf(_guarded(make_scorer, calls), "score string, reason string").asNondeterministic()
     why = exclusion_reason(score_text(F.col("title"), F.col("summary")), list(exclude))
     judged = df.withColumn("_why", why).withColumn("_verdict", call("title", "summary", F.col("_why").isNull()))

@@ -16,6 +16,18 @@ SAMPLE = [
 SCHEMA = "hash string, title string, summary string"
 
 
+def test_tasks_grow_with_the_texts(spark, monkeypatch):
+    """Else each of two tasks reads half of any table."""
+    from mailquill.operators import score
+
+    rows = spark.range(100).select(F.col("id").cast("string").alias("hash"), F.lit("a").alias("title"), F.lit("b").alias("summary"))
+    scorer = lambda: lambda titles, summaries: (["High"] * len(titles), ["why"] * len(titles))
+    assert score_with(rows, scorer, partitions=2).rdd.getNumPartitions() == 2
+    monkeypatch.setattr(score, "TASK_BYTES", 50)
+    assert score_with(rows, scorer, partitions=2).rdd.getNumPartitions() == 4
+    assert score_with(rows, scorer, partitions=20).where("score = 'High'").count() == 100
+
+
 def test_rules(spark):
     scored = score_by_rules(spark.createDataFrame(SAMPLE, SCHEMA))
     assert {row.hash: row.score for row in scored.collect()} == {
