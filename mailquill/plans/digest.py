@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation
@@ -97,12 +98,16 @@ def new_articles(
 
 
 def run_digest(
-    mail: DataFrame, store: DataFrame, settings: DigestSettings, pages: DataFrame | None = None
+    mail: DataFrame,
+    store: DataFrame,
+    settings: DigestSettings,
+    pages: DataFrame | None = None,
+    write: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DigestRun:
     """Scan, explode, deduplicate, score and, given ``pages``, enrich; the report holds this run's articles only.
 
     Scores are written before anything reads them, so a scorer is called once per article however often an executor is
-    lost later.
+    lost later. ``write`` writes them where they are to stay and gives them back; without it they are an intermediate table.
     """
     mails = scan_mail(mail, settings.sender, settings.since, settings.after, settings.deliveries)
     read = None
@@ -112,9 +117,8 @@ def run_digest(
     else:
         parsed = explode_alerts(mails)
     new = new_articles(parsed, store, settings.run_time, few=FEW_KEYS)
-    scored = materialize(
-        score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls), "scored"
-    )
+    scored = score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls)
+    scored = write(scored) if write else materialize(scored, "scored")
     enriched = enrichment_candidates(scored, settings.high, settings.medium)
     if pages is not None:
         # New articles have no text yet, so the candidates are all that will be reported.

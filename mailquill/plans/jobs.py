@@ -76,8 +76,12 @@ def fetch(
             settings = replace(settings, since=bound, after=None, deliveries=None)
         else:
             settings = replace(settings, since=None, after=None, deliveries=unread)
-        run = run_digest(mails, article_store.stored_in(spark, root, seen), replace(settings, keep_parsed=True), pages)
-        article_store.write_run(run.scored, f"{root}/articles", number)
+
+        def write(scored: DataFrame) -> DataFrame:
+            article_store.write_run(scored, f"{root}/articles", number)
+            return article_store.read_run(spark, f"{root}/articles", number)
+
+        run = run_digest(mails, article_store.stored_in(spark, root, seen), replace(settings, keep_parsed=True), pages, write)
         if pages is not None:
             article_store.append_texts(run.enriched, root, number)
         path = _written(run.report, root, settings)
@@ -100,9 +104,8 @@ def score_pending(spark: SparkSession, root: str, settings: DigestSettings, agai
         number = runs.reserve(spark, root)
         seen = runs.snapshot(spark, root)
         pending = article_store.current_with_scores(spark, root, lambda score: score.isNull() | score.isin(*again), seen)
-        scored = materialize(
-            score_articles(pending, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls), "pending"
-        )
+        scored = score_articles(pending, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls)
+        scored = materialize(scored.select("hash", "score", "reason"), "pending")
         article_store.append_scores(scored, root, number)
         n = scored.count()
         runs.commit(spark, root, number, runs.SCORE, seen)

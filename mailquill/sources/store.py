@@ -36,13 +36,17 @@ TEXTS_SCHEMA = T.StructType([ARTICLE_SCHEMA["hash"], ARTICLE_SCHEMA["full_text_s
 
 
 def _empty_if_absent(spark: SparkSession, schema: T.StructType, read) -> DataFrame:
-    """An absent path is an empty table; any other problem fails the job instead of hiding the store."""
+    """An absent path is an empty table, of which Spark knows that, so joins with it move nothing.
+
+    Any other problem fails the job instead of hiding the store.
+    """
     try:
         return read()
     except AnalysisException as problem:
         if problem.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        return spark.createDataFrame([], schema)
+        nothing = [F.lit(None).cast(field.dataType).alias(field.name) for field in schema]
+        return spark.range(1).where(F.lit(False)).select(*nothing)
 
 
 def load_store(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
@@ -139,6 +143,10 @@ def write_run(new: DataFrame, path: str, run_no: int) -> None:
     new.select(*ARTICLE_SCHEMA.names).write.mode("overwrite").options(**KEY_FILTERS).parquet(f"{path}/run_no={run_no}")
 
 
+def read_run(spark: SparkSession, path: str, run_no: int) -> DataFrame:
+    return spark.read.schema(ARTICLE_SCHEMA).parquet(f"{path}/run_no={run_no}")
+
+
 def absent_rows(rows: DataFrame, target: DataFrame, key: str = "hash") -> DataFrame:
     """The rows whose key the target does not hold, one per key."""
     ranked = rows.groupBy(key).agg(F.min(F.struct(*[c for c in rows.columns if c != key])).alias("_row"))

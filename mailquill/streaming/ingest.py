@@ -13,7 +13,7 @@ from mailquill.operators.explode import explode_alerts
 from mailquill.operators.score import score_articles
 from mailquill.plans.digest import DigestSettings, new_articles
 from mailquill.schema import ARTICLE_SCHEMA, MAIL_SCHEMA
-from mailquill.session import intermediate_data, materialize, shared_folder
+from mailquill.session import intermediate_data, shared_folder
 from mailquill.sources import runs
 from mailquill.sources import store as article_store
 
@@ -105,7 +105,7 @@ def store_run(mail: DataFrame, batch_id: int, root: str, settings: DigestSetting
             seen = runs.snapshot(spark, root)
             new = new_articles(explode_alerts(mail), article_store.stored_in(spark, root, seen), settings.run_time, few=FEW_KEYS)
             scored = score_articles(new, settings.scorer, settings.rules, settings.exclude, settings.partitions, settings.calls)
-            article_store.write_run(materialize(scored, "scored"), f"{root}/articles", number)
+            article_store.write_run(scored, f"{root}/articles", number)
             try:
                 runs.commit(spark, root, number, runs.STREAM, seen, stream=stream, batch_id=batch_id)
                 return number

@@ -51,10 +51,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@kept
-def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), "url")
-    group = F.floor(F.col("doc_id") / 20)
+def mail_group(id_col: str):
+    """Articles of neighbouring ids share a mail."""
+    return F.floor(F.col(id_col) / 20)
+
+
+def beside(rows: DataFrame, narrow: DataFrame, id_col: str, how: str) -> DataFrame:
+    """``rows`` joined with a narrow table on ``doc_id = id_col``, by their ``mail_group``: what is dealt by group stays there.
+
+    The narrow rows of a group come as one array, from which each row takes those of its id.
+    """
+    columns = [name for name in narrow.columns if name != id_col]
+    groups = narrow.where(F.col(id_col).isNotNull()).groupBy(mail_group(id_col).alias("mail_group")).agg(F.collect_list(F.struct(*narrow.columns)).alias("_all"))
+    joined = rows.join(groups, "mail_group", how)
+    own = F.filter("_all", lambda one: one[id_col] == F.col("doc_id"))
+    explode = F.explode_outer if how == "left" else F.explode
+    found = joined.select(*rows.columns, explode(own).alias("_own"))
+    return found.select(*rows.columns, *[F.col(f"_own.{name}").alias(name) for name in columns])
+
+
+def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``articles`` with their ``mail_group``. Whole texts are shuffled once, by the group; pages come to them, and so do mails."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
     lines = F.split("text", "\n")
     own_link = F.concat(
         F.lit("https://example.org/doc/"),
@@ -64,15 +82,16 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("&lang="),
         F.col("lang"),
     )
-    place = Window.partitionBy("lang", group).orderBy("doc_id")
+    place = Window.partitionBy("lang", "mail_group").orderBy("doc_id")
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text", mail_group("doc_id").alias("mail_group"))
     return (
-        table(spark, sf_dir, "documents")
-        .join(pages, "doc_id", "left")
+        beside(documents, pages, "page_id", "left")
         .select(
             "doc_id",
             "lang",
-            F.concat(F.lit("e-"), F.col("lang"), F.lit("-"), group.cast("string")).alias("email_id"),
-            (F.lit(1704067200) + group * 3600).cast("double").alias("email_date"),
+            "mail_group",
+            F.concat(F.lit("e-"), F.col("lang"), F.lit("-"), F.col("mail_group").cast("string")).alias("email_id"),
+            (F.lit(1704067200) + F.col("mail_group") * 3600).cast("double").alias("email_date"),
             (F.row_number().over(place) - 1).alias("position"),
             F.trim(lines[0]).alias("title"),
             F.coalesce("url", own_link).alias("link"),
@@ -82,22 +101,32 @@ def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@kept
+def articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed(spark, sf_dir).drop("mail_group")
+
+
 @kept
 def hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_hash(articles(spark, sf_dir))
 
 
+def with_labels(spark: SparkSession, sf_dir: str, how: str) -> DataFrame:
+    known = beside(placed(spark, sf_dir), table(spark, sf_dir, "labels"), "doc_id", how)
+    return with_hash(known.drop("mail_group"))
+
+
 @kept
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Articles with labels, first of each title, labels alongside."""
-    known = hashed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    known = with_labels(spark, sf_dir, "inner")
     return dedup_first(known, "hash", newest_mail_first())
 
 
 @kept
 def judged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All articles, first of each title, with NULLs where there is no label."""
-    known = hashed(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    known = with_labels(spark, sf_dir, "left")
     return dedup_first(known, "hash", newest_mail_first())
 
 
@@ -168,8 +197,8 @@ def mail(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("\n<!-- end --></DIV><br>"),
     )
     return (
-        articles(spark, sf_dir)
-        .groupBy("email_id", "email_date", "lang")
+        placed(spark, sf_dir)
+        .groupBy("lang", "mail_group", "email_id", "email_date")
         .agg(F.array_sort(F.collect_list(F.struct("position", block.alias("block")))).alias("blocks"))
         .select(
             F.col("email_id").alias("id"),
