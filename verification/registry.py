@@ -305,16 +305,16 @@ def word_scorer():
 def pluggable_score(spark, sf_dir):
     scorer = score.choose_scorer("words:small", {"words": lambda model: word_scorer()})
     first = dedup.dedup_first(v.hashed(spark, sf_dir), "hash", dedup.newest_mail_first())
-    scored = score.score_articles(first, scorer, exclude=v.EXCLUDE, partitions=8)
+    scored = score.score_articles(first.select("hash", "doc_id", "title", "summary"), scorer, exclude=v.EXCLUDE, partitions=8)
     return scored.select("hash", "doc_id", "score", "reason")
 
 
 def concurrent_score(spark, sf_dir):
-    """The same with eight calls side by side in each of two tasks, of which some fail at first."""
+    """The same with eight calls side by side in each of two tasks or more, of which some fail at first."""
     scorer = score.choose_scorer("words:small", {"words": lambda model: failing_at_first(word_scorer())})
     first = dedup.dedup_first(v.hashed(spark, sf_dir), "hash", dedup.newest_mail_first())
     calls = score.Calls(workers=8, rows=5, retries=1, pause=0.001)
-    scored = score.score_articles(first, scorer, exclude=v.EXCLUDE, partitions=2, calls=calls)
+    scored = score.score_articles(first.select("hash", "doc_id", "title", "summary"), scorer, exclude=v.EXCLUDE, partitions=2, calls=calls)
     return scored.select("hash", "doc_id", "score", "reason")
 
 
@@ -343,9 +343,19 @@ def keyword_list(spark, sf_dir):
     return v.articles(spark, sf_dir).select("doc_id", scoring.excluded_by(whole, listed).alias("keyword"))
 
 
+#: Bytes of document text whose mails are dealt to one file of a stream's source.
+SOURCE_FILE = 512_000_000
+
+
+def source_files(spark, sf_dir):
+    """Four files, or more of them, so that none grows with the documents."""
+    size = v.table(spark, sf_dir, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(4, -(-size // SOURCE_FILE))
+
+
 def stream_ingest(spark, sf_dir):
     source, store, checkpoint = (shared_folder(spark, name) for name in ("source", "store", "checkpoint"))
-    v.mail(spark, sf_dir).repartition(4, "id").write.parquet(source)
+    v.mail(spark, sf_dir).repartition(source_files(spark, sf_dir), "id").write.parquet(source)
     stream = start_ingest(spark, source, store, checkpoint, v.SENDER, v.RUN_TIME, files_per_batch=2)
     stream.awaitTermination()
     return article_store.load_store(spark, store).select("hash")
@@ -385,7 +395,7 @@ def _mail_part(number: int, of: int):
 def shared_root(spark, sf_dir):
     """What a stream, a run and the stream again have stored below one root."""
     root, source, checkpoint = (shared_folder(spark, name) for name in ("root", "source", "checkpoint"))
-    mails = v.mail(spark, sf_dir)
+    mails = materialize(v.mail(spark, sf_dir), "mails")  # made once for its three parts
 
     def stream(number):
         mails.where(_mail_part(number, 3)).write.mode("append").parquet(source)
@@ -402,7 +412,7 @@ def shared_root(spark, sf_dir):
 def late_deliveries(spark, sf_dir):
     """Which run stored each article, of deliveries that close out of order and share numbers."""
     root = shared_folder(spark, "root")
-    mails = v.mail(spark, sf_dir)
+    mails = materialize(v.mail(spark, sf_dir), "mails")  # made once for its four parts
     for part, arrival in ((2, 7), (0, 5), (1, 7), (3, 1)):
         mail_source.write_mail(mails.where(_mail_part(part, 4)), f"{root}/mail", arrival)
         if part:
