@@ -9,6 +9,9 @@ found units with enough words are removed, all but the first.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +26,7 @@ LEAST_WORDS = 40
 LEAST_PART = 4
 SPACE = " \t\n\x0b\f\r"
 MARKS = ".!?…"
+ENDS = ("\n", *(f"{mark} " for mark in MARKS))
 #: Up to a line's end, or a mark and a space, and all white space behind it. Blank texts have no unit.
 UNIT = rf"(?s)[ \t\n\x0B\f\r]*(?:[{MARKS}] |[^ \t\n\x0B\f\r].*?(?:\n|[{MARKS}] |\z))[ \t\n\x0B\f\r]*"
 #: Cuts a text in which it does not occur.
@@ -39,18 +43,56 @@ def _bound(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _keys(text: Column) -> Column:
-    """The units of ``line_units`` without the white space around them, cut without a regular expression where that can be."""
+def _cut(text: Column, ends: dict[str, str]) -> Column:
+    """``text`` with each end in its new form. To look for an end takes a small part of the time of replacing it; nothing replaces ""."""
     cut = text
-    for end in ("\n", *(f"{mark} " for mark in MARKS)):
-        cut = F.replace(cut, F.lit(end), F.lit(end + CUT))
-    parts = F.when(F.contains(text, F.lit(CUT)), line_units(text)).otherwise(F.split(cut, CUT, -1))
-    return F.filter(F.transform(parts, lambda part: F.btrim(part, F.lit(SPACE))), lambda key: key != "")
+    for end, new in ends.items():
+        cut = F.replace(cut, F.when(F.contains(text, F.lit(end)), F.lit(end)).otherwise(F.lit("")), F.lit(new))
+    return cut
+
+
+def _any_in(text: Column, parts: list[str]) -> Column:
+    return reduce(or_, (F.contains(text, F.lit(part)) for part in parts))
+
+
+def _units(text: Column) -> Column:
+    """``line_units``, cut without a regular expression where no white space begins the text or follows an end."""
+
+    def of_cut(cut: Column) -> Column:
+        plain = F.array_remove(F.split(cut, CUT, -1), "")
+        odd = F.contains(text, F.lit(CUT)) | _any_in(F.concat(F.lit(CUT), cut), [CUT + space for space in SPACE])
+        return F.when(odd, line_units(text)).otherwise(plain)
+
+    return _bound(_cut(text, {end: end + CUT for end in ENDS}), of_cut)
+
+
+def _keys(text: Column) -> Column:
+    """The units of ``line_units`` without the white space around them, cut without a regular expression where that can be.
+
+    Only where there is other white space than single spaces and ends are the parts trimmed.
+    """
+
+    def of_cut(cut: Column) -> Column:
+        trimmed = lambda parts: F.filter(F.transform(parts, lambda part: F.btrim(part, F.lit(SPACE))), lambda key: key != "")
+        parts = F.split(cut, CUT, -1)
+        odd = _any_in(cut, list(SPACE.replace(" ", "").replace("\n", ""))) | _any_in(F.concat(F.lit(CUT), cut, F.lit(CUT)), [CUT + " ", " " + CUT])
+        return F.when(F.contains(text, F.lit(CUT)), trimmed(line_units(text))).when(odd, trimmed(parts)).otherwise(F.array_remove(parts, ""))
+
+    return _bound(_cut(text, {end: end.strip(SPACE) + CUT for end in ENDS}), of_cut)
 
 
 def _n_words(unit: Column) -> Column:
     """Words of a trimmed unit: its spaces and one."""
-    return F.length(unit) - F.length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
+    return F.octet_length(unit) - F.octet_length(F.replace(unit, F.lit(" "), F.lit(""))) + 1
+
+
+def _hash(text: Column) -> Column:
+    """Tells most chunks apart; those that it does not are told apart by their bytes."""
+    return F.xxhash64(text)
+
+
+def _joined_units(units: Column, first: Column, n: Column, between: str = "\n") -> Column:
+    return F.when(n == 1, F.get(units, first - 1)).otherwise(F.array_join(F.slice(units, first, n), between))
 
 
 def _ends(keys: Column) -> Column:
@@ -60,7 +102,8 @@ def _ends(keys: Column) -> Column:
     def of(codes: Column) -> Column:
         def ends_chunk(i: Column) -> Column:
             rolling = sum((codes[i - 1 - back] * F.lit(BASE**back) for back in range(1, WINDOW)), codes[i - 1])
-            return (i == F.size(codes)) | ((i >= WINDOW) & (rolling % MODULUS * PART[1] < MODULUS * PART[0]))
+            low = rolling % MODULUS < -(-MODULUS * PART[0] // PART[1])
+            return (low if WINDOW == 1 else (i >= WINDOW) & low) | (i == F.size(codes))
 
         numbers = F.filter(F.sequence(F.lit(1), F.greatest(F.size(codes), F.lit(1))), ends_chunk)
         return F.when(F.size(codes) > 0, numbers).otherwise(F.array().cast("array<int>"))
@@ -72,22 +115,17 @@ def _first(ends: Column, at: Column) -> Column:
     return F.when(at == 0, F.lit(1)).otherwise(F.get(ends, at - 1) + 1)
 
 
-def _marks(text: Column) -> Column:
-    """Array of struct(``no`` from 1, ``hash``, ``words``)."""
+#: Stands between the units of a chunk whose words are counted: no unit has a line's end, and it is one space.
+BETWEEN = "\n "
+
+
+def _whole_chunks(text: Column) -> Column:
+    """Array of the chunks' texts."""
 
     def of_keys(keys: Column) -> Column:
         def of_ends(ends: Column) -> Column:
             def chunk(end: Column, at: Column) -> Column:
-                def of_size(n: Column) -> Column:
-                    def of_whole(whole: Column) -> Column:
-                        # One word for each unit besides the spaces.
-                        words = F.length(whole) - F.length(F.replace(whole, F.lit(" "), F.lit(""))) + n
-                        return F.struct((at + 1).alias("no"), F.xxhash64(whole).alias("hash"), words.alias("words"))
-
-                    own = F.when(n == 1, F.get(keys, end - 1)).otherwise(F.array_join(F.slice(keys, end - n + 1, n), "\n"))
-                    return _bound(own, of_whole)
-
-                return _bound(end - _first(ends, at) + 1, of_size)
+                return _bound(_first(ends, at), lambda first: _joined_units(keys, first, end - first + 1, BETWEEN))
 
             return F.transform(ends, chunk)
 
@@ -96,6 +134,12 @@ def _marks(text: Column) -> Column:
     return _bound(_keys(text), of_keys)
 
 
+def _marks(rows: DataFrame) -> DataFrame:
+    """``place`` and of each chunk ``no`` from 1, ``hash`` and ``words``, the latter worked out behind the lambdas, in compiled code."""
+    chunks = rows.select("place", F.posexplode(_whole_chunks(F.col("text"))).alias("at", "whole"))
+    return chunks.select("place", (F.col("at") + 1).alias("no"), _hash(F.col("whole")).alias("hash"), _n_words(F.col("whole")).alias("words"))
+
+
 def _chunks(text: Column, numbers: Column) -> Column:
     """Of the chunks with these numbers: ``no``, ``first`` and ``last`` unit, ``own`` text, and hashes of the units ``back`` and ``ahead``.
 
@@ -104,16 +148,25 @@ def _chunks(text: Column, numbers: Column) -> Column:
 
     def of_keys(keys: Column) -> Column:
         def of_ends(ends: Column) -> Column:
-            def units(of: Column, at: Column) -> Column:
-                return F.slice(of, _first(ends, at), F.get(ends, at) - _first(ends, at) + 1)
-
             def of_hashes(hashes: Column) -> Column:
-                def beside(at: Column) -> Column:
-                    return F.when((at >= 0) & (at < F.size(ends)), units(hashes, at)).otherwise(F.array().cast("array<bigint>"))
+                def units(end: Column, at: Column) -> Column:
+                    return _bound(_first(ends, at), lambda first: F.slice(hashes, first, end - first + 1))
+
+                def of_parts(parts: Column) -> Column:
+                    beside = lambda at: F.coalesce(F.get(parts, at), F.array().cast("array<bigint>"))
+
+                    def chunk(no: Column) -> Column:
+                        def of_first(first: Column) -> Column:
+                            last = F.get(ends, no - 1)
+                            return F.struct(
+                                no.alias("no"), first.alias("first"), last.alias("last"), _joined_units(keys, first, last - first + 1).alias("own"),
+                                beside(no - 2).alias("back"), beside(no).alias("ahead"))
+
+                        return _bound(_first(ends, no - 1), of_first)
+
+                    return F.transform(numbers, chunk)
 
-                return F.transform(numbers, lambda no: F.struct(
-                    no.alias("no"), _first(ends, no - 1).alias("first"), F.get(ends, no - 1).alias("last"),
-                    F.array_join(units(keys, no - 1), "\n").alias("own"), beside(no - 2).alias("back"), beside(no).alias("ahead")))
+                return _bound(F.transform(ends, units), of_parts)
 
             return _bound(F.transform(keys, lambda key: F.xxhash64(key)), of_hashes)
 
@@ -132,7 +185,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     """``place`` of a row and ``ranges``, struct(``first``, ``last``) of units that are found before, apart from each other."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), row_place(F.col(id_col), text).alias("place"), text.alias("text"))
-    marks = materialize(rows.select("place", F.explode(_marks(F.col("text"))).alias("c")).select("place", "c.*"), "chunk-marks")
+    marks = materialize(_marks(rows), "chunk-marks")
     repeated = materialize(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     # The joins' smaller sides grow with the corpus and are never broadcast. Where they are narrow and have each key once, a
     # partition of them is a small part of the other side's and is hashed, so that neither side is sorted.
@@ -143,20 +196,28 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     row = Window.partitionBy("place").orderBy("no")
     stretch = again.withColumn("stretch", F.col("no") - F.row_number().over(row))
     long_enough = F.sum("words") * LEAST_PART >= least
-    wanted = stretch.groupBy("place", "stretch").agg(F.collect_list("no").alias("nos"), long_enough.alias("enough"))
-    wanted = wanted.where("enough").groupBy("place").agg(F.sort_array(F.flatten(F.collect_list("nos"))).alias("nos"))
+    wanted = stretch.groupBy("place", "stretch").agg(F.min("no").alias("from"), F.max("no").alias("to"), long_enough.alias("enough"))
+    wanted = wanted.where("enough").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
     wanted = materialize(wanted, "wanted-chunks")
 
-    cut = rows.join(wanted.hint("shuffle_hash"), "place").select("id", "place", F.explode(_chunks(F.col("text"), F.col("nos"))).alias("c"))
-    cut = materialize(cut.select("id", "place", "c.*", F.xxhash64("c.own").alias("hash")), "chunks")
-    # Grouping by the bytes tells colliding chunks apart; copies are combined before the shuffle.
-    firsts = cut.groupBy("hash", "own").agg(F.min(F.struct("id", "place", "no", "back", "ahead")).alias("f"), F.count(F.lit(1)).alias("n"))
-    firsts = materialize(firsts.where("n > 1").select("hash", "own", "f"), "first-chunks")
-    both = cut.join(firsts.hint("merge"), ["hash", "own"])
+    numbers = F.flatten(F.transform("runs", lambda run: F.sequence(run["from"], run["to"])))
+    cut = rows.join(wanted.hint("shuffle_hash"), "place").select("id", "place", F.explode(_chunks(F.col("text"), numbers)).alias("c"))
+    cut = materialize(cut.select("id", "place", "c.*", _hash(F.col("c.own")).alias("hash")), "chunks")
+    # Copies are combined before the shuffle. A hash whose least and greatest bytes are the same has one text, and its chunks meet
+    # their first one without their texts.
+    first = F.min(F.struct("id", "place", "no", "back", "ahead")).alias("f")
+    firsts = cut.groupBy("hash").agg(first, (F.min("own") == F.max("own")).alias("one_text"), F.count(F.lit(1)).alias("n"))
+    firsts = materialize(firsts.where("n > 1").drop("n"), "first-chunks")
+    beside = ["place", "no", "first", "last", "back", "ahead", "f"]
+    both = cut.drop("own").join(firsts.where("one_text").hint("shuffle_hash"), "hash").select(beside)
+    shared = materialize(firsts.where("NOT one_text").select("hash"), "shared-hashes")
+    if not shared.isEmpty():
+        told = materialize(cut.join(shared, "hash"), "chunks-of-shared-hashes")
+        both = both.unionAll(told.join(told.groupBy("hash", "own").agg(first), ["hash", "own"]).select(beside))
     later = both.where((F.col("place") != F.col("f.place")) | (F.col("no") != F.col("f.no")))
     back = _alike(F.reverse("back"), F.reverse(F.col("f.back")))
     spans = later.select("place", (F.col("first") - back).alias("first"), (F.col("last") + _alike(F.col("ahead"), F.col("f.ahead"))).alias("last"))
-    spans = materialize(spans.distinct(), "found-units")
+    spans = spans.distinct()
 
     order = Window.partitionBy("place").orderBy("first", "last")
     reached = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -206,7 +267,7 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[Da
 
         return _bound(F.filter(counted, lambda own: own["words"] >= least), of_ranges)
 
-    removed = F.when(F.col(name).isNotNull(), _bound(line_units(F.col(text_col)), of_units))
+    removed = F.when(F.col(name).isNotNull(), _bound(_units(F.col(text_col)), of_units))
     return joined.withColumn(name, removed), name
 
 
