@@ -120,12 +120,13 @@ BETWEEN = "\n "
 
 
 def _whole_chunks(text: Column) -> Column:
-    """Array of the chunks' texts."""
+    """Array of struct(``whole``, a chunk's text, and ``ends``, those of all chunks at the first one)."""
 
     def of_keys(keys: Column) -> Column:
         def of_ends(ends: Column) -> Column:
             def chunk(end: Column, at: Column) -> Column:
-                return _bound(_first(ends, at), lambda first: _joined_units(keys, first, end - first + 1, BETWEEN))
+                whole = _bound(_first(ends, at), lambda first: _joined_units(keys, first, end - first + 1, BETWEEN))
+                return F.struct(whole.alias("whole"), F.when(at == 0, ends).alias("ends"))
 
             return F.transform(ends, chunk)
 
@@ -135,42 +136,42 @@ def _whole_chunks(text: Column) -> Column:
 
 
 def _marks(rows: DataFrame) -> DataFrame:
-    """``place`` and of each chunk ``no`` from 1, ``hash`` and ``words``, the latter worked out behind the lambdas, in compiled code."""
-    chunks = rows.select("place", F.posexplode(_whole_chunks(F.col("text"))).alias("at", "whole"))
-    return chunks.select("place", (F.col("at") + 1).alias("no"), _hash(F.col("whole")).alias("hash"), _n_words(F.col("whole")).alias("words"))
+    """``place`` and of each chunk ``no`` from 1, ``hash`` and ``words``, these two worked out behind the lambdas, in compiled code.
+
+    The first chunk also has the ``ends`` of all.
+    """
+    chunks = rows.select("place", F.posexplode(_whole_chunks(F.col("text"))).alias("at", "c")).select("place", (F.col("at") + 1).alias("no"), "c.*")
+    return chunks.select("place", "no", _hash(F.col("whole")).alias("hash"), _n_words(F.col("whole")).alias("words"), "ends")
 
 
-def _chunks(text: Column, numbers: Column) -> Column:
+def _chunks(text: Column, numbers: Column, ends: Column) -> Column:
     """Of the chunks with these numbers: ``no``, ``first`` and ``last`` unit, ``own`` text, and hashes of the units ``back`` and ``ahead``.
 
     Of the chunk before and after it, that is. Only units in the same places beside equal chunks are ever compared by them.
     """
 
     def of_keys(keys: Column) -> Column:
-        def of_ends(ends: Column) -> Column:
-            def of_hashes(hashes: Column) -> Column:
-                def units(end: Column, at: Column) -> Column:
-                    return _bound(_first(ends, at), lambda first: F.slice(hashes, first, end - first + 1))
+        def of_hashes(hashes: Column) -> Column:
+            def units(end: Column, at: Column) -> Column:
+                return _bound(_first(ends, at), lambda first: F.slice(hashes, first, end - first + 1))
 
-                def of_parts(parts: Column) -> Column:
-                    beside = lambda at: F.coalesce(F.get(parts, at), F.array().cast("array<bigint>"))
+            def of_parts(parts: Column) -> Column:
+                beside = lambda at: F.coalesce(F.get(parts, at), F.array().cast("array<bigint>"))
 
-                    def chunk(no: Column) -> Column:
-                        def of_first(first: Column) -> Column:
-                            last = F.get(ends, no - 1)
-                            return F.struct(
-                                no.alias("no"), first.alias("first"), last.alias("last"), _joined_units(keys, first, last - first + 1).alias("own"),
-                                beside(no - 2).alias("back"), beside(no).alias("ahead"))
+                def chunk(no: Column) -> Column:
+                    def of_first(first: Column) -> Column:
+                        last = F.get(ends, no - 1)
+                        return F.struct(
+                            no.alias("no"), first.alias("first"), last.alias("last"), _joined_units(keys, first, last - first + 1).alias("own"),
+                            beside(no - 2).alias("back"), beside(no).alias("ahead"))
 
-                        return _bound(_first(ends, no - 1), of_first)
+                    return _bound(_first(ends, no - 1), of_first)
 
-                    return F.transform(numbers, chunk)
+                return F.transform(numbers, chunk)
 
-                return _bound(F.transform(ends, units), of_parts)
+            return _bound(F.transform(ends, units), of_parts)
 
-            return _bound(F.transform(keys, lambda key: F.xxhash64(key)), of_hashes)
-
-        return _bound(_ends(keys), of_ends)
+        return _bound(F.transform(keys, lambda key: F.xxhash64(key)), of_hashes)
 
     return _bound(_keys(text), of_keys)
 
@@ -198,10 +199,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     long_enough = F.sum("words") * LEAST_PART >= least
     wanted = stretch.groupBy("place", "stretch").agg(F.min("no").alias("from"), F.max("no").alias("to"), long_enough.alias("enough"))
     wanted = wanted.where("enough").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
-    wanted = materialize(wanted, "wanted-chunks")
+    # Rows of one place have the same ends.
+    ends = marks.where("ends IS NOT NULL").groupBy("place").agg(F.min("ends").alias("ends"))
+    wanted = materialize(wanted.join(ends, "place"), "wanted-chunks")
 
     numbers = F.flatten(F.transform("runs", lambda run: F.sequence(run["from"], run["to"])))
-    cut = rows.join(wanted.hint("shuffle_hash"), "place").select("id", "place", F.explode(_chunks(F.col("text"), numbers)).alias("c"))
+    cut = rows.join(wanted.hint("shuffle_hash"), "place").select("id", "place", F.explode(_chunks(F.col("text"), numbers, F.col("ends"))).alias("c"))
     cut = materialize(cut.select("id", "place", "c.*", _hash(F.col("c.own")).alias("hash")), "chunks")
     # Copies are combined before the shuffle. A hash whose least and greatest bytes are the same has one text, and its chunks meet
     # their first one without their texts.

@@ -209,6 +209,33 @@ def test_hot_copies(spark):
     assert found.where("n_removed_words = 120").count() == 1333  # and the first, which repeats itself, loses less
 
 
+def test_chunks_of_one_hash_are_told_apart_by_their_bytes(spark, monkeypatch):
+    texts = shared_passages(8)
+    docs = frame(spark, texts)
+    found = Counter(map(tuple, line_dedup.line_dedup_report(docs, least=1).collect()))
+    whole = line_dedup._hash
+    counted = iter([True])  # chunks are counted by the true hash, and meet by one that many share
+    monkeypatch.setattr(line_dedup, "_hash", lambda text: whole(text) if next(counted, False) else whole(text) % 5)
+    assert Counter(map(tuple, line_dedup.line_dedup_report(docs, least=1).collect())) == found
+
+
+def test_wanted_chunks_are_runs_and_first_ones_have_no_texts(spark, monkeypatch):
+    kept, write = {}, line_dedup.materialize
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name="cut": kept.setdefault(name, write(df, name)))
+    passage = "\n".join(f"Line number {n} of so many words." for n in range(50))
+    line_dedup.line_dedup_report(frame(spark, [(1, f"One.\n{passage}"), (2, f"Two.\n{passage}")])).collect()
+    assert "own" not in kept["first-chunks"].columns
+    assert all(len(row["runs"]) == 1 and row["ends"][-1] == 51 for row in kept["wanted-chunks"].collect())
+    assert kept["chunks"].where("size(back) > 0 AND size(ahead) > 0").count() > 20
+
+
+@pytest.mark.parametrize("text", ["", " ", "\n a", "a\n", "a. b\nc", "a. b! c? d… e", "a. \nb", "a.  b", " a. b", "a \nb. ", "a.\x01 b", "a.\r\nb", ". . a", "…\n\n"])
+def test_units_without_a_regular_expression(spark, text):
+    units, keys = spark.range(1).select(line_dedup._units(F.lit(text)), line_dedup._keys(F.lit(text))).first()
+    assert units == UNIT.findall(text)
+    assert keys == [unit.strip(SPACE) for unit in units]
+
+
 def test_empty_table(spark):
     assert line_dedup.remove_repeated_chunks(frame(spark, [])).collect() == []
 
