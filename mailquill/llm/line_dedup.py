@@ -55,15 +55,32 @@ def _any_in(text: Column, parts: list[str]) -> Column:
     return reduce(or_, (F.contains(text, F.lit(part)) for part in parts))
 
 
+UNIT_ENDS = {end: end + CUT for end in ENDS}
+KEY_ENDS = {end: end.strip(SPACE) + CUT for end in ENDS}
+
+
+def _units_of_parts(text: Column, parts: Column) -> Column:
+    """``_units`` of a text and what ``_cut`` by ``UNIT_ENDS`` and a split made of it."""
+    odd = F.contains(text, F.lit(CUT)) | F.exists(parts, lambda part: F.substring(part, 1, 1).isin(*SPACE))
+    return F.when(odd, line_units(text)).otherwise(F.array_remove(parts, ""))
+
+
 def _units(text: Column) -> Column:
     """``line_units``, cut without a regular expression where no white space begins the text or follows an end."""
+    return _bound(F.split(_cut(text, UNIT_ENDS), CUT, -1), lambda parts: _units_of_parts(text, parts))
 
-    def of_cut(cut: Column) -> Column:
-        plain = F.array_remove(F.split(cut, CUT, -1), "")
-        odd = F.contains(text, F.lit(CUT)) | _any_in(F.concat(F.lit(CUT), cut), [CUT + space for space in SPACE])
-        return F.when(odd, line_units(text)).otherwise(plain)
 
-    return _bound(_cut(text, {end: end + CUT for end in ENDS}), of_cut)
+def _odd(text: Column) -> Column:
+    """Whether there is other white space than spaces and line's ends, or a CUT. To look for the one or other is to go over the text."""
+    return _any_in(text, [*SPACE.replace(" ", "").replace("\n", ""), CUT])
+
+
+def _keys_of_parts(text: Column, odd: Column, parts: Column) -> Column:
+    """``_keys`` of a text, its ``_odd``, and what ``_cut`` by ``KEY_ENDS`` and a split made of it."""
+    trimmed = lambda parts: F.filter(F.transform(parts, lambda part: F.btrim(part, F.lit(SPACE))), lambda key: key != "")
+    spaced = F.exists(parts, lambda part: F.startswith(part, F.lit(" ")) | F.endswith(part, F.lit(" ")))
+    plain = F.when(odd | spaced, trimmed(parts)).otherwise(F.array_remove(parts, ""))
+    return F.when(odd & F.contains(text, F.lit(CUT)), trimmed(line_units(text))).otherwise(plain)
 
 
 def _keys(text: Column) -> Column:
@@ -71,14 +88,7 @@ def _keys(text: Column) -> Column:
 
     Only where there is other white space than single spaces and ends are the parts trimmed.
     """
-
-    def of_cut(cut: Column) -> Column:
-        trimmed = lambda parts: F.filter(F.transform(parts, lambda part: F.btrim(part, F.lit(SPACE))), lambda key: key != "")
-        parts = F.split(cut, CUT, -1)
-        odd = _any_in(cut, list(SPACE.replace(" ", "").replace("\n", ""))) | _any_in(F.concat(F.lit(CUT), cut, F.lit(CUT)), [CUT + " ", " " + CUT])
-        return F.when(F.contains(text, F.lit(CUT)), trimmed(line_units(text))).when(odd, trimmed(parts)).otherwise(F.array_remove(parts, ""))
-
-    return _bound(_cut(text, {end: end.strip(SPACE) + CUT for end in ENDS}), of_cut)
+    return _bound(F.split(_cut(text, KEY_ENDS), CUT, -1), lambda parts: _keys_of_parts(text, _odd(text), parts))
 
 
 def _n_words(unit: Column) -> Column:
@@ -91,94 +101,85 @@ def _hash(text: Column) -> Column:
     return F.xxhash64(text)
 
 
-def _joined_units(units: Column, first: Column, n: Column, between: str = "\n") -> Column:
-    return F.when(n == 1, F.get(units, first - 1)).otherwise(F.array_join(F.slice(units, first, n), between))
+def _part(of: Column, after: Column, n: Column) -> Column:
+    """``n`` elements behind the first ``after``. Most chunks have one unit, for which no slice is made."""
+    return F.when(n == 1, F.array(F.get(of, after))).otherwise(F.slice(of, after + 1, n))
+
+
+def _joined_units(units: Column, after: Column, n: Column, between: str = "\n") -> Column:
+    return F.when(n == 1, F.get(units, after)).otherwise(F.array_join(F.slice(units, after + 1, n), between))
 
 
 def _ends(keys: Column) -> Column:
     """Numbers, from 1, of the units that end a chunk."""
-    codes = F.transform(keys, lambda key: F.conv(F.substring(F.md5(key.cast("binary")), 1, 8), 16, 10).cast("bigint"))
+    code = lambda i: F.conv(F.substring(F.md5(F.get(keys, i).cast("binary")), 1, 8), 16, 10).cast("bigint")
 
-    def of(codes: Column) -> Column:
+    def of(code, n: Column) -> Column:
         def ends_chunk(i: Column) -> Column:
-            rolling = sum((codes[i - 1 - back] * F.lit(BASE**back) for back in range(1, WINDOW)), codes[i - 1])
+            rolling = sum((code(i - 1 - back) * F.lit(BASE**back) for back in range(1, WINDOW)), code(i - 1))
             low = rolling % MODULUS < -(-MODULUS * PART[0] // PART[1])
-            return (low if WINDOW == 1 else (i >= WINDOW) & low) | (i == F.size(codes))
+            return (i == n) | (low if WINDOW == 1 else (i >= WINDOW) & low)
 
-        numbers = F.filter(F.sequence(F.lit(1), F.greatest(F.size(codes), F.lit(1))), ends_chunk)
-        return F.when(F.size(codes) > 0, numbers).otherwise(F.array().cast("array<int>"))
+        numbers = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), ends_chunk)
+        return F.when(n > 0, numbers).otherwise(F.array().cast("array<int>"))
 
-    return _bound(codes, of)
+    if WINDOW == 1:  # each code is asked for once
+        return of(code, F.size(keys))
+    codes = F.transform(keys, lambda key, i: code(i))
+    return _bound(codes, lambda codes: of(lambda i: F.get(codes, i), F.size(codes)))
 
 
-def _first(ends: Column, at: Column) -> Column:
-    return F.when(at == 0, F.lit(1)).otherwise(F.get(ends, at - 1) + 1)
+def _keyed(rows: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` and ``keys`` of rows with a ``text`` and its ``odd``.
+
+    Here and below, columns of one step after the other and not names bound in one expression, since what those hold is
+    copied wherever one ends.
+    """
+    parts = rows.select(*columns, "text", "odd", F.split(_cut(F.col("text"), KEY_ENDS), CUT, -1).alias("parts"))
+    return parts.select(*columns, _keys_of_parts(F.col("text"), F.col("odd"), F.col("parts")).alias("keys"))
 
 
 #: Stands between the units of a chunk whose words are counted: no unit has a line's end, and it is one space.
 BETWEEN = "\n "
 
 
-def _whole_chunks(text: Column) -> Column:
-    """Array of the chunks' texts."""
-
-    def of_keys(keys: Column) -> Column:
-        def of_ends(ends: Column) -> Column:
-            def chunk(end: Column, at: Column) -> Column:
-                return _bound(_first(ends, at), lambda first: _joined_units(keys, first, end - first + 1, BETWEEN))
-
-            return F.transform(ends, chunk)
-
-        return _bound(_ends(keys), of_ends)
-
-    return _bound(_keys(text), of_keys)
-
-
 def _marks(rows: DataFrame) -> DataFrame:
-    """``place`` and of each chunk ``no`` from 1, ``hash`` and ``words``, the latter worked out behind the lambdas, in compiled code."""
-    chunks = rows.select("place", F.posexplode(_whole_chunks(F.col("text"))).alias("at", "whole"))
-    return chunks.select("place", (F.col("at") + 1).alias("no"), _hash(F.col("whole")).alias("hash"), _n_words(F.col("whole")).alias("words"))
+    """``place``, ``odd`` of the text, ``edges``, which are 0 and the numbers of the units that end a chunk, and of the chunks ``hashes`` and ``words``."""
+    edges = F.col("edges")
+    edged = _keyed(rows.withColumn("odd", _odd(F.col("text"))), "place", "odd").select("place", "odd", "keys", F.concat(F.array(F.lit(0)), _ends(F.col("keys"))).alias("edges"))
+    whole = F.transform(F.slice(edges, 2, F.size(edges) - 1), lambda end, at: _joined_units(F.col("keys"), F.get(edges, at), end - F.get(edges, at), BETWEEN))
+    cut = edged.select("place", "odd", "edges", whole.alias("whole"))
+    return cut.select("place", "odd", "edges", F.transform("whole", lambda own: _hash(own)).alias("hashes"), F.transform("whole", _n_words).alias("words"))
 
 
-def _chunks(text: Column, numbers: Column) -> Column:
-    """Of the chunks with these numbers: ``no``, ``first`` and ``last`` unit, ``own`` text, and hashes of the units ``back`` and ``ahead``.
+def _chunks(rows: DataFrame) -> DataFrame:
+    """Of the chunks in ``runs``: ``no``, ``first`` and ``last`` unit, ``own`` text, and hashes of the units ``back`` and ``ahead``.
 
     Of the chunk before and after it, that is. Only units in the same places beside equal chunks are ever compared by them.
     """
+    edge = lambda no: F.get("edges", no)
+    columns = ["id", "place", "runs", "edges"]
+    hashed = _keyed(rows, *columns).select(*columns, "keys", F.transform("keys", lambda key: F.xxhash64(key)).alias("hashes"))
+    beside = lambda no: F.coalesce(_part(F.col("hashes"), edge(no - 1), edge(no) - edge(no - 1)), F.array().cast("array<bigint>"))
 
-    def of_keys(keys: Column) -> Column:
-        def of_ends(ends: Column) -> Column:
-            def of_hashes(hashes: Column) -> Column:
-                def units(end: Column, at: Column) -> Column:
-                    return _bound(_first(ends, at), lambda first: F.slice(hashes, first, end - first + 1))
-
-                def of_parts(parts: Column) -> Column:
-                    beside = lambda at: F.coalesce(F.get(parts, at), F.array().cast("array<bigint>"))
-
-                    def chunk(no: Column) -> Column:
-                        def of_first(first: Column) -> Column:
-                            last = F.get(ends, no - 1)
-                            return F.struct(
-                                no.alias("no"), first.alias("first"), last.alias("last"), _joined_units(keys, first, last - first + 1).alias("own"),
-                                beside(no - 2).alias("back"), beside(no).alias("ahead"))
-
-                        return _bound(_first(ends, no - 1), of_first)
-
-                    return F.transform(numbers, chunk)
-
-                return _bound(F.transform(ends, units), of_parts)
-
-            return _bound(F.transform(keys, lambda key: F.xxhash64(key)), of_hashes)
+    def chunk(no: Column) -> Column:
+        own = _joined_units(F.col("keys"), edge(no - 1), edge(no) - edge(no - 1))
+        first, last = (edge(no - 1) + 1).alias("first"), edge(no).alias("last")
+        return F.struct(no.alias("no"), first, last, own.alias("own"), beside(no - 1).alias("back"), beside(no + 1).alias("ahead"))
 
-        return _bound(_ends(keys), of_ends)
-
-    return _bound(_keys(text), of_keys)
+    numbers = F.flatten(F.transform("runs", lambda run: F.sequence(run["from"], run["to"])))
+    # No text without runs is here. To leave out those without would work the chunks out twice.
+    found = hashed.select("id", "place", F.transform(numbers, chunk).alias("c"))
+    return found.select("id", "place", F.explode_outer("c").alias("c")).select("id", "place", "c.*")
 
 
-def _alike(a: Column, b: Column) -> Column:
-    """How many first elements are the same."""
-    differ = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), F.lit(False))
-    return F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int")
+def _alike(a: Column, b: Column, turned: bool = False) -> Column:
+    """How many first elements are the same, or last ones; element by element only where that is neither all nor none."""
+    one = lambda of: F.get(of, F.size(of) - 1 if turned else F.lit(0))
+    way = F.reverse if turned else lambda of: of
+    differ = F.array_position(F.zip_with(way(a), way(b), lambda x, y: x.eqNullSafe(y)), F.lit(False))
+    some = F.when(differ > 0, differ - 1).otherwise(F.size(a)).cast("int")
+    return F.when(a == b, F.size(a)).when(~one(a).eqNullSafe(one(b)), F.lit(0)).otherwise(some)
 
 
 def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame:
@@ -186,10 +187,12 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("id"), row_place(F.col(id_col), text).alias("place"), text.alias("text"))
     marks = materialize(_marks(rows), "chunk-marks")
-    repeated = materialize(marks.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
+    repeated = materialize(marks.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("hash"), "repeated")
     # The joins' smaller sides grow with the corpus and are never broadcast. Where they are narrow and have each key once, a
     # partition of them is a small part of the other side's and is hashed, so that neither side is sorted.
-    again = marks.join(repeated.hint("shuffle_hash"), "hash").select("place", "no", "words")
+    chunks = marks.select("place", F.posexplode(F.arrays_zip("hashes", "words")).alias("at", "c"))
+    chunks = chunks.select("place", (F.col("at") + 1).alias("no"), F.col("c.hashes").alias("hash"), F.col("c.words").alias("words"))
+    again = chunks.join(repeated.hint("shuffle_hash"), "hash").select("place", "no", "words")
     # Rows that repeat id and text are one; everything down to the wanted numbers keeps to this partitioning.
     again = again.repartition("place").dropDuplicates(["place", "no"])
     # Only stretches of repeated chunks that hold some part of the words needed are looked at; their ends may bring the rest.
@@ -200,9 +203,10 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
     wanted = wanted.where("enough").groupBy("place").agg(F.sort_array(F.collect_list(F.struct("from", "to"))).alias("runs"))
     wanted = materialize(wanted, "wanted-chunks")
 
-    numbers = F.flatten(F.transform("runs", lambda run: F.sequence(run["from"], run["to"])))
-    cut = rows.join(wanted.hint("shuffle_hash"), "place").select("id", "place", F.explode(_chunks(F.col("text"), numbers)).alias("c"))
-    cut = materialize(cut.select("id", "place", "c.*", _hash(F.col("c.own")).alias("hash")), "chunks")
+    # Edges are carried here, since to work them out again takes longer. Their rows repeat where rows repeat id and text.
+    edged = marks.select("place", "odd", "edges").join(wanted.hint("shuffle_hash"), "place").dropDuplicates(["place", "odd", "runs", "edges"])
+    cut = _chunks(rows.join(edged.hint("shuffle_hash"), "place"))
+    cut = materialize(cut.withColumn("hash", _hash(F.col("own"))), "chunks")
     # Copies are combined before the shuffle. A hash whose least and greatest bytes are the same has one text, and its chunks meet
     # their first one without their texts.
     first = F.min(F.struct("id", "place", "no", "back", "ahead")).alias("f")
@@ -215,7 +219,7 @@ def _found(docs: DataFrame, id_col: str, text_col: str, least: int) -> DataFrame
         told = materialize(cut.join(shared, "hash"), "chunks-of-shared-hashes")
         both = both.unionAll(told.join(told.groupBy("hash", "own").agg(first), ["hash", "own"]).select(beside))
     later = both.where((F.col("place") != F.col("f.place")) | (F.col("no") != F.col("f.no")))
-    back = _alike(F.reverse("back"), F.reverse(F.col("f.back")))
+    back = _alike(F.col("back"), F.col("f.back"), turned=True)
     spans = later.select("place", (F.col("first") - back).alias("first"), (F.col("last") + _alike(F.col("ahead"), F.col("f.ahead"))).alias("last"))
     spans = spans.distinct()
 
@@ -252,23 +256,21 @@ def _joined(docs: DataFrame, id_col: str, text_col: str, least: int) -> tuple[Da
     found = _found(docs, id_col, text_col, least).withColumnsRenamed({"place": place, "ranges": name})
     marked = docs.withColumn(place, row_place(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))))
     joined = marked.join(found.hint("shuffle_hash"), place, "left").drop(place)
-
-    def of_units(units: Column) -> Column:
-        counted = F.transform(name, lambda own: F.struct(
-            own["first"].alias("first"), own["last"].alias("last"),
-            F.aggregate(F.slice(units, own["first"], own["last"] - own["first"] + 1), F.lit(0),
-                        lambda n, unit: n + _n_words(F.btrim(unit, F.lit(SPACE)))).alias("words")))
-
-        def of_ranges(ranges: Column) -> Column:
-            total = lambda size: F.aggregate(ranges, F.lit(0).cast("bigint"), lambda n, own: n + size(own))
-            return F.when(F.size(ranges) > 0, F.struct(
-                ranges.alias("ranges"), total(lambda own: own["last"] - own["first"] + 1).alias("units"),
-                total(lambda own: own["words"]).alias("words"), _without(units, ranges).alias("text")))
-
-        return _bound(F.filter(counted, lambda own: own["words"] >= least), of_ranges)
-
-    removed = F.when(F.col(name).isNotNull(), _bound(_units(F.col(text_col)), of_units))
-    return joined.withColumn(name, removed), name
+    # Columns, as in _keyed. Only texts of which something is found are cut.
+    parts, units, text, found_any = fresh(docs, "text_parts"), fresh(docs, "text_units"), F.col(text_col), F.col(name).isNotNull()
+    joined = joined.withColumn(parts, F.when(found_any, F.split(_cut(text, UNIT_ENDS), CUT, -1)))
+    joined = joined.withColumn(units, F.when(found_any, _units_of_parts(text, F.col(parts)))).drop(parts)
+
+    def with_words(own: Column) -> Column:
+        keys = F.transform(F.slice(units, own["first"], own["last"] - own["first"] + 1), lambda unit: F.btrim(unit, F.lit(SPACE)))
+        return F.struct(own["first"].alias("first"), own["last"].alias("last"), _n_words(F.array_join(keys, BETWEEN)).alias("words"))
+
+    joined = joined.withColumn(name, F.filter(F.transform(name, with_words), lambda own: own["words"] >= least))
+    total = lambda size: F.aggregate(name, F.lit(0).cast("bigint"), lambda n, own: n + size(own))
+    removed = F.struct(
+        F.col(name).alias("ranges"), total(lambda own: own["last"] - own["first"] + 1).alias("units"),
+        total(lambda own: own["words"]).alias("words"), _without(F.col(units), F.col(name)).alias("text"))
+    return joined.withColumn(name, F.when(F.size(name) > 0, removed)).drop(units), name
 
 
 def remove_repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = LEAST_WORDS) -> DataFrame:

@@ -243,3 +243,41 @@ def test_empty_table(spark):
 def test_no_python_in_the_plan(spark):
     plan = line_dedup.line_dedup_report(frame(spark))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_ends_of_chunks_are_worked_out_once(spark, monkeypatch):
+    kept, calls, write, ends = {}, [], line_dedup.materialize, line_dedup._ends
+    monkeypatch.setattr(line_dedup, "materialize", lambda df, name="cut": kept.setdefault(name, write(df, name)))
+    monkeypatch.setattr(line_dedup, "_ends", lambda keys: calls.append(1) or ends(keys))
+    texts = shared_passages(11)
+    line_dedup.line_dedup_report(frame(spark, texts)).collect()
+    assert len(calls) == 1
+    assert kept["chunk-marks"].count() == len(texts)
+    for row in kept["chunk-marks"].collect():
+        assert row["edges"][0] == 0 and len(row["edges"]) - 1 == len(row["hashes"]) == len(row["words"])
+
+
+def test_odd_white_space_and_rows_that_repeat(spark):
+    passages = [["Line\tnumber %d of some words.\r\n", "Line \x01 number %d. ", "  Line number %d has  words \n", "Line number %d \x0c! \n\n"][k] for k in range(4)]
+    passages = ["".join(passage % n for n in range(30)) for passage in passages]
+    texts = [(10 * k + n, f"Own {n} words {n * 77}.{glue}{passage}{glue}End of {n}.") for k, passage in enumerate(passages) for n, glue in enumerate(["\n", " ", "\n ", "\r\n"])]
+    texts += texts[1:6] + [(None, texts[2][1]), (None, texts[2][1])]
+    kept = plain(texts)
+    want = Counter((row[0], ",".join(f"{a + 1}-{b}" for a, b in kept[row][0]), hashlib.sha256(kept[row][1].encode()).hexdigest()) for row in texts)
+    found = line_dedup.line_dedup_report(frame(spark, texts)).select("doc_id", "removed_units", "text_sha256").collect()
+    assert Counter(map(tuple, found)) == want
+    assert sum(row["removed_units"] != "" for row in found) > 12
+
+
+@pytest.mark.parametrize("turned", [False, True])
+def test_how_many_units_are_alike(spark, turned):
+    arrays = [[], [1], [2], [1, 2], [1, 3], [2, 2], [1, 2, 3], [3, 2, 1], [1, 2, 1]]
+    pairs = spark.createDataFrame([(a, b) for a in arrays for b in arrays], "a array<bigint>, b array<bigint>")
+    for row in pairs.select("a", "b", line_dedup._alike(F.col("a"), F.col("b"), turned).alias("n")).collect():
+        way = slice(None, None, -1) if turned else slice(None)
+        want = 0
+        for x, y in zip(row["a"][way], row["b"][way]):
+            if x != y:
+                break
+            want += 1
+        assert row["n"] == want, row
