@@ -146,7 +146,8 @@ BETWEEN = "\n "
 def _marks(rows: DataFrame) -> DataFrame:
     """``place``, ``odd`` of the text, ``edges``, which are 0 and the numbers of the units that end a chunk, and of the chunks ``hashes`` and ``words``."""
     edges = F.col("edges")
-    edged = _keyed(rows.withColumn("odd", _odd(F.col("text"))), "place", "odd").select("place", "odd", "keys", F.concat(F.array(F.lit(0)), _ends(F.col("keys"))).alias("edges"))
+    keyed = _keyed(rows.withColumn("odd", _odd(F.col("text"))), "place", "odd")
+    edged = keyed.select("place", "odd", "keys", F.concat(F.array(F.lit(0)), _ends(F.col("keys"))).alias("edges"))
     whole = F.transform(F.slice(edges, 2, F.size(edges) - 1), lambda end, at: _joined_units(F.col("keys"), F.get(edges, at), end - F.get(edges, at), BETWEEN))
     cut = edged.select("place", "odd", "edges", whole.alias("whole"))
     return cut.select("place", "odd", "edges", F.transform("whole", lambda own: _hash(own)).alias("hashes"), F.transform("whole", _n_words).alias("words"))
